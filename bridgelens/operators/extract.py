@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bridgelens import config as C
@@ -17,8 +17,13 @@ from bridgelens.functions.numbers import safe_number, safe_product
 from bridgelens.operators.filters import DateLike, completed, in_date_range, router_match
 
 
-def _num(path: str):
-    return safe_number(json_text(F.col("data"), path))
+def _texts(df: DataFrame, keep: list[str], paths: dict[str, str]) -> DataFrame:
+    """Project each JSON path once into its own text column.
+
+    Later expressions read those columns; as the extraction is not cheap,
+    Catalyst keeps this projection instead of inlining it into every use.
+    """
+    return df.select(*keep, *[json_text("data", p).alias(n) for n, p in paths.items()])
 
 
 def transfer_events(
@@ -31,21 +36,26 @@ def transfer_events(
     t = in_date_range(transfers, start, end)
     t = t.where(completed() & router_match(F.col("sender_address"), routers))
     t = with_variant(t.select("created_at", "recipient_address", "id", "data"))
+    t = _texts(t, ["created_at", "recipient_address", "id"], {
+        "_src": C.T_SOURCE_CHAIN, "_dst": C.T_DESTINATION_CHAIN, "_amount": C.T_AMOUNT,
+        "_price": C.T_PRICE, "_fee": C.T_FEE, "_asset": C.T_ASSET,
+    })
+    amount = safe_number(F.col("_amount"))
     return t.select(
         F.col("created_at"),
-        F.lower(json_text("data", C.T_SOURCE_CHAIN)).alias("source_chain"),
-        F.lower(json_text("data", C.T_DESTINATION_CHAIN)).alias("destination_chain"),
+        F.lower("_src").alias("source_chain"),
+        F.lower("_dst").alias("destination_chain"),
         F.col("recipient_address").alias("user"),
-        _num(C.T_AMOUNT).alias("amount"),
-        safe_product(_num(C.T_AMOUNT), _num(C.T_PRICE)).alias("amount_usd"),
-        _num(C.T_FEE).alias("fee"),
+        amount.alias("amount"),
+        safe_product(amount, safe_number(F.col("_price"))).alias("amount_usd"),
+        safe_number(F.col("_fee")).alias("fee"),
         F.col("id"),
         F.lit(C.SERVICE_TRANSFERS).alias("service"),
-        json_text("data", C.T_ASSET).alias("raw_asset"),
+        F.col("_asset").alias("raw_asset"),
     )
 
 
-def gmp_contract(data) -> "F.Column":
+def gmp_contract(data) -> Column:
     return json_text(data, C.G_CONTRACT)
 
 
@@ -64,22 +74,27 @@ def gmp_events(
     g = in_date_range(gmp, start, end).where(completed())
     g = with_variant(g.select("created_at", "id", "data"))
     g = g.where(router_match(gmp_contract(F.col("data")), routers))
-    src = json_text("data", C.G_SOURCE_CHAIN)
-    dst = json_text("data", C.G_DESTINATION_CHAIN)
+    g = _texts(g, ["created_at", "id"], {
+        "_src": C.G_SOURCE_CHAIN, "_dst": C.G_DESTINATION_CHAIN, "_user": C.G_USER,
+        "_amount": C.G_AMOUNT, "_value": C.G_VALUE, "_gas": C.G_GAS_USED, "_gas_usd": C.G_GAS_USD,
+        "_express": C.G_EXPRESS_FEE, "_symbol": C.G_SYMBOL,
+    })
+    src, dst = F.col("_src"), F.col("_dst")
     if normalize_chains:
         src, dst = F.lower(src), F.lower(dst)
-    fee = F.coalesce(safe_product(_num(C.G_GAS_USED), _num(C.G_GAS_USD)), _num(C.G_EXPRESS_FEE))
+    fee = F.coalesce(safe_product(safe_number(F.col("_gas")), safe_number(F.col("_gas_usd"))),
+                     safe_number(F.col("_express")))
     return g.select(
         F.col("created_at"),
         src.alias("source_chain"),
         dst.alias("destination_chain"),
-        json_text("data", C.G_USER).alias("user"),
-        _num(C.G_AMOUNT).alias("amount"),
-        _num(C.G_VALUE).alias("amount_usd"),
+        F.col("_user").alias("user"),
+        safe_number(F.col("_amount")).alias("amount"),
+        safe_number(F.col("_value")).alias("amount_usd"),
         fee.alias("fee"),
         F.col("id"),
         F.lit(C.SERVICE_GMP).alias("service"),
-        json_text("data", C.G_SYMBOL).alias("raw_asset"),
+        F.col("_symbol").alias("raw_asset"),
     )
 
 

@@ -70,22 +70,34 @@ def _order_statistics(
     raise RuntimeError("exact median did not converge")
 
 
-def exact_median(df: DataFrame, column: str, *, accuracy: int = 10_000, max_collect: int = 100_000):
+DEFAULT_ACCURACY = 10_000
+
+
+def median_seed(column: str, accuracy: int = DEFAULT_ACCURACY) -> list:
+    """Aggregate columns (``__n``, ``__q``) that start the search; add them to
+    another aggregate over the same rows to save the first pass."""
+    d = 2.0 / accuracy
+    return [
+        F.count(F.col(column)).alias("__n"),
+        F.percentile_approx(F.col(column).cast("double"), [max(0.0, 0.5 - d), min(1.0, 0.5 + d)],
+                            accuracy).alias("__q"),
+    ]
+
+
+def exact_median(df: DataFrame, column: str, *, accuracy: int = DEFAULT_ACCURACY,
+                 max_collect: int = 100_000, seed=None):
     """Interpolated median (``percentile_cont(0.5)``) of ``column``; None if no value.
 
     Matches Spark ``median`` and DuckDB ``median``: for an even count the
-    result is ``a + (b - a) * 0.5`` of the two middle values.  The first
-    aggregate returns the count and the first bracket together.
+    result is ``a + (b - a) * 0.5`` of the two middle values.  ``seed`` is a
+    row holding the ``median_seed`` columns, if already computed.
     """
     values = df.select(F.col(column).cast("double").alias(_X)).where(F.col(_X).isNotNull())
-    d = 2.0 / accuracy
-    first = values.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(_X, [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("q"),
-    ).first()
-    n = first["n"]
-    if n == 0:
+    if seed is None:
+        seed = values.agg(*median_seed(_X, accuracy)).first()
+    n = seed["__n"]
+    if not n:
         return None
     lo, hi = (n - 1) // 2, n // 2
-    a, b = _order_statistics(values, n, [lo, hi], accuracy, max_collect, tuple(first["q"]))
+    a, b = _order_statistics(values, n, [lo, hi], accuracy, max_collect, tuple(seed["__q"]))
     return a + (b - a) * 0.5

@@ -30,8 +30,15 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     """Headline figures, always one row.
 
     ``median``: 'exact' (distributed selection, default), 'approx'
-    (``percentile_approx``) or 'spark' (built-in ``median``, single-task merge;
-    fine for small inputs only).
+    (``percentile_approx``) or 'spark' (built-in ``median``, whose value map is
+    merged in one task; for small inputs only).
+
+    With the exact median, the median is found first (a count + sketch
+    pass, then one or two filtered passes over the amount column) and joins
+    the row as a constant; the other measures stay one lazy aggregate.  The
+    sketch is kept out of that aggregate on purpose: next to the two distinct
+    counts, Spark's Expand rewrite would give every (id, user) group its own
+    sketch buffer.
     """
     ev = in_date_range(events, start, end)
     aggs = [
@@ -43,8 +50,7 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     ]
     if median == "exact":
         med = exact_median(ev, "amount_usd")
-        med_col = F.round(F.lit(med).cast("double"))
-        out = ev.agg(*aggs).withColumn("median_bridged_volume", med_col)
+        out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))
     elif median == "approx":
         out = ev.agg(*aggs, F.round(F.percentile_approx("amount_usd", 0.5)).cast("double")
                      .alias("median_bridged_volume"))
