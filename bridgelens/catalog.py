@@ -124,9 +124,11 @@ def normalize_chain(spark, sf):
     return chains.select("original_chain", F.lower("original_chain").alias("normalized_chain")).distinct()
 
 
-def _by_service(*measures) -> Builder:
+def _by_service(*measures: Callable[[], object]) -> Builder:
+    """Group the whole relation by service; measures are built lazily (a
+    Column needs a live session)."""
     def run(spark, sf):
-        return events(spark, sf).groupBy("service").agg(*measures)
+        return events(spark, sf).groupBy("service").agg(*[m() for m in measures])
     return run
 
 
@@ -175,15 +177,15 @@ def queries() -> dict[str, Builder]:
         "amount_usd": amount_usd_query,
         "fee_coalesce": fee_coalesce,
         "normalize_chain": normalize_chain,
-        "union_services": _by_service(F.count(F.lit(1)).alias("n_rows")),
+        "union_services": _by_service(lambda: F.count(F.lit(1)).alias("n_rows")),
         "bridge_events": lambda spark, sf: events(spark, sf),
-        "agg_distinct_ids": _by_service(F.count_distinct("id").alias("number_of_transfers")),
-        "agg_distinct_users": _by_service(F.count_distinct("user").alias("number_of_users")),
-        "agg_volume": _by_service(F.round(F.sum("amount_usd")).alias("volume_usd")),
+        "agg_distinct_ids": _by_service(lambda: F.count_distinct("id").alias("number_of_transfers")),
+        "agg_distinct_users": _by_service(lambda: F.count_distinct("user").alias("number_of_users")),
+        "agg_volume": _by_service(lambda: F.round(F.sum("amount_usd")).alias("volume_usd")),
         "agg_median": agg_median,
-        "agg_max": _by_service(F.round(F.max("amount_usd")).alias("maximum_bridged_volume")),
-        "agg_avg": _by_service(F.round(F.avg("amount_usd")).alias("average_bridged_volume"),
-                               F.avg("amount_usd").alias("avg_bridged_volume")),
+        "agg_max": _by_service(lambda: F.round(F.max("amount_usd")).alias("maximum_bridged_volume")),
+        "agg_avg": _by_service(lambda: F.round(F.avg("amount_usd")).alias("average_bridged_volume"),
+                               lambda: F.avg("amount_usd").alias("avg_bridged_volume")),
         "avg_bridges_per_user": _ts("month", "date", "avg_bridge_count_per_user"),
         "running_volume": _ts("month", "date", "bridged_volume", "total_bridged_volume"),
         "running_count": _ts("month", "date", "number_of_bridges", "total_number_of_bridges"),

@@ -36,38 +36,54 @@ def _order_statistics(
 
     ``bracket`` is an optional first pair of approximate bounds (saves a pass).
     The full input is never collected: at least one narrowing round runs first.
+    Each round also counts the rows equal to either bound, so ranks that land
+    on a bound are answered at once and the search goes on strictly between
+    the bounds; as the sketch returns values present in the data, every round
+    removes at least one value.
     """
-    cand, offset, size = values, 0, n
-    lo_rank, hi_rank = min(ranks), max(ranks)
-    acc, margin = accuracy, 2.0
     x = F.col(_X)
-    for round_no in range(64):
+    found: dict[int, float] = {}
+    cand, offset, size = values, 0, n
+    margin = 2.0
+    for round_no in range(200):
+        todo = [k for k in ranks if k not in found]
+        if not todo:
+            break
         if round_no > 0 and size <= max_collect:
             got = sorted(r[0] for r in cand.collect())
-            return [got[k - offset] for k in ranks]
+            for k in todo:
+                found[k] = got[k - offset]
+            break
+        lo_rank, hi_rank = min(todo), max(todo)
         if bracket is not None:
             lo_v, hi_v = bracket
             bracket = None
         else:
-            q_lo = max(0.0, (lo_rank - offset) / size - margin / acc)
-            q_hi = min(1.0, (hi_rank - offset + 1) / size + margin / acc)
-            lo_v, hi_v = cand.agg(F.percentile_approx(_X, [q_lo, q_hi], acc).alias("q")).first()["q"]
+            q_lo = max(0.0, (lo_rank - offset) / size - margin / accuracy)
+            q_hi = min(1.0, (hi_rank - offset + 1) / size + margin / accuracy)
+            lo_v, hi_v = cand.agg(F.percentile_approx(_X, [q_lo, q_hi], accuracy).alias("q")).first()["q"]
         row = cand.agg(
             F.count(F.when(x < lo_v, 1)).alias("below"),
             F.count(F.when((x >= lo_v) & (x <= hi_v), 1)).alias("inside"),
+            F.count(F.when(x == lo_v, 1)).alias("eq_lo"),
+            F.count(F.when(x == hi_v, 1)).alias("eq_hi"),
         ).first()
-        below, inside = row["below"], row["inside"]
-        if offset + below <= lo_rank and hi_rank < offset + below + inside:
-            if lo_v == hi_v:
-                return [float(lo_v)] * len(ranks)
-            if inside >= size:
-                # no progress (heavy ties at both ends): sharpen the sketch
-                acc = min(acc * 10, 10_000_000)
-            cand = cand.where((x >= lo_v) & (x <= hi_v))
-            offset, size = offset + below, inside
-        else:
+        start = offset + row["below"]
+        stop = start + row["inside"]
+        if not (start <= lo_rank and hi_rank < stop):
             margin *= 4
-    raise RuntimeError("exact median did not converge")
+            continue
+        for k in todo:
+            if k < start + row["eq_lo"]:
+                found[k] = float(lo_v)
+            elif k >= stop - row["eq_hi"]:
+                found[k] = float(hi_v)
+        cand = cand.where((x > lo_v) & (x < hi_v))
+        offset = start + row["eq_lo"]
+        size = row["inside"] - row["eq_lo"] - (row["eq_hi"] if hi_v != lo_v else 0)
+    else:
+        raise RuntimeError("exact median did not converge")
+    return [found[k] for k in ranks]
 
 
 DEFAULT_ACCURACY = 10_000
