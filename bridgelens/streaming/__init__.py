@@ -1,0 +1,5 @@
+"""Structured Streaming: incremental ingest of new fact files."""
+
+from bridgelens.streaming.ingest import read_fact_stream, stream_bridge_events
+
+__all__ = ["read_fact_stream", "stream_bridge_events"]
