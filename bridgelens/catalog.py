@@ -196,6 +196,10 @@ def queries() -> dict[str, Builder]:
         "time_series_day": _ts("day"),
         "source_chain": lambda spark, sf: source_chains(events(spark, sf)),
         "destination_chain": lambda spark, sf: destination_chains(events(spark, sf)),
+        "source_chain_ranged": lambda spark, sf: source_chains(
+            events(spark, sf, start=RANGE[0], end=RANGE[1]), RANGE[0], RANGE[1]),
+        "destination_chain_ranged": lambda spark, sf: destination_chains(
+            events(spark, sf, start=RANGE[0], end=RANGE[1]), RANGE[0], RANGE[1]),
         "source_chain_labels": lambda spark, sf: chain_labels(source_chains(events(spark, sf)), "si"),
         "destination_chain_labels": lambda spark, sf: chain_labels(destination_chains(events(spark, sf)), "usd"),
         "top10_source_volume": _top("source", "volume"),

@@ -68,6 +68,15 @@ SI_PREFIXES: tuple[str, ...] = (
     "y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y",
 )
 
+# Column headers shown by the dashboard, keyed by our snake_case names.
+DISPLAY_NAMES: dict[str, str] = {
+    "source_chain": "Source Chain",
+    "destination_chain": "Destination Chain",
+    "number_of_transfers": "Number of Transfers",
+    "number_of_users": "Number of Users",
+    "volume_usd": "Volume of Transfers (USD)",
+}
+
 # --- Our decisions (the warehouse dialect is not visible) ---------------------
 
 # Text accepted as a number: plain decimal / scientific notation only.  Rejects

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bridgelens.config import SI_PREFIXES
+from bridgelens.config import DISPLAY_NAMES, SI_PREFIXES
 
 
 def usd_label(x: Column) -> Column:
@@ -44,3 +44,8 @@ def si_label(x: Column) -> Column:
     prefix = F.element_at(F.array(*[F.lit(p) for p in SI_PREFIXES]), (i + 9).cast("int"))
     body = F.concat(text, prefix)
     return F.when(x.isNull(), F.lit(None).cast("string")).when(x == 0, F.lit("0.0")).otherwise(body)
+
+
+def with_display_names(df):
+    """Rename report columns to the dashboard's display names (edge only)."""
+    return df.withColumnsRenamed({c: DISPLAY_NAMES[c] for c in df.columns if c in DISPLAY_NAMES})

@@ -159,6 +159,12 @@ def _chain(chain: str) -> str:
 )""")
 
 
+def _chain_ranged(chain: str) -> str:
+    return _with(EVENTS_RANGED) + (
+        f"SELECT {chain}, count(DISTINCT id) AS number_of_transfers, "
+        f'count(DISTINCT "user") AS number_of_users, round(sum(amount_usd)) AS volume_usd FROM ev GROUP BY 1')
+
+
 def _top(chain: str, by: str) -> str:
     if by == "volume":
         order = f"volume_usd DESC NULLS LAST, number_of_transfers DESC, {chain} ASC NULLS FIRST"
@@ -256,6 +262,8 @@ def oracle_sql() -> dict[str, str]:
         "time_series_day": _time_series("day"),
         "source_chain": _chain("source_chain") + "SELECT * FROM r",
         "destination_chain": _chain("destination_chain") + "SELECT * FROM r",
+        "source_chain_ranged": _chain_ranged("source_chain"),
+        "destination_chain_ranged": _chain_ranged("destination_chain"),
         "source_chain_labels": _chain("source_chain") + (
             f"SELECT *, {_si('volume_usd')} AS volume_label, "
             "CAST(number_of_transfers AS VARCHAR) AS count_label FROM r"),

@@ -1,7 +1,8 @@
 """Composite plans: the unified relation, the reports and the ingest job."""
 
+from bridgelens.plans.dashboard import refresh
 from bridgelens.plans.events import bridge_events
-from bridgelens.plans.ingest import load_bridge_events, save_bridge_events
+from bridgelens.plans.ingest import load_bridge_events, save_bridge_events, write_report
 from bridgelens.plans.reports import (
     chain_labels, chain_report, destination_chains, kpi, kpi_labels, source_chains,
     time_series, top_chains,
@@ -9,5 +10,6 @@ from bridgelens.plans.reports import (
 
 __all__ = [
     "bridge_events", "chain_labels", "chain_report", "destination_chains", "kpi", "kpi_labels",
-    "load_bridge_events", "save_bridge_events", "source_chains", "time_series", "top_chains",
+    "load_bridge_events", "refresh", "save_bridge_events", "source_chains", "time_series", "top_chains",
+    "write_report",
 ]

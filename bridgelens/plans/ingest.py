@@ -54,3 +54,10 @@ def load_bridge_events(spark: SparkSession, path: str) -> DataFrame:
     """The saved relation with ``event_date`` and ``event_month``, so day
     filters prune partitions and row groups."""
     return spark.read.parquet(path).select(*EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH)
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Sink for a finished report (the dashboard's fetch step): the result is
+    written by the executors, never gathered on the driver."""
+    report.write.mode("overwrite").format(fmt).save(path)
+    return path
