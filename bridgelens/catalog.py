@@ -139,8 +139,10 @@ def agg_median(spark, sf):
     rows = []
     for s in present:
         m = exact_median(ev.where(F.col("service") == s), "amount_usd")
-        rows.append((s, None if m is None else float(m)))
-    df = spark.createDataFrame(rows, "service string, median double")
+        rows.append(F.struct(F.lit(s).alias("service"), F.lit(m).cast("double").alias("median")))
+    # one row per service, built in the JVM (no Python worker round trip)
+    df = spark.range(1).select(F.inline(F.array(*rows))) if rows else \
+        spark.range(0).select(F.lit(None).cast("string").alias("service"), F.lit(None).cast("double").alias("median"))
     return df.select("service", F.round("median").alias("median_bridged_volume"))
 
 

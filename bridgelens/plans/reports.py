@@ -8,9 +8,11 @@ candidate values (see ``operators.quantile``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bridgelens.config import EVENT_MONTH
 from bridgelens.functions.labels import count_label, si_label, usd_label
 from bridgelens.operators import measures as M
 from bridgelens.operators.buckets import bucket, check_unit
@@ -19,6 +21,10 @@ from bridgelens.operators.quantile import exact_median
 from bridgelens.operators.topk import top_k
 from bridgelens.operators.windows import running_sum
 
+KPI_ROW_SCHEMA = (
+    "number_of_transfers bigint, number_of_users bigint, volume_of_transfers double, "
+    "maximum_bridged_volume double, average_bridged_volume double, median_bridged_volume double"
+)
 KPI_COLUMNS = (
     "number_of_transfers", "number_of_users", "volume_of_transfers",
     "median_bridged_volume", "maximum_bridged_volume", "average_bridged_volume",
@@ -39,6 +45,12 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     sketch is kept out of that aggregate on purpose: next to the two distinct
     counts, Spark's Expand rewrite would give every (id, user) group its own
     sketch buffer.
+
+    On input that is not the saved relation (raw facts, JSON parsed in-plan)
+    the three needed columns are persisted (memory and disk) for the few
+    passes, so each document is parsed once; the row is then computed
+    eagerly and the cache released.  Lost cached blocks are recomputed from
+    lineage.
     """
     ev = in_date_range(events, start, end)
     aggs = [
@@ -48,16 +60,30 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
         M.max_volume(),
         M.avg_volume(),
     ]
-    if median == "exact":
-        med = exact_median(ev, "amount_usd")
-        out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))
-    elif median == "approx":
+    if median == "approx":
         out = ev.agg(*aggs, F.round(F.percentile_approx("amount_usd", 0.5)).cast("double")
                      .alias("median_bridged_volume"))
     elif median == "spark":
         out = ev.agg(*aggs, F.round(F.median("amount_usd")).alias("median_bridged_volume"))
-    else:
+    elif median != "exact":
         raise ValueError("median must be 'exact', 'approx' or 'spark'")
+    elif EVENT_MONTH in events.columns:
+        med = exact_median(ev, "amount_usd")
+        out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))
+    else:
+        narrow = ev.select("id", "user", "amount_usd").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            med = exact_median(narrow, "amount_usd")
+            row = narrow.agg(*aggs).first()
+        finally:
+            narrow.unpersist()
+        vals = [*row, med]
+        types = [f.split()[1] for f in KPI_ROW_SCHEMA.split(", ")]
+        names = [f.split()[0] for f in KPI_ROW_SCHEMA.split(", ")]
+        # a one-row frame built in the JVM (no Python worker round trip)
+        out = ev.sparkSession.range(1).select(
+            *[F.lit(v).cast(t).alias(n) for v, t, n in zip(vals, types, names)]
+        ).withColumn("median_bridged_volume", F.round("median_bridged_volume"))
     return out.select(*KPI_COLUMNS)
 
 

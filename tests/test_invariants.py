@@ -17,7 +17,9 @@ S, E = "1995-01-01", "2001-12-31"
 
 @pytest.fixture(scope="module")
 def ev(spark):
-    return bridge_events(fixture_transfers(spark, SF), fixture_gmp(spark, SF), TEST_ROUTERS).cache()
+    df = bridge_events(fixture_transfers(spark, SF), fixture_gmp(spark, SF), TEST_ROUTERS).cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.mark.parametrize("unit", ["month", "week", "day"])
