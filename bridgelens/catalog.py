@@ -17,7 +17,7 @@ from bridgelens.functions.json import json_kind, json_text, with_variant
 from bridgelens.functions.numbers import safe_number, safe_product
 from bridgelens.operators.extract import gmp_contract
 from bridgelens.operators.filters import completed, router_match
-from bridgelens.operators.quantile import exact_median
+from bridgelens.operators.quantile import exact_median_by
 from bridgelens.oracle import RANGE
 from bridgelens.plans import (
     bridge_events, chain_labels, destination_chains, kpi, kpi_labels, load_bridge_events,
@@ -134,16 +134,8 @@ def _by_service(*measures: Callable[[], object]) -> Builder:
 
 def agg_median(spark, sf):
     """Exact median per service, each found by distributed selection (no value map in one task)."""
-    ev = events(spark, sf)
-    present = [r[0] for r in ev.select("service").distinct().collect()]  # bounded: a fixed tag set
-    rows = []
-    for s in present:
-        m = exact_median(ev.where(F.col("service") == s), "amount_usd")
-        rows.append(F.struct(F.lit(s).alias("service"), F.lit(m).cast("double").alias("median")))
-    # one row per service, built in the JVM (no Python worker round trip)
-    df = spark.range(1).select(F.inline(F.array(*rows))) if rows else \
-        spark.range(0).select(F.lit(None).cast("string").alias("service"), F.lit(None).cast("double").alias("median"))
-    return df.select("service", F.round("median").alias("median_bridged_volume"))
+    med = exact_median_by(events(spark, sf), "service", "amount_usd", persist=True)
+    return med.select("service", F.round("median").alias("median_bridged_volume"))
 
 
 def _ts(unit: str, *cols: str) -> Builder:

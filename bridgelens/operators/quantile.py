@@ -18,6 +18,7 @@ fills a third of the input ends the search at once.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +118,38 @@ def exact_median(df: DataFrame, column: str, *, accuracy: int = DEFAULT_ACCURACY
     lo, hi = (n - 1) // 2, n // 2
     a, b = _order_statistics(values, n, [lo, hi], accuracy, max_collect, tuple(seed["__q"]))
     return a + (b - a) * 0.5
+
+
+def exact_median_by(df: DataFrame, key: str, column: str, *, max_groups: int = 64,
+                    persist: bool = False, accuracy: int = DEFAULT_ACCURACY,
+                    max_collect: int = 100_000) -> DataFrame:
+    """Exact median of ``column`` per value of ``key`` for a small key set
+    (e.g. the service tag), as a DataFrame ``(key, median)``.
+
+    Each group runs the distributed selection above, so a group holding a
+    third of all rows never lands in one task.  The key set is fetched first
+    and checked against ``max_groups``; for many groups use
+    ``percentile_approx`` per group instead.  ``persist`` keeps a narrow
+    (key, value) copy for the few passes when the input is costly to rebuild.
+    """
+    narrow = df.select(key, F.col(column).cast("double").alias(column))
+    if persist:
+        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        keys = [r[0] for r in narrow.select(key).distinct().limit(max_groups + 1).collect()]
+        if len(keys) > max_groups:
+            raise ValueError(f"more than {max_groups} groups; use percentile_approx per group")
+        key_type = narrow.schema[key].dataType.simpleString()
+        rows = []
+        for k in keys:
+            part = narrow.where(F.col(key).isNull() if k is None else F.col(key) == k)
+            m = exact_median(part, column, accuracy=accuracy, max_collect=max_collect)
+            rows.append(F.struct(F.lit(k).cast(key_type).alias(key), F.lit(m).cast("double").alias("median")))
+    finally:
+        if persist:
+            narrow.unpersist()
+    spark = df.sparkSession
+    if not rows:
+        return spark.range(0).select(F.lit(None).cast(key_type).alias(key), F.lit(None).cast("double").alias("median"))
+    # one row per group, built in the JVM
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -106,9 +106,22 @@ def gmp_from(orders: DataFrame) -> DataFrame:
     )
 
 
+_BUILT: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Plans are immutable: build each fixture plan once per session (the
+    expression trees take hundreds of driver round trips to assemble)."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    df = _BUILT.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _BUILT[key] = build()
+    return df
+
+
 def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers_from(read_table(spark, sf_dir, "lineitem"))
+    return _memo(spark, sf_dir, "transfers", lambda: transfers_from(read_table(spark, sf_dir, "lineitem")))
 
 
 def fixture_gmp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gmp_from(read_table(spark, sf_dir, "orders"))
+    return _memo(spark, sf_dir, "gmp", lambda: gmp_from(read_table(spark, sf_dir, "orders")))

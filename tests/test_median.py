@@ -45,3 +45,18 @@ def test_hot_value_holds_a_third(spark):
 def test_two_heavy_values(spark):
     vals = [1.0] * 5000 + [2.0] * 5000
     assert exact_median(_df(spark, vals), "x", accuracy=50, max_collect=64) == 1.5
+
+
+def test_median_by_group_with_null_key(spark):
+    from bridgelens.operators.quantile import exact_median_by
+    rows = [("a", float(i)) for i in range(101)] + [("b", 5.0), ("b", 7.0), (None, 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.median for r in exact_median_by(df, "k", "x").collect()}
+    assert got == {"a": 50.0, "b": 6.0, None: 3.0, "c": None}
+
+
+def test_median_by_refuses_many_groups(spark):
+    from bridgelens.operators.quantile import exact_median_by
+    df = spark.range(100).selectExpr("id AS k", "double(id) AS x")
+    with pytest.raises(ValueError):
+        exact_median_by(df, "k", "x", max_groups=10)
