@@ -28,12 +28,13 @@ def si_label(x: Column) -> Column:
 
     Same result as the d3 format ``.2s``: the value is first rounded to two
     significant digits, the prefix is chosen from the rounded value, and the
-    mantissa keeps as many decimals as the two digits need.
+    mantissa keeps as many decimals as the two digits need.  Negative values
+    get d3's minus sign (U+2212).
     """
     ax = F.abs(x)
     e0 = F.floor(F.log10(ax))
     step = F.pow(F.lit(10.0), e0 - 1)
-    rounded = F.round(x / step) * step
+    rounded = F.round(ax / step) * step
     e = F.floor(F.log10(F.abs(rounded)))
     i = F.least(F.greatest(F.floor(e / 3), F.lit(-8)), F.lit(8))
     mant = rounded / F.pow(F.lit(10.0), i * 3)
@@ -42,7 +43,7 @@ def si_label(x: Column) -> Column:
         F.format_string("%.0f", mant)
     )
     prefix = F.element_at(F.array(*[F.lit(p) for p in SI_PREFIXES]), (i + 9).cast("int"))
-    body = F.concat(text, prefix)
+    body = F.concat(F.when(x < 0, F.lit("\u2212")).otherwise(F.lit("")), text, prefix)
     return F.when(x.isNull(), F.lit(None).cast("string")).when(x == 0, F.lit("0.0")).otherwise(body)
 
 

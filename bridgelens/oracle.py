@@ -184,13 +184,13 @@ def _count(x: str, unit: str | None = None) -> str:
 
 def _si(x: str) -> str:
     prefixes = "[" + ", ".join(f"'{p}'" for p in C.SI_PREFIXES) + "]"
-    r = f"(round({x} / pow(10.0, floor(log10(abs({x}))) - 1)) * pow(10.0, floor(log10(abs({x}))) - 1))"
+    r = f"(round(abs({x}) / pow(10.0, floor(log10(abs({x}))) - 1)) * pow(10.0, floor(log10(abs({x}))) - 1))"
     e = f"floor(log10(abs({r})))"
     i = f"least(greatest(floor({e} / 3), -8), 8)"
     mant = f"({r} / pow(10.0, {i} * 3))"
     text = f"(CASE WHEN {e} - {i} * 3 = 0 THEN printf('%.1f', {mant}) ELSE printf('%.0f', {mant}) END)"
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN '0.0' "
-            f"ELSE {text} || {prefixes}[CAST({i} AS INTEGER) + 9] END)")
+            f"ELSE (CASE WHEN {x} < 0 THEN '\u2212' ELSE '' END) || {text} || {prefixes}[CAST({i} AS INTEGER) + 9] END)")
 
 
 def _kind(path: str) -> str:

@@ -100,7 +100,7 @@ def kpi_labels(kpi_row: DataFrame) -> DataFrame:
 
 
 def time_series(events: DataFrame, start: DateLike = None, end: DateLike = None,
-                unit: str = "month") -> DataFrame:
+                unit: str = "month", *, approx_distinct: bool = False) -> DataFrame:
     """Per bucket (ascending): distinct bridges and bridgers, rounded volume,
     running totals of both, bridges per user and the unrounded mean volume.
 
@@ -111,8 +111,8 @@ def time_series(events: DataFrame, start: DateLike = None, end: DateLike = None,
     u = check_unit(unit)
     ev = in_date_range(events, start, end)
     per_bucket = ev.groupBy(bucket(event_day(ev), u).alias("date")).agg(
-        F.count_distinct("id").alias("number_of_bridges"),
-        F.count_distinct("user").alias("number_of_bridgers"),
+        M.distinct_ids(approx_distinct).alias("number_of_bridges"),
+        M.distinct_users(approx_distinct).alias("number_of_bridgers"),
         F.round(F.sum("amount_usd")).alias("bridged_volume"),
         F.avg("amount_usd").alias("avg_bridged_volume"),
     )
@@ -128,7 +128,8 @@ def time_series(events: DataFrame, start: DateLike = None, end: DateLike = None,
     ).orderBy("date")
 
 
-def chain_report(events: DataFrame, chain: str, start: DateLike = None, end: DateLike = None) -> DataFrame:
+def chain_report(events: DataFrame, chain: str, start: DateLike = None, end: DateLike = None, *,
+                 approx_distinct: bool = False) -> DataFrame:
     """Per chain: distinct transfers and users, rounded USD volume; by count desc.
 
     A NULL chain is a group of its own.
@@ -137,16 +138,16 @@ def chain_report(events: DataFrame, chain: str, start: DateLike = None, end: Dat
         raise ValueError("chain must be 'source_chain' or 'destination_chain'")
     ev = in_date_range(events, start, end)
     return ev.groupBy(chain).agg(
-        M.distinct_ids(), M.distinct_users(), M.volume("volume_usd")
+        M.distinct_ids(approx_distinct), M.distinct_users(approx_distinct), M.volume("volume_usd")
     ).orderBy(F.desc("number_of_transfers"), F.asc_nulls_first(chain))
 
 
-def source_chains(events: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    return chain_report(events, "source_chain", start, end)
+def source_chains(events: DataFrame, start: DateLike = None, end: DateLike = None, **kw) -> DataFrame:
+    return chain_report(events, "source_chain", start, end, **kw)
 
 
-def destination_chains(events: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    return chain_report(events, "destination_chain", start, end)
+def destination_chains(events: DataFrame, start: DateLike = None, end: DateLike = None, **kw) -> DataFrame:
+    return chain_report(events, "destination_chain", start, end, **kw)
 
 
 def top_chains(report: DataFrame, by: str = "volume", k: int = 10) -> DataFrame:

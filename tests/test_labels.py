@@ -6,7 +6,7 @@ from bridgelens.functions.labels import count_label, si_label, usd_label
 SI = [
     (32325072166.0, "32G"), (1234.0, "1.2k"), (999.5, "1.0k"), (0.0, "0.0"), (12.0, "12"),
     (0.5, "500m"), (120000.0, "120k"), (1.0, "1.0"), (999.0, "1.0k"), (45.0, "45"), (None, None),
-    (1.5e9, "1.5G"), (0.0012, "1.2m"),
+    (1.5e9, "1.5G"), (0.0012, "1.2m"), (-1234.0, "\u22121.2k"), (-32.0, "\u221232"),
 ]
 
 
