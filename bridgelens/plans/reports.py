@@ -21,9 +21,10 @@ from bridgelens.operators.quantile import exact_median
 from bridgelens.operators.topk import top_k
 from bridgelens.operators.windows import running_sum
 
-KPI_ROW_SCHEMA = (
-    "number_of_transfers bigint, number_of_users bigint, volume_of_transfers double, "
-    "maximum_bridged_volume double, average_bridged_volume double, median_bridged_volume double"
+# Types of the KPI measures other than the median, in aggregate order.
+_KPI_TYPES = (
+    ("number_of_transfers", "bigint"), ("number_of_users", "bigint"), ("volume_of_transfers", "double"),
+    ("maximum_bridged_volume", "double"), ("average_bridged_volume", "double"),
 )
 KPI_COLUMNS = (
     "number_of_transfers", "number_of_users", "volume_of_transfers",
@@ -77,13 +78,11 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
             row = narrow.agg(*aggs).first()
         finally:
             narrow.unpersist()
-        vals = [*row, med]
-        types = [f.split()[1] for f in KPI_ROW_SCHEMA.split(", ")]
-        names = [f.split()[0] for f in KPI_ROW_SCHEMA.split(", ")]
         # a one-row frame built in the JVM (no Python worker round trip)
         out = ev.sparkSession.range(1).select(
-            *[F.lit(v).cast(t).alias(n) for v, t, n in zip(vals, types, names)]
-        ).withColumn("median_bridged_volume", F.round("median_bridged_volume"))
+            *[F.lit(row[n]).cast(t).alias(n) for n, t in _KPI_TYPES],
+            F.round(F.lit(med).cast("double")).alias("median_bridged_volume"),
+        )
     return out.select(*KPI_COLUMNS)
 
 
