@@ -1,127 +1,120 @@
 """Exact median without gathering the values in one place.
 
 ``percentile``/``median`` keep a value->count map per group and merge all maps
-of a global aggregate in a single task, which does not survive billions of
-distinct amounts.  Here the exact order statistics are found by narrowing:
-
-1. one aggregate returns the row count and a bracket of approximate quantiles
-   (GK sketch, bounded memory) around the wanted ranks;
-2. one aggregate counts exactly how many values fall below and inside it;
-3. if the wanted ranks are inside, keep only the bracket and repeat, else
-   widen.  Each round keeps about ``4 / accuracy`` of the candidates, and the
-   range predicate reaches the Parquet scan, so later rounds skip row groups.
-
-Only when the remaining candidates are at most ``max_collect`` values are they
-fetched to the driver and sorted.  Ties are handled by counts, so a value that
-fills a third of the input ends the search at once.
+of a global aggregate in a single task; a GK sketch (``percentile_approx``)
+also funnels one summary per map task into one final task.  Neither survives
+hundreds of thousands of tasks.  Here exact order statistics are found by
+histogram refinement built only from ``groupBy``/``count``:
+
+1. one aggregate returns count, min and max (partials are three numbers);
+2. each round buckets the remaining candidates into ``buckets`` ranges of a
+   monotone, log-scaled value space and returns (count, min, max) per bucket:
+   at most ``buckets`` rows, and the shuffle is keyed by bucket, so no task
+   merges more than its share;
+3. cumulative counts locate every wanted rank: a rank on a bucket edge is that
+   bucket's min or max, a bucket whose min equals its max answers all its
+   ranks (a value holding a third of the rows ends the search at once), and
+   otherwise the search narrows to that bucket's [min, max], a range predicate
+   that reaches the Parquet scan.
+
+Only when at most ``max_collect`` candidates remain are they fetched and
+sorted; the first round always narrows first, so the input is never fetched
+whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _X = "__x"
+DEFAULT_BUCKETS = 1024
 
 
-def _order_statistics(
-    values: DataFrame,
-    n: int,
-    ranks: list[int],
-    accuracy: int,
-    max_collect: int,
-    bracket: tuple[float, float] | None = None,
-) -> list[float]:
-    """Exact ``ranks`` (0-based, ascending) of the non-null column ``__x``.
-
-    ``bracket`` is an optional first pair of approximate bounds (saves a pass).
-    The full input is never collected: at least one narrowing round runs first.
-    Each round also counts the rows equal to either bound, so ranks that land
-    on a bound are answered at once and the search goes on strictly between
-    the bounds; as the sketch returns values present in the data, every round
-    removes at least one value.
-    """
+def _scaled(x):
+    """Monotone map that spreads heavy-tailed amounts evenly: sign(x)*log1p(|x|)."""
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks: list[int],
+                      buckets: int, max_collect: int) -> list[float]:
+    """Exact ``ranks`` (0-based, ascending) of the non-null column ``__x``,
+    whose count, min and max are ``n``, ``lo_v`` and ``hi_v``."""
     x = F.col(_X)
     found: dict[int, float] = {}
-    cand, offset, size = values, 0, n
-    margin = 2.0
-    for round_no in range(200):
-        todo = [k for k in ranks if k not in found]
-        if not todo:
-            break
-        if round_no > 0 and size <= max_collect:
+    # pending searches: (candidates, rank offset, size, min, max, ranks inside)
+    work = [(values, 0, n, lo_v, hi_v, sorted(set(ranks)))]
+    rounds = 0
+    while work:
+        cand, offset, size, lo, hi, want = work.pop()
+        if lo == hi:
+            found.update({k: float(lo) for k in want})
+            continue
+        if rounds > 0 and size <= max_collect:
             got = sorted(r[0] for r in cand.collect())
-            for k in todo:
-                found[k] = got[k - offset]
-            break
-        lo_rank, hi_rank = min(todo), max(todo)
-        if bracket is not None:
-            lo_v, hi_v = bracket
-            bracket = None
-        else:
-            q_lo = max(0.0, (lo_rank - offset) / size - margin / accuracy)
-            q_hi = min(1.0, (hi_rank - offset + 1) / size + margin / accuracy)
-            lo_v, hi_v = cand.agg(F.percentile_approx(_X, [q_lo, q_hi], accuracy).alias("q")).first()["q"]
-        row = cand.agg(
-            F.count(F.when(x < lo_v, 1)).alias("below"),
-            F.count(F.when((x >= lo_v) & (x <= hi_v), 1)).alias("inside"),
-            F.count(F.when(x == lo_v, 1)).alias("eq_lo"),
-            F.count(F.when(x == hi_v, 1)).alias("eq_hi"),
-        ).first()
-        start = offset + row["below"]
-        stop = start + row["inside"]
-        if not (start <= lo_rank and hi_rank < stop):
-            margin *= 4
+            found.update({k: got[k - offset] for k in want})
             continue
-        for k in todo:
-            if k < start + row["eq_lo"]:
-                found[k] = float(lo_v)
-            elif k >= stop - row["eq_hi"]:
-                found[k] = float(hi_v)
-        cand = cand.where((x > lo_v) & (x < hi_v))
-        offset = start + row["eq_lo"]
-        size = row["inside"] - row["eq_lo"] - (row["eq_hi"] if hi_v != lo_v else 0)
-    else:
-        raise RuntimeError("exact median did not converge")
+        rounds += 1
+        if rounds > 400:
+            raise RuntimeError("exact median did not converge")
+        f_lo, f_hi = math.copysign(math.log1p(abs(lo)), lo), math.copysign(math.log1p(abs(hi)), hi)
+        idx = F.floor((_scaled(x) - F.lit(f_lo)) / F.lit(f_hi - f_lo) * buckets).cast("int") \
+            if f_hi > f_lo else F.lit(0)
+        idx = F.least(F.greatest(idx, F.lit(0)), F.lit(buckets - 1))
+        hist = sorted(
+            (r["b"], r["c"], r["mn"], r["mx"])
+            for r in cand.groupBy(idx.alias("b")).agg(
+                F.count(F.lit(1)).alias("c"), F.min(_X).alias("mn"), F.max(_X).alias("mx")).collect())
+        if len(hist) == 1 and hist[0][2] == lo and hist[0][3] == hi:
+            # the scaled map cannot separate these values any more: split by value instead
+            mid = lo + (hi - lo) * 0.5 if math.isfinite(hi - lo) else lo * 0.5 + hi * 0.5
+            below = cand.where(x <= mid)
+            r = below.agg(F.count(F.lit(1)).alias("c"), F.max(_X).alias("mx")).first()
+            above = cand.where(x > mid).agg(F.min(_X).alias("mn")).first()["mn"]
+            hist = [(0, r["c"], lo, r["mx"]), (1, size - r["c"], above, hi)]
+            ranges = [(x <= mid), (x > mid)]
+        else:
+            ranges = None
+        start = offset
+        for pos, (b, c, mn, mx) in enumerate(hist):
+            inside = [k for k in want if start <= k < start + c]
+            rest = []
+            for k in inside:
+                if k == start:
+                    found[k] = float(mn)
+                elif k == start + c - 1:
+                    found[k] = float(mx)
+                else:
+                    rest.append(k)
+            if rest:
+                cond = ranges[pos] if ranges else (x >= mn) & (x <= mx)
+                work.append((cand.where(cond), start, c, mn, mx, rest))
+            start += c
     return [found[k] for k in ranks]
 
 
-DEFAULT_ACCURACY = 10_000
-
-
-def median_seed(column: str, accuracy: int = DEFAULT_ACCURACY) -> list:
-    """Aggregate columns (``__n``, ``__q``) that start the search; add them to
-    another aggregate over the same rows to save the first pass."""
-    d = 2.0 / accuracy
-    return [
-        F.count(F.col(column)).alias("__n"),
-        F.percentile_approx(F.col(column).cast("double"), [max(0.0, 0.5 - d), min(1.0, 0.5 + d)],
-                            accuracy).alias("__q"),
-    ]
-
-
-def exact_median(df: DataFrame, column: str, *, accuracy: int = DEFAULT_ACCURACY,
-                 max_collect: int = 100_000, seed=None):
+def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
+                 max_collect: int = 100_000):
     """Interpolated median (``percentile_cont(0.5)``) of ``column``; None if no value.
 
     Matches Spark ``median`` and DuckDB ``median``: for an even count the
-    result is ``a + (b - a) * 0.5`` of the two middle values.  ``seed`` is a
-    row holding the ``median_seed`` columns, if already computed.
+    result is ``a + (b - a) * 0.5`` of the two middle values.
     """
     values = df.select(F.col(column).cast("double").alias(_X)).where(F.col(_X).isNotNull())
-    if seed is None:
-        seed = values.agg(*median_seed(_X, accuracy)).first()
-    n = seed["__n"]
+    first = values.agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi")).first()
+    n = first["n"]
     if not n:
         return None
     lo, hi = (n - 1) // 2, n // 2
-    a, b = _order_statistics(values, n, [lo, hi], accuracy, max_collect, tuple(seed["__q"]))
+    a, b = _order_statistics(values, n, first["lo"], first["hi"], [lo, hi], buckets, max_collect)
     return a + (b - a) * 0.5
 
 
 def exact_median_by(df: DataFrame, key: str, column: str, *, max_groups: int = 64,
-                    persist: bool = False, accuracy: int = DEFAULT_ACCURACY,
+                    persist: bool = False, buckets: int = DEFAULT_BUCKETS,
                     max_collect: int = 100_000) -> DataFrame:
     """Exact median of ``column`` per value of ``key`` for a small key set
     (e.g. the service tag), as a DataFrame ``(key, median)``.
@@ -143,7 +136,7 @@ def exact_median_by(df: DataFrame, key: str, column: str, *, max_groups: int = 6
         rows = []
         for k in keys:
             part = narrow.where(F.col(key).isNull() if k is None else F.col(key) == k)
-            m = exact_median(part, column, accuracy=accuracy, max_collect=max_collect)
+            m = exact_median(part, column, buckets=buckets, max_collect=max_collect)
             rows.append(F.struct(F.lit(k).cast(key_type).alias(key), F.lit(m).cast("double").alias("median")))
     finally:
         if persist:

@@ -40,12 +40,12 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     (``percentile_approx``, one bounded sketch pass) or 'spark' (built-in
     ``median``, whose value map is merged in one task; small inputs only).
 
-    With the exact median, the median is found first (a count + sketch
-    pass, then one or two filtered passes over the amount column) and joins
-    the row as a constant; the other measures stay one lazy aggregate.  The
-    sketch is kept out of that aggregate on purpose: next to the two distinct
-    counts, Spark's Expand rewrite would give every (id, user) group its own
-    sketch buffer.
+    With the exact median, the median is found first (a count/min/max pass,
+    then a few histogram passes over the amount column, see
+    ``operators.quantile``) and joins the row as a constant; the other
+    measures stay one lazy aggregate.  Any median aggregate is kept out of
+    that aggregate on purpose: next to the two distinct counts, Spark's Expand
+    rewrite would give every (id, user) group its own buffer.
 
     On input that is not the saved relation (raw facts, JSON parsed in-plan)
     the three needed columns are persisted (memory and disk) for the few

@@ -31,20 +31,31 @@ def test_random_with_forced_rounds(spark, seed):
     rng = np.random.default_rng(seed)
     n = 20_000 + seed
     vals = list(np.round(rng.lognormal(10, 2, n), 2))
-    # small sketch accuracy and collect limit force several narrowing rounds
-    got = exact_median(_df(spark, vals), "x", accuracy=50, max_collect=64)
+    # few buckets and a small collect limit force several narrowing rounds
+    got = exact_median(_df(spark, vals), "x", buckets=8, max_collect=64)
     assert got == _brute(vals)
 
 
 def test_hot_value_holds_a_third(spark):
     rng = np.random.default_rng(7)
     vals = [42.0] * 7000 + list(rng.normal(0, 100, 14000))
-    assert exact_median(_df(spark, vals), "x", accuracy=50, max_collect=64) == _brute(vals)
+    assert exact_median(_df(spark, vals), "x", buckets=8, max_collect=64) == _brute(vals)
 
 
 def test_two_heavy_values(spark):
     vals = [1.0] * 5000 + [2.0] * 5000
-    assert exact_median(_df(spark, vals), "x", accuracy=50, max_collect=64) == 1.5
+    assert exact_median(_df(spark, vals), "x", buckets=8, max_collect=64) == 1.5
+
+
+def test_values_the_log_scale_cannot_separate(spark):
+    base = 1e15
+    vals = [base + i for i in range(300)] + [base + 2 ** 20] * 100
+    assert exact_median(_df(spark, vals), "x", buckets=4, max_collect=16) == _brute(vals)
+
+
+def test_extreme_magnitudes(spark):
+    vals = [-1e300, -5.0, 0.0, 0.0, 1e-300, 3.0, 1e300] * 40
+    assert exact_median(_df(spark, vals), "x", buckets=4, max_collect=16) == _brute(vals)
 
 
 def test_median_by_group_with_null_key(spark):
