@@ -36,8 +36,7 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
         median: str = "exact", approx_distinct: bool = False) -> DataFrame:
     """Headline figures, always one row.
 
-    ``median``: 'exact' (distributed selection, default), 'approx'
-    (``percentile_approx``, one bounded sketch pass) or 'spark' (built-in
+    ``median``: 'exact' (distributed selection, default) or 'spark' (built-in
     ``median``, whose value map is merged in one task; small inputs only).
 
     With the exact median, the median is found first (a count/min/max pass,
@@ -61,14 +60,10 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
         M.max_volume(),
         M.avg_volume(),
     ]
-    if median == "approx":
-        # own aggregate: beside the distinct counts every (id, user) group would get a sketch
-        med = ev.agg(F.percentile_approx("amount_usd", 0.5).cast("double")).first()[0]
-        out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))
-    elif median == "spark":
+    if median == "spark":
         out = ev.agg(*aggs, F.round(F.median("amount_usd")).alias("median_bridged_volume"))
     elif median != "exact":
-        raise ValueError("median must be 'exact', 'approx' or 'spark'")
+        raise ValueError("median must be 'exact' or 'spark'")
     elif EVENT_MONTH in events.columns:
         med = exact_median(ev, "amount_usd")
         out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))

@@ -33,7 +33,7 @@ def test_date_filter_reaches_both_scans(events):
 
 
 def test_saved_reports_parse_no_json(saved):
-    plan = _plan(kpi(saved, "1996-03-01", "1999-08-31", median="approx"))
+    plan = _plan(kpi(saved, "1996-03-01", "1999-08-31"))
     assert "parseJson" not in plan and "variant_get" not in plan
 
 
