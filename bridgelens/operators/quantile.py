@@ -71,6 +71,8 @@ def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks
         if len(hist) == 1 and hist[0][2] == lo and hist[0][3] == hi:
             # the scaled map cannot separate these values any more: split by value instead
             mid = lo + (hi - lo) * 0.5 if math.isfinite(hi - lo) else lo * 0.5 + hi * 0.5
+            if not lo <= mid < hi:  # adjacent doubles: split off the smallest value
+                mid = lo
             below = cand.where(x <= mid)
             r = below.agg(F.count(F.lit(1)).alias("c"), F.max(_X).alias("mx")).first()
             above = cand.where(x > mid).agg(F.min(_X).alias("mn")).first()["mn"]

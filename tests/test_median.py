@@ -71,3 +71,11 @@ def test_median_by_refuses_many_groups(spark):
     df = spark.range(100).selectExpr("id AS k", "double(id) AS x")
     with pytest.raises(ValueError):
         exact_median_by(df, "k", "x", max_groups=10)
+
+
+def test_adjacent_doubles(spark):
+    import math
+    a = 1e15
+    b = math.nextafter(a, math.inf)
+    vals = [a] * 30 + [b] * 31
+    assert exact_median(_df(spark, vals), "x", buckets=4, max_collect=8) == _brute(vals)
