@@ -8,13 +8,13 @@ Typical use::
 """
 
 from bridgelens.plans import (
-    bridge_events, chain_labels, chain_report, destination_chains, kpi, kpi_labels,
-    load_bridge_events, refresh, save_bridge_events, source_chains, time_series, top_chains,
+    bridge_events, chain_labels, chain_report, destination_chains, ingest, kpi, kpi_labels,
+    load_bridge_events, page, refresh, save_bridge_events, source_chains, time_series, top_chains,
     write_report,
 )
 
 __all__ = [
-    "bridge_events", "chain_labels", "chain_report", "destination_chains", "kpi", "kpi_labels",
-    "load_bridge_events", "refresh", "save_bridge_events", "source_chains", "time_series", "top_chains",
+    "bridge_events", "chain_labels", "chain_report", "destination_chains", "ingest", "kpi", "kpi_labels",
+    "load_bridge_events", "page", "refresh", "save_bridge_events", "source_chains", "time_series", "top_chains",
     "write_report",
 ]

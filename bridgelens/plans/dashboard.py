@@ -18,6 +18,28 @@ from bridgelens.plans.ingest import load_bridge_events, save_bridge_events
 from bridgelens.plans.reports import destination_chains, kpi, source_chains, time_series, top_chains
 
 
+def page(events: DataFrame, start: DateLike = C.DEFAULT_START, end: DateLike = C.DEFAULT_END,
+         unit: str = C.DEFAULT_UNIT) -> dict[str, DataFrame]:
+    """Frames of one page over an existing event relation, keyed 'kpi',
+    'time_series', 'source_chain', 'destination_chain' and the four 'top10_*'
+    lists.  All reports share the day range, as on the page.  Only the exact
+    median runs eagerly; every other frame is lazy until collected or written.
+    """
+    check_range(start, end)
+    src = source_chains(events, start, end)
+    dst = destination_chains(events, start, end)
+    return {
+        "kpi": kpi(events, start, end),
+        "time_series": time_series(events, start, end, unit),
+        "source_chain": src,
+        "destination_chain": dst,
+        "top10_source_volume": top_chains(src, "volume"),
+        "top10_source_count": top_chains(src, "count"),
+        "top10_destination_volume": top_chains(dst, "volume"),
+        "top10_destination_count": top_chains(dst, "count"),
+    }
+
+
 def refresh(
     transfers: DataFrame,
     gmp: DataFrame,
@@ -29,26 +51,10 @@ def refresh(
     save: bool = True,
     path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Frames of one page refresh, keyed 'kpi', 'time_series', 'source_chain',
-    'destination_chain' and the four 'top10_*' lists.
-
-    All reports share the day range, as on the page (the chain reports filter
-    by the same dates).  Only the exact median runs eagerly; every other frame
-    is lazy until the caller collects or writes it.
-    """
+    """One page refresh from the fact tables: build the relation once (saved
+    by month unless ``save=False``), then every report of ``page`` reads it."""
     check_range(start, end)
     ev = bridge_events(transfers, gmp, routers)
     if save:
         ev = load_bridge_events(ev.sparkSession, save_bridge_events(ev, path))
-    src = source_chains(ev, start, end)
-    dst = destination_chains(ev, start, end)
-    return {
-        "kpi": kpi(ev, start, end),
-        "time_series": time_series(ev, start, end, unit),
-        "source_chain": src,
-        "destination_chain": dst,
-        "top10_source_volume": top_chains(src, "volume"),
-        "top10_source_count": top_chains(src, "count"),
-        "top10_destination_volume": top_chains(dst, "volume"),
-        "top10_destination_count": top_chains(dst, "count"),
-    }
+    return page(ev, start, end, unit)

@@ -11,10 +11,16 @@ consumer shares.
 
 from __future__ import annotations
 
+import calendar
+from datetime import date
+from typing import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.config import EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH
+from bridgelens.config import DEFAULT_ROUTERS, EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH
+from bridgelens.operators.filters import DateLike, check_range
+from bridgelens.plans.events import bridge_events
 from bridgelens.session import scratch_path
 
 
@@ -33,7 +39,9 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     sorts inside each task, which suits facts that arrive in time order.
 
     Re-running a range replaces only the months it covers (dynamic partition
-    overwrite); task retries are safe under Spark's commit protocol.
+    overwrite), so every month present in ``events`` must be complete; use
+    ``ingest`` to rebuild a date range safely.  Task retries are safe under
+    Spark's commit protocol.
     """
     spark = events.sparkSession
     path = path or scratch_path(spark, "bridge_events")
@@ -50,6 +58,30 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     return path
 
 
+def month_bounds(start: DateLike, end: DateLike) -> tuple[date | None, date | None]:
+    """Widen [start, end] to whole months (open sides stay open)."""
+    s, e = check_range(start, end)
+    if s is not None:
+        s = s.replace(day=1)
+    if e is not None:
+        e = e.replace(day=calendar.monthrange(e.year, e.month)[1])
+    return s, e
+
+
+def ingest(transfers: DataFrame, gmp: DataFrame, path: str, start: DateLike = None, end: DateLike = None,
+           routers: Iterable[str] = DEFAULT_ROUTERS, **kw) -> str:
+    """Build ``bridge_events`` for the months touching [start, end] and
+    replace exactly those months under ``path`` (all months when open).
+
+    The range is widened to whole months first, because the saved relation is
+    overwritten a month at a time: a day range alone would drop the other days
+    of its months.  Only the facts of those months are read (the range reaches
+    both scans).
+    """
+    s, e = month_bounds(start, end)
+    return save_bridge_events(bridge_events(transfers, gmp, routers, s, e), path, **kw)
+
+
 def load_bridge_events(spark: SparkSession, path: str) -> DataFrame:
     """The saved relation with ``event_date`` and ``event_month``, so day
     filters prune partitions and row groups."""

@@ -59,3 +59,36 @@ def test_hot_month_is_split_across_writers(spark):
     hot = glob.glob(f"{path}/event_month=2024-01-01/*.parquet")
     assert len(hot) > 1
     assert load_bridge_events(spark, path).where(F.col("event_month") == "2024-01-01").count() == 10_000
+
+
+def test_ingest_widens_a_day_range_to_whole_months(spark):
+    from bridgelens import ingest
+
+    t, g = fixture_transfers(spark, SF), fixture_gmp(spark, SF)
+    path = scratch_path(spark, "ingest-range")
+    ingest(t, g, path, routers=TEST_ROUTERS)
+    full = load_bridge_events(spark, path)
+    march = full.where(F.col("event_month") == F.lit("1996-03-01").cast("date")).count()
+    total = full.count()
+    # re-ingest one day: its whole month is rebuilt, nothing is lost
+    ingest(t, g, path, "1996-03-15", "1996-03-15", routers=TEST_ROUTERS)
+    again = load_bridge_events(spark, path)
+    assert again.where(F.col("event_month") == F.lit("1996-03-01").cast("date")).count() == march
+    assert again.count() == total
+
+
+def test_cli_ingest_and_report(spark):
+    from bridgelens.__main__ import main
+
+    t, g = fixture_transfers(spark, SF), fixture_gmp(spark, SF)
+    tp, gp = scratch_path(spark, "cli-t"), scratch_path(spark, "cli-g")
+    t.write.parquet(tp)
+    g.write.parquet(gp)
+    ev_path, out = scratch_path(spark, "cli-ev"), scratch_path(spark, "cli-out")
+    routers = ",".join(TEST_ROUTERS)
+    assert main(["ingest", "--transfers", tp, "--gmp", gp, "--out", ev_path, "--routers", routers], spark) == 0
+    assert main(["report", "--events", ev_path, "--out", out, "--start", "1996-03-01", "--end", "1999-08-31",
+                 "--unit", "week"], spark) == 0
+    kpi_row = spark.read.parquet(f"{out}/kpi").collect()
+    assert len(kpi_row) == 1 and kpi_row[0].number_of_transfers > 0
+    assert spark.read.parquet(f"{out}/top10_source_volume").count() == 10
