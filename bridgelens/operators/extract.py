@@ -73,12 +73,18 @@ def gmp_events(
     """
     g = in_date_range(gmp, start, end).where(completed())
     g = with_variant(g.select("created_at", "id", "data"))
-    g = g.where(router_match(gmp_contract(F.col("data")), routers))
-    g = _texts(g, ["created_at", "id"], {
+    paths = {
         "_src": C.G_SOURCE_CHAIN, "_dst": C.G_DESTINATION_CHAIN, "_user": C.G_USER,
         "_amount": C.G_AMOUNT, "_value": C.G_VALUE, "_gas": C.G_GAS_USED, "_gas_usd": C.G_GAS_USD,
         "_express": C.G_EXPRESS_FEE, "_symbol": C.G_SYMBOL,
-    })
+    }
+    # The router test reads the parsed document, so a Filter here would be
+    # pushed below the parse by Catalyst and every passing document parsed
+    # twice.  Testing and extracting in one generator keeps a single parse:
+    # a row that fails yields no output row.
+    fields = F.array(F.struct(*[json_text("data", p).alias(n) for n, p in paths.items()]))
+    matched = router_match(gmp_contract(F.col("data")), routers)
+    g = g.select("created_at", "id", F.inline(F.when(matched, fields)))
     src, dst = F.col("_src"), F.col("_dst")
     if normalize_chains:
         src, dst = F.lower(src), F.lower(dst)
