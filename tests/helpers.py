@@ -26,7 +26,7 @@ def transfer(id, when, user="u1", amount=1, price=100, fee=1, src="Eth", dst="Ar
 
 
 def gmp(id, when, user="g1", value=100, amount=1, gas=2, gas_usd=3, express=None, src="Ethereum",
-        dst="arbitrum", contract=R1, status="executed", simplified="received", symbol="AXL"):
+        dst="arbitrum", contract=R1, status="executed", simplified="received", symbol="TKN"):
     data = {"call": {"chain": src, "returnValues": {"destinationChain": dst}, "transaction": {"from": user}},
             "amount": amount, "value": value, "symbol": symbol, "gas": {"gas_used_amount": gas},
             "gas_price_rate": {"source_token": {"token_price": {"usd": gas_usd}}},

@@ -33,7 +33,7 @@ def test_columns_and_branch_semantics(spark):
     # fee: token units for transfers; gas x usd, else express fee, for GMP
     assert tr["fee"] == 7.0 and gm["fee"] == 10.0
     assert (tr["service"], gm["service"]) == ("Token Transfers", "GMP")
-    assert (tr["raw_asset"], gm["raw_asset"]) == ("usdc", "AXL")
+    assert (tr["raw_asset"], gm["raw_asset"]) == ("usdc", "TKN")
 
 
 def test_fee_falls_back_to_express(spark):
