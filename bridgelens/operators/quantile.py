@@ -98,20 +98,30 @@ def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks
     return [found[k] for k in ranks]
 
 
+def median_stats(column: str) -> list:
+    """Aggregate columns (``__n``, ``__lo``, ``__hi``) that start the search;
+    fixed-size buffers, so they can join any other aggregate over the rows."""
+    x = F.col(column).cast("double")
+    return [F.count(x).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")]
+
+
 def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
-                 max_collect: int = 100_000):
+                 max_collect: int = 100_000, stats=None):
     """Interpolated median (``percentile_cont(0.5)``) of ``column``; None if no value.
 
     Matches Spark ``median`` and DuckDB ``median``: for an even count the
-    result is ``a + (b - a) * 0.5`` of the two middle values.
+    result is ``a + (b - a) * 0.5`` of the two middle values.  ``stats`` is a
+    row holding the ``median_stats`` columns when another aggregate already
+    computed them (saves the first pass).
     """
     values = df.select(F.col(column).cast("double").alias(_X)).where(F.col(_X).isNotNull())
-    first = values.agg(F.count(F.lit(1)).alias("n"), F.min(_X).alias("lo"), F.max(_X).alias("hi")).first()
-    n = first["n"]
+    if stats is None:
+        stats = values.agg(*median_stats(_X)).first()
+    n = stats["__n"]
     if not n:
         return None
     lo, hi = (n - 1) // 2, n // 2
-    a, b = _order_statistics(values, n, first["lo"], first["hi"], [lo, hi], buckets, max_collect)
+    a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets, max_collect)
     return a + (b - a) * 0.5
 
 

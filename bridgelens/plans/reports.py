@@ -17,7 +17,7 @@ from bridgelens.functions.labels import count_label, si_label, usd_label
 from bridgelens.operators import measures as M
 from bridgelens.operators.buckets import bucket, check_unit
 from bridgelens.operators.filters import DateLike, event_day, in_date_range
-from bridgelens.operators.quantile import exact_median
+from bridgelens.operators.quantile import exact_median, median_stats
 from bridgelens.operators.topk import top_k
 from bridgelens.operators.windows import running_sum
 
@@ -32,6 +32,17 @@ KPI_COLUMNS = (
 )
 
 
+def kpi_measures(approx_distinct: bool = False) -> list:
+    """The KPI aggregates other than the median."""
+    return [
+        M.distinct_ids(approx_distinct),
+        M.distinct_users(approx_distinct),
+        M.volume("volume_of_transfers"),
+        M.max_volume(),
+        M.avg_volume(),
+    ]
+
+
 def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
         median: str = "exact", approx_distinct: bool = False) -> DataFrame:
     """Headline figures, always one row.
@@ -39,47 +50,38 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     ``median``: 'exact' (distributed selection, default) or 'spark' (built-in
     ``median``, whose value map is merged in one task; small inputs only).
 
-    With the exact median, the median is found first (a count/min/max pass,
-    then a few histogram passes over the amount column, see
-    ``operators.quantile``) and joins the row as a constant; the other
-    measures stay one lazy aggregate.  Any median aggregate is kept out of
-    that aggregate on purpose: next to the two distinct counts, Spark's Expand
-    rewrite would give every (id, user) group its own buffer.
-
-    On input that is not the saved relation (raw facts, JSON parsed in-plan)
-    the three needed columns are persisted (memory and disk) for the few
-    passes, so each document is parsed once; the row is then computed
-    eagerly and the cache released.  Lost cached blocks are recomputed from
-    lineage.
+    The exact mode is computed eagerly: one aggregate returns every measure
+    plus the count/min/max that start the median search (fixed-size buffers;
+    a median or sketch aggregate is kept out of it on purpose, as next to the
+    two distinct counts Spark's Expand rewrite would give every (id, user)
+    group its own buffer), then a few histogram passes over the amount column
+    finish the median (see ``operators.quantile``).  On input that is not the
+    saved relation (raw facts, JSON parsed in-plan) the three needed columns
+    are persisted (memory and disk) for those passes, so each document is
+    parsed once; lost cached blocks are recomputed from lineage.
     """
     ev = in_date_range(events, start, end)
-    aggs = [
-        M.distinct_ids(approx_distinct),
-        M.distinct_users(approx_distinct),
-        M.volume("volume_of_transfers"),
-        M.max_volume(),
-        M.avg_volume(),
-    ]
+    aggs = kpi_measures(approx_distinct)
     if median == "spark":
         out = ev.agg(*aggs, F.round(F.median("amount_usd")).alias("median_bridged_volume"))
-    elif median != "exact":
+        return out.select(*KPI_COLUMNS)
+    if median != "exact":
         raise ValueError("median must be 'exact' or 'spark'")
-    elif EVENT_MONTH in events.columns:
-        med = exact_median(ev, "amount_usd")
-        out = ev.agg(*aggs).withColumn("median_bridged_volume", F.round(F.lit(med).cast("double")))
-    else:
-        narrow = ev.select("id", "user", "amount_usd").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            med = exact_median(narrow, "amount_usd")
-            row = narrow.agg(*aggs).first()
-        finally:
+    reuse = EVENT_MONTH not in events.columns
+    narrow = ev.select("id", "user", "amount_usd")
+    if reuse:
+        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = narrow.agg(*aggs, *median_stats("amount_usd")).first()
+        med = exact_median(narrow, "amount_usd", stats=row)
+    finally:
+        if reuse:
             narrow.unpersist()
-        # a one-row frame built in the JVM (no Python worker round trip)
-        out = ev.sparkSession.range(1).select(
-            *[F.lit(row[n]).cast(t).alias(n) for n, t in _KPI_TYPES],
-            F.round(F.lit(med).cast("double")).alias("median_bridged_volume"),
-        )
-    return out.select(*KPI_COLUMNS)
+    # a one-row frame built in the JVM (no Python worker round trip)
+    return ev.sparkSession.range(1).select(
+        *[F.lit(row[n]).cast(t).alias(n) for n, t in _KPI_TYPES],
+        F.round(F.lit(med).cast("double")).alias("median_bridged_volume"),
+    ).select(*KPI_COLUMNS)
 
 
 def kpi_labels(kpi_row: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from bridgelens import bridge_events, kpi, load_bridge_events, save_bridge_events, source_chains, top_chains
+from bridgelens import bridge_events, load_bridge_events, save_bridge_events, source_chains, time_series, top_chains
 from bridgelens.sources import TEST_ROUTERS, fixture_gmp, fixture_transfers
 from bridgelens.operators.filters import in_date_range
 
@@ -33,8 +33,9 @@ def test_date_filter_reaches_both_scans(events):
 
 
 def test_saved_reports_parse_no_json(saved):
-    plan = _plan(kpi(saved, "1996-03-01", "1999-08-31"))
-    assert "parseJson" not in plan and "variant_get" not in plan
+    for df in (time_series(saved, "1996-03-01", "1999-08-31", "week"), source_chains(saved)):
+        plan = _plan(df)
+        assert "parseJson" not in plan and "variant_get" not in plan
 
 
 def test_saved_range_prunes_month_partitions(saved):

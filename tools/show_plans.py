@@ -11,8 +11,11 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from bridgelens import (bridge_events, kpi, load_bridge_events, save_bridge_events,  # noqa: E402
+from bridgelens import (bridge_events, load_bridge_events, save_bridge_events,  # noqa: E402
                         source_chains, time_series, top_chains)
+from bridgelens.operators.filters import in_date_range  # noqa: E402
+from bridgelens.operators.quantile import median_stats  # noqa: E402
+from bridgelens.plans.reports import kpi_measures  # noqa: E402
 from bridgelens.session import local_session  # noqa: E402
 from bridgelens.sources import TEST_ROUTERS, fixture_gmp, fixture_transfers  # noqa: E402
 
@@ -43,7 +46,8 @@ def main(sf: str) -> None:
         "bridge_events over the raw facts, day range (ingest side)": bridge_events(
             fixture_transfers(spark, sf), fixture_gmp(spark, sf), TEST_ROUTERS, S, E),
         "time_series(month) over the saved relation": time_series(saved, S, E, "month"),
-        "KPI measures over the saved relation (the median is found by separate passes)": kpi(saved, S, E),
+        "KPI aggregate over the saved relation (measures + median count/min/max)": in_date_range(
+            saved, S, E).agg(*kpi_measures(), *median_stats("amount_usd")),
         "source_chains over the saved relation": source_chains(saved),
         "top-10 source chains by volume": top_chains(source_chains(saved), "volume"),
     }
