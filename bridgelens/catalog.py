@@ -23,7 +23,9 @@ from bridgelens.plans import (
     bridge_events, chain_labels, destination_chains, kpi, kpi_labels, load_bridge_events,
     save_bridge_events, source_chains, time_series, top_chains,
 )
-from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_gmp, fixture_transfers
+from bridgelens.operators.extract import transfer_events
+from bridgelens.oracle import EVENT_RANGE
+from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_event_transfers, fixture_gmp, fixture_transfers
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +39,11 @@ def events(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return bridge_events(t, g, TEST_ROUTERS, **kw)
 
 
+def _event_transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfers branch over facts with real times of day (from ``events``)."""
+    return transfer_events(fixture_event_transfers(spark, sf), TEST_ROUTERS)
+
+
 def saved_events(spark: SparkSession, sf: str) -> DataFrame:
     """Build once, save partitioned by month in the shared scratch folder, read back."""
     return load_bridge_events(spark, save_bridge_events(events(spark, sf)))
@@ -200,6 +207,11 @@ def queries() -> dict[str, Builder]:
         "top10_source_count": _top("source", "count"),
         "top10_destination_volume": _top("destination", "volume"),
         "top10_destination_count": _top("destination", "count"),
+        "events_time_series_day": lambda spark, sf: time_series(
+            _event_transfers(spark, sf), EVENT_RANGE[0], EVENT_RANGE[1], "day"),
+        "events_time_series_week": lambda spark, sf: time_series(
+            _event_transfers(spark, sf), EVENT_RANGE[0], EVENT_RANGE[1], "week"),
+        "events_kpi": lambda spark, sf: kpi(_event_transfers(spark, sf), EVENT_RANGE[0], EVENT_RANGE[1]),
         "saved_bridge_events": lambda spark, sf: saved_events(spark, sf).drop(C.EVENT_DATE, C.EVENT_MONTH),
         "kpi_saved": lambda spark, sf: kpi(saved_events(spark, sf), RANGE[0], RANGE[1]),
         "time_series_day_saved": lambda spark, sf: time_series(saved_events(spark, sf), RANGE[0], RANGE[1], "day"),

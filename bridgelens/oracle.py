@@ -78,12 +78,12 @@ def _routers(col: str) -> str:
     return "(" + " OR ".join(f"lower({col}) LIKE '%{r.lower()}%'" for r in TEST_ROUTERS) + ")"
 
 
-def _day_range(col: str = "created_at") -> str:
-    return f"CAST({col} AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"
+def _day_range(col: str = "created_at", rng: tuple[str, str] = RANGE) -> str:
+    return f"CAST({col} AS DATE) BETWEEN DATE '{rng[0]}' AND DATE '{rng[1]}'"
 
 
-def _branches(where_extra: str = "") -> str:
-    extra = f" AND {where_extra}" if where_extra else ""
+def _te(source: str = "transfers", extra: str = "") -> str:
+    extra = f" AND {extra}" if extra else ""
     return f"""
 te AS (
   SELECT created_at,
@@ -95,9 +95,14 @@ te AS (
     {_num(C.T_FEE)} AS fee,
     id, '{C.SERVICE_TRANSFERS}' AS service,
     {_txt(C.T_ASSET)} AS raw_asset
-  FROM transfers
+  FROM {source}
   WHERE status = 'executed' AND simplified_status = 'received' AND {_routers('sender_address')}{extra}
-),
+)"""
+
+
+def _ge(extra: str = "") -> str:
+    extra = f" AND {extra}" if extra else ""
+    return f"""
 ge AS (
   SELECT created_at,
     {_txt(C.G_SOURCE_CHAIN)} AS source_chain,
@@ -111,8 +116,29 @@ ge AS (
   FROM gmp
   WHERE status = 'executed' AND simplified_status = 'received'
     AND {_routers(_txt(C.G_CONTRACT))}{extra}
-),
-ev AS (SELECT * FROM te UNION ALL SELECT * FROM ge)"""
+)"""
+
+
+def _branches(where_extra: str = "") -> str:
+    return ",".join([_te("transfers", where_extra), _ge(where_extra),
+                     "\nev AS (SELECT * FROM te UNION ALL SELECT * FROM ge)"])
+
+
+# Transfers with real times of day, derived from the events table.
+EVENT_RANGE = ("2024-01-01", "2024-01-30")
+EVENT_FACTS = f"""
+et AS (
+  SELECT event_id AS id, ts AS created_at,
+    'u' || {_v('user_id')} AS recipient_address,
+    CASE WHEN event_type = 'error' THEN '0xffff' ELSE '{TEST_ROUTERS[1].upper()}' END AS sender_address,
+    'executed' AS status, 'received' AS simplified_status,
+    '{{"send":{{"original_source_chain":"' || event_type
+      || '","original_destination_chain":"Chain_' || {_v('user_id % 7')}
+      || '","amount":' || {_v("CAST(json_extract_string(props, '$.k') AS BIGINT)")}
+      || ',"fee_value":1}},"link":{{"price":' || {_v('CAST(round(value * 100) AS BIGINT)')}
+      || ',"asset":"e"}}}}' AS data
+  FROM events
+)"""
 
 
 def _with(*ctes: str) -> str:
@@ -124,15 +150,16 @@ EVENTS_RANGED = _branches(_day_range())
 EV_COLS = 'created_at, source_chain, destination_chain, "user", amount, amount_usd, fee, id, service, raw_asset'
 
 
-def _time_series(unit: str) -> str:
+def _time_series(unit: str, ctes: tuple[str, ...] | None = None, table: str = "ev",
+                 rng: tuple[str, str] = RANGE) -> str:
     bucket = "CAST(created_at AS DATE)" if unit == "day" else f"CAST(date_trunc('{unit}', created_at) AS DATE)"
-    return _with(EVENTS, f"""b AS (
+    return _with(*(ctes or (EVENTS,)), f"""b AS (
   SELECT {bucket} AS date,
     count(DISTINCT id) AS number_of_bridges,
     count(DISTINCT "user") AS number_of_bridgers,
     round(sum(amount_usd)) AS bridged_volume,
     avg(amount_usd) AS avg_bridged_volume
-  FROM ev WHERE {_day_range()} GROUP BY 1
+  FROM {table} WHERE {_day_range(rng=rng)} GROUP BY 1
 )""") + """SELECT date, number_of_bridges, number_of_bridgers, bridged_volume,
   sum(bridged_volume) OVER (ORDER BY date) AS total_bridged_volume,
   CAST(sum(number_of_bridges) OVER (ORDER BY date) AS BIGINT) AS total_number_of_bridges,
@@ -141,14 +168,14 @@ def _time_series(unit: str) -> str:
 FROM b ORDER BY date"""
 
 
-def _kpi_select() -> str:
+def _kpi_select(table: str = "ev", rng: tuple[str, str] = RANGE) -> str:
     return f"""SELECT count(DISTINCT id) AS number_of_transfers,
   count(DISTINCT "user") AS number_of_users,
   round(sum(amount_usd)) AS volume_of_transfers,
   round(median(amount_usd)) AS median_bridged_volume,
   round(max(amount_usd)) AS maximum_bridged_volume,
   round(avg(amount_usd)) AS average_bridged_volume
-FROM ev WHERE {_day_range()}"""
+FROM {table} WHERE {_day_range(rng=rng)}"""
 
 
 def _chain(chain: str) -> str:
@@ -275,6 +302,10 @@ def oracle_sql() -> dict[str, str]:
         "top10_destination_volume": _top("destination_chain", "volume"),
         "top10_destination_count": _top("destination_chain", "count"),
     }
+    ev_ctes = (EVENT_FACTS, _te("et"))
+    q["events_time_series_day"] = _time_series("day", ev_ctes, "te", EVENT_RANGE)
+    q["events_time_series_week"] = _time_series("week", ev_ctes, "te", EVENT_RANGE)
+    q["events_kpi"] = _with(*ev_ctes) + _kpi_select("te", EVENT_RANGE)
     q["saved_bridge_events"] = q["bridge_events"]
     q["kpi_saved"] = q["kpi"]
     q["time_series_day_saved"] = q["time_series_day"]

@@ -106,6 +106,34 @@ def gmp_from(orders: DataFrame) -> DataFrame:
     )
 
 
+def transfers_from_events(events: DataFrame) -> DataFrame:
+    """Token transfers with real times of day, one per ``events`` row.
+
+    Chains come from the event type and the user, the amount from ``props.k``
+    and the price from ``value`` in cents; 'error' events are sent by a
+    non-router address.  Used to check day buckets and inclusive end dates.
+    """
+    e = F.col
+    k = _s(F.get_json_object(e("props"), "$.k").cast("bigint"))
+    data = F.concat(
+        F.lit('{"send":{"original_source_chain":'), _q(e("event_type")),
+        F.lit(',"original_destination_chain":'), _q(F.concat(F.lit("Chain_"), _s(e("user_id") % 7))),
+        F.lit(',"amount":'), k,
+        F.lit(',"fee_value":1},"link":{"price":'), _s(F.round(e("value") * 100)),
+        F.lit(',"asset":"e"}}'),
+    )
+    return events.select(
+        e("event_id").alias("id"),
+        e("ts").alias("created_at"),
+        F.concat(F.lit("u"), _s(e("user_id"))).alias("recipient_address"),
+        F.when(e("event_type") == "error", F.lit("0xffff"))
+        .otherwise(F.lit(TEST_ROUTERS[1].upper())).alias("sender_address"),
+        F.lit("executed").alias("status"),
+        F.lit("received").alias("simplified_status"),
+        data.alias("data"),
+    )
+
+
 _BUILT: dict[tuple[int, str, str], DataFrame] = {}
 
 
@@ -125,3 +153,7 @@ def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_gmp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "gmp", lambda: gmp_from(read_table(spark, sf_dir, "orders")))
+
+
+def fixture_event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "event_transfers", lambda: transfers_from_events(read_table(spark, sf_dir, "events")))
