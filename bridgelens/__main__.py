@@ -31,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--events", required=True, help="path of the saved bridge_events")
     r.add_argument("--out", required=True)
     r.add_argument("--unit", default=C.DEFAULT_UNIT, choices=C.TIME_UNITS)
+    r.add_argument("--approx-distinct", action="store_true", help="HyperLogLog++ distinct counts")
     for s in (i, r):
         s.add_argument("--start", default=None)
         s.add_argument("--end", default=None)
@@ -53,7 +54,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from bridgelens.plans.dashboard import page
     from bridgelens.plans.ingest import load_bridge_events, write_report
 
-    frames = page(load_bridge_events(spark, args.events), args.start, args.end, args.unit)
+    frames = page(load_bridge_events(spark, args.events), args.start, args.end, args.unit,
+                  approx_distinct=args.approx_distinct)
     for name, df in frames.items():
         write_report(df, f"{args.out.rstrip('/')}/{name}")
     print(args.out)

@@ -19,18 +19,19 @@ from bridgelens.plans.reports import destination_chains, kpi, source_chains, tim
 
 
 def page(events: DataFrame, start: DateLike = C.DEFAULT_START, end: DateLike = C.DEFAULT_END,
-         unit: str = C.DEFAULT_UNIT) -> dict[str, DataFrame]:
+         unit: str = C.DEFAULT_UNIT, *, approx_distinct: bool = False) -> dict[str, DataFrame]:
     """Frames of one page over an existing event relation, keyed 'kpi',
     'time_series', 'source_chain', 'destination_chain' and the four 'top10_*'
-    lists.  All reports share the day range, as on the page.  Only the exact
-    median runs eagerly; every other frame is lazy until collected or written.
+    lists.  All reports share the day range, as on the page.  Only the KPI
+    (exact median) runs eagerly; every other frame is lazy until collected or
+    written.  ``approx_distinct`` switches every distinct count to HLL++.
     """
     check_range(start, end)
-    src = source_chains(events, start, end)
-    dst = destination_chains(events, start, end)
+    src = source_chains(events, start, end, approx_distinct=approx_distinct)
+    dst = destination_chains(events, start, end, approx_distinct=approx_distinct)
     return {
-        "kpi": kpi(events, start, end),
-        "time_series": time_series(events, start, end, unit),
+        "kpi": kpi(events, start, end, approx_distinct=approx_distinct),
+        "time_series": time_series(events, start, end, unit, approx_distinct=approx_distinct),
         "source_chain": src,
         "destination_chain": dst,
         "top10_source_volume": top_chains(src, "volume"),
@@ -50,6 +51,7 @@ def refresh(
     *,
     save: bool = True,
     path: str | None = None,
+    approx_distinct: bool = False,
 ) -> dict[str, DataFrame]:
     """One page refresh from the fact tables: build the relation once (saved
     by month unless ``save=False``), then every report of ``page`` reads it."""
@@ -57,4 +59,4 @@ def refresh(
     ev = bridge_events(transfers, gmp, routers)
     if save:
         ev = load_bridge_events(ev.sparkSession, save_bridge_events(ev, path))
-    return page(ev, start, end, unit)
+    return page(ev, start, end, unit, approx_distinct=approx_distinct)

@@ -82,3 +82,12 @@ def test_hot_chain_and_hot_month(spark):
     vals = [float(1 + i % 50) for i in range(3000)] + [100.0] * 50
     vals.sort()
     assert kpi(ev).first().median_bridged_volume == round((vals[1524] + vals[1525]) / 2)
+
+
+def test_page_with_approx_distinct(spark, ev):
+    from bridgelens import page
+    exact = page(ev, S, E, "month")
+    approx = page(ev, S, E, "month", approx_distinct=True)
+    e, a = exact["kpi"].first(), approx["kpi"].first()
+    assert a.volume_of_transfers == e.volume_of_transfers          # sums stay exact
+    assert abs(a.number_of_transfers - e.number_of_transfers) <= 0.1 * e.number_of_transfers
