@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, datetime
-from functools import reduce
-from operator import or_
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
