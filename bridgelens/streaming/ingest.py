@@ -47,14 +47,17 @@ def stream_bridge_events(
     available_now: bool = False,
     processing_time: str = "1 minute",
     fmt: str = "parquet",
+    max_files_per_trigger: int | None = 1000,
 ) -> StreamingQuery:
     """Start appending completed router traffic from new fact files to ``out_path``.
 
     ``available_now=True`` processes what is there and stops (a scheduled
     catch-up job); otherwise a micro-batch runs every ``processing_time``.
+    ``max_files_per_trigger`` bounds each micro-batch per source, so a large
+    backlog is drained in committed steps instead of one giant batch.
     """
-    t = read_fact_stream(spark, transfers_path, TRANSFER_COLUMNS, fmt)
-    g = read_fact_stream(spark, gmp_path, GMP_COLUMNS, fmt)
+    t = read_fact_stream(spark, transfers_path, TRANSFER_COLUMNS, fmt, max_files_per_trigger)
+    g = read_fact_stream(spark, gmp_path, GMP_COLUMNS, fmt, max_files_per_trigger)
     day = F.to_date("created_at")
     ev = bridge_events(t, g, routers).select(
         *C.EVENT_COLUMNS, day.alias(C.EVENT_DATE), F.trunc(day, "month").alias(C.EVENT_MONTH))

@@ -34,3 +34,14 @@ def test_stream_matches_batch(spark):
     got = load_bridge_events(spark, out).select(*EVENT_COLUMNS)
     assert 0 < first < batch.count()
     assert sorted(map(_key, got.collect())) == sorted(map(_key, batch.collect()))
+
+
+def test_backlog_drains_in_bounded_batches(spark):
+    t, g = fixture_transfers(spark, SF), fixture_gmp(spark, SF)
+    tp, gp, out = scratch_path(spark, "bl-t"), scratch_path(spark, "bl-g"), scratch_path(spark, "bl-out")
+    t.repartition(6).write.parquet(tp)
+    g.repartition(6).write.parquet(gp)
+    q = stream_bridge_events(spark, tp, gp, out, TEST_ROUTERS, available_now=True, max_files_per_trigger=2)
+    q.awaitTermination(300)
+    assert len(q.recentProgress) >= 3          # 6 files per source, 2 per batch
+    assert load_bridge_events(spark, out).count() == bridge_events(t, g, TEST_ROUTERS).count()
