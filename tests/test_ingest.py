@@ -92,3 +92,19 @@ def test_cli_ingest_and_report(spark):
     kpi_row = spark.read.parquet(f"{out}/kpi").collect()
     assert len(kpi_row) == 1 and kpi_row[0].number_of_transfers > 0
     assert spark.read.parquet(f"{out}/top10_source_volume").count() == 10
+
+
+def test_null_created_at_is_kept_in_storage_and_dropped_by_ranges(spark):
+    from bridgelens import kpi
+    from helpers import facts, transfer
+
+    rows = [transfer(1, "2024-01-05 10:00:00", amount=1, price=10), transfer(2, "2024-01-06 10:00:00", amount=1, price=20)]
+    t_null = list(transfer(3, "2024-01-07 10:00:00", amount=1, price=30))
+    t_null[1] = None
+    t, g = facts(spark, rows + [tuple(t_null)])
+    ev = bridge_events(t, g, TEST_ROUTERS)
+    path = save_bridge_events(ev)
+    back = load_bridge_events(spark, path)
+    assert back.count() == 3                                   # the undated row is stored (null partition)
+    r = kpi(back, "2024-01-01", "2024-01-31").first()
+    assert (r.number_of_transfers, r.volume_of_transfers) == (2, 30.0)   # and excluded by the range
