@@ -53,11 +53,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     from bridgelens.plans.dashboard import page
     from bridgelens.plans.ingest import load_bridge_events, write_report
+    from bridgelens.plans.reports import top_chains
 
     frames = page(load_bridge_events(spark, args.events), args.start, args.end, args.unit,
                   approx_distinct=args.approx_distinct)
-    for name, df in frames.items():
-        write_report(df, f"{args.out.rstrip('/')}/{name}")
+    out = args.out.rstrip("/")
+    for name in ("kpi", "time_series", "source_chain", "destination_chain"):
+        write_report(frames[name], f"{out}/{name}")
+    # top-10 lists from the written chain reports (one row per chain), so the
+    # event relation is not aggregated again for each list
+    for chain in ("source", "destination"):
+        report = spark.read.parquet(f"{out}/{chain}_chain")
+        for by in ("volume", "count"):
+            write_report(top_chains(report, by), f"{out}/top10_{chain}_{by}")
     print(args.out)
     return 0
 
