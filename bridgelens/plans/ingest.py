@@ -35,8 +35,11 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     ones to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.  Each task
     thus writes a few right-sized files whatever the arrival order of the
     facts; the cost is one shuffle of the flat event rows (not of the JSON
-    facts) and no sampling pass.  ``cluster=False`` skips the shuffle and only
-    sorts inside each task, which suits facts that arrive in time order.
+    facts) and no sampling pass.  Without AQE a rebalance would leave one task
+    per month, so then the rows are range-partitioned on (month, day, id)
+    instead: a sampling pass, but a hot day is still split by ``id``.
+    ``cluster=False`` skips the shuffle and only sorts inside each task, which
+    suits facts that arrive in time order.
 
     Re-running a range replaces only the months it covers (dynamic partition
     overwrite), so every month present in ``events`` must be complete; use
@@ -48,7 +51,10 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     day = F.to_date("created_at")
     flat = events.select(*EVENT_COLUMNS, day.alias(EVENT_DATE), F.trunc(day, "month").alias(EVENT_MONTH))
     if cluster:
-        flat = flat.hint("rebalance", EVENT_MONTH)
+        if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+            flat = flat.hint("rebalance", EVENT_MONTH)
+        else:
+            flat = flat.repartitionByRange(EVENT_MONTH, EVENT_DATE, "id")
     (flat.sortWithinPartitions(EVENT_MONTH, EVENT_DATE)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

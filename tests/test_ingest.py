@@ -40,15 +40,34 @@ def test_dynamic_overwrite_replaces_only_given_months(spark):
     assert after.count() == before - n_month + 1
 
 
-def test_hot_month_is_split_across_writers(spark):
-    """A month with a third of all rows is written by several tasks (AQE
-    splits the oversized rebalance partition), not funnelled into one."""
+def _hot_month_events(spark):
     from helpers import facts, transfer
 
     rows = [transfer(i, "2024-01-15 00:00:00" if i % 3 == 0 else f"20{10 + i % 12}-{1 + i % 12:02d}-02 00:00:00",
                      user=f"u{i}", src=f"c{i % 31}") for i in range(30_000)]
     t, g = facts(spark, rows)
-    ev = bridge_events(t, g, TEST_ROUTERS)
+    return bridge_events(t, g, TEST_ROUTERS)
+
+
+def test_hot_month_split_without_aqe(spark):
+    """With AQE off the write falls back to range partitioning on (month,
+    day, id): the hot month (all on one day) is still split across tasks."""
+    ev = _hot_month_events(spark)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = save_bridge_events(ev)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    hot = glob.glob(f"{path}/event_month=2024-01-01/*.parquet")
+    assert len(hot) > 1
+    assert load_bridge_events(spark, path).where(F.col("event_month") == "2024-01-01").count() == 10_000
+
+
+def test_hot_month_is_split_across_writers(spark):
+    """A month with a third of all rows is written by several tasks (AQE
+    splits the oversized rebalance partition), not funnelled into one."""
+    ev = _hot_month_events(spark)
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(key)
     spark.conf.set(key, "64k")
