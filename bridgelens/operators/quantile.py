@@ -30,6 +30,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bridgelens.session import job_description
+
 _X = "__x"
 DEFAULT_BUCKETS = 1024
 
@@ -64,10 +66,11 @@ def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks
         idx = F.floor((_scaled(x) - F.lit(f_lo)) / F.lit(f_hi - f_lo) * buckets).cast("int") \
             if f_hi > f_lo else F.lit(0)
         idx = F.least(F.greatest(idx, F.lit(0)), F.lit(buckets - 1))
-        hist = sorted(
-            (r["b"], r["c"], r["mn"], r["mx"])
-            for r in cand.groupBy(idx.alias("b")).agg(
-                F.count(F.lit(1)).alias("c"), F.min(_X).alias("mn"), F.max(_X).alias("mx")).collect())
+        with job_description(cand.sparkSession, f"exact median: histogram round {rounds} over {size} values"):
+            hist = sorted(
+                (r["b"], r["c"], r["mn"], r["mx"])
+                for r in cand.groupBy(idx.alias("b")).agg(
+                    F.count(F.lit(1)).alias("c"), F.min(_X).alias("mn"), F.max(_X).alias("mx")).collect())
         if len(hist) == 1 and hist[0][2] == lo and hist[0][3] == hi:
             # the scaled map cannot separate these values any more: split by value instead
             mid = lo + (hi - lo) * 0.5 if math.isfinite(hi - lo) else lo * 0.5 + hi * 0.5
@@ -115,13 +118,14 @@ def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
     computed them (saves the first pass).
     """
     values = df.select(F.col(column).cast("double").alias(_X)).where(F.col(_X).isNotNull())
-    if stats is None:
-        stats = values.agg(*median_stats(_X)).first()
-    n = stats["__n"]
-    if not n:
-        return None
-    lo, hi = (n - 1) // 2, n // 2
-    a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets, max_collect)
+    with job_description(df.sparkSession, f"exact median of {column}"):
+        if stats is None:
+            stats = values.agg(*median_stats(_X)).first()
+        n = stats["__n"]
+        if not n:
+            return None
+        lo, hi = (n - 1) // 2, n // 2
+        a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets, max_collect)
     return a + (b - a) * 0.5
 
 

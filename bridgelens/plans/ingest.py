@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from bridgelens.config import DEFAULT_ROUTERS, EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH
 from bridgelens.operators.filters import DateLike, check_range
 from bridgelens.plans.events import bridge_events
-from bridgelens.session import scratch_path
+from bridgelens.session import job_description, scratch_path
 
 
 def save_bridge_events(events: DataFrame, path: str | None = None, *,
@@ -55,12 +55,13 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
             flat = flat.hint("rebalance", EVENT_MONTH)
         else:
             flat = flat.repartitionByRange(EVENT_MONTH, EVENT_DATE, "id")
-    (flat.sortWithinPartitions(EVENT_MONTH, EVENT_DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(EVENT_MONTH)
-        .parquet(path))
+    with job_description(spark, f"save bridge_events to {path}"):
+        (flat.sortWithinPartitions(EVENT_MONTH, EVENT_DATE)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", max_records_per_file)
+            .partitionBy(EVENT_MONTH)
+            .parquet(path))
     return path
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bridgelens.config import EVENT_MONTH
+from bridgelens.session import job_description
 from bridgelens.functions.labels import count_label, si_label, usd_label
 from bridgelens.operators import measures as M
 from bridgelens.operators.buckets import bucket, check_unit
@@ -72,7 +73,8 @@ def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
     if reuse:
         narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = narrow.agg(*aggs, *median_stats("amount_usd")).first()
+        with job_description(ev.sparkSession, "KPI measures"):
+            row = narrow.agg(*aggs, *median_stats("amount_usd")).first()
         med = exact_median(narrow, "amount_usd", stats=row)
     finally:
         if reuse:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +48,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def job_description(spark: SparkSession, text: str):
+    """Name the Spark jobs started inside the block (event log / UI), then
+    restore the previous description.  A no-op where no SparkContext exists."""
+    try:
+        sc = spark.sparkContext
+        old = sc.getLocalProperty("spark.job.description")
+    except Exception:  # e.g. a client-only session
+        yield
+        return
+    sc.setJobDescription(text)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.job.description", old)
