@@ -41,3 +41,101 @@ def test_json_numbers_round_trip(spark, values):
     got = {r.i: r.n for r in df.select("i", safe_number(json_text(F.try_parse_json("data"), "$.a")).alias("n")).collect()}
     for i, v in enumerate(values):
         assert got[i] == float(v), v
+
+
+# --- reports against a brute-force model on random small inputs ---------------
+
+from datetime import date, datetime, timedelta  # noqa: E402
+from decimal import ROUND_HALF_UP, Decimal  # noqa: E402
+
+from bridgelens import bridge_events, kpi, time_series  # noqa: E402
+from bridgelens.sources.fixtures import TEST_ROUTERS  # noqa: E402
+
+_ROW = st.tuples(
+    st.integers(0, 70),                       # day offset from 2024-01-01
+    st.integers(0, 86399),                    # second of day
+    st.one_of(st.none(), st.integers(0, 6)),  # user
+    st.integers(0, 25),                       # id (repeats on purpose)
+    st.one_of(st.integers(0, 50), st.just("x")),  # amount (text = not a number)
+    st.integers(1, 1000),                     # price
+)
+
+
+def _round_half_up(x, places=0):
+    if x is None:
+        return None
+    q = Decimal(1) if places == 0 else Decimal(1).scaleb(-places)
+    return float(Decimal(repr(x)).quantize(q, rounding=ROUND_HALF_UP))
+
+
+def _bucket(d: date, unit: str) -> date:
+    if unit == "month":
+        return d.replace(day=1)
+    if unit == "week":
+        return d - timedelta(days=d.weekday())
+    return d
+
+
+def _facts(spark, rows):
+    from helpers import facts, transfer
+    base = datetime(2024, 1, 1)
+    tr = [transfer(i, str(base + timedelta(days=o, seconds=s)), user=None if u is None else f"u{u}",
+                   amount=a, price=p) for o, s, u, i, a, p in rows]
+    return facts(spark, tr)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(_ROW, min_size=1, max_size=60))
+def test_time_series_matches_brute_force(spark, rows):
+    t, g = _facts(spark, rows)
+    ev = bridge_events(t, g, TEST_ROUTERS)
+    start, end = date(2024, 1, 10), date(2024, 3, 1)
+    for unit in ("month", "week", "day"):
+        got = [r.asDict() for r in time_series(ev, start, end, unit).collect()]
+        groups = {}
+        for o, s, u, i, a, p in rows:
+            d = date(2024, 1, 1) + timedelta(days=o)
+            if not start <= d <= end:
+                continue
+            usd = None if a == "x" else float(a) * p
+            groups.setdefault(_bucket(d, unit), []).append((i, u, usd))
+        want, run_v, run_n = [], 0.0, 0
+        for b in sorted(groups):
+            items = groups[b]
+            ids = len({i for i, _, _ in items})
+            users = len({u for _, u, _ in items if u is not None})
+            vals = [v for _, _, v in items if v is not None]
+            vol = _round_half_up(sum(vals)) if vals else None
+            run_v = run_v + vol if vol is not None else run_v
+            run_n += ids
+            want.append({"date": b, "number_of_bridges": ids, "number_of_bridgers": users, "bridged_volume": vol,
+                         "total_bridged_volume": run_v if any(
+                             x is not None for x in [w["bridged_volume"] for w in want] + [vol]) else None,
+                         "total_number_of_bridges": run_n,
+                         "avg_bridge_count_per_user": _round_half_up(ids / users, 1) if users else None,
+                         "avg_bridged_volume": (sum(vals) / len(vals)) if vals else None})
+        assert len(got) == len(want), unit
+        for gr, wr in zip(got, want):
+            for k, v in wr.items():
+                if k == "avg_bridged_volume" and v is not None:
+                    assert abs(gr[k] - v) <= 1e-9 * max(1.0, abs(v)), (unit, k)
+                else:
+                    assert gr[k] == v, (unit, k, gr[k], v)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(_ROW, min_size=1, max_size=60))
+def test_kpi_matches_brute_force(spark, rows):
+    t, g = _facts(spark, rows)
+    r = kpi(bridge_events(t, g, TEST_ROUTERS)).first()
+    vals = sorted(float(a) * p for _, _, _, _, a, p in rows if a != "x")
+    assert r.number_of_transfers == len({i for _, _, _, i, _, _ in rows})
+    assert r.number_of_users == len({u for _, _, u, _, _, _ in rows if u is not None})
+    if vals:
+        n = len(vals)
+        med = vals[(n - 1) // 2] + (vals[n // 2] - vals[(n - 1) // 2]) * 0.5
+        assert r.median_bridged_volume == _round_half_up(med)
+        assert r.volume_of_transfers == _round_half_up(sum(vals))
+        assert r.maximum_bridged_volume == max(vals)
+    else:
+        assert r.median_bridged_volume is None and r.volume_of_transfers is None
