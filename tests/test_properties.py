@@ -139,3 +139,43 @@ def test_kpi_matches_brute_force(spark, rows):
         assert r.maximum_bridged_volume == max(vals)
     else:
         assert r.median_bridged_volume is None and r.volume_of_transfers is None
+
+
+_CHAIN_ROW = st.tuples(
+    st.booleans(),                                          # GMP (True) or transfer
+    st.one_of(st.none(), st.sampled_from(["Eth", "eth", "Arb", "Base", "Sol"])),  # source chain
+    st.integers(0, 12),                                     # id
+    st.integers(0, 4),                                      # user
+    st.one_of(st.integers(1, 5), st.just("x")),            # amount / value
+)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(_CHAIN_ROW, min_size=1, max_size=50))
+def test_chain_reports_and_top10_match_brute_force(spark, rows):
+    from helpers import facts, gmp, transfer
+    from bridgelens import source_chains, top_chains
+
+    tr = [transfer(i, "2024-01-02 00:00:00", user=f"u{u}", amount=a, price=10, src=c)
+          for is_g, c, i, u, a in rows if not is_g]
+    gm = [gmp(i, "2024-01-02 00:00:00", user=f"u{u}", value=a if a == "x" else a * 10, src=c)
+          for is_g, c, i, u, a in rows if is_g]
+    t, g = facts(spark, tr, gm)
+    rep = {r.source_chain: r for r in source_chains(bridge_events(t, g, TEST_ROUTERS)).collect()}
+    model = {}
+    for is_g, c, i, u, a in rows:
+        key = c if (is_g or c is None) else c.lower()       # transfers lower-case, GMP keeps case
+        m = model.setdefault(key, [set(), set(), []])
+        m[0].add(i)
+        m[1].add(f"u{u}")
+        if a != "x":
+            m[2].append(a * 10.0)
+    assert set(rep) == set(model)
+    for key, (ids, users, vals) in model.items():
+        r = rep[key]
+        assert (r.number_of_transfers, r.number_of_users) == (len(ids), len(users))
+        assert r.volume_usd == (_round_half_up(sum(vals)) if vals else None)
+    ranked = sorted(model.items(), key=lambda kv: (
+        kv[1][2] == [], -(sum(kv[1][2]) if kv[1][2] else 0), -len(kv[1][0]), kv[0] is not None, kv[0] or ""))
+    top = [r.source_chain for r in top_chains(source_chains(bridge_events(t, g, TEST_ROUTERS)), "volume").collect()]
+    assert top == [k for k, _ in ranked[:10]]
