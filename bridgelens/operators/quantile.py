@@ -102,10 +102,11 @@ def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks
 
 
 def median_stats(column: str) -> list:
-    """Aggregate columns (``__n``, ``__lo``, ``__hi``) that start the search;
-    fixed-size buffers, so they can join any other aggregate over the rows."""
+    """Aggregate columns (``__n``, ``__lo``, ``__hi``, ``__nan``) that start the
+    search; fixed-size buffers, so they can join any other aggregate."""
     x = F.col(column).cast("double")
-    return [F.count(x).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi")]
+    return [F.count(x).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"),
+            F.count(F.when(F.isnan(x), 1)).alias("__nan")]
 
 
 def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
@@ -115,7 +116,8 @@ def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
     Matches Spark ``median`` and DuckDB ``median``: for an even count the
     result is ``a + (b - a) * 0.5`` of the two middle values.  ``stats`` is a
     row holding the ``median_stats`` columns when another aggregate already
-    computed them (saves the first pass).
+    computed them (saves the first pass).  Values must be finite (guarded
+    amounts always are); NaN or infinity raises ``ValueError``.
     """
     values = df.select(F.col(column).cast("double").alias(_X)).where(F.col(_X).isNotNull())
     with job_description(df.sparkSession, f"exact median of {column}"):
@@ -124,6 +126,8 @@ def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
         n = stats["__n"]
         if not n:
             return None
+        if stats["__nan"] or not (math.isfinite(stats["__lo"]) and math.isfinite(stats["__hi"])):
+            raise ValueError(f"exact_median needs finite values; {column} holds NaN or infinity")
         lo, hi = (n - 1) // 2, n // 2
         a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets, max_collect)
     return a + (b - a) * 0.5

@@ -79,3 +79,9 @@ def test_adjacent_doubles(spark):
     b = math.nextafter(a, math.inf)
     vals = [a] * 30 + [b] * 31
     assert exact_median(_df(spark, vals), "x", buckets=4, max_collect=8) == _brute(vals)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
+def test_non_finite_values_are_refused(spark, bad):
+    with pytest.raises(ValueError):
+        exact_median(_df(spark, [1.0, 2.0, bad]), "x")
