@@ -37,13 +37,20 @@ def scratch_root(spark: SparkSession) -> str:
     folder (as in tests); on a cluster a missing setting is an error, because
     a machine-local folder would not survive the loss of an executor.
     """
-    conf = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    conf = spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # client-only session: the setting must come from the conf
+        sc = None
+    if not conf and sc is not None:
+        conf = sc.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
+    if sc is None or not master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before materialising tables")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bridgelens-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="bridgelens-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
