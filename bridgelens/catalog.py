@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 from bridgelens import config as C
 from bridgelens.functions.json import json_kind, json_text, with_variant
 from bridgelens.functions.numbers import safe_number, safe_product
-from bridgelens.operators.extract import gmp_contract
+from bridgelens.operators.extract import gmp_contract, transfer_events
 from bridgelens.operators.filters import completed, router_match
 from bridgelens.operators.quantile import exact_median_by
-from bridgelens.oracle import RANGE
+from bridgelens.oracle import EVENT_RANGE, RANGE
 from bridgelens.plans import (
     bridge_events, chain_labels, destination_chains, kpi, kpi_labels, load_bridge_events,
     save_bridge_events, source_chains, time_series, top_chains,
 )
-from bridgelens.operators.extract import transfer_events
-from bridgelens.oracle import EVENT_RANGE
 from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_event_transfers, fixture_gmp, fixture_transfers
 
 Builder = Callable[[SparkSession, str], DataFrame]
