@@ -48,15 +48,8 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     """
     spark = events.sparkSession
     path = path or scratch_path(spark, "bridge_events")
-    day = F.to_date("created_at")
-    flat = events.select(*EVENT_COLUMNS, day.alias(EVENT_DATE), F.trunc(day, "month").alias(EVENT_MONTH))
-    if cluster:
-        if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
-            flat = flat.hint("rebalance", EVENT_MONTH)
-        else:
-            flat = flat.repartitionByRange(EVENT_MONTH, EVENT_DATE, "id")
     with job_description(spark, f"save bridge_events to {path}"):
-        (flat.sortWithinPartitions(EVENT_MONTH, EVENT_DATE)
+        (write_layout(events, cluster)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("maxRecordsPerFile", max_records_per_file)
@@ -65,6 +58,20 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     return path
 
 
+def write_layout(events: DataFrame, cluster: bool = True) -> DataFrame:
+    """The rows exactly as ``save_bridge_events`` writes them: day and month
+    columns added, clustered by month (see there) and sorted by day per task."""
+    spark = events.sparkSession
+    day = F.to_date("created_at")
+    flat = events.select(*EVENT_COLUMNS, day.alias(EVENT_DATE), F.trunc(day, "month").alias(EVENT_MONTH))
+    if cluster:
+        if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+            flat = flat.hint("rebalance", EVENT_MONTH)
+        else:
+            flat = flat.repartitionByRange(EVENT_MONTH, EVENT_DATE, "id")
+    return flat.sortWithinPartitions(EVENT_MONTH, EVENT_DATE)
+
+
 def month_bounds(start: DateLike, end: DateLike) -> tuple[date | None, date | None]:
     """Widen [start, end] to whole months (open sides stay open)."""
     s, e = check_range(start, end)

@@ -15,6 +15,7 @@ from bridgelens import (bridge_events, load_bridge_events, save_bridge_events,
                         source_chains, time_series, top_chains)
 from bridgelens.operators.filters import in_date_range  # noqa: E402
 from bridgelens.operators.quantile import median_stats  # noqa: E402
+from bridgelens.plans.ingest import write_layout  # noqa: E402
 from bridgelens.plans.reports import kpi_measures  # noqa: E402
 from bridgelens.session import local_session  # noqa: E402
 from bridgelens.sources import TEST_ROUTERS, fixture_gmp, fixture_transfers  # noqa: E402
@@ -32,7 +33,8 @@ def summary(plan: str) -> str:
     tree, details = plan.split("\n\n\n", 1) if "\n\n\n" in plan else (plan, "")
     scan = [l for l in details.splitlines()
             if l.startswith(("PartitionFilters", "PushedFilters", "ReadSchema", "(", "Arguments: hashpartitioning",
-                             "Arguments: rangepartitioning", "Arguments: SinglePartition"))
+                             "Arguments: rangepartitioning", "Arguments: SinglePartition",
+                             "Arguments: RebalancePartitioning", "Arguments: rebalance"))
             and ("Scan" in l or not l.startswith("("))]
     return tree.strip() + "\n\n" + "\n".join(scan)
 
@@ -45,6 +47,7 @@ def main(sf: str) -> None:
     shown = {
         "bridge_events over the raw facts, day range (ingest side)": bridge_events(
             fixture_transfers(spark, sf), fixture_gmp(spark, sf), TEST_ROUTERS, S, E),
+        "ingest write layout (rebalance by month, sort by day per task)": write_layout(ev),
         "time_series(month) over the saved relation": time_series(saved, S, E, "month"),
         "KPI aggregate over the saved relation (measures + median count/min/max)": in_date_range(
             saved, S, E).agg(*kpi_measures(), *median_stats("amount_usd")),
