@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.llm import packing_mbs, quality_gbt
+from bridgelens.llm import packing_mbs, quality_gbt, token_files
 from bridgelens.llm.common import table
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_and_read_back(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_mbs.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op7_quality_rules)}
+    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
