@@ -1,21 +1,24 @@
 """Sharding by histogram sort: splitters come from exact counts, then every row moves once.
 
-Rows are ordered by (key, tie): ``key`` is a 64-bit hash of the text, so that equal texts lie together,
-and ``tie`` a hash of the id, so that a group of equal texts larger than a shard can still be split.
-The two make one position of 120 bits, searched as two words of 60.  Each round counts the exact
-bytes below candidate boundaries in every part of the input (one aggregation, combined before it
-moves) and puts new probes inside the interval that holds the wanted splitter; a splitter is done when the
-bytes below it are within tolerance of its share, or when no position lies between its neighbours.
+Rows are ordered by (key, tie): ``key`` is a hash of the text, so that equal texts lie together, and
+``tie`` a hash of the id, so that a group of equal texts larger than a shard can still be split.
+The first round counts the exact bytes below 1024 candidate boundaries in every part of the input
+(one aggregation, combined before it moves).  A splitter is done when a boundary is within
+tolerance of its share of the bytes; for the others, the next round probes 1024 boundaries inside
+the one interval that holds it, until all are done or the intervals are single places.
 
-Only DataFrame functions are used.  The driver holds the probes, never rows: PROBES for each
-open splitter and round.
+Only DataFrame functions are used.  The driver holds counts of the probes (1024 for each open
+splitter), never rows.
 
 Defined results: a null text has no bytes and weighs the fixed 8; null ids and repeated rows are
-rows like others (rows that are equal in id and text may lie in either order); an empty table gives an empty result.
+rows like others (rows equal in id and text may lie in either order); an empty table gives an
+empty result; other columns of the input stay, but for those named like a result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,105 +28,118 @@ from bridgelens.llm.common import materialize
 SHARDS = 24
 #: A splitter is done when it is this near to its share, as a part of a shard.
 TOLERANCE = 0.001
-#: Candidate boundaries of a round for each open splitter.
-PROBES = 16
-#: Bits of the key and of the tie.
-BITS = 60
-#: Rows (about) that one task numbers.
-NUMBERED = 20_000
+#: Bits of the key and of the tie, and those that a round adds.
+BITS, ROUND_BITS = 60, 10
+#: Slots are numbered in 2^12 slices of the key's range; a slice with more than HOT times the mean
+#: (one hot text) is numbered in 2^6 slices of the tie's range.
+SLICE_BITS, HOT, HOT_BITS = 12, 4, 6
 ROW_BYTES = 8
 
 
-def position(key: Column, tie: Column) -> Column:
-    """The order as one fixed-width decimal: 2^60 * key + tie."""
-    return key.cast("decimal(38,0)") * F.lit(1 << BITS).cast("decimal(38,0)") + tie.cast("decimal(38,0)")
-
-
 def sized(docs: DataFrame) -> DataFrame:
     """``docs`` with size, text_crc32, and its place in the order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = (1 << BITS) - 1
+    low = F.lit((1 << BITS) - 1)
     return docs.withColumns(
         {
-            "size": F.octet_length(text).cast("long") + F.lit(ROW_BYTES).cast("long"),
+            "size": (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long"),
             "text_crc32": F.crc32(F.encode(text, "UTF-8")),
-            "__key": F.xxhash64(text).bitwiseAND(F.lit(low)),
-            "__tie": F.xxhash64(F.lit("tie"), F.col("doc_id")).bitwiseAND(F.lit(low)),
+            "__key": F.xxhash64(text).bitwiseAND(low),
+            "__tie": F.xxhash64(F.lit("tie"), F.col("doc_id")).bitwiseAND(low),
         }
     )
 
 
-def pairs(points: list[int]) -> list[tuple[int, int]]:
-    return [divmod(p, 1 << BITS) for p in points]
+def prefix(level: int) -> tuple[Column, Column]:
+    """The first ROUND_BITS * level bits of the place, as a part of the key and a part of the tie."""
+    known = ROUND_BITS * level
+    if known <= BITS:
+        return F.shiftright(F.col("__key"), BITS - known), F.lit(0).cast("long")
+    return F.col("__key"), F.shiftright(F.col("__tie"), 2 * BITS - known)
+
 
+def begins(key: int, tie: int, level: int) -> int:
+    """The first place under a prefix."""
+    known = ROUND_BITS * level
+    return key << (2 * BITS - known) if known <= BITS else (key << BITS) + (tie << (2 * BITS - known))
 
-def below(points: list[int]) -> Column:
-    """How many of the ascending ``points`` lie at or below the row's place: a balanced tree of
-    comparisons, so a row is compared with the logarithm of their number."""
-    words = pairs(points)
+
+def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[int]:
+    """Ascending places that divide ``rows`` (size, __key, __tie) into shards of near equal bytes."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    if not total or shards < 2:
+        return []
+    slack = max(1, int(tolerance * total / shards))
+    done: list[int] = []
+    # open splitters: the prefix that holds them -> (bytes before it, the goals inside)
+    open_: dict[tuple[int, int], tuple[int, list[int]]] = {(0, 0): (0, [total * k // shards for k in range(1, shards)])}
+    level, inside = 0, rows
+    while open_:
+        level += 1
+        if level > 1:
+            key, tie = prefix(level - 1)
+            inside = rows.where(reduce(lambda a, b: a | b, [(key == k) & (tie == t) for k, t in open_]))
+        key, tie = prefix(level)
+        counted = inside.groupBy(key.alias("k"), tie.alias("t")).agg(F.sum("size").alias("bytes")).collect()
+        under: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for r in sorted(counted, key=lambda r: (r["k"], r["t"])):
+            place = begins(r["k"], r["t"], level)
+            mother = (place >> (2 * BITS - ROUND_BITS * (level - 1)), 0) if ROUND_BITS * (level - 1) <= BITS else (r["k"], r["t"] >> ROUND_BITS)
+            under.setdefault(mother, []).append((r["k"], r["t"], r["bytes"]))
+        still: dict[tuple[int, int], tuple[int, list[int]]] = {}
+        for mother, (before, goals) in open_.items():
+            cells, at = under[mother], before
+            ends = []
+            for k, t, size in cells:
+                ends.append((at, at + size, k, t))
+                at += size
+            for goal in goals:
+                low, high, k, t = next(x for x in ends if goal <= x[1])
+                near_low, near_high = goal - low, high - goal
+                last = ROUND_BITS * level >= 2 * BITS
+                if last or min(near_low, near_high) <= slack:
+                    start = begins(k, t, level)
+                    done.append(start if near_low <= near_high else start + (1 << (2 * BITS - ROUND_BITS * level)))
+                else:
+                    still.setdefault((k, t), (low, []))[1].append(goal)
+        open_ = still
+    return sorted(done)
+
+
+def below(places: list[int]) -> Column:
+    """How many of the ascending ``places`` lie at or before the row: a balanced tree of comparisons."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        key, tie = words[middle]
+        key, tie = divmod(places[middle], 1 << BITS)
         reached = (F.col("__key") > F.lit(key)) | ((F.col("__key") == F.lit(key)) & (F.col("__tie") >= F.lit(tie)))
         return F.when(reached, tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    return tree(0, len(points))
+    return tree(0, len(places))
 
 
-def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
-    """Places that divide ``rows`` (size, __key, __tie) into shards of near equal bytes."""
-    top = 1 << (2 * BITS)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    if not total or shards < 2:
-        return []
-    goals = [total * k // shards for k in range(1, shards)]
-    slack = max(1, int(tolerance * total / shards))
-    # exact bytes below a place; every goal lies between two neighbouring known places
-    known = {0: 0, top: total}
-    while True:
-        places, open_ = sorted(known), set()
-        for goal in goals:
-            high = next(p for p in places if known[p] >= goal)
-            low = places[places.index(high) - 1] if high else 0
-            if min(abs(known[low] - goal), abs(known[high] - goal)) > slack and high - low > 1:
-                open_.add((low, high))
-        if not open_:
-            break
-        probe = sorted({p for low, high in open_ for p in (low + (high - low) * k // (probes + 1) for k in range(1, probes + 1)) if low < p < high} | {p for pair in open_ for p in pair if 0 < p < top})
-        counted = {r["bin"]: r["bytes"] for r in rows.groupBy(below(probe).alias("bin")).agg(F.sum("size").alias("bytes")).collect()}
-        running = 0
-        for k, p in enumerate(probe):
-            running += counted.get(k, 0)
-            known[p] = running
-    return [min(known, key=lambda p: (abs(known[p] - goal), p)) for goal in goals]
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, numbered: int = NUMBERED, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with size, text_crc32, shard and slot; its own columns stay.
-
-    Splitters are found on a stored narrow table.  The rows then move once, to the task that
-    numbers their part of a shard; a part's first slot follows from the parts' counts.
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs`` with size, text_crc32, shard and slot.
+
+    Splitters and counts come from a stored narrow table.  The rows then move once, to the tasks
+    that number their slice; a slice's first slot follows from the counts of the slices before it
+    (at most 2^12 slices and 2^6 more for each of at most 2^12 / HOT hot ones, whatever the input).
     """
     names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
     rows = sized(docs.select(*[F.col(f"`{c}`") for c in names]))
     narrow = materialize(rows.select("size", "__key", "__tie"), "shard-sizes")
-    cuts = sorted(splitters(narrow, shards, tolerance))
-    # Finer cuts between the splitters, of equal width in the evenly spread order, bound what one task numbers.
-    count = narrow.count()
-    parts = max(1, -(-count // (numbered * shards)))
-    edges = [0, *cuts, 1 << (2 * BITS)]
-    # A part is a slice of the shard's range; a hot text lies in one slice, and its rows are dealt by tie.
-    fine = sorted({low + (high - low) * k // parts for low, high in zip(edges, edges[1:], strict=False) for k in range(parts)} - {0})
-    placed = rows.withColumn("shard", below(cuts)).withColumn("__part", below(fine))
-    sizes = narrow.select(below(cuts).alias("shard"), below(fine).alias("__part"), F.col("__key"), F.col("__tie"))
-    sub = F.when(F.lit(True), F.shiftright(F.col("__tie"), BITS - 6))
-    counts = sizes.groupBy("shard", "__part").agg(F.count("*").alias("__n")).select("shard", "__part", "__n")
-    first = counts.withColumn("__first", F.sum("__n").over(Window.partitionBy("shard").orderBy("__part")) - F.col("__n"))
-    del sub
-    slot = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__key", "__tie", "doc_id")) - 1
-    numbered_rows = placed.withColumn("__slot", slot)
-    out = numbered_rows.join(F.broadcast(first.select("shard", "__part", "__first")), ["shard", "__part"])
-    return out.select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("__slot") + F.col("__first")).cast("long").alias("slot"))
+    cuts = splitters(narrow, shards, tolerance)
+    slice_ = F.shiftright(F.col("__key"), BITS - SLICE_BITS).cast("int")
+    per_slice = {r["s"]: r["n"] for r in narrow.groupBy(slice_.alias("s")).agg(F.count("*").alias("n")).collect()}
+    hot = [s for s, n in per_slice.items() if n > HOT * max(64, sum(per_slice.values()) / 2**SLICE_BITS)]
+    fine = F.when(slice_.isin(hot), F.shiftright(F.col("__tie"), BITS - HOT_BITS).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+    where = {"shard": below(cuts).cast("int"), "__slice": slice_, "__fine": fine}
+    counts = narrow.withColumns(where).groupBy(*where).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("shard").orderBy("__slice", "__fine").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long")).drop("__n")
+    inside = Window.partitionBy(*where).orderBy("__key", "__tie", "doc_id")
+    numbered = rows.withColumns(where).withColumn("__slot", F.row_number().over(inside) - 1)
+    out = numbered.join(F.broadcast(firsts), list(where))
+    return out.select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", "shard", (F.col("__slot") + F.col("__first")).alias("slot"))
