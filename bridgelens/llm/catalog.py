@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.llm import packing_mbs, pst, quality_gbt, sharding, token_files, token_fst
+from bridgelens.llm import minhash_forest, packing_mbs, pst, quality_gbt, sharding, token_files, token_fst
 from bridgelens.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_mbs.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op10_sharding)}
+    return {f.__name__: f for f in (op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
