@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.llm import minhash_forest, packing_mbs, pst, quality_gbt, sharding, token_files, token_fst
+from bridgelens.llm import minhash_forest, packing_mbs, pst, quality_gbt, sharding, suffix_bwt, token_files, token_fst
 from bridgelens.llm.common import table
 
 
@@ -36,13 +36,17 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_bwt.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op10_sharding)}
+    return {f.__name__: f for f in (op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
