@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.llm import decontaminate, minhash_forest, packing_mbs, pst, quality_gbt, sharding, suffix_bwt, token_files, token_fst
+from bridgelens.llm import decontaminate, html_ctd, minhash_forest, packing_mbs, pst, quality_gbt, sharding, suffix_bwt, token_files, token_fst
 from bridgelens.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_ctd.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read_back(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
