@@ -179,30 +179,40 @@ class Index:
 _INDEXES: dict[str, Index] = {}
 
 
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator:
+    """The benchmark's items as broadcast values of a bounded size, one after another."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    n_parts = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    for part in range(n_parts):
+        some = items.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in some]))
+
+
+def index_of(sent) -> Index:
+    """The index of a part, made once per Python worker."""
+    key, rows = sent.value
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(rows)
+    return _INDEXES[key]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, n_segments, start, end, edits) for each document that holds a part of an item;
     places count characters of the normalised text."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    n_parts = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     ddl = f"doc_id {doc_kind}, item_id {item_kind}, n_segments int, start long, end long, edits int"
     out = None
-    for part in range(n_parts):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).collect()
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in some]))
+    for sent in benchmark_parts(benchmark, part_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            key, rows = sent.value
-            if key not in _INDEXES:
-                _INDEXES.clear()
-                _INDEXES[key] = Index(rows)
-            index = _INDEXES[key]
+            index = index_of(sent)
             for batch in text_slices(batches, "text", 1 << 20):
                 found = index.search([normal(t) for t in batch.column("text").to_pylist()])
                 if found:
                     text, item, n, low, high, edits = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array([index.items[k] for k in item], pa.int64() if item_kind == "bigint" else None), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "n_segments", "start", "end", "edits"])
+                    ids = pa.array([index.items[k] for k in item])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), ids if ids.type != pa.null() else ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "n_segments", "start", "end", "edits"])
 
         mine = docs.select("doc_id", "text").mapInArrow(run, ddl)
         out = mine if out is None else out.union(mine)
@@ -210,9 +220,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -
     return out.groupBy("doc_id", "item_id").agg(F.min(best).alias("m")).select("doc_id", "item_id", "m.n_segments", "m.start", "m.end", "m.edits")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns; rows without an id are judged by their text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
-    tagged = docs.withColumn("__key", key)
-    gone = leaks(tagged.select(F.col("__key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__key")).distinct()
-    return tagged.join(gone, "__key", "left_anti").select(*docs.columns)
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no part of a benchmark item, with their own columns, in one narrow pass a part."""
+    for sent in benchmark_parts(benchmark, part_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = index_of(sent)
+            for batch in text_slices(batches, "text", 1 << 20):
+                leaking = {x[0] for x in index.search([normal(t) for t in batch.column("text").to_pylist()])}
+                yield batch.filter(pa.array([k not in leaking for k in range(batch.num_rows)]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -247,12 +247,14 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
     return forest
 
 
-def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality") -> Forest | None:
-    """Grow the trees on the ``sample_rows`` labelled documents whose ids hash lowest."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")
-    )
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows)
+def label_sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality") -> DataFrame:
+    """(label_id, label) of the ``sample_rows`` labels whose ids hash lowest."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label"))
+    return known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows)
+
+
+def train(stats: DataFrame, sample: DataFrame) -> Forest | None:
+    """Grow the trees on the sampled labels' documents; None without labels of both kinds."""
     rows = stats.join(F.broadcast(sample), stats["doc_id"] == sample["label_id"]).select("label", *BASE, *MORE).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     y = (rows["label"].to_numpy() > 0).astype(np.float64)
@@ -261,18 +263,24 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l
     return grow(feature_matrix({c: rows[c].to_numpy() for c in BASE + MORE}), y)
 
 
+def judge(stats: dict[str, np.ndarray], forest: Forest | None, keep_at: float = KEEP_AT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, kept, probability of good quality) of each row of statistics."""
+    failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])
+    p = np.ones(len(failed)) if forest is None else 1 / (1 + np.exp(-forest.score(feature_matrix(stats))))
+    return failed, ~failed & (p >= keep_at), p
+
+
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """Statistics, ``base_failed``, the model's probability ``score`` and the verdict ``kept`` of each row of ``docs``."""
     stats = materialize(document_statistics(docs), "quality-stats")
-    forest = train(stats, labels, sample_rows)
+    forest = train(stats, label_sample(labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             s = {c: part.column(c).to_numpy(zero_copy_only=False) for c in BASE + MORE}
-            failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-            p = np.ones(len(failed)) if forest is None else 1 / (1 + np.exp(-forest.score(feature_matrix(s))))
+            failed, kept, p = judge(s, forest, keep_at)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(part.column(c) for c in BASE), pa.array(failed), pa.array(~failed & (p >= keep_at)), pa.array(p)],
+                [part.column("doc_id"), *(part.column(c) for c in BASE), pa.array(failed), pa.array(kept), pa.array(p)],
                 names=["doc_id", *BASE, "base_failed", "kept", "score"],
             )
 
@@ -281,14 +289,15 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     return stats.mapInArrow(run, f"doc_id {kind}, {ddl}, base_failed boolean, kept boolean, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.  The verdict follows from id and
-    text alone, so rows repeated with one id share it only if it is the same for all of them;
-    otherwise the id stays when any of its rows passes.  Rows without an id are judged by their text."""
-    tagged = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
-    names = [c for c in tagged.columns if c in ("doc_id", "text", "__key")]
-    view = tagged.select(*names)
-    ids = view.select(F.col("__key").alias("doc_id"), "text")
-    keyed_labels = labels.withColumn("doc_id", F.col("doc_id").cast("string"))
-    good = quality(ids, keyed_labels).where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return tagged.join(good, "__key", "left_semi").drop("__key")
+def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns: one narrow pass, after the trees are grown on the
+    sampled documents alone."""
+    sample = materialize(label_sample(labels, sample_rows), "label-sample")
+    some = docs.join(F.broadcast(sample.select("label_id").distinct()), docs["doc_id"] == F.col("label_id"), "left_semi")
+    forest = train(document_statistics(some), sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            yield part.filter(pa.array(judge(statistics(texts(part.column("text"))), forest, keep_at)[1]))
+
+    return docs.mapInArrow(run, docs.schema)

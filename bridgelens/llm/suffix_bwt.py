@@ -270,7 +270,7 @@ def _splits(sorted_cells: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
-    """Per distinct text with an id: digest, node (its smallest id), n_removed, n_spans, kept_sha256 (and the kept bytes)."""
+    """Per distinct text with an id: digest, node (its smallest id), n_removed, n_spans, kept_sha256 (and the kept text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_cells = max(16, -(-int(total) // block_bytes))
     blocks = collapse(docs, n_cells)
@@ -388,17 +388,18 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
             removed.append(int(mask.sum()))
             spans.append(int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()))
             sums.append(hashlib.sha256(raw).hexdigest())
-            kept.append(raw)
+            if with_text:
+                kept.append(raw.decode("utf-8", "ignore"))  # a cut may leave a part of a character
         columns = [pa.array(digests, pa.binary()), pa.array(ids), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string())]
         names = ["digest", "node", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
-            columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
+            columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
         return pa.table(columns, names=names)
 
     shared = blocks.groupBy("block").applyInArrow(send_anchors, _ROW).groupBy("cell").applyInArrow(share, _ROW)
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_pieces, _ROW)
     answers = sent.groupBy("cell").applyInArrow(merge_cell, _ROW)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, "digest binary, node long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, "digest binary, node long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def fingerprint(text: bytes) -> int:
@@ -424,3 +425,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             F.when(copy, F.sha2(F.lit(""), 256)).when(F.col("node").isNull(), F.col("own")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         )
     )
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages cut from their texts; a document that loses all of its text goes.
+
+    Its own columns stay; n_chars, if it is there, follows the text.  Rows without an id or text stay as they are.
+    """
+    found = removals(docs, with_text=True).select("digest", "node", "kept")
+    has = F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) > 0)
+    others = [c for c in docs.columns if c != "text"]
+    narrow = docs.where(has).select(*[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.octet_length("text").alias("n_bytes"), F.unhex(F.md5("text")).alias("digest"))
+    copy = (F.col("__doc_id") > F.col("node")) & (F.col("n_bytes") >= SPAN)
+    kept = narrow.join(found, "digest").where(~copy & (F.col("kept") != "")).withColumn("__text", F.col("kept"))
+    if "n_chars" in others:
+        kept = kept.withColumn("__n_chars", F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"__{c}").alias(c) for c in docs.columns]).union(docs.where(~has))
