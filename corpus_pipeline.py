@@ -1,14 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet
-and read again as the next stage's ``docs``.  All stages but the last return documents' columns.
+and read again as the next stage's ``docs``.  All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bridgelens.llm import quality_gbt
+from bridgelens.llm import decontaminate, minhash_forest, packing_mbs, quality_gbt, suffix_bwt
 from bridgelens.llm.common import materialize, table
 
 
@@ -17,7 +17,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_gbt.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return minhash_forest.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also start in a document with a smaller id are cut; a document left without text goes."""
+    return suffix_bwt.cut_repeats(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a part of a benchmark item go."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing_mbs.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The stages hold trained models and tokenizers, which SQL cannot express; tests compare with a brute-force version.
 ORACLE_SQL = None
