@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from bridgelens import config as C
 from bridgelens.functions.json import json_kind, json_text, with_variant
+from bridgelens.functions.labels import with_display_names
 from bridgelens.functions.numbers import safe_number, safe_product
 from bridgelens.operators.extract import gmp_contract, transfer_events
 from bridgelens.operators.filters import completed, router_match
 from bridgelens.operators.quantile import exact_median_by
 from bridgelens.oracle import EVENT_RANGE, RANGE
 from bridgelens.plans import (
-    bridge_events, chain_labels, destination_chains, kpi, kpi_labels, load_bridge_events,
-    save_bridge_events, source_chains, time_series, top_chains,
+    bridge_events, chain_labels, destination_chains, ingest, kpi, kpi_labels, load_bridge_events,
+    save_bridge_events, source_chains, time_series, top_chains, write_report,
 )
+from bridgelens.session import scratch_path
+from bridgelens.sources import read_gmp, read_transfers
 from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_event_transfers, fixture_gmp, fixture_transfers
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +63,9 @@ def _scan(which: str) -> Builder:
 
 
 def filter_status(spark, sf):
-    t, _ = _facts(spark, sf)
-    return t.where(completed()).groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
+    """F1 and F2 on both facts."""
+    done = [df.where(completed()).select("id", F.lit(s).alias("service")) for df, s in zip(_facts(spark, sf), C.SERVICES)]
+    return done[0].unionByName(done[1]).groupBy("service", "id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def filter_router_transfers(spark, sf):
@@ -96,17 +100,61 @@ def json_path(spark, sf):
     return long(t, C.SERVICE_TRANSFERS, C.TRANSFER_PATHS).unionByName(long(g, C.SERVICE_GMP, C.GMP_PATHS))
 
 
-def json_kind_query(spark, sf):
-    t, _ = _facts(spark, sf)
-    t = with_variant(t.select("id", "data"))
-    return t.select("id", json_kind("data", C.T_AMOUNT).alias("amount_kind"),
-                    json_kind("data", C.T_PRICE).alias("price_kind"),
-                    json_kind("data", C.T_FEE).alias("fee_kind"))
+# The number sites of both facts (P4, P5).
+NUMBER_PATHS = {
+    C.SERVICE_TRANSFERS: (C.T_AMOUNT, C.T_PRICE, C.T_FEE),
+    C.SERVICE_GMP: (C.G_AMOUNT, C.G_VALUE, C.G_GAS_USED, C.G_GAS_USD, C.G_EXPRESS_FEE),
+}
 
 
-def safe_number_query(spark, sf):
-    t, _ = _facts(spark, sf)
-    return with_variant(t.select("id", "data")).select("id", _num(C.T_AMOUNT).alias("amount"))
+def _number_sites(name: str, read) -> Builder:
+    """One row per (record, number path) of both facts with ``read(path)``."""
+    def run(spark, sf):
+        out = None
+        for df, (service, paths) in zip(_facts(spark, sf), NUMBER_PATHS.items()):
+            df = with_variant(df.select("id", "data"))
+            pairs = F.array(*[F.struct(F.lit(p).alias("path"), read(p).alias(name)) for p in paths])
+            part = df.select("id", F.lit(service).alias("service"), F.inline(pairs))
+            out = part if out is None else out.unionByName(part)
+        return out
+    return run
+
+
+def reingest_bridge_events(spark, sf):
+    """Build the relation, then rebuild one month from facts whose gmp rows of it all
+    failed and whose transfers stand: the stored relation must follow exactly."""
+    t, g = _facts(spark, sf)
+    path = scratch_path(spark, "reingest")
+    ingest(t, g, path, routers=TEST_ROUTERS)
+    day = F.to_date("created_at")
+    month = day.between(F.lit("1996-03-01").cast("date"), F.lit("1996-03-31").cast("date"))
+    gone = day.between(F.lit("1997-05-01").cast("date"), F.lit("1997-05-31").cast("date"))
+    failed = F.when(month | gone, F.lit("failed")).otherwise(F.col("simplified_status"))
+    g2 = g.withColumn("simplified_status", failed)
+    t2 = t.withColumn("simplified_status", F.when(gone, F.lit("failed")).otherwise(F.col("simplified_status")))
+    ingest(t2, g2, path, "1996-03-05", "1996-03-20", TEST_ROUTERS)
+    ingest(t2, g2, path, "1997-05-01", "1997-05-31", TEST_ROUTERS)
+    return load_bridge_events(spark, path).drop(C.EVENT_DATE, C.EVENT_MONTH)
+
+
+def bridge_events_variant(spark, sf):
+    """The relation over stored facts whose ``data`` is VARIANT, through the fact readers."""
+    paths = []
+    for df, name in zip(_facts(spark, sf), ("transfers", "gmp")):
+        paths.append(scratch_path(spark, f"variant-{name}"))
+        df.withColumn("data", F.try_parse_json("data")).write.parquet(paths[-1])
+    return bridge_events(read_transfers(spark, paths[0]), read_gmp(spark, paths[1]), TEST_ROUTERS)
+
+
+def report_sink(spark, sf):
+    """S3: a finished report written by the executors and read back."""
+    path = write_report(source_chains(events(spark, sf)), scratch_path(spark, "report"))
+    return spark.read.parquet(path)
+
+
+def display_names(spark, sf):
+    """P18: the chain report under the page's column headers."""
+    return with_display_names(source_chains(events(spark, sf)))
 
 
 def amount_usd_query(spark, sf):
@@ -139,7 +187,7 @@ def _by_service(*measures: Callable[[], object]) -> Builder:
 
 def agg_median(spark, sf):
     """Exact median per service, each found by distributed selection (no value map in one task)."""
-    med = exact_median_by(events(spark, sf), "service", "amount_usd", persist=True)
+    med = exact_median_by(events(spark, sf), "service", "amount_usd")
     return med.select("service", F.round("median").alias("median_bridged_volume"))
 
 
@@ -171,8 +219,8 @@ def queries() -> dict[str, Builder]:
         "filter_date_outer": filter_date_outer,
         "filter_date_branch": filter_date_branch,
         "json_path": json_path,
-        "json_kind": json_kind_query,
-        "safe_number": safe_number_query,
+        "json_kind": _number_sites("kind", lambda p: json_kind("data", p)),
+        "safe_number": _number_sites("value", _num),
         "amount_usd": amount_usd_query,
         "fee_coalesce": fee_coalesce,
         "normalize_chain": normalize_chain,
@@ -210,6 +258,10 @@ def queries() -> dict[str, Builder]:
         "events_time_series_week": lambda spark, sf: time_series(
             _event_transfers(spark, sf), EVENT_RANGE[0], EVENT_RANGE[1], "week"),
         "events_kpi": lambda spark, sf: kpi(_event_transfers(spark, sf), EVENT_RANGE[0], EVENT_RANGE[1]),
+        "report_sink": report_sink,
+        "display_names": display_names,
+        "reingest_bridge_events": reingest_bridge_events,
+        "bridge_events_variant": bridge_events_variant,
         "saved_bridge_events": lambda spark, sf: saved_events(spark, sf).drop(C.EVENT_DATE, C.EVENT_MONTH),
         "kpi_saved": lambda spark, sf: kpi(saved_events(spark, sf), RANGE[0], RANGE[1]),
         "time_series_day_saved": lambda spark, sf: time_series(saved_events(spark, sf), RANGE[0], RANGE[1], "day"),

@@ -63,11 +63,6 @@ GMP_PATHS: tuple[str, ...] = (
     G_GAS_USD, G_EXPRESS_FEE, G_SYMBOL, G_CONTRACT,
 )
 
-# Short-label prefixes for 1e-24 .. 1e24 in steps of 1e3 (SI, as in d3 ".2s").
-SI_PREFIXES: tuple[str, ...] = (
-    "y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y",
-)
-
 # Column headers shown by the dashboard, keyed by our snake_case names.
 DISPLAY_NAMES: dict[str, str] = {
     "source_chain": "Source Chain",
@@ -79,6 +74,15 @@ DISPLAY_NAMES: dict[str, str] = {
 
 # --- Our decisions (the warehouse dialect is not visible) ---------------------
 
+# Dollar labels show whole dollars ('$1,234,567'), also for figures that the
+# page prints with a decimal; rounded measures have none to show.  A product
+# of two guarded numbers that overflows is NULL.  Days are UTC days.
+
+# Short-label prefixes for 1e-24 .. 1e24 in steps of 1e3 (SI, as in d3 ".2s").
+SI_PREFIXES: tuple[str, ...] = (
+    "y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y",
+)
+
 # Text accepted as a number: plain decimal / scientific notation only.  Rejects
 # '1d', 'inf', 'NaN', hex and digit separators, which some engines would cast.
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"

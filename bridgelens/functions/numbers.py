@@ -18,10 +18,14 @@ _INF = float("inf")
 
 def safe_number(text: Column) -> Column:
     """Text -> DOUBLE, or NULL for non-numeric, non-finite or missing input."""
-    x = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.when(text.rlike(NUMBER_PATTERN), finite(text.try_cast("double")))
+
+
+def finite(x: Column) -> Column:
+    """``x``, or NULL where it is infinite or not a number."""
     return F.when(F.abs(x) < F.lit(_INF), x)
 
 
 def safe_product(a: Column, b: Column) -> Column:
-    """Product of two guarded numbers; NULL when either side is NULL."""
-    return a * b
+    """Product of two guarded numbers; NULL when either side is NULL or the product overflows."""
+    return finite(a * b)

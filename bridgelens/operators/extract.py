@@ -10,6 +10,7 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from bridgelens import config as C
 from bridgelens.functions.json import json_text, with_variant
@@ -72,19 +73,25 @@ def gmp_events(
     (off by default: the dashboard keeps their case).
     """
     g = in_date_range(gmp, start, end).where(completed())
-    g = with_variant(g.select("created_at", "id", "data"))
     paths = {
         "_src": C.G_SOURCE_CHAIN, "_dst": C.G_DESTINATION_CHAIN, "_user": C.G_USER,
         "_amount": C.G_AMOUNT, "_value": C.G_VALUE, "_gas": C.G_GAS_USED, "_gas_usd": C.G_GAS_USD,
         "_express": C.G_EXPRESS_FEE, "_symbol": C.G_SYMBOL,
     }
-    # The router test reads the parsed document, so a Filter here would be
-    # pushed below the parse by Catalyst and every passing document parsed
-    # twice.  Testing and extracting in one generator keeps a single parse:
-    # a row that fails yields no output row.
-    fields = F.array(F.struct(*[json_text("data", p).alias(n) for n, p in paths.items()]))
-    matched = router_match(gmp_contract(F.col("data")), routers)
-    g = g.select("created_at", "id", F.inline(F.when(matched, fields)))
+    g = g.select("created_at", "id", "data")
+    if isinstance(g.schema["data"].dataType, VariantType):
+        # stored VARIANT: the scan reads the contract and the wanted paths only
+        g = _texts(g.where(router_match(gmp_contract(F.col("data")), routers)), ["created_at", "id"], paths)
+    else:
+        # JSON text: a document whose text holds neither a router nor an escape
+        # cannot match, so it is not parsed.  For the others a Filter on the
+        # parsed document would be pushed below the parse and parse it twice;
+        # testing and extracting in one generator keeps a single parse.
+        text = F.col("data")
+        g = with_variant(g.where(router_match(text, routers) | F.contains(text, F.lit("\\"))))
+        fields = F.array(F.struct(*[json_text("data", p).alias(n) for n, p in paths.items()]))
+        matched = router_match(gmp_contract(F.col("data")), routers)
+        g = g.select("created_at", "id", F.inline(F.when(matched, fields)))
     src, dst = F.col("_src"), F.col("_dst")
     if normalize_chains:
         src, dst = F.lower(src), F.lower(dst)

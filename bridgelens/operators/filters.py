@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import re
+from datetime import date, datetime, time, timedelta, timezone
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from bridgelens.config import SIMPLIFIED_STATUS_DONE, STATUS_DONE
 
@@ -21,9 +23,9 @@ def completed() -> Column:
 def router_pattern(routers: Iterable[str]) -> str:
     """Case-insensitive alternation of the literal router addresses."""
     routers = [r for r in routers]
-    if not routers:
+    if not routers or "" in routers:
         raise ValueError("routers must not be empty")
-    return "(?i)(" + "|".join("\\Q" + r + "\\E" for r in routers) + ")"
+    return "(?i)(" + "|".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", r) for r in routers) + ")"
 
 
 def router_match(address: Column, routers: Iterable[str]) -> Column:
@@ -43,7 +45,7 @@ def to_date_value(d: DateLike) -> date | None:
         return d
     if isinstance(d, datetime):
         return d.date()
-    return date.fromisoformat(str(d)[:10])
+    return datetime.fromisoformat(str(d)).date()  # a date, or a full date and time; anything else raises
 
 
 def check_range(start: DateLike, end: DateLike) -> tuple[date | None, date | None]:
@@ -64,16 +66,34 @@ def date_between(day: Column, start: DateLike, end: DateLike) -> Column:
     return cond
 
 
+def created_day(df: DataFrame) -> Column:
+    """Day of ``created_at``; of a zoned timestamp it is the UTC day, whatever the session's zone."""
+    at = F.col("created_at")
+    if isinstance(df.schema["created_at"].dataType, TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int"))
+    return F.to_date(at)
+
+
 def event_day(df: DataFrame) -> Column:
-    """Day of an event: the saved partition column when present, else ``created_at::date``.
+    """Day of an event: the saved day column when present, else the day of ``created_at``."""
+    return F.col("event_date") if "event_date" in df.columns else created_day(df)
+
 
-    Filtering a saved relation on its partition column prunes directories; on
-    an unsaved plan Catalyst turns the cast into a timestamp range and pushes
-    it to the Parquet scan of both branches.
+def created_between(df: DataFrame, start: DateLike, end: DateLike) -> Column:
+    """The day range on ``created_at``, in a form that reaches the Parquet scan.
+
+    Without a zone Catalyst turns the cast to a date into a range itself; a
+    zoned timestamp is compared with the UTC bounds of the days.
     """
-    if "event_date" in df.columns:
-        return F.col("event_date")
-    return F.to_date(F.col("created_at"))
+    if not isinstance(df.schema["created_at"].dataType, TimestampType):
+        return date_between(created_day(df), start, end)
+    s, e = check_range(start, end)
+    cond = F.lit(True)
+    if s is not None:
+        cond = cond & (F.col("created_at") >= F.lit(datetime.combine(s, time(), timezone.utc)))
+    if e is not None:
+        cond = cond & (F.col("created_at") < F.lit(datetime.combine(e + timedelta(days=1), time(), timezone.utc)))
+    return cond
 
 
 def in_date_range(df: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
@@ -86,7 +106,7 @@ def in_date_range(df: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     s, e = check_range(start, end)
     if s is None and e is None:
         return df
-    cond = date_between(event_day(df), s, e)
+    cond = date_between(F.col("event_date"), s, e) if "event_date" in df.columns else created_between(df, s, e)
     if "event_month" in df.columns:
         cond = cond & date_between(
             F.col("event_month"),

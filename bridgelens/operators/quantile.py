@@ -8,29 +8,28 @@ histogram refinement built only from ``groupBy``/``count``:
 
 1. one aggregate returns count, min and max (partials are three numbers);
 2. each round buckets the remaining candidates into ``buckets`` ranges of a
-   monotone, log-scaled value space and returns (count, min, max) per bucket:
-   at most ``buckets`` rows, and the shuffle is keyed by bucket, so no task
-   merges more than its share;
+   monotone, log-scaled value space and returns (count, min, max) per bucket,
+   with the shuffle keyed by bucket, so no task merges more than its share;
 3. cumulative counts locate every wanted rank: a rank on a bucket edge is that
    bucket's min or max, a bucket whose min equals its max answers all its
    ranks (a value holding a third of the rows ends the search at once), and
    otherwise the search narrows to that bucket's [min, max], a range predicate
    that reaches the Parquet scan.
 
-Only when at most ``max_collect`` candidates remain are they fetched and
-sorted; the first round always narrows first, so the input is never fetched
-whole.
+The search ends by itself: a bracket [lo, hi] with lo < hi either gets new
+ends inside it, or, when the scaled map cannot separate its values, is cut at
+a value between lo and hi; either way it holds fewer distinct values than before.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from bridgelens.session import job_description
+from bridgelens.session import job_description, remove_path, scratch_path
 
 _X = "__x"
 DEFAULT_BUCKETS = 1024
@@ -42,7 +41,7 @@ def _scaled(x):
 
 
 def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks: list[int],
-                      buckets: int, max_collect: int) -> list[float]:
+                      buckets: int) -> list[float]:
     """Exact ``ranks`` (0-based, ascending) of the non-null column ``__x``,
     whose count, min and max are ``n``, ``lo_v`` and ``hi_v``."""
     x = F.col(_X)
@@ -55,13 +54,7 @@ def _order_statistics(values: DataFrame, n: int, lo_v: float, hi_v: float, ranks
         if lo == hi:
             found.update({k: float(lo) for k in want})
             continue
-        if rounds > 0 and size <= max_collect:
-            got = sorted(r[0] for r in cand.collect())
-            found.update({k: got[k - offset] for k in want})
-            continue
         rounds += 1
-        if rounds > 400:
-            raise RuntimeError("exact median did not converge")
         f_lo, f_hi = math.copysign(math.log1p(abs(lo)), lo), math.copysign(math.log1p(abs(hi)), hi)
         idx = F.floor((_scaled(x) - F.lit(f_lo)) / F.lit(f_hi - f_lo) * buckets).cast("int") \
             if f_hi > f_lo else F.lit(0)
@@ -109,8 +102,7 @@ def median_stats(column: str) -> list:
             F.count(F.when(F.isnan(x), 1)).alias("__nan")]
 
 
-def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
-                 max_collect: int = 100_000, stats=None):
+def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS, stats=None):
     """Interpolated median (``percentile_cont(0.5)``) of ``column``; None if no value.
 
     Matches Spark ``median`` and DuckDB ``median``: for an even count the
@@ -129,40 +121,70 @@ def exact_median(df: DataFrame, column: str, *, buckets: int = DEFAULT_BUCKETS,
         if stats["__nan"] or not (math.isfinite(stats["__lo"]) and math.isfinite(stats["__hi"])):
             raise ValueError(f"exact_median needs finite values; {column} holds NaN or infinity")
         lo, hi = (n - 1) // 2, n // 2
-        a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets, max_collect)
+        a, b = _order_statistics(values, n, stats["__lo"], stats["__hi"], [lo, hi], buckets)
     return a + (b - a) * 0.5
 
 
-def exact_median_by(df: DataFrame, key: str, column: str, *, max_groups: int = 64,
-                    persist: bool = False, buckets: int = DEFAULT_BUCKETS,
-                    max_collect: int = 100_000) -> DataFrame:
-    """Exact median of ``column`` per value of ``key`` for a small key set
-    (e.g. the service tag), as a DataFrame ``(key, median)``.
+def exact_median_by(df: DataFrame, key: str, column: str, *, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact median of ``column`` per value of ``key`` (NULL is a key of its own), as ``(key, median)``.
 
-    Each group runs the distributed selection above, so a group holding a
-    third of all rows never lands in one task.  The key set is fetched first
-    and checked against ``max_groups``; for many groups use
-    ``percentile_approx`` per group instead.  ``persist`` keeps a narrow
-    (key, value) copy for the few passes when the input is costly to rebuild.
+    All groups are narrowed in the same rounds, each one job over the values: the
+    open brackets are a table keyed by group and wanted rank, and only the number
+    of open ones reaches the driver.  The counting is keyed by (group, rank,
+    bucket), so a group holding a third of all rows is spread over tasks.  The
+    narrow values and the rounds' brackets are stored in the shared scratch
+    folder and removed at the end, but for the last, which is the result.
+    A group without values has a NULL median.
     """
-    narrow = df.select(key, F.col(column).cast("double").alias(column))
-    if persist:
-        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        keys = [r[0] for r in narrow.select(key).distinct().limit(max_groups + 1).collect()]
-        if len(keys) > max_groups:
-            raise ValueError(f"more than {max_groups} groups; use percentile_approx per group")
-        key_type = narrow.schema[key].dataType.simpleString()
-        rows = []
-        for k in keys:
-            part = narrow.where(F.col(key).isNull() if k is None else F.col(key) == k)
-            m = exact_median(part, column, buckets=buckets, max_collect=max_collect)
-            rows.append(F.struct(F.lit(k).cast(key_type).alias(key), F.lit(m).cast("double").alias("median")))
-    finally:
-        if persist:
-            narrow.unpersist()
     spark = df.sparkSession
-    if not rows:
-        return spark.range(0).select(F.lit(None).cast(key_type).alias(key), F.lit(None).cast("double").alias("median"))
-    # one row per group, built in the JVM
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    stored: list[str] = []
+
+    def store(part: DataFrame, name: str) -> DataFrame:
+        stored.append(scratch_path(spark, name))
+        part.write.parquet(stored[-1])
+        return spark.read.schema(part.schema).parquet(stored[-1])
+
+    with job_description(spark, f"exact median of {column} by {key}"):
+        values = store(df.select(F.col(key).alias("__k"), F.col(column).cast("double").alias(_X)), "median-values")
+        stats = values.groupBy("__k").agg(*median_stats(_X))
+        n = F.col("__n")
+        ranks = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+        brackets = stats.select(
+            "__k", F.explode(F.when(n > 0, ranks).otherwise(F.array(F.lit(0).cast("bigint")))).alias("__r"),
+            F.lit(0).cast("bigint").alias("__at"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"),
+            F.lit(False).alias("stuck"), (F.col("__nan") > 0).alias("bad"))
+        brackets = store(brackets, "median-brackets")
+        infinite = (F.abs("lo") == float("inf")) | (F.abs("hi") == float("inf"))
+        if brackets.where(F.col("bad") | infinite).limit(1).count():
+            raise ValueError(f"exact_median needs finite values; {column} holds NaN or infinity")
+        while brackets.where("lo < hi").limit(1).count():
+            brackets = store(_narrower(values, brackets, buckets), "median-brackets")
+    for path in stored[:-1]:
+        remove_path(spark, path)
+    low, high = F.min("lo"), F.max("lo")
+    return brackets.groupBy(F.col("__k").alias(key)).agg((low + (high - low) * 0.5).alias("median"))
+
+
+def _narrower(values: DataFrame, brackets: DataFrame, buckets: int) -> DataFrame:
+    """The brackets after one more round; closed ones (lo = hi, or no values) stay."""
+    x, lo, hi = F.col(_X), F.col("lo"), F.col("hi")
+    open_ = brackets.where("lo < hi").withColumnRenamed("__k", "__bk")
+    inside = values.join(open_, values["__k"].eqNullSafe(open_["__bk"]) & (x >= lo) & (x <= hi)).drop("__bk")
+    share = (_scaled(x) - _scaled(lo)) / (_scaled(hi) - _scaled(lo))
+    by_scale = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    middle = lo * 0.5 + hi * 0.5
+    middle = F.when((middle >= lo) & (middle < hi), middle).otherwise(lo)  # adjacent doubles: split off the smallest
+    by_value = F.when(x <= middle, 0).otherwise(1)
+    flat = F.col("stuck") | (_scaled(hi) <= _scaled(lo))
+    group = ["__k", "__r", "__at", "lo", "hi"]
+    counted = inside.groupBy(*group, F.when(flat, by_value).otherwise(by_scale).alias("__b")).agg(
+        F.count(F.lit(1)).alias("__c"), F.min(_X).alias("__mn"), F.max(_X).alias("__mx"))
+    before = F.sum("__c").over(Window.partitionBy("__k", "__r").orderBy("__b")) - F.col("__c") + F.col("__at")
+    r, c, mn, mx, start = (F.col(n) for n in ("__r", "__c", "__mn", "__mx", "__start"))
+    hit = counted.withColumn("__start", before).where((start <= r) & (r < start + c))
+    new_lo = F.when(r == start, mn).when(r == start + c - 1, mx).otherwise(mn)
+    new_hi = F.when(r == start, mn).when(r == start + c - 1, mx).otherwise(mx)
+    narrowed = hit.select("__k", "__r", start.cast("bigint").alias("__at"), new_lo.alias("__l"), new_hi.alias("__h"),
+                          ((new_lo == lo) & (new_hi == hi)).alias("stuck"), F.lit(False).alias("bad"))
+    narrowed = narrowed.withColumnsRenamed({"__l": "lo", "__h": "hi"}).select(brackets.columns)
+    return brackets.where("NOT coalesce(lo < hi, false)").unionByName(narrowed)

@@ -8,9 +8,28 @@ second engine.  Only SQL text lives here.
 
 from __future__ import annotations
 
-from bridgelens import config as C
 from bridgelens.sources.fixtures import TEST_ROUTERS
 
+# Literals of its own: a wrong constant of the library must not pass both sides.
+TRANSFERS, GMP = "Token Transfers", "GMP"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+G_AMOUNT = "$.amount"
+G_CONTRACT = "$.approved.returnValues.contractAddress"
+G_DESTINATION_CHAIN = "$.call.returnValues.destinationChain"
+G_EXPRESS_FEE = "$.fees.express_fee_usd"
+G_GAS_USD = "$.gas_price_rate.source_token.token_price.usd"
+G_GAS_USED = "$.gas.gas_used_amount"
+G_SOURCE_CHAIN = "$.call.chain"
+G_SYMBOL = "$.symbol"
+G_USER = "$.call.transaction.from"
+G_VALUE = "$.value"
+T_AMOUNT = "$.send.amount"
+T_ASSET = "$.link.asset"
+T_DESTINATION_CHAIN = "$.send.original_destination_chain"
+T_FEE = "$.send.fee_value"
+T_PRICE = "$.link.price"
+T_SOURCE_CHAIN = "$.send.original_source_chain"
+
 RANGE = ("1996-03-01", "1999-08-31")
 
 _R1, _R2, _R3 = TEST_ROUTERS[0], TEST_ROUTERS[1], TEST_ROUTERS[2]
@@ -70,10 +89,16 @@ def _txt(path: str, col: str = "data") -> str:
 def _num(path: str) -> str:
     s = _txt(path)
     cast = f"TRY_CAST({s} AS DOUBLE)"
-    return (f"(CASE WHEN regexp_matches({s}, '{C.NUMBER_PATTERN}') AND abs({cast}) < 'inf'::DOUBLE "
+    return (f"(CASE WHEN regexp_matches({s}, '{NUMBER}') AND abs({cast}) < 'inf'::DOUBLE "
             f"THEN {cast} END)")
 
 
+def _product(a: str, b: str) -> str:
+    """A product that is NULL where it overflows."""
+    x = f"({_num(a)} * {_num(b)})"
+    return f"(CASE WHEN abs({x}) < 'inf'::DOUBLE THEN {x} END)"
+
+
 def _routers(col: str) -> str:
     return "(" + " OR ".join(f"lower({col}) LIKE '%{r.lower()}%'" for r in TEST_ROUTERS) + ")"
 
@@ -87,14 +112,14 @@ def _te(source: str = "transfers", extra: str = "") -> str:
     return f"""
 te AS (
   SELECT created_at,
-    lower({_txt(C.T_SOURCE_CHAIN)}) AS source_chain,
-    lower({_txt(C.T_DESTINATION_CHAIN)}) AS destination_chain,
+    lower({_txt(T_SOURCE_CHAIN)}) AS source_chain,
+    lower({_txt(T_DESTINATION_CHAIN)}) AS destination_chain,
     recipient_address AS "user",
-    {_num(C.T_AMOUNT)} AS amount,
-    {_num(C.T_AMOUNT)} * {_num(C.T_PRICE)} AS amount_usd,
-    {_num(C.T_FEE)} AS fee,
-    id, '{C.SERVICE_TRANSFERS}' AS service,
-    {_txt(C.T_ASSET)} AS raw_asset
+    {_num(T_AMOUNT)} AS amount,
+    {_product(T_AMOUNT, T_PRICE)} AS amount_usd,
+    {_num(T_FEE)} AS fee,
+    id, '{TRANSFERS}' AS service,
+    {_txt(T_ASSET)} AS raw_asset
   FROM {source}
   WHERE status = 'executed' AND simplified_status = 'received' AND {_routers('sender_address')}{extra}
 )"""
@@ -105,17 +130,17 @@ def _ge(extra: str = "") -> str:
     return f"""
 ge AS (
   SELECT created_at,
-    {_txt(C.G_SOURCE_CHAIN)} AS source_chain,
-    {_txt(C.G_DESTINATION_CHAIN)} AS destination_chain,
-    {_txt(C.G_USER)} AS "user",
-    {_num(C.G_AMOUNT)} AS amount,
-    {_num(C.G_VALUE)} AS amount_usd,
-    coalesce({_num(C.G_GAS_USED)} * {_num(C.G_GAS_USD)}, {_num(C.G_EXPRESS_FEE)}) AS fee,
-    id, '{C.SERVICE_GMP}' AS service,
-    {_txt(C.G_SYMBOL)} AS raw_asset
+    {_txt(G_SOURCE_CHAIN)} AS source_chain,
+    {_txt(G_DESTINATION_CHAIN)} AS destination_chain,
+    {_txt(G_USER)} AS "user",
+    {_num(G_AMOUNT)} AS amount,
+    {_num(G_VALUE)} AS amount_usd,
+    coalesce({_product(G_GAS_USED, G_GAS_USD)}, {_num(G_EXPRESS_FEE)}) AS fee,
+    id, '{GMP}' AS service,
+    {_txt(G_SYMBOL)} AS raw_asset
   FROM gmp
   WHERE status = 'executed' AND simplified_status = 'received'
-    AND {_routers(_txt(C.G_CONTRACT))}{extra}
+    AND {_routers(_txt(G_CONTRACT))}{extra}
 )"""
 
 
@@ -210,7 +235,7 @@ def _count(x: str, unit: str | None = None) -> str:
 
 
 def _si(x: str) -> str:
-    prefixes = "[" + ", ".join(f"'{p}'" for p in C.SI_PREFIXES) + "]"
+    prefixes = "['y', 'z', 'a', 'f', 'p', 'n', 'µ', 'm', '', 'k', 'M', 'G', 'T', 'P', 'E', 'Z', 'Y']"
     r = f"(round(abs({x}) / pow(10.0, floor(log10(abs({x}))) - 1)) * pow(10.0, floor(log10(abs({x}))) - 1))"
     e = f"floor(log10(abs({r})))"
     i = f"least(greatest(floor({e} / 3), -8), 8)"
@@ -228,14 +253,28 @@ def _kind(path: str) -> str:
 
 def _json_long() -> str:
     t = " UNION ALL ".join(
-        f"SELECT id, '{C.SERVICE_TRANSFERS}' AS service, '{p}' AS path, {_txt(p)} AS value FROM transfers"
-        for p in C.TRANSFER_PATHS)
+        f"SELECT id, '{TRANSFERS}' AS service, '{p}' AS path, {_txt(p)} AS value FROM transfers"
+        for p in (T_SOURCE_CHAIN, T_DESTINATION_CHAIN, T_AMOUNT, T_PRICE, T_FEE, T_ASSET))
     g = " UNION ALL ".join(
-        f"SELECT id, '{C.SERVICE_GMP}' AS service, '{p}' AS path, {_txt(p)} AS value FROM gmp"
-        for p in C.GMP_PATHS)
+        f"SELECT id, '{GMP}' AS service, '{p}' AS path, {_txt(p)} AS value FROM gmp"
+        for p in (
+            G_SOURCE_CHAIN, G_DESTINATION_CHAIN, G_USER, G_AMOUNT, G_VALUE, G_GAS_USED, G_GAS_USD, G_EXPRESS_FEE, G_SYMBOL, G_CONTRACT))
     return _with() + t + " UNION ALL " + g
 
 
+NUMBER_SITES = (
+    ("transfers", "Token Transfers", "$.send.amount"), ("transfers", "Token Transfers", "$.link.price"),
+    ("transfers", "Token Transfers", "$.send.fee_value"), ("gmp", "GMP", "$.amount"), ("gmp", "GMP", "$.value"),
+    ("gmp", "GMP", "$.gas.gas_used_amount"), ("gmp", "GMP", "$.gas_price_rate.source_token.token_price.usd"),
+    ("gmp", "GMP", "$.fees.express_fee_usd"),
+)
+
+
+def _number_sites(read, name: str) -> str:
+    return _with() + " UNION ALL ".join(
+        f"SELECT id, '{s}' AS service, '{p}' AS path, {read(p)} AS {name} FROM {f}" for f, s, p in NUMBER_SITES)
+
+
 def _by_service(measure: str) -> str:
     return _with(EVENTS) + f"SELECT service, {measure} FROM ev GROUP BY service"
 
@@ -245,25 +284,26 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {
         "scan_transfers": _with() + "SELECT id, status, CAST(created_at AS DATE) AS created_date FROM transfers",
         "scan_gmp": _with() + "SELECT id, status, CAST(created_at AS DATE) AS created_date FROM gmp",
-        "filter_status": _with() + ("SELECT id, count(*) AS n_rows FROM transfers "
-                                    "WHERE status = 'executed' AND simplified_status = 'received' GROUP BY id"),
+        "filter_status": _with() + " UNION ALL ".join(
+            f"SELECT '{s}' AS service, id, count(*) AS n_rows FROM {f} "
+            "WHERE status = 'executed' AND simplified_status = 'received' GROUP BY id"
+            for f, s in (("transfers", "Token Transfers"), ("gmp", "GMP"))),
         "filter_router_transfers": _with() + ("SELECT id, sender_address FROM transfers "
                                               f"WHERE {_routers('sender_address')}"),
-        "filter_router_gmp": _with() + (f"SELECT id, {_txt(C.G_CONTRACT)} AS contract_address FROM gmp "
-                                        f"WHERE {_routers(_txt(C.G_CONTRACT))}"),
+        "filter_router_gmp": _with() + (f"SELECT id, {_txt(G_CONTRACT)} AS contract_address FROM gmp "
+                                        f"WHERE {_routers(_txt(G_CONTRACT))}"),
         "filter_date_outer": _with(EVENTS) + f"SELECT {EV_COLS} FROM ev WHERE {_day_range()}",
         "filter_date_branch": _with(EVENTS_RANGED) + f"SELECT {EV_COLS} FROM ev",
         "json_path": _json_long(),
-        "json_kind": _with() + (f"SELECT id, {_kind(C.T_AMOUNT)} AS amount_kind, {_kind(C.T_PRICE)} AS price_kind, "
-                                f"{_kind(C.T_FEE)} AS fee_kind FROM transfers"),
-        "safe_number": _with() + f"SELECT id, {_num(C.T_AMOUNT)} AS amount FROM transfers",
-        "amount_usd": _with() + f"SELECT id, {_num(C.T_AMOUNT)} * {_num(C.T_PRICE)} AS amount_usd FROM transfers",
-        "fee_coalesce": _with() + (f"SELECT id, coalesce({_num(C.G_GAS_USED)} * {_num(C.G_GAS_USD)}, "
-                                   f"{_num(C.G_EXPRESS_FEE)}) AS fee FROM gmp"),
+        "json_kind": _number_sites(_kind, "kind"),
+        "safe_number": _number_sites(_num, "value"),
+        "amount_usd": _with() + f"SELECT id, {_product(T_AMOUNT, T_PRICE)} AS amount_usd FROM transfers",
+        "fee_coalesce": _with() + (f"SELECT id, coalesce({_product(G_GAS_USED, G_GAS_USD)}, "
+                                   f"{_num(G_EXPRESS_FEE)}) AS fee FROM gmp"),
         "normalize_chain": _with() + (
             f"SELECT DISTINCT c AS original_chain, lower(c) AS normalized_chain FROM ("
-            f"SELECT {_txt(C.T_SOURCE_CHAIN)} AS c FROM transfers UNION ALL "
-            f"SELECT {_txt(C.T_DESTINATION_CHAIN)} AS c FROM transfers)"),
+            f"SELECT {_txt(T_SOURCE_CHAIN)} AS c FROM transfers UNION ALL "
+            f"SELECT {_txt(T_DESTINATION_CHAIN)} AS c FROM transfers)"),
         "union_services": _by_service("count(*) AS n_rows"),
         "bridge_events": _with(EVENTS) + f"SELECT {EV_COLS} FROM ev",
         "agg_distinct_ids": _by_service("count(DISTINCT id) AS number_of_transfers"),
@@ -306,6 +346,15 @@ def oracle_sql() -> dict[str, str]:
     q["events_time_series_day"] = _time_series("day", ev_ctes, "te", EVENT_RANGE)
     q["events_time_series_week"] = _time_series("week", ev_ctes, "te", EVENT_RANGE)
     q["events_kpi"] = _with(*ev_ctes) + _kpi_select("te", EVENT_RANGE)
+    q["report_sink"] = q["source_chain"]
+    q["display_names"] = _chain("source_chain") + (
+        'SELECT source_chain AS "Source Chain", number_of_transfers AS "Number of Transfers", '
+        'number_of_users AS "Number of Users", volume_usd AS "Volume of Transfers (USD)" FROM r')
+    march = "CAST(created_at AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'"
+    may = "CAST(created_at AS DATE) BETWEEN DATE '1997-05-01' AND DATE '1997-05-31'"
+    q["reingest_bridge_events"] = _with(EVENTS) + (
+        f"SELECT {EV_COLS} FROM ev WHERE NOT ({may}) AND NOT (service = 'GMP' AND {march})")
+    q["bridge_events_variant"] = q["bridge_events"]
     q["saved_bridge_events"] = q["bridge_events"]
     q["kpi_saved"] = q["kpi"]
     q["time_series_day_saved"] = q["time_series_day"]

@@ -12,19 +12,25 @@ consumer shares.
 from __future__ import annotations
 
 import calendar
+import json
 from datetime import date
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bridgelens.config import DEFAULT_ROUTERS, EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH
-from bridgelens.operators.filters import DateLike, check_range
+from bridgelens.operators.filters import DateLike, check_range, created_day
 from bridgelens.plans.events import bridge_events
-from bridgelens.session import job_description, scratch_path
+from bridgelens.session import file_system, job_description, scratch_path
+
+#: The relation's schema beside its data, so that an empty relation loads and no footer is read for it.
+SCHEMA_FILE = "_bridge_events.schema.json"
 
 
 def save_bridge_events(events: DataFrame, path: str | None = None, *,
+                       covers: tuple[DateLike, DateLike] | None = None,
                        max_records_per_file: int = 5_000_000, cluster: bool = True) -> str:
     """Write ``events`` under ``path`` (default: a new folder in the shared
     checkpoint dir) partitioned by ``event_month``; returns the path.
@@ -41,28 +47,63 @@ def save_bridge_events(events: DataFrame, path: str | None = None, *,
     ``cluster=False`` skips the shuffle and only sorts inside each task, which
     suits facts that arrive in time order.
 
-    Re-running a range replaces only the months it covers (dynamic partition
-    overwrite), so every month present in ``events`` must be complete; use
-    ``ingest`` to rebuild a date range safely.  Task retries are safe under
-    Spark's commit protocol.
+    The months that occur in ``events`` are replaced (dynamic partition
+    overwrite), so each must be complete.  ``covers`` says that ``events`` holds
+    every row of the months that this range touches (open sides: all): then
+    its months that have no rows any more are removed after the write, so a
+    re-run that failed in between leaves old months at worst and mends them
+    when run again; ``ingest`` does this.  Task retries are safe under Spark's
+    commit protocol.
     """
     spark = events.sparkSession
     path = path or scratch_path(spark, "bridge_events")
+    rows = write_layout(events, cluster)
+    seen = Observation()
     with job_description(spark, f"save bridge_events to {path}"):
-        (write_layout(events, cluster)
+        # the calendar bounds the set of months
+        (rows.observe(seen, F.collect_set(F.coalesce(F.col(EVENT_MONTH).cast("string"), F.lit(""))).alias("months"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("maxRecordsPerFile", max_records_per_file)
             .partitionBy(EVENT_MONTH)
             .parquet(path))
+    written = set(seen.get["months"])
+    fs, root = file_system(spark, path)
+    for month, folder in _months(spark, path) if covers else []:
+        if month not in written and _covers(month, *covers):
+            fs.delete(folder, True)
+    text = rows.schema.json()
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, SCHEMA_FILE), True)
+    out.write(bytearray(text.encode()))
+    out.close()
     return path
 
 
+def _months(spark: SparkSession, path: str) -> list[tuple[str, object]]:
+    """(month as text, '' for undated rows; folder) of each month partition under ``path``."""
+    fs, root = file_system(spark, path)
+    found = []
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        if name == EVENT_MONTH and value:
+            found.append(("" if value.startswith("__HIVE") else value, status.getPath()))
+    return found
+
+
+def _covers(month: str, start: DateLike, end: DateLike) -> bool:
+    """Whether [start, end], widened to whole months, holds the month; undated rows belong to the open range only."""
+    s, e = month_bounds(start, end)
+    if not month:
+        return s is None and e is None
+    day = date.fromisoformat(month)
+    return (s is None or day >= s) and (e is None or day <= e)
+
+
 def write_layout(events: DataFrame, cluster: bool = True) -> DataFrame:
     """The rows exactly as ``save_bridge_events`` writes them: day and month
     columns added, clustered by month (see there) and sorted by day per task."""
     spark = events.sparkSession
-    day = F.to_date("created_at")
+    day = created_day(events)
     flat = events.select(*EVENT_COLUMNS, day.alias(EVENT_DATE), F.trunc(day, "month").alias(EVENT_MONTH))
     if cluster:
         if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
@@ -93,13 +134,19 @@ def ingest(transfers: DataFrame, gmp: DataFrame, path: str, start: DateLike = No
     both scans).
     """
     s, e = month_bounds(start, end)
-    return save_bridge_events(bridge_events(transfers, gmp, routers, s, e), path, **kw)
+    return save_bridge_events(bridge_events(transfers, gmp, routers, s, e), path, covers=(s, e), **kw)
 
 
 def load_bridge_events(spark: SparkSession, path: str) -> DataFrame:
     """The saved relation with ``event_date`` and ``event_month``, so day
-    filters prune partitions and row groups."""
-    return spark.read.parquet(path).select(*EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH)
+    filters prune partitions and row groups; it may be empty."""
+    fs, root = file_system(spark, path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root, SCHEMA_FILE)
+    stream = fs.open(where)
+    text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    stream.close()
+    schema = StructType.fromJson(json.loads(text))
+    return spark.read.schema(schema).parquet(path).select(*EVENT_COLUMNS, EVENT_DATE, EVENT_MONTH)
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -2,18 +2,17 @@
 
 Every report takes the event relation (built in-plan or read back from the
 saved, date-partitioned table) plus the inclusive day range.  Nothing here
-collects rows, except the exact median, which fetches only a bounded set of
-candidate values (see ``operators.quantile``).
+collects rows; the exact median reads bounded histograms only (see
+``operators.quantile``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bridgelens.config import EVENT_MONTH
-from bridgelens.session import job_description
+from bridgelens.session import job_description, remove_path, scratch_path
 from bridgelens.functions.labels import count_label, si_label, usd_label
 from bridgelens.operators import measures as M
 from bridgelens.operators.buckets import bucket, check_unit
@@ -45,40 +44,35 @@ def kpi_measures(approx_distinct: bool = False) -> list:
 
 
 def kpi(events: DataFrame, start: DateLike = None, end: DateLike = None, *,
-        median: str = "exact", approx_distinct: bool = False) -> DataFrame:
+        approx_distinct: bool = False) -> DataFrame:
     """Headline figures, always one row.
 
-    ``median``: 'exact' (distributed selection, default) or 'spark' (built-in
-    ``median``, whose value map is merged in one task; small inputs only).
-
-    The exact mode is computed eagerly: one aggregate returns every measure
+    This call is eager: it runs its jobs and returns a frame of literals.  One aggregate returns every measure
     plus the count/min/max that start the median search (fixed-size buffers;
     a median or sketch aggregate is kept out of it on purpose, as next to the
     two distinct counts Spark's Expand rewrite would give every (id, user)
     group its own buffer), then a few histogram passes over the amount column
     finish the median (see ``operators.quantile``).  On input that is not the
     saved relation (raw facts, JSON parsed in-plan) the three needed columns
-    are persisted (memory and disk) for those passes, so each document is
-    parsed once; lost cached blocks are recomputed from lineage.
+    are stored in the shared scratch folder for those passes and removed after
+    them, so each document is parsed once even if executors are lost.
     """
     ev = in_date_range(events, start, end)
     aggs = kpi_measures(approx_distinct)
-    if median == "spark":
-        out = ev.agg(*aggs, F.round(F.median("amount_usd")).alias("median_bridged_volume"))
-        return out.select(*KPI_COLUMNS)
-    if median != "exact":
-        raise ValueError("median must be 'exact' or 'spark'")
-    reuse = EVENT_MONTH not in events.columns
-    narrow = ev.select("id", "user", "amount_usd")
-    if reuse:
-        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = ev.sparkSession
+    narrow, stored = ev.select("id", "user", "amount_usd"), None
+    if EVENT_MONTH not in events.columns:
+        stored = scratch_path(spark, "kpi-columns")
+        with job_description(spark, "KPI columns"):
+            narrow.write.parquet(stored)
+        narrow = spark.read.schema(narrow.schema).parquet(stored)
     try:
         with job_description(ev.sparkSession, "KPI measures"):
             row = narrow.agg(*aggs, *median_stats("amount_usd")).first()
         med = exact_median(narrow, "amount_usd", stats=row)
     finally:
-        if reuse:
-            narrow.unpersist()
+        if stored:
+            remove_path(spark, stored)
     # a one-row frame built in the JVM (no Python worker round trip)
     return ev.sparkSession.range(1).select(
         *[F.lit(row[n]).cast(t).alias(n) for n, t in _KPI_TYPES],

@@ -57,6 +57,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and the path in its form."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a stored table's folder, if it is there."""
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 @contextmanager
 def job_description(spark: SparkSession, text: str):
     """Name the Spark jobs started inside the block (event log / UI), then

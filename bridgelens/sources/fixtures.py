@@ -5,7 +5,7 @@
 casts only (so any SQL engine produces byte-identical text).  Every numeric
 path cycles through numbers, numeric text, other text, booleans, nulls, arrays
 and objects, which exercises the guarded parsing.  The rules are in
-FIXTURES.md; the oracle SQL in ``bridgelens.plans.oracle`` mirrors them.
+FIXTURES.md; the oracle SQL in ``bridgelens.oracle`` mirrors them.
 """
 
 from __future__ import annotations
@@ -134,26 +134,13 @@ def transfers_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-_BUILT: dict[tuple[int, str, str], DataFrame] = {}
-
-
-def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Plans are immutable: build each fixture plan once per session (the
-    expression trees take hundreds of driver round trips to assemble)."""
-    key = (id(spark), sf_dir.rstrip("/"), name)
-    df = _BUILT.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _BUILT[key] = build()
-    return df
-
-
 def fixture_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "transfers", lambda: transfers_from(read_table(spark, sf_dir, "lineitem")))
+    return transfers_from(read_table(spark, sf_dir, "lineitem"))
 
 
 def fixture_gmp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "gmp", lambda: gmp_from(read_table(spark, sf_dir, "orders")))
+    return gmp_from(read_table(spark, sf_dir, "orders"))
 
 
 def fixture_event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "event_transfers", lambda: transfers_from_events(read_table(spark, sf_dir, "events")))
+    return transfers_from_events(read_table(spark, sf_dir, "events"))

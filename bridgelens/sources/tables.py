@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Columns the reports read from each fact table (anything else is pruned).
 TRANSFER_COLUMNS = ("id", "created_at", "recipient_address", "sender_address", "status",
@@ -10,38 +11,28 @@ TRANSFER_COLUMNS = ("id", "created_at", "recipient_address", "sender_address", "
 GMP_COLUMNS = ("id", "created_at", "status", "simplified_status", "data")
 
 
-_READERS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables, e.g. ``read_table(spark, dir, 'lineitem')``.
-
-    The reader (file listing and footer schema) is kept per session and path,
-    so building many plans over the same table lists it once.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READERS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READERS[key] = spark.read.parquet(path)
-    return df
+    """One of the given Parquet tables, e.g. ``read_table(spark, dir, 'lineitem')``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_facts(spark: SparkSession, source: str, columns=None, fmt: str = "parquet") -> DataFrame:
-    """A fact table from a catalog name or a path.
+def read_facts(spark: SparkSession, source: str, columns=None, fmt: str = "parquet",
+               schema: StructType | str | None = None) -> DataFrame:
+    """A fact table from a catalog name or a path (there with ``schema``, or the files' own).
 
     ``data`` may be JSON text or VARIANT; both are accepted downstream.
     """
     if "/" in source or source.endswith((".parquet", ".orc", ".json")):
-        df = spark.read.format(fmt).load(source)
+        reader = spark.read.format(fmt)
+        df = (reader.schema(schema) if schema is not None else reader).load(source)
     else:
         df = spark.table(source)
     return df.select(*columns) if columns else df
 
 
-def read_transfers(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
-    return read_facts(spark, source, TRANSFER_COLUMNS, fmt)
+def read_transfers(spark: SparkSession, source: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    return read_facts(spark, source, TRANSFER_COLUMNS, fmt, schema)
 
 
-def read_gmp(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
-    return read_facts(spark, source, GMP_COLUMNS, fmt)
+def read_gmp(spark: SparkSession, source: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    return read_facts(spark, source, GMP_COLUMNS, fmt, schema)

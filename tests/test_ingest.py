@@ -131,3 +131,90 @@ def test_null_created_at_is_kept_in_storage_and_dropped_by_ranges(spark):
     assert back.count() == 3                                   # the undated row is stored (null partition)
     r = kpi(back, "2024-01-01", "2024-01-31").first()
     assert (r.number_of_transfers, r.volume_of_transfers) == (2, 30.0)   # and excluded by the range
+
+
+def _statuses(spark, rows):
+    from helpers import facts
+
+    return facts(spark, rows)
+
+
+def test_reingest_drops_months_without_rows(spark):
+    """A row that turned failed empties its month; the range must lose that month, others stay."""
+    from bridgelens import ingest
+    from helpers import transfer
+
+    rows = [transfer(1, "2024-01-05 10:00:00"), transfer(2, "2024-02-05 10:00:00"), transfer(3, "2024-03-05 10:00:00")]
+    path = scratch_path(spark, "reingest")
+    ingest(*_statuses(spark, rows), path, routers=TEST_ROUTERS)
+    assert load_bridge_events(spark, path).count() == 3
+    rows[1] = transfer(2, "2024-02-05 10:00:00", status="failed")
+    ingest(*_statuses(spark, rows), path, "2024-02-01", "2024-02-29", routers=TEST_ROUTERS)
+    assert {r.id for r in load_bridge_events(spark, path).collect()} == {1, 3}
+    # an open range covers every month
+    rows[0] = transfer(1, "2024-01-05 10:00:00", status="failed")
+    ingest(*_statuses(spark, rows), path, routers=TEST_ROUTERS)
+    assert {r.id for r in load_bridge_events(spark, path).collect()} == {3}
+    # half-open: from March on
+    rows[2] = transfer(3, "2024-03-05 10:00:00", status="failed")
+    ingest(*_statuses(spark, rows), path, "2024-03-15", None, routers=TEST_ROUTERS)
+    assert load_bridge_events(spark, path).count() == 0
+    assert not glob.glob(f"{path}/event_month=*")
+
+
+def test_an_empty_relation_loads(spark):
+    from bridgelens import ingest, kpi, time_series
+    from helpers import transfer
+
+    path = scratch_path(spark, "empty")
+    ingest(*_statuses(spark, [transfer(1, "2024-01-05 10:00:00", status="failed")]), path, routers=TEST_ROUTERS)
+    ev = load_bridge_events(spark, path)
+    assert ev.count() == 0 and ev.columns == [*EVENT_COLUMNS, "event_date", "event_month"]
+    r = kpi(ev, "2024-01-01", "2024-12-31").collect()
+    assert len(r) == 1 and r[0].number_of_transfers == 0 and r[0].median_bridged_volume is None
+    assert time_series(ev, "2024-01-01", "2024-12-31").collect() == []
+
+
+def test_days_are_utc_days_under_any_session_zone(spark):
+    """Zoned timestamps near midnight and month end: saved and in-plan days agree whatever the zone."""
+    from datetime import datetime, timezone
+
+    from bridgelens import time_series
+    from helpers import facts, transfer
+
+    when = ["2024-01-31 23:30:00", "2024-02-01 00:10:00", "2024-02-29 23:59:59", "2024-03-01 00:00:00"]
+    t, g = facts(spark, [transfer(i, w, price=10 * (i + 1)) for i, w in enumerate(when)])
+    utc = [datetime.fromisoformat(w).replace(tzinfo=timezone.utc) for w in when]
+    zoned = spark.createDataFrame(list(enumerate(utc)), "id long, at timestamp")
+    t = t.drop("created_at").join(zoned, "id").withColumnRenamed("at", "created_at").select(t.columns)
+    old, found = spark.conf.get("spark.sql.session.timeZone"), []
+    path = scratch_path(spark, "zones")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        save_bridge_events(bridge_events(t, g, TEST_ROUTERS), path)
+        for zone in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for ev in (bridge_events(t, g, TEST_ROUTERS), load_bridge_events(spark, path)):
+                days = time_series(ev, "2024-01-31", "2024-02-29", "day").collect()
+                found.append([(str(r.date), r.bridged_volume) for r in days])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert found == [[("2024-01-31", 10.0), ("2024-02-01", 20.0), ("2024-02-29", 30.0)]] * 6
+
+
+def test_cli_report_defaults_to_the_pages_range(spark):
+    from bridgelens.__main__ import _parser, main
+    from helpers import facts, transfer
+
+    t, g = facts(spark, [transfer(1, "2019-01-05 10:00:00"), transfer(2, "2024-05-05 10:00:00")])
+    path, out = scratch_path(spark, "cli-range"), scratch_path(spark, "cli-range-out")
+    save_bridge_events(bridge_events(t, g, TEST_ROUTERS), path)
+    assert main(["report", "--events", path, "--out", out], spark) == 0
+    assert spark.read.parquet(f"{out}/kpi").first().number_of_transfers == 1
+    assert main(["report", "--events", path, "--out", out + "-all", "--start", "all", "--end", "all"], spark) == 0
+    assert spark.read.parquet(f"{out}-all/kpi").first().number_of_transfers == 2
+    try:
+        _parser().parse_args(["report", "--events", path, "--out", out, "--routers", "x"])
+        raise AssertionError("report must not take routers: the relation is filtered already")
+    except SystemExit:
+        pass

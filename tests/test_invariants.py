@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bridgelens import (bridge_events, destination_chains, kpi, refresh, source_chains, time_series,
+from bridgelens import (bridge_events, destination_chains, kpi, load_bridge_events, refresh, source_chains, time_series,
                         top_chains, write_report)
 from bridgelens.functions.labels import with_display_names
 from bridgelens.session import scratch_path
@@ -52,10 +52,20 @@ def test_top10_is_prefix_of_ordered_report(ev, by):
 
 def test_refresh_page(spark, ev):
     t, g = fixture_transfers(spark, SF), fixture_gmp(spark, SF)
-    page = refresh(t, g, S, E, "week", TEST_ROUTERS)
+    page = refresh(t, g, S, E, "week", TEST_ROUTERS, path=scratch_path(spark, "refresh"))
     assert set(page) >= {"kpi", "time_series", "source_chain", "destination_chain", "top10_source_volume"}
     assert page["kpi"].first() == kpi(ev, S, E).first()
     assert page["time_series"].count() == time_series(ev, S, E, "week").count()
+    plan = page["top10_source_volume"]._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan  # the lists read the finished chain report
+
+
+def test_refresh_reads_and_writes_only_the_months_of_its_range(spark):
+    t, g = fixture_transfers(spark, SF), fixture_gmp(spark, SF)
+    path = scratch_path(spark, "refresh-range")
+    refresh(t, g, "1996-03-10", "1996-04-20", "day", TEST_ROUTERS, path=path)
+    months = {str(r[0]) for r in load_bridge_events(spark, path).select("event_month").distinct().collect()}
+    assert months == {"1996-03-01", "1996-04-01"}
 
 
 def test_report_sink_and_display_names(spark, ev):

@@ -39,10 +39,32 @@ def test_kpi_values_and_inclusive_end(small):
     assert r["average_bridged_volume"] == 19.0      # 112/6 = 18.67 -> 19
 
 
-def test_kpi_median_modes_agree(small):
+def test_kpi_median_agrees_with_sparks(small):
+    from pyspark.sql import functions as F
+
+    from bridgelens.operators.filters import in_date_range
+
     e = kpi(small, "2024-01-01", "2024-02-29").first()
-    s = kpi(small, "2024-01-01", "2024-02-29", median="spark").first()
-    assert e == s
+    s = in_date_range(small, "2024-01-01", "2024-02-29").agg(F.round(F.median("amount_usd"))).first()[0]
+    assert e.median_bridged_volume == s
+
+
+def test_an_overflowing_product_is_null(spark):
+    from helpers import facts, transfer
+
+    t, g = facts(spark, [transfer(1, "2024-01-05 10:00:00", amount=1e200, price=1e200),
+                         transfer(2, "2024-01-06 10:00:00", amount=2, price=10)])
+    ev = bridge_events(t, g, TEST_ROUTERS)
+    r = kpi(ev, "2024-01-01", "2024-01-31").first()
+    assert (r.number_of_transfers, r.volume_of_transfers, r.median_bridged_volume) == (2, 20.0, 20.0)
+    s = time_series(ev, "2024-01-01", "2024-01-31", "month").first()
+    assert (s.bridged_volume, s.total_bridged_volume, s.avg_bridged_volume) == (20.0, 20.0, 20.0)
+
+
+@pytest.mark.parametrize("text", ["2024-01-15garbage", "2024-01-20 not a date", "2024-13-01", "20240", ""])
+def test_garbage_dates_are_refused(small, text):
+    with pytest.raises(ValueError):
+        kpi(small, text, "2024-12-31")
 
 
 def test_kpi_empty_range(small):

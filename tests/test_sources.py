@@ -33,3 +33,36 @@ def test_orc_facts(spark):
     g.write.orc(gp)
     ev = bridge_events(read_transfers(spark, tp, "orc"), read_gmp(spark, gp, "orc"), TEST_ROUTERS)
     assert _rows(ev) == _rows(bridge_events(t, g, TEST_ROUTERS))
+
+
+def test_variant_gmp_scan_reads_the_wanted_paths_only(spark):
+    """Stored VARIANT: the scan lists the paths that are used, for either branch."""
+    from pyspark.sql import functions as F
+
+    from bridgelens.operators.extract import gmp_events, transfer_events
+    from bridgelens.session import scratch_path
+    from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_gmp, fixture_transfers
+
+    sf = "/root/testdata/sf0.001"
+    for facts, branch in ((fixture_gmp, gmp_events), (fixture_transfers, transfer_events)):
+        path = scratch_path(spark, "variant-facts")
+        facts(spark, sf).withColumn("data", F.try_parse_json("data")).write.parquet(path)
+        stored = spark.read.parquet(path)
+        out = branch(stored, TEST_ROUTERS)
+        plan = out.select("amount_usd", "raw_asset")._jdf.queryExecution().executedPlan().toString()
+        schema = plan[plan.index("ReadSchema"):]
+        assert "data:struct<0:" in schema and ":variant" not in schema.split("\n")[0]
+        text = branch(facts(spark, sf), TEST_ROUTERS)
+        key = lambda r: tuple("" if v is None else str(v) for v in r)
+        assert sorted(map(key, out.collect())) == sorted(map(key, text.collect()))
+
+
+def test_text_prefilter_keeps_escaped_addresses(spark):
+    from bridgelens.operators.extract import gmp_events
+    from helpers import facts, gmp
+    from bridgelens.sources.fixtures import TEST_ROUTERS
+
+    row = list(gmp(1, "2024-01-01 00:00:00", contract=TEST_ROUTERS[0]))
+    row[-1] = row[-1].replace("0xa1", "0x\\u0061\u0031".replace("\u0031", "1"))
+    _, g = facts(spark, [], [tuple(row), gmp(2, "2024-01-01 00:00:00", contract="0xdead")])
+    assert [r.id for r in gmp_events(g, TEST_ROUTERS).collect()] == [1]
