@@ -1,0 +1,381 @@
+"""Operators that compare texts with one another: 1, 4, 8, 9, 10, and the pipeline."""
+
+import copy
+import random
+
+import numpy as np
+import pytest
+from brute import base_scores, corpus, documents, held_out, near_components, prose, repeats
+
+from bridgelens.llm import components, decontaminate, minhash_forest, pst, sharding, suffix_bwt
+
+KEY = lambda r: tuple((x is not None, x) for x in r)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+# --- 9: repeated passages
+
+
+def test_bwt_merge_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        base = bytes(rng.choice(b"ab") for _ in range(200))
+        texts = list({base[(a := rng.randint(0, 120)) : a + rng.randint(50, 79)] if rng.random() < 0.7 else bytes(rng.choice(b"ab\x00\xc3") for _ in range(rng.randint(50, 80))) for _ in range(rng.randint(1, 40))})
+        ids = np.array([rng.randint(0, 99) for _ in texts])
+        least = {}
+        for x, i in zip(texts, ids.tolist(), strict=True):
+            for k in range(len(x) - 49):
+                least[x[k : k + 50]] = min(i, least.get(x[k : k + 50], i))
+        for size in (60, 500, 1 << 17):
+            place, interval = (shards := suffix_bwt.Shards(texts, size)).merge()
+            assert sorted(place.tolist()) == list(range(len(shards.data)))
+            assert (np.diff(interval) >= 0).all()
+        assert [g.tolist() for g in suffix_bwt.least_ids(texts, ids)] == [[least[x[k : k + 50]] for k in range(len(x) - 49)] for x in texts]
+
+
+def test_pieces_hold_each_window_once(monkeypatch):
+    rng = random.Random(5)
+    rows = [prose(rng, 200).encode(), b"", b"a" * 300, b"x" * 49, prose(rng, 30).encode(), b"ab" * 100]
+    monkeypatch.setattr(suffix_bwt, "_CHUNK", 97)
+    owner, first, last, _, begins = suffix_bwt.pieces(rows)
+    windows = [(o, k) for o, a, b in zip(owner, first, last, strict=True) for k in range(a, b + 1)]
+    assert windows == [(o, begins[o] + k) for o, x in enumerate(rows) for k in range(len(x) - 49)]
+    cut = (owner.tolist(), first.tolist(), last.tolist())
+    monkeypatch.setattr(suffix_bwt, "_CHUNK", 1 << 17)
+    assert cut == tuple(x.tolist() for x in suffix_bwt.pieces(rows)[:3])
+
+
+def test_repeated_passages(spark, rows):
+    found = suffix_bwt.repeated_passages(documents(spark, rows)).collect()
+    want = repeats(rows)
+    assert sorted(map(tuple, found), key=KEY) == sorted(((i, *want[i, t]) for i, t in rows), key=KEY)
+    assert suffix_bwt.repeated_passages(documents(spark, [])).collect() == []
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 40), prose(rng, 40)
+    some = [(1, a), (1, f"{b} {a}"), (2, b), (0, "short"), (3, a)]
+    found = suffix_bwt.repeated_passages(documents(spark, some)).collect()
+    want = repeats(some)
+    assert sorted(map(tuple, found), key=KEY) == sorted(((i, *want[i, t]) for i, t in some), key=KEY)
+
+
+def test_cut_repeats(spark, rows):
+    docs = documents(spark, rows)
+    out = suffix_bwt.cut_repeats(docs)
+    assert out.columns == docs.columns
+    want = repeats(rows)
+    got = sorted(((r["doc_id"], len((r["text"] or "").encode())) for r in out.collect()), key=KEY)
+    assert got == sorted(((i, want[i, t][0] - want[i, t][1]) for i, t in rows if i is None or not t or want[i, t][0] > want[i, t][1]), key=KEY)
+    assert out.where("n_chars <> coalesce(char_length(text), 0)").count() == 0
+
+
+# --- 4: near-duplicates
+
+
+def test_near_duplicates(spark, rows):
+    found = minhash_forest.near_duplicates(documents(spark, rows)).collect()
+    want = near_components(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found), key=KEY) == sorted(((i, *want[i, t]) for i, t in rows), key=KEY)
+    kept = minhash_forest.keep_one(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is not None, x)) == sorted((i for i, t in rows if want[i, t][2]), key=lambda x: (x is not None, x))
+
+
+def test_near_duplicates_of_few_rows(spark):
+    assert minhash_forest.near_duplicates(documents(spark, [])).collect() == []
+    found = minhash_forest.near_duplicates(documents(spark, [(5, "a b c"), (2, "A  b\nc"), (3, ""), (4, None), (1, "a b")])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 2, False)]
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark):
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    some = []
+    for i in range(400):
+        words = base[:]
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"w{i}x{rng.randrange(1000)}"
+        some.append((i, " ".join(words)))
+    some += [(1000 + i, prose(rng, 100)) for i in range(40)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(documents(spark, some)).collect()}
+    want = near_components(some)
+    assert found == {i: want[i, t][1] for i, t in some}
+
+
+def test_region_pairs_connect_every_region():
+    rng = np.random.default_rng(2)
+    for spread in (1, 2, 5):
+        keys = rng.integers(0, spread + 1, size=(500, minhash_forest.DEPTH)).astype(np.uint32)
+        keys[:, : minhash_forest.LEAST] = 7
+        keys = keys[np.lexsort(keys.T[::-1])]
+        a, b, _ = minhash_forest.candidates_of(np.zeros(500, dtype=np.int32), keys, np.arange(500), np.full(500, 10))
+        parent = list(range(500))
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            parent[root(x)] = root(y)
+        assert len({root(x) for x in range(500)}) == 1
+        assert len(a) < 500 * (minhash_forest.REGION + minhash_forest.DEPTH)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert found == {x: root(x) for x in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# --- 1: benchmark leaks
+
+
+def bench(spark, items):
+    return spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+
+
+def edited(rng, text, n):
+    chars = list(text)
+    for _ in range(n):
+        k, how = rng.randrange(len(chars)), rng.random()
+        if how < 0.34:
+            chars[k] = rng.choice("abcxyz")
+        elif how < 0.67:
+            del chars[k]
+        else:
+            chars.insert(k, rng.choice("abcxyz"))
+    return "".join(chars)
+
+
+def test_leaks(spark):
+    rng = random.Random(21)
+    items = [(k, prose(rng, 25)) for k in range(12)] + [(50, "tiny one"), (51, None), (None, prose(rng, 30)), (52, "")]
+    clean = [(i, prose(rng, rng.randint(20, 200))) for i in range(60)]
+    dirty = [(100 + k, f"{clean[k][1]} {items[k][1].upper()} {clean[k + 1][1]}") for k in range(6)]
+    dirty += [(200 + k, f"{clean[k][1]} {edited(rng, items[k][1][:79], 5)} {clean[k + 1][1]}") for k in range(6, 12)]
+    dirty += [(300, items[14][1]), (None, items[3][1])]
+    docs = documents(spark, [*clean, *dirty, dirty[0], (400, None), (401, ""), (402, "tiny one"), (403, prose(rng, 8000))])
+    want = {(100 + k, k) for k in range(6)} | {(200 + k, k) for k in range(6, 12)} | {(300, None), (None, 3)}
+    for part_bytes in (1 << 24, 900):
+        found = decontaminate.leaks(docs, bench(spark, items), part_bytes).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
+    exact = {r["doc_id"]: r for r in found if r["doc_id"] in range(100, 106)}
+    assert all(r["edits"] == 0 for r in exact.values())
+    kept = decontaminate.drop_leaking(docs, bench(spark, items), 900)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean} | {400, 401, 402, 403}
+
+
+def test_leaks_of_empty_tables(spark):
+    docs = documents(spark, [(1, "some text")])
+    assert decontaminate.leaks(docs, bench(spark, [])).collect() == []
+    assert decontaminate.leaks(documents(spark, []), bench(spark, [(1, "some text " * 10)])).collect() == []
+    assert decontaminate.drop_leaking(docs, bench(spark, [])).count() == 1
+
+
+def test_alignment_against_edit_distance():
+    def distance(pattern, text):
+        """Least edits of the pattern against any stretch of the text."""
+        row = [0] * (len(text) + 1)
+        for i, p in enumerate(pattern, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    rng = random.Random(33)
+    for _ in range(60):
+        item = prose(rng, 14)[:79].strip()
+        index = decontaminate.Index([(0, item)])
+        m, e = len(index.chars[0]), int(index.edits[0])
+        doc = f"{prose(rng, 20)} {edited(rng, item, rng.randint(0, 12))} {prose(rng, 20)}".lower()
+        doc = " ".join(doc.split())
+        pattern = index.chars[0].tobytes().decode("utf-32-le")
+        assert len(index.chars) == 1 and m == len(pattern)
+        assert bool(index.search([decontaminate.normal(doc)])) == (distance(pattern, doc) <= e)
+
+
+def test_hits_in_parts(monkeypatch):
+    text = "ab" * 2000
+    index = decontaminate.Index([(0, "ab" * 50)])
+    want = index.search([decontaminate.normal(text)])
+    monkeypatch.setattr(decontaminate, "HITS", 100)
+    assert index.search([decontaminate.normal(text)]) == want and want
+
+
+# --- 8: language-model scores
+
+
+def test_scores(spark, rows):
+    found = pst.score(documents(spark, rows), block_bytes=4000).collect()
+    n, want = base_scores(rows)
+    assert len(found) == len(rows)
+    have = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found), key=KEY)
+    assert have == sorted(((i, held_out(i), *want[i, t][:2], round(want[i, t][2], 6)) for i, t in rows), key=KEY)
+    assert {r["train_tokens"] for r in found} == {n}
+    assert all(r["score"] < 0 for r in found)
+
+
+def plain_score(tree, words):
+    """The model by its definition: longest kept suffix, distributions smoothed from the root down."""
+    kept = [{int(c): k for k, c in enumerate(nodes)} for nodes, *_ in tree.nodes]
+    counts = [{(int(r), int(s)): float(n) for r, s, n in zip(row, symbol, number, strict=True)} for _, _, row, symbol, number in tree.nodes]
+
+    def longest(context, d):
+        while d and (context & ((1 << 8 * d) - 1)) not in kept[d]:
+            d -= 1
+        return d
+
+    def p(context, d, symbol):
+        if d == 0:
+            total = tree.nodes[0][1][0] if len(tree.nodes[0][1]) else 0
+            return (counts[0].get((0, symbol), 0) + 1) / (total + 257)
+        code = context & ((1 << 8 * d) - 1)
+        k = kept[d][code]
+        weight = pst.SMOOTHING * sum(r == k for r, _ in counts[d])
+        return (counts[d].get((k, symbol), 0) + weight * p(context, longest(context, d - 1), symbol)) / (tree.nodes[d][1][k] + weight)
+
+    context, total = int.from_bytes(bytes([pst.PAD]) * pst.DEPTH, "big"), 0.0
+    for symbol in b" ".join(words) + bytes([pst.END]):
+        total += np.log10(p(context, longest(context, pst.DEPTH), symbol))
+        context = ((context << 8) | symbol) & ((1 << 8 * pst.DEPTH) - 1)
+    return total
+
+
+def test_automaton_against_the_definition(spark, rows, monkeypatch):
+    monkeypatch.setattr(pst, "LANES", 7)
+    monkeypatch.setattr(pst, "LEAST_SHARE", 1e-4)
+    docs = documents(spark, rows).select("doc_id", "text")
+    tree = pst.learn(docs.where(pst.is_training()))
+    assert sum(len(n[0]) for n in tree.nodes[2:]) > 100
+    texts = [pst.words((t or "").encode()) for _, t in rows if len(t or "") < 2000] + [pst.words(b"\x7f\x01 unseen \xf0\x9f\x98\x80 bytes")]
+    got = tree.automaton().score(*pst.symbols(texts))
+    for x, score in zip(texts, got, strict=True):
+        assert abs(plain_score(tree, x) - score) < 1e-4 * max(1, abs(score))
+
+
+def test_distributions_sum_to_one(spark, rows):
+    docs = documents(spark, rows).select("doc_id", "text")
+    machine = pst.learn(docs).automaton()
+    unseen = 257 - (len(np.unique(machine.classes)) - 2)  # values of the last class, the pad aside
+    total = (10.0 ** machine.log.astype(float))
+    pad = machine.classes[pst.PAD]
+    mass = total.sum(axis=1) - total[:, pad] + total[:, -1] * (unseen - 1)
+    assert (mass < 1.0 + 1e-3).all() and (mass > 0.9).all()
+
+
+def test_longer_contexts_score_held_out_texts_better(spark):
+    rng = random.Random(4)
+    some = [(i, prose(rng, 150)) for i in range(200)]
+    docs = documents(spark, some).select("doc_id", "text")
+    tree = pst.learn(docs.where(pst.is_training()))
+    held = pst.symbols([pst.words(t.encode()) for i, t in some if held_out(i)])
+    scores = []
+    for depth in (0, 2, 5):
+        cut = copy.copy(tree)
+        cut.nodes = [n if d <= depth else tuple(x[:0] for x in n) for d, n in enumerate(tree.nodes)]
+        scores.append(cut.automaton().score(*held).sum())
+    assert scores[0] < scores[1] < scores[2]  # log probabilities: nearer to 0 is better
+
+
+def test_scores_without_training_texts(spark):
+    held = next(i for i in range(100) if held_out(i))
+    found = pst.score(documents(spark, [(held, "a b")])).first()
+    assert (found["n_tokens"], found["n_known"], found["train_tokens"], found["base_score"]) == (3, 0, 0, 0.0)
+    assert abs(found["score"] - 4 * np.log10(1 / 257)) < 1e-3
+    assert pst.score(documents(spark, [])).collect() == []
+
+
+# --- 10: sharding
+
+
+def test_shards(spark, rows):
+    import zlib
+
+    docs = documents(spark, rows)
+    out = sharding.shard(docs, shards=5)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "size", "text_crc32", "shard", "slot"]
+    found = out.collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in found), key=KEY) == sorted(((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows), key=KEY)
+    by = {}
+    for r in found:
+        by.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in by.values())
+    largest = max(r["size"] for r in found)
+    total = sum(r["size"] for r in found)
+    assert all(abs(sum(r["size"] for r in part) - total / 5) <= 2 * largest for part in by.values())
+
+
+def test_one_hot_text_is_divided(spark):
+    some = [(i, "the same text in every row") for i in range(2000)] + [(5000 + i, f"other text {i}") for i in range(1000)]
+    found = sharding.shard(documents(spark, some), shards=24).collect()
+    sums = {}
+    for r in found:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+    assert sorted(sums) == list(range(24)) and max(sums.values()) - min(sums.values()) <= 0.1 * sum(sums.values()) / 24
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found))) for s in sums)
+
+
+def test_shards_of_few_rows(spark):
+    assert sharding.shard(documents(spark, [])).collect() == []
+    found = sharding.shard(documents(spark, [(1, "a"), (1, "a"), (None, None)])).collect()
+    assert sorted(r["size"] for r in found) == [8, 9, 9] and all(0 <= r["shard"] < 24 for r in found)
+
+
+def test_sharding_runs_no_python(spark, rows):
+    plan = sharding.shard(documents(spark, rows))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+# --- the pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from brute import quality_base
+
+    rng = random.Random(31)
+    rows = corpus(seed=31, n=50)
+    rows = [(i, t) for i, t in rows if i is not None]
+    rows = list(dict(rows).items())
+    item = prose(rng, 30)
+    rows += [(700, f"{prose(rng, 40)} {item} {prose(rng, 40)}")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [(i, t) for i, t in rows if not quality_base(t)[5]]
+    groups = near_components(left)
+    left = [(i, t) for i, t in left if groups[i, t][2]]
+    cut = repeats(left)
+    sizes = {i: cut[i, t][0] - cut[i, t][1] for i, t in left if cut[i, t][0] > cut[i, t][1]}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
+    assert kept == {i: n for i, n in sizes.items() if i != 700}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 2048)
