@@ -1,25 +1,31 @@
 """Token ids of whole texts by the tokenizers library, computed once per distinct stretch of text.
 
 Both public tokenizers split a text before they merge, and no piece of that split reaches from a
-non-space over a following white space.  So a text may be cut before every run of white space
-that follows a non-space, and the ids of the whole are those of its cuts, joined.  Texts with
-white space outside ASCII, where libraries differ on what white space is, are encoded whole.
-Tests compare the result with the library's own on whole texts.
+non-space over a following white space, nor from a letter or digit over a following comma or full
+stop.  So a text may be cut at those places, and the ids of the whole are those of its cuts, joined.
+Texts with white space outside ASCII, where libraries differ on what white space is, are encoded
+whole.  Tests compare the result with the library's own on whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: Distinct stretches that a worker remembers; beyond it, it forgets all and goes on (results do not change).
-CACHE = 600_000
+CACHE = 1_000_000
 #: Longer stretches are encoded, but not remembered.
 LONG = 64
 
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = re.compile("[\x01-\x04\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = re.compile(r"\s\s")
 _STRETCH = re.compile(r"\s*\S+|\s+")
+_COMMA = re.compile(r", (?<=[^\W_], )")
+_STOP = re.compile(r"[.] (?<=[^\W_][.] )")
+#: Marks of stretches that do not follow a space: comma, full stop, line end, and a stretch after a line end.
+_MARKS = {"\x01": ",", "\x02": ".", "\x03": "\n"}
+_AFTER_LINE = "\x04"
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,50 +46,41 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        #: stretches that stand for themselves, and those that stand after one space
-        self.alone: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        #: the ids of stretches by their mark or, without one, as they stand after a space
+        self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cuts(self, text: str) -> tuple[list[str], bool]:
-        """The stretches of a text; whether each but the first stands for itself after one space."""
+    def _cuts(self, text: str) -> list[str]:
+        """The stretches of a text, marked where they do not follow a space."""
         if _ODD.search(text):
-            return [text], False
+            return [_AFTER_LINE + text]
         if not self.keeps_space:
-            return text.split(), False
+            return _STOP.sub(" . ", _COMMA.sub(" , ", text)).split()
         if text[:1].isspace() or text[-1:].isspace() or _DOUBLE.search(text):
-            return _STRETCH.findall(text), False
-        return text.split(" "), True
+            return [_AFTER_LINE + x for x in _STRETCH.findall(text)]
+        text = _AFTER_LINE + text.replace("\n", " \x03 " + _AFTER_LINE)
+        return _STOP.sub(" \x02 ", _COMMA.sub(" \x01 ", text)).split(" ")
+
+    def _surface(self, part: str) -> str:
+        """What the library is asked to encode for a stretch."""
+        if part[:1] == _AFTER_LINE:
+            return part[1:]
+        return (_MARKS.get(part) or " " + part) if self.keeps_space else part
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cuts(t) for t in texts]
-        alone, spaced = set(), set()
-        for parts, after_space in cut:
-            if after_space:
-                alone.add(parts[0])
-                spaced.update(parts[1:])
-            else:
-                alone.update(parts)
-        if len(self.alone) + len(self.spaced) + len(alone) + len(spaced) > CACHE:
-            self.alone, self.spaced = {}, {}
-        long = self._learn(self.alone, alone, ""), self._learn(self.spaced, spaced, " ")
-        first, rest = self.alone, self.spaced
-        out = [first[parts[0]] + b"".join([rest[x] for x in parts[1:]]) if after_space else b"".join([first[x] for x in parts]) for parts, after_space in cut]
-        for known, gone in zip((first, rest), long, strict=True):
-            for x in gone:
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        new = list(set().union(*(set(parts).difference(known) for parts in cut)))
+        found = self.library.encode_batch_fast([self._surface(x) for x in new], add_special_tokens=False)
+        known.update(zip(new, (array("I", x.ids).tobytes() for x in found), strict=True))
+        ids = known.__getitem__
+        out = [b"".join(map(ids, parts)) for parts in cut]
+        for x in new:
+            if len(x) > LONG:
                 del known[x]
         return out
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> list[str]:
-        """Encode what is not known yet, each part after ``before``; returns the parts too long to keep."""
-        new = [x for x in parts if x not in known]
-        known.update(zip(new, self._ids([before + x for x in new] if before else new), strict=True))
-        return [x for x in new if len(x) > LONG]
-
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
