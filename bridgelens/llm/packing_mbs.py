@@ -27,7 +27,7 @@ from bridgelens.llm.tokenizing import encoder, tokenizer_path
 CAPACITY = 2048
 END = 0
 #: Pieces that one task numbers together.
-NUMBERED = 50_000
+NUMBERED = 500
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
