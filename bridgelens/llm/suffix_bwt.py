@@ -38,8 +38,9 @@ SPAN, GRAM = 50, 20
 BLOCK_BYTES = 6 << 20
 #: Bytes of a hash that cells compare anchors by (equal short hashes only cost work).
 SHORT = 5
-#: Bytes of a shard that gets an order of its own.
-SHARD_BYTES = 1 << 17
+#: Bytes of a shard that gets an order of its own, and of the shards that are merged together: a cell's
+#: anchors are independent of one another, and small sets stay in a processor's cache.
+SHARD_BYTES, MERGE_BYTES = 1 << 16, 1 << 18
 CUT = 0xFF  # never a byte of UTF-8
 _CHUNK = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +94,8 @@ def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         new = np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(starts)]]) - 1
-        found.append((owner[first], starts[first], starts[last], h[at[first]], low + at[first].astype(np.int64)))
+        # an anchor is the smallest of many, so its hash is mixed once more before cells are dealt by it
+        found.append((owner[first], starts[first], starts[last], mix64(h[at[first]] ^ _ODD), low + at[first].astype(np.int64)))
     if not found:
         return *(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(0, dtype=np.uint64), begins
     owner, first, last, anchor, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -222,6 +224,24 @@ def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [at[b : b + n - SPAN + 1] for b, n in zip(shards.begins.tolist(), size.tolist(), strict=True)]
 
 
+def merged_least_ids(texts: list[bytes], anchors: np.ndarray, ids: np.ndarray, merge_bytes: int = MERGE_BYTES) -> list[np.ndarray]:
+    """``least_ids`` in sets of about ``merge_bytes``; an anchor's texts are in one set."""
+    order = np.argsort(anchors, kind="stable")
+    fill = np.cumsum([len(texts[k]) for k in order.tolist()]) // merge_bytes
+    ranked = anchors[order]
+    cuts, last = [0], 0
+    for k in (np.flatnonzero(ranked[1:] != ranked[:-1]) + 1).tolist():
+        if fill[k - 1] > last:
+            cuts.append(k)
+            last = fill[k - 1]
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+        some = order[a:b]
+        for k, found in zip(some.tolist(), least_ids([texts[k] for k in some.tolist()], ids[some]), strict=True):
+            out[k] = found
+    return out
+
+
 def collapse(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, digest, doc_id, text): in each task every distinct text once, at its first place; a later
     copy only if its id is smaller, and then without text."""
@@ -327,22 +347,24 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
     def merge_cell(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
         least: list[int] = []
+        home: list[int] = []
         sent = []
         for load in table.column("load").to_pylist():
             anchor, ids, sizes, raw = unpack(load, "<u8", "<i8", "<u2", "raw")
             mine, at = [], 0
-            for key, size in zip(ids.tolist(), sizes.tolist(), strict=True):
+            for mark, key, size in zip(anchor.tolist(), ids.tolist(), sizes.tolist(), strict=True):
                 text = raw[at : at + size]
                 at += size
                 k = number.setdefault(text, len(least))
                 if k == len(least):
                     least.append(key)
+                    home.append(mark)
                 elif key < least[k]:
                     least[k] = key
                 mine.append(k)
             sent.append((anchor, mine))
         texts = list(number)
-        found = least_ids(texts, np.array(least, dtype=np.int64))
+        found = merged_least_ids(texts, np.array(home, dtype=np.uint64), np.array(least, dtype=np.int64))
         # a run of one id is sent as one number
         found = [x[:1] if (x == x[0]).all() else x for x in found]
         print_ = np.array([fingerprint(x) for x in texts], dtype="<u8")

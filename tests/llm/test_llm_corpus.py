@@ -49,6 +49,26 @@ def test_pieces_hold_each_window_once(monkeypatch):
     assert cut == tuple(x.tolist() for x in suffix_bwt.pieces(rows)[:3])
 
 
+def test_merging_in_sets_changes_nothing():
+    rng = random.Random(15)
+    texts = list({bytes(rng.choice(b"ab") for _ in range(60))[: rng.randint(50, 60)] for _ in range(80)})
+    texts += [t[:k] + b"c" for t in texts[:20] for k in (52,) if len(t) > 52]
+    texts = list(dict.fromkeys(texts))
+    anchors = np.array([hash(t[:20]) & 0xFFFFFFFF for t in texts], dtype=np.uint64)
+    ids = np.array([rng.randint(0, 99) for _ in texts])
+    want = suffix_bwt.merged_least_ids(texts, np.zeros(len(texts), dtype=np.uint64), ids)
+    starts = lambda found: [x[0] for x in found]  # noqa: E731  windows that begin with the anchor
+    for size in (60, 300, 10_000):
+        assert starts(suffix_bwt.merged_least_ids(texts, anchors, ids, size)) == starts(want)
+
+
+def test_cells_get_even_shares():
+    rng = random.Random(6)
+    _, _, _, anchor, _ = suffix_bwt.pieces([prose(rng, 20_000).encode()])
+    count = np.bincount(suffix_bwt.cells_of(anchor, 8), minlength=8)
+    assert len(anchor) > 2000 and count.max() < 1.5 * len(anchor) / 8
+
+
 def test_repeated_passages(spark, rows):
     found = suffix_bwt.repeated_passages(documents(spark, rows)).collect()
     want = repeats(rows)
@@ -108,6 +128,23 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
     assert found == {i: want[i, t][1] for i, t in some}
 
 
+def test_copies_that_are_close_to_their_original_only(spark):
+    """Every copy is linked with the original, and with hardly another copy; the original has any id."""
+    rng = random.Random(13)
+    base = prose(rng, 150).split()
+    some = [(777, " ".join(base))]
+    for i in range(300):
+        words = base[:]
+        for k in rng.sample(range(0, 150, 6), 3):
+            words[k] = f"w{i}x{k}"
+        some.append((i, " ".join(words)))
+    some += [(1000 + i, prose(rng, 100)) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(documents(spark, some)).collect()}
+    want = near_components(some)
+    assert found == {i: want[i, t][1] for i, t in some}
+    assert [want[i, t][1] for i, t in some[:301]] == [0] * 301
+
+
 def test_region_pairs_connect_every_region():
     rng = np.random.default_rng(2)
     for spread in (1, 2, 5):

@@ -12,12 +12,6 @@ from bridgelens.llm import html_ctd, packing_mbs, quality_gbt, token_files, toke
 from bridgelens.session import scratch_path
 
 
-def by_row(rows, found):
-    """The found rows in the order of ``rows``; rows repeated exactly come repeated."""
-    assert len(found) == len(rows)
-    return found
-
-
 def test_encoder_matches_the_library_on_whole_texts():
     from tokenizers import Tokenizer
 
@@ -272,7 +266,7 @@ def test_html_page():
 def test_html_odd_pages():
     assert html_ctd.main_text(None) == "" == html_ctd.main_text("") == html_ctd.main_text("<html><body></body>")
     assert html_ctd.main_text("just text &am") == "just text &am"
-    assert html_ctd.main_text("<article><p>cut here <b>and<") == "cut here and<" or True
+    assert html_ctd.main_text("<article><p>cut here <b>and</") == "cut here and"
     assert html_ctd.main_text("<article><p>cut here</p><p>and the</arti") == "cut here and the"
     assert html_ctd.main_text("<body><article><p>1 < 2 and 3 > 2</p></article>") == "1 < 2 and 3 > 2"
     deep = "<div>" * 20000 + "<p>deep text</p>"
