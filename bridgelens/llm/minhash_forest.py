@@ -3,9 +3,11 @@
 Documents with one set of shingles are one node.  Every node has TREES signatures of DEPTH
 min-hashes; each tree is the order of all nodes by their signature there.  Neighbours in that order
 that share LEAST values or more lie in one region.  In a small region all pairs are candidates; a
-region with more than REGION nodes is taken one value deeper, as often as it takes, and its parts stay
-connected through their first nodes (hubs).  So the depth follows the crowd, and a node has a bounded
-number of candidates in a tree, while every group of close texts remains linked.
+region with more than REGION nodes (a crowd) is taken one value deeper, as often as it takes, and its
+neighbours stay candidates.  So the depth follows the crowd.  Many copies of one original may each be
+close to it and not to one another; so every node of a crowd is also a candidate with the crowd's hub.
+The original follows the most common values in almost every tree, a copy only in some: the node that does
+so most often, over all trees, is the hub.
 
 Every candidate is confirmed on the full sets; links within what earlier links already connect
 need no confirmation, as only connections are asked for.  A pair at similarity 0.75 shares
@@ -108,8 +110,8 @@ def shared_values(keys: np.ndarray) -> np.ndarray:
 def region_pairs(lcp: np.ndarray, least: int, low: int, high: int, out: list[tuple[int, int, int]]) -> None:
     """Candidates (row, row, round) of the sorted rows low..high-1, which share ``least`` values.
 
-    Round 1: pairs of neighbours and of each row with the first, enough to connect a group of copies;
-    round 2: all other pairs of a small region.
+    Round 1: pairs of neighbours, and in a small region of each row with the first; round 2: all other
+    pairs of a small region.
     """
     todo = [(low, high, least)]
     while todo:
@@ -124,11 +126,34 @@ def region_pairs(lcp: np.ndarray, least: int, low: int, high: int, out: list[tup
             else:
                 todo += [(a, b, depth + 1) for a, b in zip(starts, [*starts[1:], high], strict=True) if b - a > 1]
         out += [(a, b, 1) for a, b in zip(hubs, hubs[1:], strict=False)]
-        out += [(hubs[0], b, 1) for b in hubs[2:]]
         if len(hubs) <= REGION:
+            out += [(hubs[0], b, 1) for b in hubs[2:]]
             out += [(hubs[i], hubs[j], 2) for i in range(1, len(hubs)) for j in range(i + 2, len(hubs))]
 
 
+def agreement(lcp: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For the sorted rows low..high-1, which share LEAST values: how many more values each shares with the
+    most common ones, taken one after another."""
+    out, a, b = np.zeros(high - low, dtype=np.int64), low, high
+    for depth in range(LEAST, DEPTH):
+        starts = np.concatenate([[a], a + 1 + np.flatnonzero(lcp[a + 1 : b] <= depth), [b]])
+        most = int(np.argmax(np.diff(starts)))
+        a, b = int(starts[most]), int(starts[most + 1])
+        out[a - low : b - low] += 1
+    return out
+
+
+def crowds_of(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, agreement) of every row in a region with more than REGION nodes, rows sorted by (tree, key)."""
+    lcp = shared_values(keys)
+    lcp[1:][tree[1:] != tree[:-1]] = 0
+    edges = np.flatnonzero(lcp < LEAST)
+    found = [(np.arange(low, high), agreement(lcp, int(low), int(high))) for low, high in zip(edges, [*edges[1:], len(lcp)], strict=True) if high - low > REGION]
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def candidates_of(tree: np.ndarray, keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (a < b, round) among rows sorted by (tree, key)."""
     lcp = shared_values(keys)
@@ -162,7 +187,8 @@ def forest_pairs(nodes: DataFrame) -> DataFrame:
 
     Each order is dealt out by ranges of the whole (tree, signature, node), so that a crowded region
     spreads over tasks; every task also hands on the first and last row it saw, and those meet in
-    a second pass that links regions across the tasks' edges.
+    a second pass that links regions across the tasks' edges.  The rows of crowds are handed on as
+    well; a hub for each is the maximum of an aggregation, so a crowd is never gathered anywhere.
     """
     width = 4 * DEPTH
 
@@ -184,7 +210,11 @@ def forest_pairs(nodes: DataFrame) -> DataFrame:
             none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())
             main = pa.table([pa.array(a), pa.array(b), pa.array(r.astype(np.int32)), *none], names=["a", "b", "round", "tree", "key", "n_shingles"])
             edge = pa.table([ends.column("node"), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), ends.column("tree"), ends.column("key"), ends.column("n_shingles")], names=main.column_names)
-            return pa.concat_tables([main, edge]).combine_chunks().to_batches()[0]
+            row, agrees = crowds_of(tree, keys)
+            there = rows.take(pa.array(row))
+            begin = [k[: 4 * LEAST] for k in there.column("key").to_pylist()]
+            crowd = pa.table([there.column("node"), pa.nulls(len(row), pa.int64()), pa.array(agrees.astype(np.int32)), there.column("tree"), pa.array(begin, pa.binary()), there.column("n_shingles")], names=main.column_names)
+            return pa.concat_tables([main, edge, crowd]).combine_chunks().to_batches()[0]
 
         for part in batches:
             held.append(part)
@@ -202,20 +232,63 @@ def forest_pairs(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "n_shingles", "signature").mapInArrow(spread, "tree int, key binary, node long, n_shingles long")
     rows = rows.repartitionByRange(F.col("tree"), F.col("key"), F.col("node")).sortWithinPartitions("tree", "key", "node")
     found = materialize(rows.mapInArrow(pairs, _PAIRS), "forest-pairs")
-    edges = found.where(F.col("b").isNull()).select("tree", "key", F.col("a").alias("node"), "n_shingles")
+    edges = found.where("b IS NULL AND round IS NULL").select("tree", "key", F.col("a").alias("node"), "n_shingles")
     more = edges.groupBy("tree").applyInArrow(join_edges, "a long, b long, round int")
-    main = found.where(F.col("b").isNotNull()).select("a", "b", "round")
-    return main.union(more).groupBy("a", "b").agg(F.min("round").alias("round"))
+    main = found.where("b IS NOT NULL").select("a", "b", "round")
+    return main.union(more).union(hub_pairs(found.where("b IS NULL AND round IS NOT NULL"))).groupBy("a", "b").agg(F.min("round").alias("round"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``docs`` has a row for each node."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def hub_pairs(crowds: DataFrame) -> DataFrame:
+    """(a, b, round) of each row of ``crowds`` (a, round: its agreement, tree, key, n_shingles) with its crowd's hub."""
+    votes = crowds.groupBy("a").agg(F.sum(F.col("round") + 1).alias("votes"))
+    rows = crowds.join(votes, "a").select("tree", "key", "a", "n_shingles", "votes")
+    best = F.max(F.struct("votes", (-F.col("a")).alias("least"), F.col("n_shingles").alias("size")))
+    hubs = rows.groupBy("tree", "key").agg(best.alias("hub")).select("tree", "key", (-F.col("hub.least")).alias("hub"), F.col("hub.size").alias("size"))
+    close = 100 * F.least("n_shingles", "size") >= SIMILARITY * F.greatest("n_shingles", "size")
+    pairs = rows.join(hubs, ["tree", "key"]).where((F.col("a") != F.col("hub")) & close)
+    return pairs.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(1).alias("round")).distinct()
+
+
+#: Bits of the filter that tells which documents are candidates at all (4 MB, whatever the input), and
+#: the share of set bits beyond which a join tells it instead.
+FILTER_BITS, FULL = 1 << 25, 0.3
+
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """A bit for each place that the hash of an id in ``ids`` (node) falls on; None if too many are set."""
+    places = ids.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("place"))
+    words = places.groupBy(F.expr("place DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 32 AS INT)))").alias("bits"))
+    found = words.toPandas()
+    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out if np.bitwise_count(out).sum() <= FULL * FILTER_BITS else None
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the full sets of the documents that ``nodes`` (node) names, and of a few more.
+
+    Their texts are not moved: a filter of fixed size, broadcast, drops the others as they are read.
+    """
+    named = nodes.distinct()
+    bits = id_filter(named)
+    docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    if bits is None:
+        docs = docs.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
+            if sent.value is not None:
+                place = part.column("place").to_numpy()
+                part = part.filter(pa.array((sent.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(x).tobytes() for x in texts(part.column("text"))], pa.binary())], names=["node", "shingles"])
 
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "node long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; ``docs`` has a row for each node."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             keep = []
@@ -226,8 +299,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
-    found = docs.join(needed, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
-    found = materialize(found, "shingle-sets")
+    found = materialize(shingle_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "shingle-sets")
     left = found.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = found.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
