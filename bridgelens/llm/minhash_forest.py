@@ -9,6 +9,11 @@ close to it and not to one another; so every node of a crowd is also a candidate
 The original follows the most common values in almost every tree, a copy only in some: the node that does
 so most often, over all trees, is the hub.
 
+What these links leave of a crowd in more than one component is compared exactly: of two similar sets
+with shingles in one order, rare ones first, the beginnings share a shingle.  How long a beginning must be follows
+from both sizes, so sets meet by shingle and classes of sizes, and a template that many texts share without
+being similar lies behind the beginnings.  A region that a task's edge may cut is taken like a crowd.
+
 Every candidate is confirmed on the full sets; links within what earlier links already connect
 need no confirmation, as only connections are asked for.  A pair at similarity 0.75 shares
 3 values in one of 20 trees at least with probability 1 - 2e-5, at 0.8 with 1 - 6e-7.
@@ -144,11 +149,12 @@ def agreement(lcp: np.ndarray, low: int, high: int) -> np.ndarray:
 
 
 def crowds_of(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, agreement) of every row in a region with more than REGION nodes, rows sorted by (tree, key)."""
+    """(row, agreement) of every row in a region with more than REGION nodes, or one at either end of the
+    rows, which may go on beyond; rows sorted by (tree, key)."""
     lcp = shared_values(keys)
     lcp[1:][tree[1:] != tree[:-1]] = 0
     edges = np.flatnonzero(lcp < LEAST)
-    found = [(np.arange(low, high), agreement(lcp, int(low), int(high))) for low, high in zip(edges, [*edges[1:], len(lcp)], strict=True) if high - low > REGION]
+    found = [(np.arange(low, high), agreement(lcp, int(low), int(high))) for low, high in zip(edges, [*edges[1:], len(lcp)], strict=True) if high - low > REGION or low == 0 or high == len(lcp)]
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -182,8 +188,8 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return batch.column("tree").to_numpy(), keys, batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy()
 
 
-def forest_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, round) of ``nodes`` (node, n_shingles, signature).
+def forest_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, round) of ``nodes`` (node, n_shingles, signature), and the rows of crowds (tree, key, node).
 
     Each order is dealt out by ranges of the whole (tree, signature, node), so that a crowded region
     spreads over tasks; every task also hands on the first and last row it saw, and those meet in
@@ -235,7 +241,9 @@ def forest_pairs(nodes: DataFrame) -> DataFrame:
     edges = found.where("b IS NULL AND round IS NULL").select("tree", "key", F.col("a").alias("node"), "n_shingles")
     more = edges.groupBy("tree").applyInArrow(join_edges, "a long, b long, round int")
     main = found.where("b IS NOT NULL").select("a", "b", "round")
-    return main.union(more).union(hub_pairs(found.where("b IS NULL AND round IS NOT NULL"))).groupBy("a", "b").agg(F.min("round").alias("round"))
+    crowds = found.where("b IS NULL AND round IS NOT NULL")
+    pairs = main.union(more).union(hub_pairs(crowds)).groupBy("a", "b").agg(F.min("round").alias("round"))
+    return pairs, crowds.select("tree", "key", F.col("a").alias("node"))
 
 
 def hub_pairs(crowds: DataFrame) -> DataFrame:
@@ -305,6 +313,108 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _bounds(growth: float = 1.05) -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * growth)))
+    return np.array(out, dtype=np.int64)
+
+
+#: The least size of each class of sizes.
+BOUNDS = _bounds()
+#: Cells of the counts that order shingles (4 MB as levels, whatever the input); any order gives the same links.
+CELLS = 1 << 22
+
+
+def class_of(size: int) -> int:
+    return int(np.searchsorted(BOUNDS, size, side="right")) - 1
+
+
+def levels_of(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each cell are: 0 for one set at most, else the bits of the count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for part in batches:
+            for raw in part.column("shingles").to_pylist():
+                np.add.at(total, (np.frombuffer(raw, dtype=np.uint64) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    out = np.zeros(CELLS, dtype=np.uint8)
+    out[found["cell"].to_numpy(dtype=np.int64)] = np.frexp(found["n"].to_numpy(dtype=np.float64))[1]
+    return out
+
+
+def beginnings(shingles: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, side, rest) by which a set meets each set it may be similar to: a shingle of its beginning with both
+    classes of sizes, which of them is its own (2: both), and how many of its shingles come from there on."""
+    n = len(shingles)
+    level = levels[(shingles & np.uint64(CELLS - 1)).astype(np.int64)]
+    order = np.lexsort((shingles, level))
+    shingles, shared = shingles[order], level[order] > 0
+    own, least = class_of(n), -(-SIMILARITY * n // 100)
+    keys, sides, rests = [], [], []
+    for other in range(class_of(least), class_of(100 * n // SIMILARITY) + 1):
+        both = -(-SIMILARITY * (n + max(least, int(BOUNDS[other]))) // (100 + SIMILARITY))  # shingles in common
+        at = np.flatnonzero(shared[: max(0, n - both + 1)])
+        salt = (min(own, other) * len(BOUNDS) + max(own, other) + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        keys.append(mix64(shingles[at] + np.uint64(salt)))
+        sides.append(np.full(len(at), 2 if own == other else int(own > other), dtype=np.int32))
+        rests.append(n - at)
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides), np.concatenate(rests)
+
+
+def crowd_pairs(crowds: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame | None:
+    """Candidates (a, b) of the rows of ``crowds`` (tree, key, node) that ``first`` (node, component) leaves in more
+    than one component: all that can be similar; None if there are no such crowds."""
+    weights = first.groupBy("component").agg(F.count("*").alias("weight"))
+    known = first.join(weights, "component").select("node", "component", "weight")
+    placed = crowds.join(known, "node", "left").select("tree", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    placed = materialize(placed, "crowds")
+    parted = placed.groupBy("tree", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree", "key")
+    nodes = materialize(placed.join(parted, ["tree", "key"]).select("node", "component", "weight").distinct(), "crowd-nodes")
+    if nodes.isEmpty():
+        return None
+    sets = materialize(shingle_sets(docs, nodes.select("node")).join(nodes, "node"), "crowd-sets")
+    sent = docs.sparkSession.sparkContext.broadcast(levels_of(sets))
+
+    def meeting(bits: np.ndarray | None) -> DataFrame:
+        own = docs.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, "shingles", 1 << 20):
+                found = [beginnings(np.frombuffer(x, dtype=np.uint64), sent.value) for x in part.column("shingles").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+                size = np.array([len(x) // 8 for x in part.column("shingles").to_pylist()], dtype=np.int64)[row.to_numpy()]
+                columns = [np.concatenate([x[k] for x in found]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(size, pa.int64()), *[part.column(c).take(row) for c in ("node", "component", "weight")]], names=["meet", "side", "rest", "size", "node", "component", "weight"])
+
+        rows = sets.mapInArrow(run, "meet long, side int, rest long, size long, node long, component long, weight long")
+        if own.value is None:
+            return rows
+        place = F.pmod(F.xxhash64("meet"), F.lit(FILTER_BITS))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                at = part.column("place").to_numpy()
+                yield part.filter(pa.array((own.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["place"])
+
+        return rows.withColumn("place", place).mapInArrow(named, rows.schema)
+
+    # of a meeting's rows those of its largest component need not be compared with one another
+    largest = F.max(F.struct("weight", "component")).alias("largest")
+    mixed = meeting(None).groupBy("meet").agg(largest, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    mixed = materialize(mixed.select("meet", F.col("largest.component").alias("most")), "meetings")
+    rows = materialize(meeting(id_filter(mixed.select(F.col("meet").alias("node")))).drop("weight").join(mixed, "meet"), "meeting-rows")
+    x, y = rows.where("component <> most").alias("x"), rows.alias("y")
+    fits = (100 + SIMILARITY) * F.least("x.rest", "y.rest") >= SIMILARITY * (F.col("x.size") + F.col("y.size"))
+    sides = ((F.col("x.side") == 2) & (F.col("y.side") == 2)) | (F.col("x.side") + F.col("y.side") == 1)
+    pairs = x.join(y, F.col("x.meet") == F.col("y.meet")).where((F.col("x.component") != F.col("y.component")) & sides & fits)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
     rows = materialize(signatures(docs), "signatures")
@@ -314,13 +424,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     at = [known["digest"] == classes["digest"], known["doc_id"] == classes["node"]]
     nodes = known.join(classes, at).select("node", "n_shingles", "signature", known["digest"]).dropDuplicates(["node", "digest"])
     # rows repeated with one id but other texts would share a node's number: their classes are linked through it
-    pairs = materialize(forest_pairs(nodes), "candidates")
+    pairs, crowds = forest_pairs(nodes)
+    pairs = materialize(pairs, "candidates")
     node_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     links = materialize(confirmed(pairs.where("round = 1").select("a", "b"), node_docs), "links-1")
     first = materialize(components(links), "components-1")
     a = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.where("round = 2").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    if (met := crowd_pairs(crowds, node_docs, first)) is not None:
+        rest = rest.union(met).distinct()
     more = materialize(confirmed(materialize(rest, "candidates-2"), node_docs), "links-2")
     whole = materialize(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components-2")
     named = classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -145,6 +145,22 @@ def test_copies_that_are_close_to_their_original_only(spark):
     assert [want[i, t][1] for i, t in some[:301]] == [0] * 301
 
 
+def test_pairs_within_a_crowd_under_one_template(spark):
+    """All texts share a template and are no links through it; some pairs share a little more and are."""
+    rng = random.Random(14)
+    base, some = prose(rng, 125).split(), []
+    for i in range(2500):
+        own = [f"w{i}x{k}" for k in range(27)]
+        if i < 800:  # pairs (0, 1), (2, 3), ...
+            own[:7] = [f"p{i // 2}x{k}" for k in range(7)]
+        some.append((i, " ".join(base + own)))
+    few = some[:6] + some[800:810]
+    want = near_components(few)
+    assert [want[i, t][1] for i, t in few] == [0, 0, 2, 2, 4, 4, *range(800, 810)]
+    found = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(documents(spark, some)).collect()}
+    assert found == {i: i - i % 2 if i < 800 else i for i in range(2500)}
+
+
 def test_region_pairs_connect_every_region():
     rng = np.random.default_rng(2)
     for spread in (1, 2, 5):
