@@ -8,8 +8,10 @@ For every other node the composite density is its characters per tag, adjusted b
 
 with C characters, T tags, LC and LT those inside links, and b for the body; 0 counts as 1 in a
 divisor.  A container's density sum adds the densities of its children.  The container with
-the greatest sum is the article.  The least density on its path to the body is the threshold: a
-heading before it on that path joins it if it is as dense.
+the greatest sum is the article, or if an ``article`` or ``main`` holds it, the whole of that.  Composite density
+grows with a node's size, so other parts of the page are compared by characters outside links per tag: a part
+with half the least of the article's path to the body belongs to the text, and so does a heading before a part
+beside it that does.
 
 Defined results: a null or empty page, or one without text, gives an empty text; a page that ends early gives what
 it holds, without an unfinished tag; rows are independent, so ids may be null or repeated.
@@ -173,7 +175,7 @@ class Page:
                 return
 
     def densities(self) -> tuple[list[float], list[float], int]:
-        """Composite density and density sum of every node, and the body."""
+        """Density sum and characters outside links per tag of every node, and the body."""
         n = len(self.tag)
         chars, tags = self.chars[:], [0] * n
         link_chars, link_tags = [0] * n, [0] * n
@@ -207,24 +209,39 @@ class Page:
                 sums[up] += found[k]
         for k, text in self.blocks:  # text that a container holds itself counts as a child
             sums[k] += density(sum(map(len, text.split())), 1, 0, 0) if self.tag[k] not in PARAGRAPHS else 0.0
-        return found, sums, body
+        plain = [0.0 if self.noise[k] else (chars[k] - link_chars[k]) / max(1, tags[k]) for k in range(n)]
+        return sums, plain, body
 
     def article(self) -> str:
         if not self.blocks:
             return ""
-        density, sums, body = self.densities()
+        sums, plain, body = self.densities()
         able = [k for k in range(len(self.tag)) if body <= k <= self.last[body] and not self.noise[k] and self.tag[k] not in PARAGRAPHS and self.tag[k] not in INLINE]
         best = max(able, key=lambda k: (sums[k], -k), default=body)
         path, node = [best], best
         while node not in (body, 0):
             node = self.parent[node]
             path.append(node)
-        threshold = min(density[k] for k in path)
-        ranges = [(best, self.last[best])]
-        for k in range(best - 1, body, -1):
-            if self.tag[k] in HEADINGS and self.parent[k] in path and not self.noise[k] and density[k] >= threshold:
-                ranges.append((k, self.last[k]))
-        return " ".join(text for k, text in self.blocks if any(a <= k <= b for a, b in ranges))
+        whole = next((k for tag in ("article", "main") for k in path if self.tag[k] == tag), best)
+        path = path[path.index(whole) :]
+        least = min(plain[k] for k in path) / 2
+        above, kept = set(path[1:]), [False] * len(self.tag)
+        kept[whole] = True
+        beside = [False] * len(self.tag)  # a kept block, or one on the path, comes after
+        inner = [False] * len(self.tag)  # holds something kept
+        for k in range(len(self.tag) - 1, body, -1):
+            up = self.parent[k]
+            if self.noise[k] or self.tag[k] in INLINE:
+                continue
+            if k not in above and not kept[k]:
+                heading = self.tag[k] in HEADINGS
+                kept[k] = (beside[up] if heading else plain[k] >= least) and not (whole < k <= self.last[whole])
+            inner[k] = inner[k] or kept[k]
+            if inner[k] and self.tag[k] not in HEADINGS:
+                inner[up] = beside[up] = True
+        for k in range(body + 1, len(self.tag)):  # what a kept node holds
+            kept[k] = kept[k] or kept[self.parent[k]]
+        return " ".join(text for k, text in self.blocks if kept[k] or (k in above and len(text) >= least))
 
 
 def main_text(html: str | None) -> str:

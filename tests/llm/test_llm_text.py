@@ -263,6 +263,24 @@ def test_html_page():
     assert text == "The title First para\xadgraph <here> é x. Second onejoined text over lines. point other"
 
 
+def test_html_articles_in_parts():
+    def part(name, n, size, tag="p"):
+        return [f"{name}{k} " + "x" * size for k in range(n)], "".join(f"<{tag}>{name}{k} {'x' * size}</{tag}>" for k in range(n))
+
+    (a, one), (b, two), (c, three) = part("a", 10, 300), part("b", 10, 200), part("c", 5, 200)
+    d, points = part("d", 30, 100, "li")
+    menu = '<nav><a href="/">menu</a></nav><div class="ad">buy</div><div><a href="/x">a list of links</a> <a href="/y">and another</a></div><div>short note</div>'
+    for holder in ("article", "div"):
+        page = f"<body>{menu}<{holder}><section>{one}</section><section>{two}</section></{holder}>{menu}</body>"
+        assert html_ctd.main_text(page) == " ".join(a + b)
+        page = f"<body>{menu}<{holder}>{three}<ul>{points}</ul></{holder}>{menu}</body>"
+        assert html_ctd.main_text(page) == " ".join(c + d)
+        page = f"<body>{menu}<{holder}><h1>The title</h1><div>{one}</div></{holder}>{menu}<h2>More to read</h2></body>"
+        assert html_ctd.main_text(page) == " ".join(["The title", *a])
+    page = f"<body>{menu}<article>{one}</article><article>{two}</article></body>"
+    assert html_ctd.main_text(page) == " ".join(a + b)
+
+
 def test_html_odd_pages():
     assert html_ctd.main_text(None) == "" == html_ctd.main_text("") == html_ctd.main_text("<html><body></body>")
     assert html_ctd.main_text("just text &am") == "just text &am"
