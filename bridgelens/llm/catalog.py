@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bridgelens.llm import decontaminate, html_ctd, minhash_forest, packing_mbs, pst, quality_gbt, sharding, suffix_bwt, token_files, token_fst
+from bridgelens.llm import decontaminate, exact_dedup, fill_middle, html_ctd, importance, minhash_forest, packing_mbs, pst, quality_gbt, sharding, suffix_bwt, token_files, token_fst
 from bridgelens.llm.common import table
 
 
@@ -53,9 +53,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_token_files, op4_minhash_near_dedup, op5_best_fit_packing, op6_token_counts, op7_quality_rules, op8_lm_scoring, op9_suffix_dedup, op10_sharding, op11_importance_resampling, op12_fill_in_middle, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_importance_resampling": importance.ORACLE_SQL, "op12_fill_in_middle": fill_middle.ORACLE_SQL, "op13_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -71,3 +71,11 @@ def words64(buffer: np.ndarray) -> np.ndarray:
 
 def key_column(name: str):
     return F.col(f"`{name}`")
+
+
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``docs`` does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
