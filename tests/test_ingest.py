@@ -1,7 +1,9 @@
 """Saved relation: round trip, dynamic month overwrite, bounded file count."""
 
 import glob
+import importlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from bridgelens import bridge_events, load_bridge_events, save_bridge_events
@@ -22,7 +24,7 @@ def test_round_trip_and_layout(spark):
     back = load_bridge_events(spark, path)
     assert sorted(map(_key, back.select(*EVENT_COLUMNS).collect())) == sorted(map(_key, ev.collect()))
     months = back.select("event_month").distinct().count()
-    files = glob.glob(f"{path}/event_month=*/*.parquet")
+    files = glob.glob(f"{path}/version=*/event_month=*/*.parquet")
     # rebalance keeps files near one per month (never tasks x months)
     assert months <= len(files) <= 2 * months
     assert back.where(F.col("event_month") != F.trunc("event_date", "month")).count() == 0
@@ -59,7 +61,7 @@ def test_hot_month_split_without_aqe(spark):
         path = save_bridge_events(ev)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
-    hot = glob.glob(f"{path}/event_month=2024-01-01/*.parquet")
+    hot = glob.glob(f"{path}/version=*/event_month=2024-01-01/*.parquet")
     assert len(hot) > 1
     assert load_bridge_events(spark, path).where(F.col("event_month") == "2024-01-01").count() == 10_000
 
@@ -75,7 +77,7 @@ def test_hot_month_is_split_across_writers(spark):
         path = save_bridge_events(ev)
     finally:
         spark.conf.set(key, old)
-    hot = glob.glob(f"{path}/event_month=2024-01-01/*.parquet")
+    hot = glob.glob(f"{path}/version=*/event_month=2024-01-01/*.parquet")
     assert len(hot) > 1
     assert load_bridge_events(spark, path).where(F.col("event_month") == "2024-01-01").count() == 10_000
 
@@ -159,7 +161,9 @@ def test_reingest_drops_months_without_rows(spark):
     rows[2] = transfer(3, "2024-03-05 10:00:00", status="failed")
     ingest(*_statuses(spark, rows), path, "2024-03-15", None, routers=TEST_ROUTERS)
     assert load_bridge_events(spark, path).count() == 0
-    assert not glob.glob(f"{path}/event_month=*")
+    # months that no kept manifest names are gone
+    ingest(*_statuses(spark, rows), path, "2024-03-15", None, routers=TEST_ROUTERS)
+    assert not glob.glob(f"{path}/version=*/event_month=*")
 
 
 def test_an_empty_relation_loads(spark):
@@ -218,3 +222,82 @@ def test_cli_report_defaults_to_the_pages_range(spark):
         raise AssertionError("report must not take routers: the relation is filtered already")
     except SystemExit:
         pass
+
+
+def _month_rows(spark, months, amount):
+    from helpers import facts, transfer
+
+    return facts(spark, [transfer(k, f"2024-{m:02d}-05 10:00:00", amount=amount) for k, m in enumerate(months)])
+
+
+def _amounts(frame):
+    return sorted((str(r.event_month), r.amount) for r in frame.select("event_month", "amount").collect())
+
+
+def test_a_crash_before_the_switch_changes_nothing(spark, monkeypatch):
+    from bridgelens import ingest
+
+    plan = importlib.import_module("bridgelens.plans.ingest")
+    path = scratch_path(spark, "crash")
+
+    def crash(*_):
+        raise RuntimeError("lost driver")
+
+    # before the first manifest: there is no relation, and the next run makes one
+    monkeypatch.setattr(plan, "_switch", crash)
+    with pytest.raises(RuntimeError):
+        ingest(*_month_rows(spark, [1, 2], 1), path, routers=TEST_ROUTERS)
+    with pytest.raises(FileNotFoundError):
+        load_bridge_events(spark, path)
+    monkeypatch.undo()
+    ingest(*_month_rows(spark, [1, 2], 1), path, routers=TEST_ROUTERS)
+    old = _amounts(load_bridge_events(spark, path))
+    assert len(old) == 2
+    # a written but not switched version, with one month less, is not seen
+    monkeypatch.setattr(plan, "_switch", crash)
+    with pytest.raises(RuntimeError):
+        ingest(*_month_rows(spark, [2], 7), path, routers=TEST_ROUTERS)
+    assert _amounts(load_bridge_events(spark, path)) == old
+    monkeypatch.undo()
+    # after the switch, but before old months go: the new version is whole
+    monkeypatch.setattr(plan, "_retire", crash)
+    with pytest.raises(RuntimeError):
+        ingest(*_month_rows(spark, [2], 7), path, routers=TEST_ROUTERS)
+    assert _amounts(load_bridge_events(spark, path)) == [("2024-02-01", 7.0)]
+    monkeypatch.undo()
+    for _ in range(3):
+        ingest(*_month_rows(spark, [2], 8), path, routers=TEST_ROUTERS)
+    assert _amounts(load_bridge_events(spark, path)) == [("2024-02-01", 8.0)]
+    assert len(glob.glob(f"{path}/_manifests/*.json")) == plan.KEPT
+
+
+def test_a_reader_keeps_its_version(spark):
+    from bridgelens import ingest
+
+    path = scratch_path(spark, "reader")
+    ingest(*_month_rows(spark, [1, 2, 3], 1), path, routers=TEST_ROUTERS)
+    reader = load_bridge_events(spark, path)
+    ingest(*_month_rows(spark, [2], 5), path, routers=TEST_ROUTERS)
+    assert _amounts(reader) == [("2024-01-01", 1.0), ("2024-02-01", 1.0), ("2024-03-01", 1.0)]
+    assert _amounts(load_bridge_events(spark, path)) == [("2024-02-01", 5.0)]
+
+
+def test_saves_at_once_keep_both(spark, monkeypatch):
+    """A second save takes the number that the first wanted: the first is put on top of it."""
+    from bridgelens import ingest
+
+    plan = importlib.import_module("bridgelens.plans.ingest")
+    path = scratch_path(spark, "both")
+    ingest(*_month_rows(spark, [1, 2, 3], 1), path, routers=TEST_ROUTERS)
+    real, raced = plan._read_manifest, []
+
+    def race(spark_, path_, number):
+        found = real(spark_, path_, number)
+        if not raced:
+            raced.append(number)
+            ingest(*_month_rows(spark, [3], 9), path, "2024-03-01", "2024-03-31", routers=TEST_ROUTERS)
+        return found
+
+    monkeypatch.setattr(plan, "_read_manifest", race)
+    ingest(*_month_rows(spark, [2], 5), path, "2024-02-01", "2024-02-29", routers=TEST_ROUTERS)
+    assert _amounts(load_bridge_events(spark, path)) == [("2024-01-01", 1.0), ("2024-02-01", 5.0), ("2024-03-01", 9.0)]
