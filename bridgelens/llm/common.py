@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's limit of the bytes in an Arrow batch, and its value where nobody has set it.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_arrow(df: DataFrame, run: Callable, ddl) -> DataFrame:
+    """``df.mapInArrow`` with batches of about SLICE_BYTES: what a worker and the JVM's buffers hold at a time does not
+    follow the texts' length.  The session's own limit stays if it was set; otherwise it is set for the session."""
+    if df.sparkSession.conf.get(BATCH_BYTES, BATCH_DEFAULT) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_BYTES, f"{SLICE_BYTES}b")
+    return df.mapInArrow(run, ddl)
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps from task to task, made on its first use.  Workers serve one operator after another,
+    so what another one has kept is dropped first, and its memory given back."""
+    if key not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            give_back()
+        _STATE[key] = make()
+        give_back()
+    return _STATE[key]
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:

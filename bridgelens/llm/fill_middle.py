@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import text_slices, texts
+from bridgelens.llm.common import map_arrow, text_slices, texts
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = 1
@@ -154,7 +154,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restored(form: Column, output: Column) -> Column:

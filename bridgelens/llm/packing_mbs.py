@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bridgelens.llm.common import materialize, text_slices
+from bridgelens.llm.common import map_arrow, materialize, text_slices
 from bridgelens.llm.tokenizing import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -150,7 +150,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, numbered: int = NUMBERED) -
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return ranked.select(*names, "__rank").mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return map_arrow(ranked.select(*names, "__rank"), run, f"{ddl}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bridgelens.llm.common import materialize, text_slices
+from bridgelens.llm.common import map_arrow, materialize, text_slices
 from bridgelens.llm.tokenizing import encoder, tokenizer_path
 from bridgelens.session import scratch_path
 
@@ -160,7 +160,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, file_t
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), None, pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if k is not None else pa.array(c) for c, k in zip(columns, kinds, strict=True)], names=["range_no", "file_no", "file", "first", "doc_ids", "n_tokens"])
 
-    return materialize(ranges.mapInArrow(run, f"range_no int, file_no int, file string, first long, doc_ids array<{kind}>, n_tokens long"), "ids-manifest")
+    return materialize(map_arrow(ranges, run, f"range_no int, file_no int, file string, first long, doc_ids array<{kind}>, n_tokens long"), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -197,7 +197,7 @@ def read_ids(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFr
                         columns, names = [*columns, pa.array(raws, pa.binary())], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return runs.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_arrow(runs, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def fetch(spark: SparkSession, manifest: DataFrame, folder: str, doc_ids: list[int]) -> dict[int, np.ndarray]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bridgelens.llm.common import byte_lengths, text_slices
+from bridgelens.llm.common import byte_lengths, map_arrow, text_slices, worker_state
 from bridgelens.llm.tokenizing import tokenizer_path
 
 LIMIT = 4096
@@ -169,14 +169,9 @@ class Transducer:
         return self.run(self.empty, whole.head)[1] + whole.count
 
 
-_MACHINES: dict[str, Transducer] = {}
-
-
 def transducer(model_file: str) -> Transducer:
     """One machine per Python worker: states compiled for one task serve the next."""
-    if model_file not in _MACHINES:
-        _MACHINES[model_file] = Transducer(model_file)
-    return _MACHINES[model_file]
+    return worker_state(("transducer", model_file), lambda: Transducer(model_file))
 
 
 def token_counts(docs: DataFrame, model_file: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -190,4 +185,4 @@ def token_counts(docs: DataFrame, model_file: str | None = None, limit: int = LI
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(byte_lengths(part.column("text"))), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
