@@ -4,15 +4,19 @@ A byte goes if a SPAN-byte string over it also starts in a document with a small
 
 1. Every SPAN-byte window has one anchor, the smallest-hashed GRAM-byte string in it.  Equal windows
    have equal anchors at equal places, so a window can occur twice only if its anchor does.  Blocks
-   of documents send the short hashes of their anchors to cells; cells answer which are shared.
+   of documents send the short hashes of their anchors to cells; cells answer which are shared, and by how many.
 2. A stretch of windows around one shared anchor is a piece (up to 2 * SPAN - GRAM bytes); each block
-   sends its distinct pieces to the cell of their anchor, with the smallest id that has them.
-3. A cell sorts the pieces in shards, each with its own Burrows-Wheeler order, and merges the shards
-   by refining their interleave: from "all of shard 1, then all of shard 2, ..." every round moves each
-   suffix to the place of the suffix two symbols longer, by a stable counting sort of the two symbols
-   before it, and so orders it by two symbols more.  Suffixes are never sorted anew.  Rounds also carry where
-   neighbours begin to differ; after SPAN symbols, rows between such places are the repeated
-   intervals with a common prefix of SPAN or more.  Each interval's smallest id goes back.
+   sends its distinct pieces to the cell of their anchor, with the smallest id that has them.  The pieces of an
+   anchor that very many blocks share are divided by their windows' distance from the anchor, and go to the
+   cell of the bytes that all windows of a part have in common; so no phrase gathers in one cell all that surrounds it.
+3. A cell lays the pieces of anchors that have several out in shards, and builds each shard's Burrows-Wheeler
+   transform.  The shards are merged by refining their interleave: it begins as "all of shard 1, then all of
+   shard 2, ...", and each round reads the transforms' symbols in its order, two at a time, and deals them by a stable
+   counting sort; the row that an entry goes to follows from rank counts in its own shard's transform, so
+   nothing here looks at the text, and no suffix is sorted anew.  A round also shows where neighbours
+   begin to differ.  An interval whose rows are all of one shard needs no further round, as the shard's own order
+   and common prefixes hold for it, and it is retired; what is left after SPAN symbols are the repeated intervals
+   across shards.  Each interval's smallest id goes back.
 4. A block marks its windows whose smallest id is smaller than the document's, and cuts.
 
 Equal texts are one document with the smallest of their ids; a larger id loses all of its bytes if there are SPAN of them.
@@ -31,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import materialize, mix64, text_slices
+from bridgelens.llm.common import map_arrow, materialize, mix64, text_slices, worker_state
 
 SPAN, GRAM = 50, 20
 #: Bytes of text (about) in a block of documents, which is also what a cell handles.
 BLOCK_BYTES = 6 << 20
 #: Bytes of a hash that cells compare anchors by (equal short hashes only cost work).
 SHORT = 5
-#: Bytes of a shard that gets an order of its own, and of the shards that are merged together: a cell's
+#: Rows of a shard (ranks fit 16 bits), and bytes of the shards that are merged together: a cell's
 #: anchors are independent of one another, and small sets stay in a processor's cache.
-SHARD_BYTES, MERGE_BYTES = 1 << 16, 1 << 18
+SHARD_ROWS, MERGE_BYTES = 1 << 16, 1 << 18
+#: From how many blocks on an anchor's windows are divided, and into how many parts (31: every distance of its own).
+LEVELS = ((64, 2), (4096, 8), (262_144, SPAN - GRAM + 1))
 CUT = 0xFF  # never a byte of UTF-8
 _CHUNK = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -72,9 +78,9 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces of all texts: owner, first window, last window (places in the text), anchor hash; and the
-    joined texts' begins."""
+def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of all texts: owner, first window, last window, anchor hash, anchor (places in the joined
+    texts); and the texts' begins."""
     sizes = np.array([len(x) for x in rows], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(rows), dtype=np.uint8)
@@ -97,12 +103,31 @@ def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         # an anchor is the smallest of many, so its hash is mixed once more before cells are dealt by it
         found.append((owner[first], starts[first], starts[last], mix64(h[at[first]] ^ _ODD), low + at[first].astype(np.int64)))
     if not found:
-        return *(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(0, dtype=np.uint64), begins
+        return *(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), begins
     owner, first, last, anchor, place = (np.concatenate(x) for x in zip(*found, strict=True))
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)])  # pieces cut by a chunk's end
     heads = np.flatnonzero(new)
     tails = np.concatenate([heads[1:], [len(owner)]]) - 1
-    return owner[heads], first[heads], last[tails], anchor[heads], begins
+    return owner[heads], first[heads], last[tails], anchor[heads], place[heads], begins
+
+
+def level_of(blocks: np.ndarray) -> np.ndarray:
+    """How finely an anchor is divided that so many blocks have."""
+    return np.searchsorted([least for least, _ in LEVELS], blocks, side="right").astype(np.uint8)
+
+
+def divided(first: int, last: int, place: int, anchor: int, level: int, joined: bytes) -> list[tuple[int, int, int]]:
+    """(first window, last window, mark) of a piece's parts; the mark tells where a part meets those it may share windows with."""
+    if not level:
+        return [(first, last, anchor)]
+    parts = LEVELS[level - 1][1]
+    edges = [(SPAN - GRAM + 1) * k // parts for k in range(parts + 1)]
+    out = []
+    for near, far in zip(edges, edges[1:], strict=False):  # windows that begin near .. far - 1 bytes before the anchor
+        a, b = max(first, place - far + 1), min(last, place - near)
+        if a <= b:
+            out.append((a, b, anchor ^ fingerprint(joined[place - near : place - far + 1 + SPAN])))
+    return out
 
 
 def cells_of(anchor: np.ndarray, n_cells: int) -> np.ndarray:
@@ -142,102 +167,140 @@ def unpack(raw: bytes, *kinds: str) -> list:
     return [raw[e - s : e] if kind == "raw" else np.frombuffer(raw[e - s : e], dtype=kind) for e, s, kind in zip(ends.tolist(), sizes.tolist(), kinds, strict=True)]
 
 
-class Shards:
-    """Pieces of a cell, laid end to end, with a Burrows-Wheeler order for each shard of them.
+def ranks_of(keys: np.ndarray) -> np.ndarray:
+    """The number of the run of equal ones for each of the ordered ``keys``."""
+    return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+
 
-    Rows of the order stand for rotations of single pieces, each closed by CUT.
+class Shard:
+    """Pieces laid end to end, each closed by CUT, with the Burrows-Wheeler order of the rotations of single pieces.
+
+    ``rows``: the places of the rotations in their order; ``transform``: of each row the two symbols before it;
+    ``group``: of each row the number of its run of rows with SPAN equal symbols.
     """
 
-    def __init__(self, texts: list[bytes], shard_bytes: int = SHARD_BYTES) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
         sizes = np.array([len(x) + 1 for x in texts], dtype=np.int64)
         ends = np.cumsum(sizes)
         self.begins = ends - sizes
         self.data = np.frombuffer(bytes([CUT]).join(texts) + bytes([CUT]), dtype=np.uint8)
         n = len(self.data)
         self.owner = np.repeat(np.arange(len(texts)), sizes)
-        follow = np.arange(1, n + 1)
+        follow = np.arange(1, n + 1, dtype=np.int32)
         follow[ends - 1] = self.begins
-        before = np.empty(n, dtype=np.int64)
-        before[follow] = np.arange(n)
-        rows, low = np.empty(n, dtype=np.int64), 0
-        longest = int(sizes.max())
-        while low < n:
-            high = int(ends[min(np.searchsorted(ends, low + shard_bytes), len(ends) - 1)])
-            rows[low:high] = low + self._order(self.data[low:high], follow[low:high] - low, longest)
-            low = high
-        self.rows = rows
-        place = np.empty(n, dtype=np.int64)
-        place[rows] = np.arange(n)
-        two = before[before]
-        #: of each row: the two symbols before it, and the row that begins with them
-        self.symbols = ((self.data[two].astype(np.uint16) << 8) | self.data[before])[rows]
-        self.longer = place[two[rows]].astype(np.int32)
-
-    @staticmethod
-    def _order(data: np.ndarray, follow: np.ndarray, longest: int) -> np.ndarray:
-        """All rotations of the shard's pieces in order (ranks of 8 symbols, then doubled to the longest)."""
-        key, skip = data.astype(np.uint64), follow
-        for bits in (8, 16, 32):
-            key = (key << np.uint64(bits)) | key[skip]
-            skip = skip[skip]
-        have = 8
+        before = np.empty(n, dtype=np.int32)
+        before[follow] = np.arange(n, dtype=np.int32)
+        self.rows, self.group = self._order(follow, before, int(sizes.max()))
+        one = before[self.rows]
+        self.transform = (self.data[before[one]].astype(np.uint16) << 8) | self.data[one]
+
+    def _order(self, follow: np.ndarray, before: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rotations in order, by ranks of 2, 4, 8, ... symbols: the order by the second half is the last order,
+        taken that many symbols before, and one stable sort by the first half does the rest.  Twice the longest
+        piece tells any two rotations of different pieces apart."""
+        key = (self.data.astype(np.uint16) << 8) | self.data[follow]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        ahead, back, have = follow[follow], before[before], 2
+        small = np.uint16 if len(key) <= 1 << 16 else np.int64
+        same = None  # whether a row's first SPAN symbols are those of the row before it, as far as it is known
         while True:
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank = np.empty(len(data), dtype=np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            if have >= longest or rank[order[-1]] == len(data) - 1:
-                return order
-            key = rank * len(data) + rank[skip]
-            skip = skip[skip]
-            have *= 2
-
-    def merge(self, symbols: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-        """All rows ordered by ``symbols`` symbols, and the number of the interval of equal ones of each."""
-        n = len(self.rows)
-        interleave, interval = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-        differs = np.zeros(n, dtype=bool)
-        for _ in range(symbols // 2):
-            key = self.symbols.take(interleave)
-            order = np.argsort(key, kind="stable").astype(np.int32)  # a radix sort for 16 bits
-            key, old = key.take(order), interval.take(order)
-            interleave = self.longer.take(interleave.take(order))
-            np.not_equal(key[1:], key[:-1], out=differs[1:])
-            differs[1:] |= old[1:] != old[:-1]
-            np.cumsum(differs, dtype=np.int32, out=interval)
-        return self.rows[interleave], interval
-
-
-def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+            ranked = ranks_of(key[order])
+            rank = np.empty(len(key), dtype=small)
+            rank[order] = ranked
+            single = int(ranked[-1]) == len(key) - 1
+            if have <= SPAN < 2 * have:
+                rest = np.arange(len(key), dtype=np.int32)
+                for _ in range(SPAN - have):
+                    rest = follow[rest]
+                same = rank, rank[rest]
+            if single or have >= 2 * longest:
+                break
+            order = back[order]
+            order = order[np.argsort(rank[order], kind="stable")]
+            key = rank.astype(np.int64) * len(key) + rank[ahead]
+            ahead, back, have = ahead[ahead], back[back], 2 * have
+        if same is None:  # all differ within fewer symbols
+            return order, np.arange(len(key))
+        a, b = same[0][order], same[1][order]
+        return order, np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+
+
+def interleave(transforms: list[np.ndarray], symbols: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Merge shards by their transforms alone: (row, interval) of the rows, numbered through all shards, of those
+    intervals of equal first ``symbols`` symbols that rows of several shards share."""
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in transforms])])
+    n = int(begins[-1])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), np.diff(begins))
+    two = np.concatenate(transforms)
+    # the row two symbols longer: rows with equal symbols keep their order, those with smaller ones come before
+    longer = np.empty(n, dtype=np.int32)
+    for begin, transform in zip(begins.tolist(), transforms, strict=False):
+        longer[begin + np.argsort(transform, kind="stable")] = np.arange(begin, begin + len(transform), dtype=np.int32)
+    row, interval = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    for _ in range(symbols // 2):
+        key = two[row]
+        order = np.argsort(key, kind="stable")  # a radix sort for 16 bits
+        key, old = key[order], interval[order]
+        row = longer[row[order]]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (old[1:] != old[:-1])]))
+        size = np.diff(np.append(first, len(row)))
+        # an interval's rows come by shard, so its ends tell whether there are several
+        mixed = shard[row[first]] != shard[row[first + size - 1]]
+        row = row[np.repeat(mixed, size)]
+        interval = np.repeat(np.arange(int(mixed.sum()), dtype=np.int32), size[mixed])
+        if not len(row):
+            break
+    return row, interval
+
+
+def least_ids(texts: list[bytes], ids: np.ndarray, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:
     """For each text, the smallest id among all that have the window, for each of its windows."""
-    shards = Shards(texts)
-    place, interval = shards.merge()
-    size = np.array([len(x) for x in texts])
-    owner = shards.owner[place]
-    offset = place - shards.begins[owner]
-    windows = offset + SPAN <= size[owner]
-    place, interval, owner = place[windows], interval[windows], owner[windows]
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.minimum.reduceat(ids[owner], first)
-    at = np.empty(len(shards.data), dtype=np.int64)
-    at[place] = np.repeat(least, np.diff(np.concatenate([first, [len(place)]])))
-    return [at[b : b + n - SPAN + 1] for b, n in zip(shards.begins.tolist(), size.tolist(), strict=True)]
-
-
-def merged_least_ids(texts: list[bytes], anchors: np.ndarray, ids: np.ndarray, merge_bytes: int = MERGE_BYTES) -> list[np.ndarray]:
-    """``least_ids`` in sets of about ``merge_bytes``; an anchor's texts are in one set."""
-    order = np.argsort(anchors, kind="stable")
+    fill = np.cumsum([len(x) + 1 for x in texts])
+    cuts = [0]
+    while cuts[-1] < len(texts):
+        base = int(fill[cuts[-1] - 1]) if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(fill, base + shard_rows, side="right"))))
+    shards = [Shard(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    least = []
+    for shard, a in zip(shards, cuts, strict=False):
+        own = ids[a + shard.owner[shard.rows]]
+        first = np.flatnonzero(np.concatenate([[True], shard.group[1:] != shard.group[:-1]]))
+        least.append(np.minimum.reduceat(own, first)[shard.group])
+    found = np.concatenate(least)
+    if len(shards) > 1:
+        row, interval = interleave([x.transform for x in shards])
+        if len(row):
+            first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+            found[row] = np.minimum.reduceat(found[row], first)[interval]
+    out, begin = [], 0
+    for shard, a, b in zip(shards, cuts, cuts[1:], strict=False):
+        at = np.empty(len(shard.rows), dtype=np.int64)
+        at[shard.rows] = found[begin : begin + len(shard.rows)]
+        out += [at[k : k + len(x) - SPAN + 1] for k, x in zip(shard.begins.tolist(), texts[a:b], strict=True)]
+        begin += len(shard.rows)
+    return out
+
+
+def merged_least_ids(texts: list[bytes], marks: np.ndarray, ids: np.ndarray, merge_bytes: int = MERGE_BYTES) -> list[np.ndarray]:
+    """``least_ids`` in sets of about ``merge_bytes``; a mark's texts are in one set, and a text without others has only its own id."""
+    order = np.argsort(marks, kind="stable")
+    ranked = marks[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(order) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(first, len(order)))
+    alone = order[first[size == 1]]
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    for k, key in zip(alone.tolist(), ids[alone].tolist(), strict=True):
+        out[k] = np.full(len(texts[k]) - SPAN + 1, key, dtype=np.int64)
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
     fill = np.cumsum([len(texts[k]) for k in order.tolist()]) // merge_bytes
-    ranked = anchors[order]
     cuts, last = [0], 0
-    for k in (np.flatnonzero(ranked[1:] != ranked[:-1]) + 1).tolist():
-        if fill[k - 1] > last:
+    for k in np.cumsum(size).tolist():
+        if k < len(order) and fill[k - 1] > last:
             cuts.append(k)
             last = fill[k - 1]
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
-    for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
-        some = order[a:b]
-        for k, found in zip(some.tolist(), least_ids([texts[k] for k in some.tolist()], ids[some]), strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        some = order[a:b].tolist()
+        for k, found in zip(some, least_ids([texts[k] for k in some], ids[some]) if some else [], strict=True):
             out[k] = found
     return out
 
@@ -260,11 +323,12 @@ def collapse(docs: DataFrame, n_blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["block", "digest", "doc_id", "text"])
 
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return usable.mapInArrow(run, "block long, digest binary, doc_id long, text binary").repartition(n_blocks, "block")
+    return map_arrow(usable, run, "block long, digest binary, doc_id long, text binary").repartition(n_blocks, "block")
 
 
 def nodes_of(block: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     """The distinct texts of a block: digests, smallest ids, texts (in the order of the ids)."""
+    worker_state("blocks", dict)  # drops what another operator has kept
     ids: dict[bytes, int] = {}
     found: dict[bytes, bytes] = {}
     for digest, key, raw in zip(block.column("digest").to_pylist(), block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
@@ -297,7 +361,7 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
 
     def send_anchors(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        owner, _, _, anchor, _ = pieces(nodes_of(table)[2])
+        owner, _, _, anchor, _, _ = pieces(nodes_of(table)[2])
         order = np.lexsort((owner, anchor))
         owner, anchor = owner[order], anchor[order]
         # once for a block, twice if several of its texts have it: whoever counts two knows it is shared
@@ -315,33 +379,45 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
     def share(table: pa.Table) -> pa.Table:
         sent = [unpack_short(x) for x in table.column("load").to_pylist()]
         value, count = np.unique(np.concatenate(sent), return_counts=True)
-        shared = value[count > 1]
+        shared, level = value[count > 1], level_of(count[count > 1])
         out = [np.unique(x[np.isin(x, shared, kind="sort")]) for x in sent]
         keep = [k for k, x in enumerate(out) if len(x)]
-        return pa.table([table.column("cell").take(pa.array(keep, pa.int64())), table.column("block").take(pa.array(keep, pa.int64())), pa.array([pack_short(out[k]) for k in keep], pa.binary())], names=["cell", "block", "load"])
+        loads = [pack_short(out[k]) + level[np.searchsorted(shared, out[k])].tobytes() for k in keep]
+        return pa.table([table.column("cell").take(pa.array(keep, pa.int64())), table.column("block").take(pa.array(keep, pa.int64())), pa.array(loads, pa.binary())], names=["cell", "block", "load"])
 
     def send_pieces(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not table.num_rows:
             return _rows(0, [], [])
         block = table.column("block")[0].as_py()
         _, ids, rows = nodes_of(table)
-        owner, first, last, anchor, _ = pieces(rows)
-        shared = np.sort(np.concatenate([(c << (8 * SHORT)) | unpack_short(x) for c, x in zip(answers.column("cell").to_pylist(), answers.column("load").to_pylist(), strict=True)]))
-        cell = cells_of(anchor, n_cells)
-        code = (cell << (8 * SHORT)) | short_of(anchor)
-        mine = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, code), len(shared) - 1)] == code)
+        owner, first, last, anchor, place, _ = pieces(rows)
+        loads = answers.column("load").to_pylist()
+        each = [len(x) // (SHORT + 1) for x in loads]
+        shared = np.concatenate([(c << (8 * SHORT)) | unpack_short(x[: n * SHORT]) for c, x, n in zip(answers.column("cell").to_pylist(), loads, each, strict=True)])
+        level = np.frombuffer(b"".join(x[n * SHORT :] for x, n in zip(loads, each, strict=True)), dtype=np.uint8)
+        order = np.argsort(shared, kind="stable")
+        shared, level = shared[order], level[order]
+        code = (cells_of(anchor, n_cells) << (8 * SHORT)) | short_of(anchor)
+        at = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+        mine = np.flatnonzero(shared[at] == code)
         joined = b"".join(rows)
-        distinct: dict[bytes, int] = {}  # the texts come by ascending id, so the first has the smallest
-        for k, a, b in zip(mine.tolist(), first[mine].tolist(), (last[mine] + SPAN).tolist(), strict=True):
-            distinct.setdefault(joined[a:b], k)
-        text, at = list(distinct), np.array(list(distinct.values()), dtype=np.int64)
-        order = np.argsort(cell[at], kind="stable")
+        distinct: dict[bytes, tuple[int, int, int]] = {}  # the texts come by ascending id, so the first has the smallest
+        for k, a, b, p, h, v in zip(mine.tolist(), first[mine].tolist(), last[mine].tolist(), place[mine].tolist(), anchor[mine].tolist(), level[at[mine]].tolist(), strict=True):
+            for x, y, mark in divided(a, b, p, h, v, joined):
+                distinct.setdefault(joined[x : y + SPAN], (k, mark, v))
+        text = list(distinct)
+        found = list(distinct.values())
+        piece, levels = np.array([x[0] for x in found], dtype=np.int64), np.array([x[2] for x in found], dtype=np.uint8)
+        marks = np.array([x[1] for x in found], dtype=np.uint64)
+        # a divided piece's mark is dealt by another mix of it
+        cell = cells_of(np.where(levels > 0, mix64(marks), marks), n_cells)
+        order = np.argsort(cell, kind="stable")
         cells, loads = [], []
-        for c, s in _splits(cell[at][order]):
+        for c, s in _splits(cell[order]):
             some = order[s]
             parts = [text[k] for k in some.tolist()]
             cells.append(c)
-            loads.append(pack(anchor[at[some]], ids[owner[at[some]]], np.array([len(x) for x in parts], dtype="<u2"), b"".join(parts)))
+            loads.append(pack(marks[some], anchor[piece[some]], levels[some], ids[owner[piece[some]]], np.array([len(x) for x in parts], dtype="<u2"), b"".join(parts)))
         return _rows(block, cells, loads)
 
     def merge_cell(table: pa.Table) -> pa.Table:
@@ -350,9 +426,9 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
         home: list[int] = []
         sent = []
         for load in table.column("load").to_pylist():
-            anchor, ids, sizes, raw = unpack(load, "<u8", "<i8", "<u2", "raw")
+            marks, anchor, level, ids, sizes, raw = unpack(load, "<u8", "<u8", "u1", "<i8", "<u2", "raw")
             mine, at = [], 0
-            for mark, key, size in zip(anchor.tolist(), ids.tolist(), sizes.tolist(), strict=True):
+            for mark, key, size in zip(marks.tolist(), ids.tolist(), sizes.tolist(), strict=True):
                 text = raw[at : at + size]
                 at += size
                 k = number.setdefault(text, len(least))
@@ -362,16 +438,16 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
                 elif key < least[k]:
                     least[k] = key
                 mine.append(k)
-            sent.append((anchor, mine))
+            sent.append((anchor, level, mine))
         texts = list(number)
         found = merged_least_ids(texts, np.array(home, dtype=np.uint64), np.array(least, dtype=np.int64))
         # a run of one id is sent as one number
         found = [x[:1] if (x == x[0]).all() else x for x in found]
         print_ = np.array([fingerprint(x) for x in texts], dtype="<u8")
         loads = []
-        for anchor, mine in sent:
+        for anchor, level, mine in sent:
             lists = [found[k] for k in mine]
-            loads.append(pack(anchor, print_[mine], np.array([len(x) for x in lists], dtype="<u2"), np.concatenate(lists).astype("<i8")))
+            loads.append(pack(anchor, level, print_[mine], np.array([len(x) for x in lists], dtype="<u2"), np.concatenate(lists).astype("<i8")))
         return pa.table([table.column("cell"), table.column("block"), pa.array(loads, pa.binary())], names=["cell", "block", "load"])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -380,27 +456,30 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
         covered = np.zeros(len(joined) + 1, dtype=np.int32)
         begins = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
         if answers.num_rows and rows:
-            loads = [unpack(x, "<u8", "<u8", "<u2", "<i8") for x in answers.column("load").to_pylist()]
-            known = np.unique(np.concatenate([x[0] for x in loads]))
+            loads = [unpack(x, "<u8", "u1", "<u8", "<u2", "<i8") for x in answers.column("load").to_pylist()]
+            known, at = np.unique(np.concatenate([x[0] for x in loads]), return_index=True)
+            level = np.concatenate([x[1] for x in loads])[at]
             lists: dict[int, np.ndarray] = {}
-            for _, prints, counts, values in loads:
+            for _, _, prints, counts, values in loads:
                 ends = np.cumsum(counts, dtype=np.int64)
                 for p, e, n in zip(prints.tolist(), ends.tolist(), counts.tolist(), strict=True):
                     lists[p] = values[e - n : e]
-            owner, first, last, anchor, _ = pieces(rows)
-            mine = np.flatnonzero(known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor)
-            for me, a, b in zip(ids[owner[mine]].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
-                least = lists.get(fingerprint(joined[a : b + SPAN]))
-                if least is None:
-                    continue
-                if len(least) == 1:
-                    if least[0] < me:
-                        covered[a] += 1
-                        covered[b + SPAN] -= 1
-                else:
-                    for k in np.flatnonzero(least < me).tolist():
-                        covered[a + k] += 1
-                        covered[a + k + SPAN] -= 1
+            owner, first, last, anchor, place, _ = pieces(rows)
+            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            mine = np.flatnonzero(known[at] == anchor)
+            for me, a, b, p, h, v in zip(ids[owner[mine]].tolist(), first[mine].tolist(), last[mine].tolist(), place[mine].tolist(), anchor[mine].tolist(), level[at[mine]].tolist(), strict=True):
+                for x, y, _ in divided(a, b, p, h, v, joined) if v else ((a, b, h),):
+                    least = lists.get(fingerprint(joined[x : y + SPAN]))
+                    if least is None:
+                        continue
+                    if len(least) == 1:
+                        if least[0] < me:
+                            covered[x] += 1
+                            covered[y + SPAN] -= 1
+                    else:
+                        for k in np.flatnonzero(least < me).tolist():
+                            covered[x + k] += 1
+                            covered[x + k + SPAN] -= 1
         gone = np.cumsum(covered[:-1]) > 0
         data = np.frombuffer(joined, dtype=np.uint8)
         removed, spans, sums, kept = [], [], [], []
