@@ -59,15 +59,15 @@ def frequent(rows: DataFrame) -> DataFrame:
     group = F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("tasks")
     counted = rows.select(group, F.xxhash64("digest").alias("mark")).groupBy("tasks")
     counted = counted.agg(F.expr(f"approx_top_k_accumulate(mark, {COUNTERS})").alias("counters"))
-    combined = counted.agg(F.expr(f"approx_top_k_combine(counters, {COUNTERS})").alias("counters"))
+    # grouped by a key, though there is one group: an aggregate without one starts empty counters, which do not combine
+    combined = counted.groupBy(F.pmod("tasks", F.lit(1))).agg(F.expr(f"approx_top_k_combine(counters, {COUNTERS})").alias("counters"))
     return combined.select(F.explode(F.expr(f"approx_top_k_estimate(counters, {LISTED})")).alias("top")).select(F.col("top.item").alias("mark"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
     """(digest, first, group_size) of the digests that hold 1 / SHARE of ``rows`` or more: at most SHARE rows, stored."""
     total = rows.count()
-    # no counters come from no rows
-    listed = rows.withColumn("mark", F.xxhash64("digest")).join(F.broadcast(frequent(rows)), "mark") if total else rows
+    listed = rows.withColumn("mark", F.xxhash64("digest")).join(F.broadcast(frequent(rows)), "mark")
     found = listed.groupBy("digest").agg(*first_of_group())
     return materialize(found.where(F.col("group_size") * SHARE >= total), "winners")
 
