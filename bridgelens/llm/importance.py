@@ -7,7 +7,8 @@ goes on from the state of the run before it, so a run that begins with a head wo
 a pair that is in the head, is not hashed from its first byte; words outside the head (the tail) take a direct
 CRC.  Both give the same buckets, so the head's size only changes the work.
 
-1. Words (and pairs) of all documents are counted, combined in each task before they move.
+1. Words (and pairs) of all documents are counted, combined in each task before they move; the head is all that
+   reach the least count that no more than HEAD of them reach, found from a histogram of the counts.
 2. Each document's buckets are found once and stored, two or four bytes a feature.
 3. Bucket totals of documents and target give each bucket's gain; a document's weight is the mean of its gains.
 4. Gumbel noise from a hash of the id makes the highest scores a draw without replacement.  The score that the
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import materialize, text_slices, texts
+from bridgelens.llm.common import map_arrow, materialize, text_slices, texts
 
 BUCKETS, MAX_N, SEED = 10_000, 1, 2024
 #: Of 100 documents with LEAST_WORDS words or more, so many are drawn.
 PERCENT, LEAST_WORDS = 10, 20
-#: Entries of the head, and the longest that it holds, in bytes: it takes HEAD * LONGEST bytes at most (4 MB).
+#: Entries of the head at most, and the longest that it holds, in bytes: it takes HEAD * LONGEST bytes at most (4 MB).
 HEAD, LONGEST = 1 << 16, 64
+#: Classes of counts in the histogram for each doubling (the driver holds at most 64 times as many numbers).
+CLASSES = 16
 #: Distinct entries that a task counts before it hands them on.
 HELD = 500_000
 
@@ -77,7 +80,7 @@ class Vocabulary:
 
 
 def head(docs: DataFrame, n: int, size: int = HEAD) -> list[bytes]:
-    """The ``size`` most frequent runs of ``n`` words (of at most LONGEST bytes), by their exact counts."""
+    """The most frequent runs of ``n`` words (of at most LONGEST bytes) by their exact counts: all from some count on, at most ``size``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -95,8 +98,15 @@ def head(docs: DataFrame, n: int, size: int = HEAD) -> list[bytes]:
                     counts.clear()
         yield out()
 
-    found = docs.select("text").mapInArrow(count, "entry binary, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    return [bytes(r["entry"]) for r in found.orderBy(F.desc("n"), "entry").limit(size).collect()]
+    found = map_arrow(docs.select("text"), count, "entry binary, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    found = materialize(found.select("entry", F.floor(F.log2("n") * CLASSES).cast("int").alias("class")), "word-classes")
+    least, listed = None, 0
+    for r in sorted(found.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        listed += r["n"]
+        if listed > size:
+            break
+        least = r["class"]
+    return [] if least is None else [bytes(r["entry"]) for r in found.where(F.col("class") >= least).select("entry").collect()]
 
 
 def featured(docs: DataFrame, vocabulary: Vocabulary, max_n: int) -> DataFrame:
@@ -114,7 +124,7 @@ def featured(docs: DataFrame, vocabulary: Vocabulary, max_n: int) -> DataFrame:
             columns = [pa.array(n_words, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_words", "n_features", "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, buckets binary")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, buckets binary")
 
 
 def totals(features: DataFrame, buckets: int) -> np.ndarray:
@@ -128,7 +138,7 @@ def totals(features: DataFrame, buckets: int) -> np.ndarray:
         at = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(mine[at])], names=["bucket", "n"])
 
-    found = features.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(features.select("buckets"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, dtype=np.int64)
     for r in found:
         out[r["bucket"]] = r["n"]
@@ -160,7 +170,7 @@ def scored(features: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame
             score = [w + noise(key, seed) for w, key in zip(weight, part.column("doc_id").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), part.column("n_features"), pa.array(weight, pa.int64()), pa.array(score, pa.int64())], names=["doc_id", "n_words", "n_features", "weight", "score"])
 
-    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long, score long")
+    return map_arrow(features, run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long, score long")
 
 
 def ranked(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
