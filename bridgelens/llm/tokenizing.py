@@ -2,7 +2,8 @@
 
 Both public tokenizers split a text before they merge, and no piece of that split reaches from a
 non-space over a following white space, nor from a letter or digit over a following comma or full
-stop.  So a text may be cut at those places, and the ids of the whole are those of its cuts, joined.
+stop, as long as the letter is still one after normalisation (some become a letter and a mark, and the
+mark joins the comma).  So a text may be cut at those places, and the ids of the whole are those of its cuts, joined.
 Texts with white space outside ASCII, where libraries differ on what white space is, are encoded
 whole.  Tests compare the result with the library's own on whole texts.
 """
@@ -11,8 +12,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
+from bridgelens.llm.common import worker_state
+
 #: Distinct stretches that a worker remembers; beyond it, it forgets all and goes on (results do not change).
 CACHE = 1_000_000
 #: Longer stretches are encoded, but not remembered.
@@ -21,8 +25,10 @@ LONG = 64
 _ODD = re.compile("[\x01-\x04\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = re.compile(r"\s\s")
 _STRETCH = re.compile(r"\s*\S+|\s+")
-_COMMA = re.compile(r", (?<=[^\W_], )")
-_STOP = re.compile(r"[.] (?<=[^\W_][.] )")
+#: Letters that end in a mark once they are normalised (NFC, then lower case).
+_MARKED = "".join(c for c in map(chr, range(0x80, 0x30000)) if unicodedata.decomposition(c) and c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+_COMMA = re.compile(rf", (?<=[^\W_{_MARKED}], )")
+_STOP = re.compile(rf"[.] (?<=[^\W_{_MARKED}][.] )")
 #: Marks of stretches that do not follow a space: comma, full stop, line end, and a stretch after a line end.
 _MARKS = {"\x01": ",", "\x02": ".", "\x03": "\n"}
 _AFTER_LINE = "\x04"
@@ -82,12 +88,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One encoder per Python worker, so that what it remembers serves all its tasks."""
-    key = (path, keeps_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, keeps_space)
-    return _ENCODERS[key]
+    return worker_state(("encoder", path, keeps_space), lambda: Encoder(path, keeps_space))
