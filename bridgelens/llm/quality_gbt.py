@@ -7,8 +7,8 @@ score whole column batches at once.  Chosen features are monotonic: more symbols
 words or repeated lines can only lower the score.
 
 Defined results: a null or empty text has no words (``base_failed``); null ids and repeated rows
-are kept as rows of their own; labels that are null or name no document are ignored; without
-labels of both kinds there is no model and the base rule alone decides.
+are kept as rows of their own; labels that are null or name no document are ignored, and labels and labelled
+documents that are repeated count once; without labels of both kinds there is no model and the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import materialize, mix64, text_slices, texts
+from bridgelens.llm.common import map_arrow, materialize, mix64, text_slices, texts, worker_state
 
-#: Documented bound of the training sample (labelled rows collected to the driver, statistics only).
+#: Documented bound of the training sample: of the labels, and of the rows (statistics only) that reach the driver.
 SAMPLE_ROWS = 20_000
 #: A document is kept at this probability of good quality or more.
 KEEP_AT = 0.5
@@ -106,6 +106,7 @@ _HEAD[:] = [b & 0xC0 != 0x80 for b in range(256)]
 
 def statistics(rows: list[bytes]) -> dict[str, np.ndarray]:
     """The statistics of each text, from its whole bytes."""
+    worker_state("statistics", dict)  # drops what another operator has kept
     n = len(rows)
     out = {c: np.zeros(n, dtype=np.int64) for c in BASE + MORE}
     number: dict[bytes, int] = {}
@@ -143,7 +144,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, stats.values())], names=["doc_id", *stats])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {STATS_DDL}")
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {STATS_DDL}")
 
 
 def feature_matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -248,14 +249,22 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def label_sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality") -> DataFrame:
-    """(label_id, label) of the ``sample_rows`` labels whose ids hash lowest."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label"))
+    """(label_id, label) of the ``sample_rows`` distinct labels whose ids hash lowest."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")).distinct()
     return known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows)
 
 
-def train(stats: DataFrame, sample: DataFrame) -> Forest | None:
+def training_rows(stats: DataFrame, sample: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(label, statistics) of the sampled labels' documents, at most ``sample_rows``: rows of one label that are equal in
+    all statistics count once, however often they are repeated, and the lowest by a hash stay."""
+    columns = ["label_id", "label", *BASE, *MORE]
+    met = stats.join(F.broadcast(sample), stats["doc_id"] == sample["label_id"]).select(*columns).distinct()
+    return met.orderBy(F.xxhash64(*columns), *columns).limit(sample_rows).select("label", *BASE, *MORE)
+
+
+def train(stats: DataFrame, sample: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
     """Grow the trees on the sampled labels' documents; None without labels of both kinds."""
-    rows = stats.join(F.broadcast(sample), stats["doc_id"] == sample["label_id"]).select("label", *BASE, *MORE).toPandas()
+    rows = training_rows(stats, sample, sample_rows).toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     y = (rows["label"].to_numpy() > 0).astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -273,7 +282,7 @@ def judge(stats: dict[str, np.ndarray], forest: Forest | None, keep_at: float =
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """Statistics, ``base_failed``, the model's probability ``score`` and the verdict ``kept`` of each row of ``docs``."""
     stats = materialize(document_statistics(docs), "quality-stats")
-    forest = train(stats, label_sample(labels, sample_rows))
+    forest = train(stats, label_sample(labels, sample_rows), sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -286,7 +295,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     kind = stats.schema["doc_id"].dataType.simpleString()
     ddl = ", ".join(f"{c} long" for c in BASE)
-    return stats.mapInArrow(run, f"doc_id {kind}, {ddl}, base_failed boolean, kept boolean, score double")
+    return map_arrow(stats, run, f"doc_id {kind}, {ddl}, base_failed boolean, kept boolean, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
@@ -294,10 +303,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     sampled documents alone."""
     sample = materialize(label_sample(labels, sample_rows), "label-sample")
     some = docs.join(F.broadcast(sample.select("label_id").distinct()), docs["doc_id"] == F.col("label_id"), "left_semi")
-    forest = train(document_statistics(some), sample)
+    forest = train(document_statistics(some), sample, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             yield part.filter(pa.array(judge(statistics(texts(part.column("text"))), forest, keep_at)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
