@@ -12,7 +12,7 @@ splitter), never rows.
 
 Defined results: a null text has no bytes and weighs the fixed 8; null ids and repeated rows are
 rows like others (rows equal in id and text may lie in either order); an empty table gives an
-empty result; other columns of the input stay, but for those named like a result.
+empty result; other columns of the input stay, but for those named like a result (size, text_crc32, shard, slot).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bridgelens.llm.common import materialize
+from bridgelens.llm.common import free_name, materialize
 
 SHARDS = 24
 #: A splitter is done when it is this near to its share, as a part of a shard.
@@ -36,16 +36,20 @@ SLICE_BITS, HOT, HOT_BITS = 12, 4, 6
 ROW_BYTES = 8
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, text_crc32, and its place in the order."""
+#: Names of the place's two parts in narrow tables.
+KEY, TIE = "__key", "__tie"
+
+
+def sized(docs: DataFrame, key: str = KEY, tie: str = TIE) -> DataFrame:
+    """``docs`` with size, text_crc32, and its place in the order as the columns ``key`` and ``tie``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lit((1 << BITS) - 1)
     return docs.withColumns(
         {
             "size": (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long"),
             "text_crc32": F.crc32(F.encode(text, "UTF-8")),
-            "__key": F.xxhash64(text).bitwiseAND(low),
-            "__tie": F.xxhash64(F.lit("tie"), F.col("doc_id")).bitwiseAND(low),
+            key: F.xxhash64(text).bitwiseAND(low),
+            tie: F.xxhash64(F.lit("tie"), F.col("doc_id")).bitwiseAND(low),
         }
     )
 
@@ -106,15 +110,15 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return sorted(done)
 
 
-def below(places: list[int]) -> Column:
+def below(places: list[int], key: str = KEY, tie: str = TIE) -> Column:
     """How many of the ascending ``places`` lie at or before the row: a balanced tree of comparisons."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        key, tie = divmod(places[middle], 1 << BITS)
-        reached = (F.col("__key") > F.lit(key)) | ((F.col("__key") == F.lit(key)) & (F.col("__tie") >= F.lit(tie)))
+        at = divmod(places[middle], 1 << BITS)
+        reached = (F.col(key) > F.lit(at[0])) | ((F.col(key) == F.lit(at[0])) & (F.col(tie) >= F.lit(at[1])))
         return F.when(reached, tree(middle + 1, high)).otherwise(tree(low, middle))
 
     return tree(0, len(places))
@@ -128,18 +132,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     (at most 2^12 slices and 2^6 more for each of at most 2^12 / HOT hot ones, whatever the input).
     """
     names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    rows = sized(docs.select(*[F.col(f"`{c}`") for c in names]))
-    narrow = materialize(rows.select("size", "__key", "__tie"), "shard-sizes")
+    columns = [F.col(f"`{c}`") for c in names]
+    # the caller's columns move along, so the helpers take names that are free
+    key, tie, slice_, fine, slot, first = (free_name(docs, x) for x in (KEY, TIE, "__slice", "__fine", "__slot", "__first"))
+    rows = sized(docs.select(*columns), key, tie)
+    narrow = materialize(rows.select("size", F.col(key).alias(KEY), F.col(tie).alias(TIE)), "shard-sizes")
     cuts = splitters(narrow, shards, tolerance)
-    slice_ = F.shiftright(F.col("__key"), BITS - SLICE_BITS).cast("int")
-    per_slice = {r["s"]: r["n"] for r in narrow.groupBy(slice_.alias("s")).agg(F.count("*").alias("n")).collect()}
+    per_slice = {r["s"]: r["n"] for r in narrow.groupBy(F.shiftright(F.col(KEY), BITS - SLICE_BITS).alias("s")).agg(F.count("*").alias("n")).collect()}
     hot = [s for s, n in per_slice.items() if n > HOT * max(64, sum(per_slice.values()) / 2**SLICE_BITS)]
-    fine = F.when(slice_.isin(hot), F.shiftright(F.col("__tie"), BITS - HOT_BITS).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
-    where = {"shard": below(cuts).cast("int"), "__slice": slice_, "__fine": fine}
-    counts = narrow.withColumns(where).groupBy(*where).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__slice", "__fine").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long")).drop("__n")
-    inside = Window.partitionBy(*where).orderBy("__key", "__tie", "doc_id")
-    numbered = rows.withColumns(where).withColumn("__slot", F.row_number().over(inside) - 1)
-    out = numbered.join(F.broadcast(firsts), list(where))
-    return out.select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", "shard", (F.col("__slot") + F.col("__first")).alias("slot"))
+
+    def where(key: str, tie: str) -> dict[str, Column]:
+        slice_of = F.shiftright(F.col(key), BITS - SLICE_BITS)
+        part = F.when(slice_of.isin(hot), F.shiftright(F.col(tie), BITS - HOT_BITS)).otherwise(F.lit(0)) if hot else F.lit(0)
+        return {"shard": below(cuts, key, tie).cast("int"), slice_: slice_of.cast("int"), fine: part.cast("int")}
+
+    place = ["shard", slice_, fine]
+    counts = narrow.withColumns(where(KEY, TIE)).groupBy(*place).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(slice_, fine).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn(first, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).drop("n")
+    inside = Window.partitionBy(*place).orderBy(key, tie, "doc_id")
+    numbered = rows.withColumns(where(key, tie)).withColumn(slot, F.row_number().over(inside) - 1)
+    out = numbered.join(F.broadcast(firsts), place)
+    return out.select(*columns, "size", "text_crc32", "shard", (F.col(slot) + F.col(first)).alias("slot"))
