@@ -1,19 +1,22 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are compared in lower case with every run of white space as one space.  A benchmark item is cut
-into overlapping segments of SEGMENT characters.  If a document holds a segment of m characters with
-at most e edits, the two share at least m + 1 - q * (e + 1) q-grams whose diagonals (place in the
-document less place in the segment) lie within e of each other.  So the q-grams that a text shares
-with the benchmark are counted in overlapping bands of diagonals, BAND + e wide with a new band
-every BAND; bands that meet the bound are regions, and each region is verified by an alignment
-of the segment inside the band.
-
-A document leaks an item if one of its segments is confirmed.  The benchmark is sent to the tasks
-in parts of at most PART_BYTES, one after another, however large it is.
-
-Defined results: null or empty texts match nothing; items of less than SHORTEST characters say too little
-to tell a leak and are left out; rows repeated with one id are reported once per item; a document or
-item without an id is reported with a null.
+Texts are compared in lower case with every run of white space as one space.  A document leaks an item if a window
+of WINDOW characters of the item, anywhere in it, occurs in the document with at most EDITS edits; of an
+item shorter than that the whole must occur, with edits in proportion, and one of less than SHORTEST characters
+says so little that only a document which consists of it leaks it.
+
+The index holds the item's q-grams at every STEP-th character (its seeds), so each edit spoils at most
+GRAM / STEP of them, and a window of m characters with at most e edits shares at least
+(m - GRAM + 1) / STEP - e * GRAM / STEP seeds with the document, whose diagonals (place in the document
+less place in the item) lie within e of each other.  So the seeds that a text shares with the benchmark are counted in
+overlapping bands of diagonals, BAND + e wide with a new band every BAND; stretches of a band that meet the
+bound within a window's length are regions, and each region's windows are verified by an alignment inside the band.
+
+The benchmark is sent to the tasks in parts of at most PART_BYTES, one after another, however large it
+is; a part's index takes 3 to 6 bytes for each of its characters, by the widest of them, and twice as much while it is made.
+
+Defined results: null or empty texts match nothing, and nor do such items; rows repeated with one id are
+reported once per item; a document or item without an id is reported with a null.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import mix64, text_slices
+from bridgelens.llm.common import map_arrow, mix64, text_slices, worker_state
 
-#: Length of the q-grams, of the segments and of the step between them, in characters.
-GRAM, SEGMENT, STEP = 10, 80, 40
-#: Edits that a segment may have: EDITS for every SEGMENT characters.
-EDITS = 6
+#: Length of the q-grams and the step between those that are indexed, in characters; STEP divides GRAM.
+GRAM, STEP = 8, 4
+#: Length of the windows that are looked for, and the edits that each may have.
+WINDOW, EDITS = 50, 3
 #: Diagonals between the beginnings of two bands.
 BAND = 16
 SHORTEST = 20
-PART_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 #: Hits that are counted at a time.
 HITS = 2_000_000
 _WALL = 0xFFFFFFFF  # no character; stands between texts
@@ -47,136 +50,189 @@ def normal(text: str | None) -> np.ndarray:
 
 
 def grams(chars: np.ndarray, q: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the q characters from each place on."""
+    """A 32-bit hash of the q characters from each place on."""
     n = len(chars) - q + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint32)
     with np.errstate(over="ignore"):
         h = np.zeros(n, dtype=np.uint64)
         for k in range(q):
             h *= np.uint64(0x9E3779B97F4A7C15)
             h += chars[k : k + n]
-        return mix64(h)
+        return (mix64(h) >> np.uint64(32)).astype(np.uint32)
 
 
-def budget(m: int, q: int = GRAM) -> int:
-    """The edits allowed in a segment of m characters; few enough that it must share a q-gram."""
-    return max(0, min(m * EDITS // SEGMENT, (m + 1) // q - 1 - ((m + 1) % q == 0)))
+def budget(m: int) -> int:
+    """The edits allowed in a window of m characters."""
+    return m * EDITS // WINDOW
+
+
+def least_seeds(m: int) -> int:
+    """The seeds that a window of m characters shares with a text that holds it within its budget."""
+    return (m - GRAM + 1) // STEP - budget(m) * GRAM // STEP
 
 
 class Index:
-    """The segments of some benchmark items and where their q-grams are."""
+    """The characters of some benchmark items, and where their seeds are."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        self.items = [key for key, _ in items]
-        self.item: list[int] = []
-        self.chars: list[np.ndarray] = []
-        for k, (_, text) in enumerate(items):
+        #: items that are matched whole
+        self.whole: dict[bytes, list[int | None]] = {}
+        self.items: list[int | None] = []
+        sizes, parts, seeds, begin = [], [], [], 0
+        for key, text in items:
             chars = normal(text)
             if len(chars) < SHORTEST:
+                if len(chars):
+                    self.whole.setdefault(chars.tobytes(), []).append(key)
                 continue
-            starts = [0] if len(chars) <= SEGMENT else [*range(0, len(chars) - SEGMENT, STEP), len(chars) - SEGMENT]
-            for s in starts:
-                self.item.append(k)
-                self.chars.append(chars[s : s + SEGMENT])
-        size = np.array([len(c) for c in self.chars], dtype=np.int64)
-        self.size, self.edits = size, np.array([budget(int(m)) for m in size], dtype=np.int64)
-        self.least = size + 1 - GRAM * (self.edits + 1)
-        found = [grams(c) for c in self.chars]
-        hashes = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-        segment = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.zeros(0, dtype=np.int64)
-        offset = np.concatenate([np.arange(len(x)) for x in found]) if found else segment
-        order = np.argsort(hashes, kind="stable")
-        self.segment, self.offset = segment[order], offset[order]
-        self.hash, self.first = np.unique(hashes[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(hashes)))
+            mine = grams(chars)[::STEP].astype(np.uint64) << np.uint64(32)
+            seeds.append(mine | np.arange(begin, begin + STEP * len(mine), STEP, dtype=np.uint64))
+            # as few bytes as the characters need
+            parts.append(chars.astype(np.uint8 if (most := chars.max()) < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32))
+            self.items.append(key)
+            sizes.append(len(chars))
+            begin += len(chars)
+        self.size = np.array(sizes, dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.chars = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
+        self.window = np.minimum(self.size, WINDOW)
+        self.edits = self.window * EDITS // WINDOW
+        self.least = (self.window - GRAM + 1) // STEP - self.edits * GRAM // STEP
+        del parts
+        both = np.concatenate(seeds or [np.zeros(0, dtype=np.uint64)])
+        del seeds
+        both.sort()
+        self.place = both.astype(np.uint32)
+        both >>= np.uint64(32)
+        self.hash = both.astype(np.uint32)
         #: a first, coarse test of a hash
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[self.hash >> np.uint32(10)] = True
+
+    def item_at(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, side="right") - 1
 
     def hits(self, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(segment, diagonal) of every q-gram that the text shares with a segment, some at a time."""
-        if not len(self.hash):
-            return
+        """(place in the text, place in the items) of every seed that they share, about HITS at a time; as many
+        characters as a window may take are looked at again with the next ones."""
         h = grams(chars)
-        place = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hash, h[place]), len(self.hash) - 1)
-        real = self.hash[at] == h[place]
-        place, at = place[real], at[real]
-        ends = np.cumsum(self.count[at])
-        low = 0
-        while low < len(place):
-            base = ends[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(ends, base + HITS, side="right")))
-            n = self.count[at[low:high]]
-            entry = np.repeat(self.first[at[low:high]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield self.segment[entry], np.repeat(place[low:high], n) - self.offset[entry]
-            low = high
-
-    def regions(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, first diagonal of the band) of all bands that meet the bound."""
-        bands = len(chars) // BAND + 2 * SEGMENT // BAND + 4
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for segment, diagonal in self.hits(chars):
-            diagonal = diagonal + 2 * SEGMENT  # not negative
-            band = diagonal // BAND
-            early = (diagonal % BAND < self.edits[segment]) & (band > 0)  # lies in the band before, too
-            key = np.concatenate([segment * bands + band, segment[early] * bands + band[early] - 1])
-            new, count = np.unique(key, return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, count])).astype(np.int64)
-        segment, band = keys // bands, keys % bands
-        enough = counts >= self.least[segment]
-        return segment[enough], band[enough] * BAND - 2 * SEGMENT
-
-    def verify(self, chars: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits of each region's segment, and where that alignment ends in the text.
-
-        Row i holds, for each diagonal of the band and ``e`` more on either side, the edits of the first
-        i characters of the segment against a stretch of text that begins anywhere in the band.
+        at = np.flatnonzero(self.maybe[h >> np.uint32(10)])
+        low = np.searchsorted(self.hash, h[at], side="left")
+        count = np.searchsorted(self.hash, h[at], side="right") - low
+        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        ends = np.cumsum(count)
+        first = 0
+        while first < len(at):
+            base = ends[first - 1] if first else 0
+            last = max(int(np.searchsorted(at, at[first] + 4 * WINDOW)), int(np.searchsorted(ends, base + HITS, side="right")))
+            n = count[first:last]
+            entry = np.repeat(low[first:last] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield np.repeat(at[first:last], n), self.place[entry].astype(np.int64)
+            if last == len(at):
+                return
+            first = int(np.searchsorted(at, at[last] - 2 * WINDOW))
+
+    def regions(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(band, place in the text, first and last place in the items) of the first and last seed of each stretch
+        that meets its item's bound."""
+        out = []
+        for at, place in self.hits(chars):
+            item = self.item_at(place)
+            diagonal = at - place + len(self.chars)  # not negative
+            band, early = diagonal // BAND, diagonal % BAND < self.edits[item]  # lies in the band before, too
+            band, at, place, item = (np.concatenate([x, y[early]]) for x, y in ((band, band - 1), (at, at), (place, place), (item, item)))
+            # hits in a band that has too few of them anywhere go first, by counts of hashed bands
+            bits = max(8, len(band).bit_length() + 1)
+            cell = (mix64(band) >> np.uint64(64 - bits)).astype(np.int64)
+            may = np.bincount(cell, minlength=1 << bits)[cell] >= self.least[item]
+            band, at, place, item = band[may], at[may], place[may], item[may]
+            order = np.lexsort((at, band, item))
+            band, at, place, item = band[order], at[order], place[order], item[order]
+            for least in np.unique(self.least[item]).tolist():
+                first = np.flatnonzero(self.least[item] == least)
+                first = first[first + least - 1 < len(at)]
+                last = first + least - 1
+                same = (item[first] == item[last]) & (band[first] == band[last])
+                near = at[last] - at[first] <= self.window[item[first]] + self.edits[item[first]] - GRAM
+                first, last = first[same & near], last[same & near]
+                out.append((band[first], at[first], place[first], place[last]))
+        if not out:
+            return (np.zeros(0, dtype=np.int64),) * 4
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def verify(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits of the ``size`` characters of the items from ``start`` on against the text inside a band, and
+        where that alignment ends in the text.
+
+        Row i holds, for each diagonal of the band and EDITS more on either side, the edits of the first
+        i characters of the window against a stretch of text that begins anywhere in the band.
         """
-        edits, ends = np.full(len(segment), SEGMENT, dtype=np.int64), np.zeros(len(segment), dtype=np.int64)
-        padded = np.concatenate([np.full(3 * SEGMENT, _WALL, dtype=np.uint32), chars, np.full(3 * SEGMENT, _WALL, dtype=np.uint32)])
+        edits, ends = np.full(len(start), WINDOW, dtype=np.int64), np.zeros(len(start), dtype=np.int64)
         width = BAND + 3 * EDITS + 1
         steps = np.arange(width)
-        for m in np.unique(self.size[segment]):
-            group = np.flatnonzero(self.size[segment] == m)
+        begin = start + band * BAND - len(self.chars) - EDITS
+        for m in np.unique(size).tolist():
+            group = np.flatnonzero(size == m)
             for some in np.array_split(group, -(-len(group) // 2048)):
-                pattern = np.stack([self.chars[s] for s in segment[some]])
-                start = diagonal[some] - EDITS + 3 * SEGMENT
+                at = begin[some][:, None] + np.arange(m + width)
+                text = np.where((at >= 0) & (at < len(chars)), chars[np.clip(at, 0, len(chars) - 1)], np.uint32(_WALL))
+                pattern = self.chars[start[some][:, None] + np.arange(m)]
                 row = np.zeros((len(some), width), dtype=np.int32)
-                for i in range(int(m)):
-                    text = padded[(start + i)[:, None] + steps]
-                    new = row + (text != pattern[:, i : i + 1])
+                for i in range(m):
+                    new = row + (text[:, i : i + width] != pattern[:, i : i + 1])
                     np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
                     row = np.minimum.accumulate(new - steps, axis=1) + steps
                 best = row.argmin(axis=1)
                 edits[some] = row[np.arange(len(some)), best]
-                ends[some] = start + m + best - 3 * SEGMENT
+                ends[some] = begin[some] + m + best
         return edits, ends
 
-    def search(self, rows: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, confirmed segments, start, end, edits of the best) for every leaked item of every text."""
+    def search(self, rows: list[np.ndarray]) -> list[tuple[int, int | None, int, int, int, int]]:
+        """(text, item's id, confirmed windows, start, end, edits of the best) for every leaked item of every text.
+
+        First the windows at either end of the regions are verified, one region for each window's length of a band; then,
+        for a text and an item of which none was confirmed, every window that may hold seeds of any of their regions.
+        """
+        out = [(k, key, 1, 0, len(r), 0) for k, r in enumerate(rows) if 0 < len(r) < SHORTEST for key in self.whole.get(r.tobytes(), ())]
+        if not len(self.hash):
+            return out
         wall = np.array([_WALL], dtype=np.uint32)
         chars = np.concatenate([x for r in rows for x in (r, wall)]) if rows else np.zeros(0, dtype=np.uint32)
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])])
-        segment, diagonal = self.regions(chars)
-        edits, ends = self.verify(chars, segment, diagonal)
-        good = edits <= self.edits[segment]
+        band, at, low, high = self.regions(chars)
+        item, text = self.item_at(low), np.searchsorted(begins, at, side="right") - 1
+        size = self.window[item]
+        # the windows of an item that hold a region's seeds begin from here to there
+        first, last = self.begin[item], self.begin[item] + self.size[item] - size
+        earliest, latest = np.clip(high + GRAM - size, first, last), np.clip(low, first, last)
         found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-        for s, end, cost in zip(segment[good].tolist(), ends[good].tolist(), edits[good].tolist(), strict=True):
-            text = int(np.searchsorted(begins, end - 1, side="right")) - 1
-            mine = found.setdefault((text, self.item[s]), {})
-            mine[s] = min(mine.get(s, (cost, end)), (cost, end))
-        out = []
-        for (text, item), mine in found.items():
-            low = min(max(0, end - int(self.size[s]) - int(begins[text])) for s, (_, end) in mine.items())
-            high = max(end - int(begins[text]) for _, end in mine.values())
-            out.append((text, item, len(mine), low, high, min(cost for cost, _ in mine.values())))
-        return out
-
 
-_INDEXES: dict[str, Index] = {}
+        def confirm(region: np.ndarray, start: np.ndarray) -> None:
+            _, one = np.unique(np.stack([start, band[region], text[region]]), axis=1, return_index=True)
+            start, region = start[one], region[one]
+            edits, ends = self.verify(chars, start, size[region], band[region])
+            good = edits <= self.edits[item[region]]
+            for t, i, s, end, cost in zip(text[region[good]].tolist(), item[region[good]].tolist(), start[good].tolist(), ends[good].tolist(), edits[good].tolist(), strict=True):
+                mine = found.setdefault((t, i), {})
+                mine[s] = min(mine.get(s, (cost, end)), (cost, end))
+
+        if len(band):
+            _, one = np.unique(np.stack([text, item, band, at // WINDOW]), axis=1, return_index=True)
+            confirm(np.concatenate([one, one]), np.concatenate([latest[one], earliest[one]]))
+            known = {t * len(self.items) + i for t, i in found}
+            rest = np.flatnonzero(~np.isin(text * len(self.items) + item, np.array(sorted(known), dtype=np.int64)))
+            # other seeds of the band may stand between a window's own
+            wide = BAND + EDITS
+            lowest, highest = np.maximum(first, np.minimum(earliest, latest) - wide), np.minimum(last, np.maximum(earliest, latest) + wide)
+            count = highest[rest] - lowest[rest] + 1
+            region = np.repeat(rest, count)
+            confirm(region, lowest[region] + np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count))
+        for (t, i), mine in found.items():
+            begin, m = int(begins[t]), int(self.window[i])
+            low_, high_ = (f(end for _, end in mine.values()) - begin for f in (min, max))
+            out.append((t, self.items[i], len(mine), max(0, low_ - m), high_, min(cost for cost, _ in mine.values())))
+        return out
 
 
 def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator:
@@ -191,10 +247,7 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Itera
 def index_of(sent) -> Index:
     """The index of a part, made once per Python worker."""
     key, rows = sent.value
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(rows)
-    return _INDEXES[key]
+    return worker_state(("index", key), lambda: Index(rows))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -211,10 +264,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -
                 found = index.search([normal(t) for t in batch.column("text").to_pylist()])
                 if found:
                     text, item, n, low, high, edits = zip(*found, strict=True)
-                    ids = pa.array([index.items[k] for k in item])
+                    ids = pa.array(item)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), ids if ids.type != pa.null() else ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "n_segments", "start", "end", "edits"])
 
-        mine = docs.select("doc_id", "text").mapInArrow(run, ddl)
+        mine = map_arrow(docs.select("doc_id", "text"), run, ddl)
         out = mine if out is None else out.union(mine)
     best = F.struct("edits", "start", "end", "n_segments")
     return out.groupBy("doc_id", "item_id").agg(F.min(best).alias("m")).select("doc_id", "item_id", "m.n_segments", "m.start", "m.end", "m.edits")
@@ -230,5 +283,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_B
                 leaking = {x[0] for x in index.search([normal(t) for t in batch.column("text").to_pylist()])}
                 yield batch.filter(pa.array([k not in leaking for k in range(batch.num_rows)]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
