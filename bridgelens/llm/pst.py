@@ -2,19 +2,15 @@
 
 A text is read as its lower-cased words (A-Z only), joined by one space and closed by an end
 symbol; symbols are bytes.  From all training texts come the counts of every (DEPTH + 1)-byte
-stretch.  A context of 1..DEPTH bytes is kept if it is frequent enough (LEAST_SHARE of all symbols,
-so at most 1 / LEAST_SHARE contexts of a length exist at any size of input) and if its next-symbol
-distribution diverges from that of its suffix.  A kept context's distribution is its counts, smoothed
-by the distribution of its longest kept suffix, the more the more symbols follow it; the root's is
-smoothed over all byte values.
+stretch.  A context of 1..DEPTH bytes is kept if it occurs LEAST times or more and if its next-symbol
+distribution diverges from that of its suffix, so the tree goes on growing with the training texts.  A kept
+context's distribution is its counts, smoothed by the distribution of its longest kept suffix, the more the
+more symbols follow it; the root's is smoothed over all byte values.
 
-For scoring, the tree becomes an automaton whose state is the longest suffix of the text
-read that begins a kept context, so each symbol costs one table look-up; the state depends on the last
-DEPTH symbols alone, so a long text is scored in many lanes at once.
-
-The base score needs the training count of every word.  Words are counted once; each block of
-documents then receives the counts of its own distinct words, so neither the vocabulary nor a
-document's words are ever gathered in one place.
+The tree is a table: contexts are counted, tested and stored by Spark, and each block of documents receives
+the kept contexts that occur in its own texts, as it receives the training counts of its own words.  So neither
+the tree nor the vocabulary is ever gathered in one place.  A block looks up each of its distinct stretches once: the
+symbol's probability in the longest kept suffix of what stands before it, from the root down.
 
 Defined results: a null or empty text is its end token alone; a null id counts as the text '' when
 it is dealt to the training side; repeated rows count and are scored each; without training texts
@@ -24,28 +20,27 @@ N and V are 0 and the model is uniform.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import materialize, text_slices, texts
+from bridgelens.llm.common import map_arrow, materialize, text_slices, texts, worker_state
 
 DEPTH = 5
-#: Shares of all training symbols below which a context is not tested.
-LEAST_SHARE = 2e-6
+#: Occurrences from which a context is tested.
+LEAST = 64
 #: Divergence (nats) of a context from its suffix at which it is kept.
 DIVERGENCE = 0.002
 #: Weight of the suffix's distribution in a context's, as a count for each symbol seen after the context.
 SMOOTHING = 3.0
 #: Bytes of text (about) in a block of documents that is scored together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 PAD, END = 0xFF, 0xFE  # never bytes of UTF-8
-LANES = 4096
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -62,12 +57,12 @@ def symbols(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(buffer: np.ndarray) -> np.ndarray:
-    """At every symbol that is not a pad, the DEPTH symbols before it and itself as one number."""
+    """At every symbol, the DEPTH symbols before it and itself as one number (of no use at pads)."""
     n = len(buffer)
     code = np.zeros(n - DEPTH, dtype=np.int64)
     for k in range(DEPTH + 1):
         code |= buffer[DEPTH - k : n - k].astype(np.int64) << (8 * k)
-    return code[buffer[DEPTH:] != PAD]
+    return code
 
 
 def is_training():
@@ -81,12 +76,13 @@ def stretch_counts(training: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            code = np.concatenate([c for c, _ in held])
-            distinct, at = np.unique(code, return_inverse=True)
+            at, distinct = pd.factorize(np.concatenate([c for c, _ in held]))
             return distinct, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-        for part in text_slices(batches, "text", 8 << 20):
-            held.append(np.unique(stretches(symbols([words(x) for x in texts(part.column("text"))])[0]), return_counts=True))
+        for part in text_slices(batches, "text"):
+            buffer = symbols([words(x) for x in texts(part.column("text"))])[0]
+            at, distinct = pd.factorize(stretches(buffer)[buffer[DEPTH:] != PAD])
+            held.append((distinct, np.bincount(at)))
             if sum(len(c) for c, _ in held) > 4_000_000:
                 held = [merged()]
                 if len(held[0][0]) > 2_000_000:  # counts may be handed on in parts
@@ -94,139 +90,112 @@ def stretch_counts(training: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["code", "n"])
 
-    return training.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return map_arrow(training.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+#: (depth, context, total, symbols, counts): a context with what follows it, by symbol.
+CONTEXTS = "depth int, context long, total long, symbols array<smallint>, counts array<bigint>"
+
+
+def contexts(counts: DataFrame, depth: int, least: int) -> DataFrame:
+    """The contexts of ``depth`` bytes that occur ``least`` times or more, from (code, n) of depth + 1 bytes."""
+    code = F.col("code")
+    follows = F.array_sort(F.collect_list(F.struct(code.bitwiseAND(255).cast("smallint").alias("symbol"), "n")))
+    found = counts.groupBy(F.shiftright(code, 8).alias("context")).agg(F.sum("n").alias("total"), follows.alias("follows")).where(F.col("total") >= least)
+    return found.select(F.lit(depth).alias("depth"), "context", "total", F.col("follows.symbol").alias("symbols"), F.col("follows.n").alias("counts"))
+
+
+def diverging(longer: DataFrame, shorter: DataFrame, depth: int, divergence: float = DIVERGENCE) -> DataFrame:
+    """Those of the contexts of ``depth`` bytes whose distribution diverges from their suffix's (whatever follows a
+    context follows its suffix, which is no rarer, so the suffix is there)."""
+    suffix = F.col("context").bitwiseAND((1 << (8 * (depth - 1))) - 1).alias("suffix")
+    above = shorter.select(F.col("context").alias("suffix"), F.col("total").alias("all"), F.map_from_arrays("symbols", "counts").alias("above"))
+    joined = longer.withColumn("suffix", suffix).join(above, "suffix")
+    # sum of n / total * ln((n / total) / (m / all)), where m is the suffix's count of the same symbol
+    terms = F.zip_with("symbols", "counts", lambda s, n: n * (F.log(n.cast("double")) - F.log(F.element_at(F.col("above"), s).cast("double"))))
+    total = F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)
+    diverges = total / F.col("total") - F.log(F.col("total").cast("double")) + F.log(F.col("all").cast("double"))
+    return joined.where(diverges >= divergence).select(*longer.columns)
+
+
+def learn(training: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """The kept contexts of the training texts, the root among them, as CONTEXTS, stored."""
+    counts = materialize(stretch_counts(training), "pst-stretches")
+    levels = []
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:
+            counts = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+            counts = materialize(counts, f"pst-{d}") if d else counts
+        levels.append(materialize(contexts(counts, d, least if d else 0), f"pst-contexts-{d}"))
+    levels = levels[::-1]
+    kept = levels[0]
+    for d in range(1, DEPTH + 1):
+        kept = kept.union(diverging(levels[d], levels[d - 1], d, divergence))
+    return materialize(kept, "pst-kept")
 
 
 class Tree:
-    """The kept contexts with their counts; ``automaton()`` makes it fit for scoring."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE) -> None:
-        """counts[d]: (context, symbol, n) of the frequent contexts of d bytes, by context and symbol."""
-        self.key = uuid.uuid4().hex
-        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        above: dict[int, float] = {}
-        for d, (context, symbol, n) in enumerate(counts):
-            order = np.lexsort((symbol, context))
-            context, symbol, n = context[order], symbol[order], n[order].astype(np.float64)
-            nodes, row = np.unique(context, return_inverse=True)
-            total = np.bincount(row, weights=n, minlength=len(nodes))
-            p = n / total[row]
-            here = dict(zip(((context << 8) | symbol).tolist(), p.tolist(), strict=True))
-            if d:
-                suffix = ((context & ((1 << (8 * (d - 1))) - 1)) << 8) | symbol
-                q = np.array([above[x] for x in suffix.tolist()])
-                keep = np.bincount(row, weights=p * np.log(p / q), minlength=len(nodes)) >= divergence
-            else:
-                keep = np.ones(len(nodes), dtype=bool)
-            above = here
-            number = np.cumsum(keep) - 1
-            mine = keep[row]
-            self.nodes.append((nodes[keep], total[keep], number[row[mine]].astype(np.int32), symbol[mine].astype(np.int16), n[mine]))
-
-    def automaton(self) -> Automaton:
-        return Automaton(self)
-
-
-class Automaton:
-    def __init__(self, tree: Tree) -> None:
-        seen = sorted({PAD} | {int(s) for _, _, _, symbol, _ in tree.nodes for s in np.unique(symbol)} | {int(c >> (8 * k)) & 255 for d, (nodes, *_) in enumerate(tree.nodes) for k in range(d) for c in nodes})
-        #: class of each byte; the last class stands for each byte value that training never showed
-        self.classes = np.full(256, len(seen), dtype=np.int64)
-        self.classes[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        # distributions of the kept contexts, from the root down
-        self.kept: list[dict[int, int]] = []
-        tables, first = [], 0
-        for d, (nodes, total, row, symbol, n) in enumerate(tree.nodes):
-            p = np.zeros((len(nodes), width))
-            p[row, self.classes[symbol]] = n
-            if d == 0:
-                p = (p + 1) / ((total[:, None] if len(total) else 0.0) + 257) if len(nodes) else np.full((1, width), 1 / 257)
-                self.kept.append({0: 0})
-            else:
-                self.kept.append({int(c): first + k for k, c in enumerate(nodes)})
-                if len(nodes):
-                    suffix = np.array([self.longest(int(c), d - 1) for c in nodes])
-                    weight = SMOOTHING * (p > 0).sum(axis=1, keepdims=True)
-                    p = (p + weight * np.concatenate(tables)[suffix]) / (total[:, None] + weight)
-            tables.append(p)
-            first += len(p)
-        self.log = np.log10(np.concatenate(tables)).astype(np.float32)
-        # states: every beginning of a kept context
-        states: list[set[int]] = [{0}] + [set() for _ in range(DEPTH)]
-        for d, kept in enumerate(self.kept):
-            for k in range(1, d + 1):
-                states[k].update(c >> (8 * (d - k)) for c in kept)
-        levels = [np.array(sorted(s), dtype=np.int64) for s in states]
-        starts = np.cumsum([0] + [len(x) for x in levels])
-        self.next = np.zeros((int(starts[-1]), width), dtype=np.int32)
-        fail = np.zeros(int(starts[-1]), dtype=np.int64)
-        dist = np.zeros(int(starts[-1]), dtype=np.int32)
-        for d, level in enumerate(levels):
-            mine = np.arange(starts[d], starts[d + 1])
-            if d:
-                mother = starts[d - 1] + np.searchsorted(levels[d - 1], level >> 8)
-                by = self.classes[level & 255]
-                if d > 1:
-                    fail[mine] = self.next[fail[mother], by]
-                self.next[mine] = self.next[fail[mine]]
-                kept = self.kept[d] if d < len(self.kept) else {}
-                dist[mine] = [kept.get(c, -1) for c in level.tolist()]
-                dist[mine] = np.where(dist[mine] < 0, dist[fail[mine]], dist[mine])
-            if d < DEPTH and len(levels[d + 1]):
-                child = levels[d + 1]
-                self.next[starts[d] + np.searchsorted(level, child >> 8), self.classes[child & 255]] = np.arange(starts[d + 1], starts[d + 2])
-        self.dist = dist
-
-    def longest(self, context: int, d: int) -> int:
-        """The longest kept context of at most ``d`` bytes that ends ``context``."""
-        while True:
-            found = self.kept[d].get(context & ((1 << (8 * d)) - 1))
-            if found is not None:
-                return found
-            d -= 1
+    """Some kept contexts, fit for looking up stretches: the root and, of each depth, sorted contexts and what follows them."""
+
+    def __init__(self, root: np.ndarray) -> None:
+        """``root``: how often each byte value occurs."""
+        self.root = (root + 1.0) / (root.sum() + 257)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, context: np.ndarray, total: np.ndarray, size: np.ndarray, symbols_: np.ndarray, counts: np.ndarray) -> None:
+        """The next depth: each context, its count, how many symbols follow it, and all those with their counts."""
+        order = np.argsort(context, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        key = np.repeat(place, size) << 8 | symbols_
+        by = np.argsort(key, kind="stable")
+        self.levels.append((context[order], total[order].astype(np.float64), SMOOTHING * size[order], key[by], counts[by].astype(np.float64)))
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of each stretch after those before it."""
+        symbol = code & 255
+        p = self.root[symbol]
+        for d, (context, total, weight, key, count) in enumerate(self.levels, 1):
+            if not len(context):
+                continue
+            mine = code >> 8 & ((1 << 8 * d) - 1)
+            at = np.minimum(np.searchsorted(context, mine), len(context) - 1)
+            kept = np.flatnonzero(context[at] == mine)
+            at, want = at[kept], at[kept] << 8 | symbol[kept]
+            found = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            n = np.where(key[found] == want, count[found], 0.0)
+            p[kept] = (n + weight[at] * p[kept]) / (total[at] + weight[at])
+        return np.log10(p)
 
     def score(self, buffer: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each text in ``buffer`` (as ``symbols`` made it)."""
+        """log10 probability of each text in ``buffer`` (as ``symbols`` made it); every distinct stretch is looked up once."""
         if not len(begins):
             return np.zeros(0)
-        n = len(buffer)
-        kinds = self.classes[buffer]
-        span = max(1, -(-n // LANES))
-        lanes = np.arange(0, n, span)
-        out = np.zeros(n, dtype=np.float32)
-        padded = np.concatenate([np.full(DEPTH, self.classes[PAD]), kinds, np.zeros(span, dtype=np.int64)])
-        state = np.zeros(len(lanes), dtype=np.int64)
-        width = self.next.shape[1]
-        follow, log = self.next.reshape(-1), self.log.reshape(-1)
-        for k in range(DEPTH + span):
-            kind = padded[lanes + k]
-            if k >= DEPTH:
-                at = lanes + (k - DEPTH)
-                inside = at < n
-                if inside.all():
-                    out[at] = log[self.dist[state].astype(np.int64) * width + kind]
-                else:
-                    out[at[inside]] = log[self.dist[state[inside]].astype(np.int64) * width + kind[inside]]
-            state = follow[state * width + kind].astype(np.int64)
+        at, distinct = pd.factorize(stretches(buffer))
+        out = np.zeros(len(buffer))
+        out[DEPTH:] = self.log10(distinct)[at]
         out[buffer == PAD] = 0
-        return np.add.reduceat(out.astype(np.float64), begins)
+        return np.add.reduceat(out, begins)
 
 
-def learn(training: DataFrame) -> Tree:
-    """The tree of the training texts (the driver receives the counts of the frequent contexts only)."""
-    counts = materialize(stretch_counts(training), "pst-stretches")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(LEAST_SHARE * total))
-    levels, longer = [], counts
-    for d in range(DEPTH, -1, -1):
-        longer = longer.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        if d < DEPTH:
-            longer = materialize(longer, f"pst-{d}")
-        contexts = longer.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= (least if d else 0))
-        found = longer.withColumn("context", F.shiftright("code", 8)).join(contexts, "context").select("context", F.col("code").bitwiseAND(F.lit(255)).alias("symbol"), "n").toPandas()
-        levels.append(tuple(found[c].to_numpy(dtype=np.int64) for c in ("context", "symbol", "n")))
-    return Tree(levels[::-1])
+def tree_of(rows: pa.Table, root: np.ndarray) -> Tree:
+    """The tree of some rows of CONTEXTS (all but the root's) and the root's counts."""
+    tree = Tree(root)
+    depth = rows.column("depth").to_numpy()
+    for d in range(1, DEPTH + 1):
+        mine = rows.filter(pa.array(depth == d)).combine_chunks()
+        follows = [mine.column(c).combine_chunks() for c in ("symbols", "counts")]
+        sizes = np.diff(follows[0].offsets.to_numpy()) if len(mine) else np.zeros(0, dtype=np.int64)
+        tree.add(mine.column("context").to_numpy(), mine.column("total").to_numpy(), sizes, *(x.flatten().to_numpy().astype(np.int64) for x in follows))
+    return tree
+
+
+def root_counts(kept: DataFrame) -> np.ndarray:
+    """How often each byte value occurs (256 numbers)."""
+    out = np.zeros(256)
+    for r in kept.where("depth = 0").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).select("x.*").collect():
+        out[r["symbols"]] = r["counts"]
+    return out
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -242,44 +211,52 @@ def word_counts(training: DataFrame) -> DataFrame:
                 held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
 
-    return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(training.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def distinct_words(blocks: DataFrame) -> DataFrame:
-    """(block, word), each once for a block and task."""
+def wanted(blocks: DataFrame) -> DataFrame:
+    """(block, depth, key) of what a block needs to be told of: its distinct words (depth 0) and its distinct contexts of
+    each depth, as eight bytes; each once for a block and slice of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
-        for part in text_slices(batches, "text"):
-            for block, raw in zip(part.column("block").to_pylist(), texts(part.column("text")), strict=True):
-                held.setdefault(block, set()).update(words(raw))
-            if sum(map(len, held.values())) > 1_000_000:
-                for block, found in held.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(list(found), pa.binary())], names=["block", "word"])
-                held = {}
-        for block, found in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(list(found), pa.binary())], names=["block", "word"])
-
-    return blocks.select("block", "text").mapInArrow(run, "block long, word binary")
+        held: dict[int, tuple[set[bytes], list[np.ndarray]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, (found, codes) in held.items():
+                yield rows(block, 0, pa.array(list(found), pa.binary()))
+                longer = pd.unique(np.concatenate(codes))
+                for d in range(DEPTH, 0, -1):
+                    longer = pd.unique(longer & ((1 << 8 * d) - 1))
+                    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(longer), [None, pa.py_buffer(longer.astype(">i8").tobytes())])
+                    yield rows(block, d, keys.cast(pa.binary()))
+            held.clear()
+
+        def rows(block: int, depth: int, keys: pa.Array) -> pa.RecordBatch:
+            n = len(keys)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, dtype=np.int64)), pa.array(np.full(n, depth, dtype=np.int32)), keys], names=["block", "depth", "key"])
 
-
-_AUTOMATA: dict[str, Automaton] = {}
-
-
-def automaton(tree: Tree) -> Automaton:
-    """The tree's automaton, made once per Python worker."""
-    if tree.key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[tree.key] = tree.automaton()
-    return _AUTOMATA[tree.key]
-
-
-def score(docs: DataFrame, tree: Tree | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        for part in text_slices(batches, "text"):
+            number, distinct = pd.factorize(part.column("block").to_numpy())
+            raw = texts(part.column("text"))
+            for k, block in enumerate(distinct.tolist()):
+                mine = [words(raw[i]) for i in np.flatnonzero(number == k)]
+                buffer = symbols(mine)[0]
+                found, codes = held.setdefault(block, (set(), []))
+                found.update(*mine)
+                codes.append(pd.unique(stretches(buffer)[buffer[DEPTH:] != PAD] >> 8))
+            if sum(len(found) + sum(map(len, codes)) for found, codes in held.values()) > 4_000_000:
+                yield from out()
+        yield from out()
+
+    return map_arrow(blocks.select("block", "text"), run, "block long, depth int, key binary")
+
+
+def score(docs: DataFrame, kept: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     training = narrow.where(is_training())
-    tree = learn(training) if tree is None else tree
+    kept = learn(training) if kept is None else kept
+    root = root_counts(kept)
     vocabulary = materialize(word_counts(training), "pst-words")
     n_words, n_kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train = training.count()
@@ -290,18 +267,24 @@ def score(docs: DataFrame, tree: Tree | None = None, block_bytes: int = BLOCK_BY
     n_blocks = max(16, -(-int(total) // block_bytes))
     blocks = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).withColumn("held_out", ~is_training())
     blocks = blocks.repartition(n_blocks, "block")
-    known = distinct_words(blocks).join(vocabulary, "word").select("block", "word", "c")
-    sent = spark.sparkContext.broadcast(tree)
+    as_words = vocabulary.select(F.lit(0).alias("depth"), F.col("word").alias("key"), F.col("c").alias("total"), F.lit(None).cast("array<smallint>").alias("symbols"), F.lit(None).cast("array<bigint>").alias("counts"))
+    as_contexts = kept.where("depth > 0").select("depth", F.unhex(F.lpad(F.hex("context"), 16, "0")).alias("key"), "total", "symbols", "counts")
+    known = wanted(blocks).join(as_words.union(as_contexts), ["depth", "key"]).select("block", "depth", "key", "total", "symbols", "counts")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        machine = automaton(sent.value)
-        count = dict(zip(right.column("word").to_pylist(), (np.log10(right.column("c").to_numpy() + 1.0) - base).tolist(), strict=True))
+        worker_state("blocks", dict)  # drops what another operator has kept
+        depth = right.column("depth").to_numpy()
+        told = right.filter(pa.array(depth == 0))
+        count = dict(zip(told.column("key").to_pylist(), (np.log10(told.column("total").to_numpy() + 1.0) - base).tolist(), strict=True))
+        told = right.filter(pa.array(depth > 0))
+        context = np.frombuffer(b"".join(told.column("key").to_pylist()), dtype=">i8").astype(np.int64)
+        tree = tree_of(told.drop_columns(["block", "key"]).append_column("context", pa.array(context)), root)
         missing = -base
         out = []
         for part in text_slices(left.to_batches(), "text"):
             rows = [words(x) for x in texts(part.column("text"))]
-            scores, n_known, base_scores = machine.score(*symbols(rows)), [], []
+            scores, n_known, base_scores = tree.score(*symbols(rows)), [], []
             for row in rows:
                 found = [count[w] for w in row if w in count]
                 n_known.append(len(found) + (n_train > 0))
