@@ -20,7 +20,8 @@ need no confirmation, as only connections are asked for.  A pair at similarity 0
 
 Defined results: texts without words have no shingles and are linked with nothing; with fewer
 words than a shingle, the whole sequence is the one shingle; a null id has a null component and is kept; rows
-repeated with one id are in one component if their texts are.
+are told apart by id and text, so rows of one id with different texts are in one component only if their texts are.
+Of a group, ``keep_one`` keeps one row: with the smallest id, and of rows repeated with id and text any one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import materialize, mix64, text_slices, texts
+from bridgelens.llm.common import free_name, map_arrow, materialize, mix64, text_slices, texts, worker_state
 from bridgelens.llm.components import components
 
 SHINGLE = 5
@@ -55,15 +56,13 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingle_set(raw: bytes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = raw.translate(_UPPER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    codes = np.array([_HASHES[w] for w in words], dtype=np.uint64)
+    hashes = worker_state("word hashes", _WordHashes)
+    codes = np.array([hashes[w] for w in words], dtype=np.uint64)
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
     h = np.full(n, width, dtype=np.uint64)
@@ -88,8 +87,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_mark():
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature): one row per input row; equal sets have equal digests."""
+    """(doc_id, mark, n_shingles, digest, signature): one row per input row; equal sets have equal digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -99,9 +103,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 found.append(signature(s).astype(">u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text"), run, "doc_id long, mark long, n_shingles long, digest binary, signature binary")
 
 
 def shared_values(keys: np.ndarray) -> np.ndarray:
@@ -235,9 +239,9 @@ def forest_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         a, b, r = candidates_of(*_arrays(edges))
         return pa.table([a, b, r.astype(np.int32)], names=["a", "b", "round"])
 
-    rows = nodes.select("node", "n_shingles", "signature").mapInArrow(spread, "tree int, key binary, node long, n_shingles long")
+    rows = map_arrow(nodes.select("node", "n_shingles", "signature"), spread, "tree int, key binary, node long, n_shingles long")
     rows = rows.repartitionByRange(F.col("tree"), F.col("key"), F.col("node")).sortWithinPartitions("tree", "key", "node")
-    found = materialize(rows.mapInArrow(pairs, _PAIRS), "forest-pairs")
+    found = materialize(map_arrow(rows, pairs, _PAIRS), "forest-pairs")
     edges = found.where("b IS NULL AND round IS NULL").select("tree", "key", F.col("a").alias("node"), "n_shingles")
     more = edges.groupBy("tree").applyInArrow(join_edges, "a long, b long, round int")
     main = found.where("b IS NOT NULL").select("a", "b", "round")
@@ -246,14 +250,23 @@ def forest_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, crowds.select("tree", "key", F.col("a").alias("node"))
 
 
+#: A crowd with 1 / SHARE of all crowds' rows or more has its hub broadcast (at most SHARE hubs, whatever the input).
+SHARE = 1000
+
+
 def hub_pairs(crowds: DataFrame) -> DataFrame:
     """(a, b, round) of each row of ``crowds`` (a, round: its agreement, tree, key, n_shingles) with its crowd's hub."""
     votes = crowds.groupBy("a").agg(F.sum(F.col("round") + 1).alias("votes"))
-    rows = crowds.join(votes, "a").select("tree", "key", "a", "n_shingles", "votes")
+    rows = materialize(crowds.join(votes, "a").select("tree", "key", "a", "n_shingles", "votes"), "crowd-votes")
     best = F.max(F.struct("votes", (-F.col("a")).alias("least"), F.col("n_shingles").alias("size")))
-    hubs = rows.groupBy("tree", "key").agg(best.alias("hub")).select("tree", "key", (-F.col("hub.least")).alias("hub"), F.col("hub.size").alias("size"))
+    hubs = rows.groupBy("tree", "key").agg(best.alias("hub"), F.count("*").alias("n"))
+    hubs = materialize(hubs.select("tree", "key", (-F.col("hub.least")).alias("hub"), F.col("hub.size").alias("size"), "n"), "hubs")
+    large = F.col("n") * SHARE >= rows.count()
+    great = F.broadcast(hubs.where(large).drop("n"))
+    # the largest crowds meet their hubs where their rows lie, the others by an ordinary join
+    met = rows.join(great, ["tree", "key"]).unionByName(rows.join(great, ["tree", "key"], "left_anti").join(hubs.where(~large).drop("n"), ["tree", "key"]))
     close = 100 * F.least("n_shingles", "size") >= SIMILARITY * F.greatest("n_shingles", "size")
-    pairs = rows.join(hubs, ["tree", "key"]).where((F.col("a") != F.col("hub")) & close)
+    pairs = met.where((F.col("a") != F.col("hub")) & close)
     return pairs.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(1).alias("round")).distinct()
 
 
@@ -262,9 +275,9 @@ def hub_pairs(crowds: DataFrame) -> DataFrame:
 FILTER_BITS, FULL = 1 << 25, 0.3
 
 
-def id_filter(ids: DataFrame) -> np.ndarray | None:
-    """A bit for each place that the hash of an id in ``ids`` (node) falls on; None if too many are set."""
-    places = ids.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("place"))
+def key_filter(keys: DataFrame, *columns: str) -> np.ndarray | None:
+    """A bit for each place that the hash of a key in ``keys`` falls on; None if too many are set."""
+    places = keys.select(F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).alias("place"))
     words = places.groupBy(F.expr("place DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 32 AS INT)))").alias("bits"))
     found = words.toPandas()
     out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
@@ -272,30 +285,37 @@ def id_filter(ids: DataFrame) -> np.ndarray | None:
     return out if np.bitwise_count(out).sum() <= FULL * FILTER_BITS else None
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles): the full sets of the documents that ``nodes`` (node) names, and of a few more.
+def shingle_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, mark, shingles): the full sets of the rows that ``named`` (doc_id, mark) names, and of a few more;
+    rows repeated in a task once.
 
     Their texts are not moved: a filter of fixed size, broadcast, drops the others as they are read.
     """
-    named = nodes.distinct()
-    bits = id_filter(named)
-    docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    named = named.distinct()
+    bits = key_filter(named, "doc_id", "mark")
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_mark().alias("mark"), "text")
     if bits is None:
-        docs = docs.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        docs = docs.join(named, ["doc_id", "mark"], "left_semi")
+    docs = docs.withColumn("place", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(FILTER_BITS)))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for part in text_slices(batches, "text"):
             if sent.value is not None:
                 place = part.column("place").to_numpy()
                 part = part.filter(pa.array((sent.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(x).tobytes() for x in texts(part.column("text"))], pa.binary())], names=["node", "shingles"])
+            keys = list(zip(part.column("doc_id").to_pylist(), part.column("mark").to_pylist(), strict=True))
+            new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            part = part.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([shingle_set(x).tobytes() for x in texts(part.column("text"))], pa.binary())], names=["doc_id", "mark", "shingles"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "node long, shingles binary")
+    return map_arrow(docs, sets, "doc_id long, mark long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``docs`` has a row for each node."""
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough; ``nodes`` (node, doc_id, mark) names a row
+    of ``docs`` for each."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -307,10 +327,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
-    found = materialize(shingle_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "shingle-sets")
-    left = found.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = found.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    named = materialize(pairs.join(nodes.select(F.col("node").alias("a"), F.struct("doc_id", "mark").alias("left_row")), "a").join(nodes.select(F.col("node").alias("b"), F.struct("doc_id", "mark").alias("right_row")), "b"), "named-pairs")
+    found = materialize(shingle_sets(docs, named.select("left_row.*").union(named.select("right_row.*"))), "shingle-sets")
+    left = found.select(F.struct("doc_id", "mark").alias("left_row"), F.col("shingles").alias("left"))
+    right = found.select(F.struct("doc_id", "mark").alias("right_row"), F.col("shingles").alias("right"))
+    return map_arrow(named.join(left, "left_row").join(right, "right_row").select("a", "b", "left", "right"), check, "a long, b long")
 
 
 def _bounds(growth: float = 1.05) -> np.ndarray:
@@ -341,7 +362,7 @@ def levels_of(sets: DataFrame) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
 
-    found = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    found = map_arrow(sets.select("shingles"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     out = np.zeros(CELLS, dtype=np.uint8)
     out[found["cell"].to_numpy(dtype=np.int64)] = np.frexp(found["n"].to_numpy(dtype=np.float64))[1]
     return out
@@ -366,9 +387,14 @@ def beginnings(shingles: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(keys).view(np.int64), np.concatenate(sides), np.concatenate(rests)
 
 
-def crowd_pairs(crowds: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame | None:
+#: Rows of a meeting that one task compares with the others of the meeting.
+MEETING_ROWS = 2048
+
+
+def crowd_pairs(crowds: DataFrame, docs: DataFrame, rows_of: DataFrame, first: DataFrame) -> DataFrame | None:
     """Candidates (a, b) of the rows of ``crowds`` (tree, key, node) that ``first`` (node, component) leaves in more
-    than one component: all that can be similar; None if there are no such crowds."""
+    than one component: all that can be similar; None if there are no such crowds.  ``rows_of`` (node, doc_id, mark)
+    names a row of ``docs`` for each node."""
     weights = first.groupBy("component").agg(F.count("*").alias("weight"))
     known = first.join(weights, "component").select("node", "component", "weight")
     placed = crowds.join(known, "node", "left").select("tree", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
@@ -377,7 +403,9 @@ def crowd_pairs(crowds: DataFrame, docs: DataFrame, first: DataFrame) -> DataFra
     nodes = materialize(placed.join(parted, ["tree", "key"]).select("node", "component", "weight").distinct(), "crowd-nodes")
     if nodes.isEmpty():
         return None
-    sets = materialize(shingle_sets(docs, nodes.select("node")).join(nodes, "node"), "crowd-sets")
+    nodes = nodes.join(rows_of, "node")
+    sets = shingle_sets(docs, nodes.select("doc_id", "mark")).join(nodes, ["doc_id", "mark"]).dropDuplicates(["node"])
+    sets = materialize(sets.select("node", "component", "weight", "shingles"), "crowd-sets")
     sent = docs.sparkSession.sparkContext.broadcast(levels_of(sets))
 
     def meeting(bits: np.ndarray | None) -> DataFrame:
@@ -391,7 +419,7 @@ def crowd_pairs(crowds: DataFrame, docs: DataFrame, first: DataFrame) -> DataFra
                 columns = [np.concatenate([x[k] for x in found]) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(size, pa.int64()), *[part.column(c).take(row) for c in ("node", "component", "weight")]], names=["meet", "side", "rest", "size", "node", "component", "weight"])
 
-        rows = sets.mapInArrow(run, "meet long, side int, rest long, size long, node long, component long, weight long")
+        rows = map_arrow(sets, run, "meet long, side int, rest long, size long, node long, component long, weight long")
         if own.value is None:
             return rows
         place = F.pmod(F.xxhash64("meet"), F.lit(FILTER_BITS))
@@ -401,48 +429,93 @@ def crowd_pairs(crowds: DataFrame, docs: DataFrame, first: DataFrame) -> DataFra
                 at = part.column("place").to_numpy()
                 yield part.filter(pa.array((own.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["place"])
 
-        return rows.withColumn("place", place).mapInArrow(named, rows.schema)
+        return map_arrow(rows.withColumn("place", place), named, rows.schema)
 
     # of a meeting's rows those of its largest component need not be compared with one another
     largest = F.max(F.struct("weight", "component")).alias("largest")
-    mixed = meeting(None).groupBy("meet").agg(largest, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = materialize(mixed.select("meet", F.col("largest.component").alias("most")), "meetings")
-    rows = materialize(meeting(id_filter(mixed.select(F.col("meet").alias("node")))).drop("weight").join(mixed, "meet"), "meeting-rows")
-    x, y = rows.where("component <> most").alias("x"), rows.alias("y")
+    met = F.count("*").alias("n"), largest, F.min("component").alias("low"), F.max("component").alias("high")
+    mixed = meeting(None).groupBy("meet").agg(*met).where("low < high")
+    mixed = materialize(mixed.select("meet", F.col("largest.component").alias("most"), F.expr(f"n DIV {MEETING_ROWS} + 1").alias("parts")), "meetings")
+    rows = materialize(meeting(key_filter(mixed, "meet")).drop("weight").join(mixed, "meet"), "meeting-rows")
+    # a large meeting's rows are dealt out in parts, and each part is given all that it is compared with
+    x = rows.where("component <> most").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = rows.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).alias("y")
     fits = (100 + SIMILARITY) * F.least("x.rest", "y.rest") >= SIMILARITY * (F.col("x.size") + F.col("y.size"))
     sides = ((F.col("x.side") == 2) & (F.col("y.side") == 2)) | (F.col("x.side") + F.col("y.side") == 1)
-    pairs = x.join(y, F.col("x.meet") == F.col("y.meet")).where((F.col("x.component") != F.col("y.component")) & sides & fits)
+    pairs = x.join(y, (F.col("x.meet") == F.col("y.meet")) & (F.col("x.part") == F.col("y.part"))).where((F.col("x.component") != F.col("y.component")) & sides & fits)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
+#: Numbers of classes whose smallest id another class has as well: above all ids.
+SECOND = 1 << 62
+
+
+def classes_of(known: DataFrame) -> DataFrame:
+    """(digest, node, doc_id, mark) of each distinct set of ``known``, stored: the first of its rows by id, and a number, that
+    id where no other class has it (rows of one id may have different texts)."""
+    found = known.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
+    found = materialize(found.select("digest", "row.doc_id", "row.mark"), "classes")
+    shared = found.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = F.col("first").isNotNull() & (F.col("digest") != F.col("first"))
+    node = F.when(again, F.lit(SECOND) + F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    return materialize(found.join(shared, "doc_id", "left").select("digest", node.alias("node"), "doc_id", "mark"), "class-numbers")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, first): one row per row of ``docs``; ``first`` is the (doc_id, mark) that
+    stays of its group, null for rows without words or id."""
     rows = materialize(signatures(docs), "signatures")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # one node per distinct set: its smallest id
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    at = [known["digest"] == classes["digest"], known["doc_id"] == classes["node"]]
-    nodes = known.join(classes, at).select("node", "n_shingles", "signature", known["digest"]).dropDuplicates(["node", "digest"])
-    # rows repeated with one id but other texts would share a node's number: their classes are linked through it
+    classes = classes_of(known)
+    at = ["digest", "doc_id", "mark"]
+    nodes = known.join(classes, at).select("node", "n_shingles", "signature").dropDuplicates(["node"])
     pairs, crowds = forest_pairs(nodes)
     pairs = materialize(pairs, "candidates")
     node_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = materialize(confirmed(pairs.where("round = 1").select("a", "b"), node_docs), "links-1")
+    rows_of = classes.select("node", "doc_id", "mark")
+    links = materialize(confirmed(pairs.where("round = 1").select("a", "b"), node_docs, rows_of), "links-1")
     first = materialize(components(links), "components-1")
     a = first.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.where("round = 2").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    if (met := crowd_pairs(crowds, node_docs, first)) is not None:
+    if (met := crowd_pairs(crowds, node_docs, rows_of, first)) is not None:
         rest = rest.union(met).distinct()
-    more = materialize(confirmed(materialize(rest, "candidates-2"), node_docs), "links-2")
+    more = materialize(confirmed(materialize(rest, "candidates-2"), node_docs, rows_of), "links-2")
     whole = materialize(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components-2")
-    named = classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    # the first row of a component is that of its smallest node, unless classes share ids
+    placed = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if classes.where(F.col("node") >= SECOND).isEmpty():
+        heads = classes.select(F.col("node").alias("component"), F.struct("doc_id", "mark").alias("first"))
+    else:
+        heads = placed.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    named = placed.select("digest", "component").join(heads, "component").select("digest", "first")
     # equal sets may be a third of all rows: the join's other side has one row for them, so Spark may split it
-    out = rows.join(named, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = rows.join(named, "digest", "left").withColumn("first", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("first")))
+    return out.select("doc_id", "mark", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
+    found = grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays (the smallest id), with its own columns; rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays (the smallest id), with its own columns; rows without an id or words stay."""
+    found = materialize(grouped(docs).where("first IS NOT NULL"), "groups")
+    own = F.struct("doc_id", "mark")
+    gone = found.where(own != F.col("first")).select("doc_id", "mark").distinct()
+    again = found.where(own == F.col("first")).groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    key, mark = free_name(docs, "key"), free_name(docs, "mark")
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), mark: text_mark()})
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(F.col("doc_id").alias(key), F.col("mark").alias(mark))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.join(named(gone), [key, mark], "left_anti")
+    again = materialize(again, "repeated-rows")
+    if again.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(named(again), [key, mark], "left_semi").dropDuplicates([key, mark])
+    return kept.join(named(again), [key, mark], "left_anti").unionByName(once).select(*columns)

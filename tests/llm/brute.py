@@ -72,6 +72,26 @@ def repeats(rows) -> dict[tuple[int | None, str | None], tuple]:
     return out
 
 
+def cut_plainly(rows) -> list[tuple[int, str]]:
+    """(doc_id, text) with the repeated passages cut; documents that lose all of their text go."""
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for k in range(len(raw) - 49):
+            first[raw[k : k + 50]] = min(i, first.get(raw[k : k + 50], i))
+    out = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if first[raw[k : k + 50]] < i:
+                gone[k : k + 50] = b"\x01" * 50
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if kept:
+            out.append((i, kept))
+    return out
+
+
 def shingles(text: str | None) -> frozenset:
     w = (text or "").encode().translate(UPPER).split()
     k = min(5, len(w))
@@ -79,22 +99,28 @@ def shingles(text: str | None) -> frozenset:
 
 
 def near_components(rows) -> dict[tuple[int | None, str | None], tuple]:
-    """(doc_id, text) -> (n_shingles, component_id, kept)."""
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    parent = {i: i for i, _ in sets}
+    """(doc_id, text) -> (n_shingles, component_id, kept): rows are told apart by id and text."""
+    sets = list({(i, t): (i, t, shingles(t)) for i, t in rows if i is not None and shingles(t)}.values())
+    parent = list(range(len(sets)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, (i, s) in enumerate(sets):
-        for j, z in sets[:a]:
+    for a, (_, _, s) in enumerate(sets):
+        for j, (_, _, z) in enumerate(sets[:a]):
             both = len(s & z)
-            if s and z and 100 * both >= 75 * (len(s) + len(z) - both):
-                x, y = root(i), root(j)
+            if 100 * both >= 75 * (len(s) + len(z) - both):
+                x, y = root(a), root(j)
                 parent[max(x, y)] = min(x, y)
-    return {(i, t): (len(shingles(t)), None, True) if i is None else (len(shingles(t)), root(i), root(i) == i) for i, t in rows}
+    least: dict[int, int] = {}
+    for a, (i, _, _) in enumerate(sets):
+        least[root(a)] = min(i, least.get(root(a), i))
+    out = {(i, t): (len(shingles(t)), i, True) for i, t in rows}
+    for a, (i, t, s) in enumerate(sets):
+        out[i, t] = (len(s), least[root(a)], i == least[root(a)])
+    return out
 
 
 def held_out(i) -> bool:

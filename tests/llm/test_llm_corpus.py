@@ -1,13 +1,14 @@
 """Operators that compare texts with one another: 1, 4, 8, 9, 10, and the pipeline."""
 
-import copy
+import hashlib
 import random
 
 import numpy as np
 import pytest
-from brute import base_scores, corpus, documents, held_out, near_components, prose, repeats
+from brute import base_scores, corpus, cut_plainly, documents, held_out, near_components, prose, repeats
 
 from bridgelens.llm import components, decontaminate, minhash_forest, pst, sharding, suffix_bwt
+from bridgelens.llm.common import materialize
 
 KEY = lambda r: tuple((x is not None, x) for x in r)
 
@@ -20,28 +21,122 @@ def rows():
 # --- 9: repeated passages
 
 
+def some_pieces(rng):
+    base = bytes(rng.choice(b"ab") for _ in range(200))
+    texts = list({base[(a := rng.randint(0, 120)) : a + rng.randint(50, 79)] if rng.random() < 0.7 else bytes(rng.choice(b"ab\x00\xc3") for _ in range(rng.randint(50, 80))) for _ in range(rng.randint(1, 40))})
+    ids = np.array([rng.randint(0, 99) for _ in texts])
+    least = {}
+    for x, i in zip(texts, ids.tolist(), strict=True):
+        for k in range(len(x) - 49):
+            least[x[k : k + 50]] = min(i, least.get(x[k : k + 50], i))
+    return texts, ids, [[least[x[k : k + 50]] for k in range(len(x) - 49)] for x in texts]
+
+
+def rotations(texts):
+    """(first symbols of the rotation, repeated without end; place) of all places."""
+    out, begin = [], 0
+    for x in texts:
+        x = x + bytes([suffix_bwt.CUT])
+        out += [((x[k:] + x * 6)[:300], begin + k) for k in range(len(x))]
+        begin += len(x)
+    return sorted(out)
+
+
 def test_bwt_merge_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):
-        base = bytes(rng.choice(b"ab") for _ in range(200))
-        texts = list({base[(a := rng.randint(0, 120)) : a + rng.randint(50, 79)] if rng.random() < 0.7 else bytes(rng.choice(b"ab\x00\xc3") for _ in range(rng.randint(50, 80))) for _ in range(rng.randint(1, 40))})
-        ids = np.array([rng.randint(0, 99) for _ in texts])
-        least = {}
-        for x, i in zip(texts, ids.tolist(), strict=True):
-            for k in range(len(x) - 49):
-                least[x[k : k + 50]] = min(i, least.get(x[k : k + 50], i))
-        for size in (60, 500, 1 << 17):
-            place, interval = (shards := suffix_bwt.Shards(texts, size)).merge()
-            assert sorted(place.tolist()) == list(range(len(shards.data)))
-            assert (np.diff(interval) >= 0).all()
-        assert [g.tolist() for g in suffix_bwt.least_ids(texts, ids)] == [[least[x[k : k + 50]] for k in range(len(x) - 49)] for x in texts]
+        texts, ids, want = some_pieces(rng)
+        for size in (60, 500, 1 << 16):
+            assert [g.tolist() for g in suffix_bwt.least_ids(texts, ids, size)] == want
+
+
+def test_shard_order_and_its_runs():
+    rng = random.Random(10)
+    for _ in range(40):
+        texts = some_pieces(rng)[0] + [b"a" * n for n in range(50, 60)] + [b"ab" * n for n in (25, 26, 39)]
+        texts = list(dict.fromkeys(texts))
+        shard, plain = suffix_bwt.Shard(texts), rotations(texts)
+        assert [x for _, x in plain] == shard.rows.tolist()
+        same = [a[0][:50] == b[0][:50] for a, b in zip(plain, plain[1:], strict=False)]
+        assert (np.diff(shard.group) == 0).tolist() == same
+
+
+def test_interleave_finds_the_intervals_that_shards_share():
+    rng = random.Random(11)
+    for _ in range(40):
+        texts = some_pieces(rng)[0]
+        cuts = sorted({0, len(texts), *(rng.randint(0, len(texts)) for _ in range(3))})
+        parts = [texts[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        shards = [suffix_bwt.Shard(x) for x in parts]
+        owners, begin = {}, 0
+        for k, (x, shard) in enumerate(zip(parts, shards, strict=True)):
+            first = {place: head[:50] for head, place in rotations(x)}
+            for row, place in enumerate(shard.rows.tolist()):
+                owners.setdefault(first[place], []).append((k, begin + row))
+            begin += len(shard.rows)
+        want = sorted(sorted(r for _, r in rows) for rows in owners.values() if len({k for k, _ in rows}) > 1)
+        row, interval = suffix_bwt.interleave([x.transform for x in shards])
+        found = {}
+        for r, i in zip(row.tolist(), interval.tolist(), strict=True):
+            found.setdefault(i, []).append(r)
+        assert sorted(sorted(x) for x in found.values()) == want
+
+
+def test_the_merge_rests_on_the_shards_orders(monkeypatch):
+    """With a shard's rows in any other order, its transform's counts lead elsewhere and the result is wrong."""
+    rng = random.Random(12)
+    texts, ids, want = some_pieces(rng)
+    real = suffix_bwt.Shard._order
+
+    def shuffled(self, *args):
+        order, group = real(self, *args)
+        return np.random.default_rng(1).permutation(order), np.arange(len(group))
+
+    monkeypatch.setattr(suffix_bwt.Shard, "_order", shuffled)
+    assert [g.tolist() for g in suffix_bwt.least_ids(texts, ids, 500)] != want
+
+
+def test_divided_pieces_hold_each_window_once():
+    rng = random.Random(16)
+    text = prose(rng, 100).encode()
+    _, first, last, anchor, place, _ = suffix_bwt.pieces([text])
+    for level in range(len(suffix_bwt.LEVELS) + 1):
+        found = [suffix_bwt.divided(a, b, p, h, level, text) for a, b, p, h in zip(first.tolist(), last.tolist(), place.tolist(), anchor.tolist(), strict=True)]
+        assert sorted(k for parts in found for a, b, _ in parts for k in range(a, b + 1)) == list(range(len(text) - 49))
+    # the same windows in other surroundings get the same marks
+    other = b"zz" + text[30:160] + b"yy"
+
+    def marks(raw, level):
+        _, first, last, anchor, place, _ = suffix_bwt.pieces([raw])
+        parts = [x for a, b, p, h in zip(first.tolist(), last.tolist(), place.tolist(), anchor.tolist(), strict=True) for x in suffix_bwt.divided(a, b, p, h, level, raw)]
+        return {raw[k : k + 50]: mark for a, b, mark in parts for k in range(a, b + 1)}
+
+    for level in range(len(suffix_bwt.LEVELS) + 1):
+        mine, theirs = marks(text, level), marks(other, level)
+        assert len(both := mine.keys() & theirs.keys()) > 70 and all(mine[w] == theirs[w] for w in both)
+
+
+def test_repeated_passages_with_divided_anchors(spark, rows, monkeypatch):
+    """Anchors of all levels meet in one run."""
+    monkeypatch.setattr(suffix_bwt, "LEVELS", ((3, 2), (4, 8), (6, 31)))
+    rng = random.Random(17)
+    phrase = prose(rng, 6)
+    some = [*rows, *[(7000 + k, f"{prose(rng, 12)} {phrase} {prose(rng, 12)}") for k in range(60)]]
+    found = suffix_bwt.materialize(suffix_bwt.removals(documents(spark, some), block_bytes=4000), "r").collect()
+    firsts = {}
+    for i, t in some:
+        if i is not None and t:
+            firsts[hashlib.md5(t.encode()).digest()] = min(i, firsts.get(hashlib.md5(t.encode()).digest(), i))
+    plain = repeats([(i, t) for i, t in some])
+    want = {d: plain[i, t][1:] for i, t in some if i is not None and t and firsts[d := hashlib.md5(t.encode()).digest()] == i}
+    assert {bytes(r["digest"]): (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == want
 
 
 def test_pieces_hold_each_window_once(monkeypatch):
     rng = random.Random(5)
     rows = [prose(rng, 200).encode(), b"", b"a" * 300, b"x" * 49, prose(rng, 30).encode(), b"ab" * 100]
     monkeypatch.setattr(suffix_bwt, "_CHUNK", 97)
-    owner, first, last, _, begins = suffix_bwt.pieces(rows)
+    owner, first, last, _, _, begins = suffix_bwt.pieces(rows)
     windows = [(o, k) for o, a, b in zip(owner, first, last, strict=True) for k in range(a, b + 1)]
     assert windows == [(o, begins[o] + k) for o, x in enumerate(rows) for k in range(len(x) - 49)]
     cut = (owner.tolist(), first.tolist(), last.tolist())
@@ -64,7 +159,7 @@ def test_merging_in_sets_changes_nothing():
 
 def test_cells_get_even_shares():
     rng = random.Random(6)
-    _, _, _, anchor, _ = suffix_bwt.pieces([prose(rng, 20_000).encode()])
+    _, _, _, anchor, _, _ = suffix_bwt.pieces([prose(rng, 20_000).encode()])
     count = np.bincount(suffix_bwt.cells_of(anchor, 8), minlength=8)
     assert len(anchor) > 2000 and count.max() < 1.5 * len(anchor) / 8
 
@@ -102,9 +197,60 @@ def test_near_duplicates(spark, rows):
     found = minhash_forest.near_duplicates(documents(spark, rows)).collect()
     want = near_components(rows)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found), key=KEY) == sorted(((i, *want[i, t]) for i, t in rows), key=KEY)
+    assert_one_of_each(spark, rows, want)
+
+
+def assert_one_of_each(spark, rows, want):
+    """Of each group one row with the smallest id; rows without id or words all stay."""
     kept = minhash_forest.keep_one(documents(spark, rows))
     assert kept.columns == documents(spark, rows).columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is not None, x)) == sorted((i for i, t in rows if want[i, t][2]), key=lambda x: (x is not None, x))
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    free = [(i, t) for i, t in rows if i is None or not want[i, t][0]]
+    assert sorted((x for x in found if x in free), key=KEY) == sorted(free, key=KEY)
+    rest = [x for x in found if x not in free]
+    assert all(x in rows and want[x][2] for x in rest)
+    # a group is told by its texts: of rows with one id, those with an equal component and similar sets
+    assert len(rest) == len(groups_of([x for x in rows if x not in free]))
+
+
+def groups_of(rows):
+    """The groups of near copies, rows told apart by id and text."""
+    rows = list(dict.fromkeys(rows))
+    numbered = near_components([(k, t) for k, (_, t) in enumerate(rows)])
+    return {numbered[k, t][1] for k, (_, t) in enumerate(rows)}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """None of them is lost, or linked, for the sake of another."""
+    rng = random.Random(41)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    near = b.split()
+    near[20] = "changed"
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, " ".join(near)), (5, d), (3, d), (9, ""), (9, ""), (9, None), (None, a), (2, c + " x"), (1, "z " * 30), (1, "z " * 30)]
+    want = near_components(rows)
+    found = minhash_forest.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found), key=KEY) == sorted(((i, *want[i, t]) for i, t in rows), key=KEY)
+    assert_one_of_each(spark, rows, want)
+    kept = [(r["doc_id"], r["text"]) for r in minhash_forest.keep_one(documents(spark, rows)).collect()]
+    assert (5, b) in kept and kept.count((1, "z " * 30)) == 1 and (5, a) not in kept
+
+
+def test_near_duplicates_when_filters_are_full(spark, rows, monkeypatch):
+    """Where most documents are candidates a join takes the filter's place, with the same result."""
+    monkeypatch.setattr(minhash_forest, "FULL", -1.0)
+    monkeypatch.setattr(minhash_forest, "SHARE", 2)
+    monkeypatch.setattr(minhash_forest, "MEETING_ROWS", 7)
+    rng = random.Random(42)
+    base, some = prose(rng, 125).split(), []
+    for i in range(90):
+        own = [f"w{i}x{k}" for k in range(27)]
+        if i < 40:
+            own[:7] = [f"p{i // 2}x{k}" for k in range(7)]
+        some.append((8000 + i, " ".join(base + own)))
+    some = [*rows, *some]
+    found = minhash_forest.near_duplicates(documents(spark, some)).collect()
+    want = near_components(some)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found), key=KEY) == sorted(((i, *want[i, t]) for i, t in some), key=KEY)
 
 
 def test_near_duplicates_of_few_rows(spark):
@@ -228,7 +374,8 @@ def test_leaks(spark):
     dirty += [(200 + k, f"{clean[k][1]} {edited(rng, items[k][1][:79], 5)} {clean[k + 1][1]}") for k in range(6, 12)]
     dirty += [(300, items[14][1]), (None, items[3][1])]
     docs = documents(spark, [*clean, *dirty, dirty[0], (400, None), (401, ""), (402, "tiny one"), (403, prose(rng, 8000))])
-    want = {(100 + k, k) for k in range(6)} | {(200 + k, k) for k in range(6, 12)} | {(300, None), (None, 3)}
+    # a text that is a short item as a whole leaks it, too
+    want = {(100 + k, k) for k in range(6)} | {(200 + k, k) for k in range(6, 12)} | {(300, None), (None, 3), (402, 50)}
     for part_bytes in (1 << 24, 900):
         found = decontaminate.leaks(docs, bench(spark, items), part_bytes).collect()
         assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
@@ -236,7 +383,7 @@ def test_leaks(spark):
     assert all(r["edits"] == 0 for r in exact.values())
     kept = decontaminate.drop_leaking(docs, bench(spark, items), 900)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean} | {400, 401, 402, 403}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean} | {400, 401, 403}
 
 
 def test_leaks_of_empty_tables(spark):
@@ -246,35 +393,66 @@ def test_leaks_of_empty_tables(spark):
     assert decontaminate.drop_leaking(docs, bench(spark, [])).count() == 1
 
 
-def test_alignment_against_edit_distance():
-    def distance(pattern, text):
-        """Least edits of the pattern against any stretch of the text."""
-        row = [0] * (len(text) + 1)
-        for i, p in enumerate(pattern, 1):
-            new = [i]
-            for j, t in enumerate(text, 1):
-                new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
-            row = new
-        return min(row)
-
-    rng = random.Random(33)
-    for _ in range(60):
-        item = prose(rng, 14)[:79].strip()
-        index = decontaminate.Index([(0, item)])
-        m, e = len(index.chars[0]), int(index.edits[0])
-        doc = f"{prose(rng, 20)} {edited(rng, item, rng.randint(0, 12))} {prose(rng, 20)}".lower()
-        doc = " ".join(doc.split())
-        pattern = index.chars[0].tobytes().decode("utf-32-le")
-        assert len(index.chars) == 1 and m == len(pattern)
-        assert bool(index.search([decontaminate.normal(doc)])) == (distance(pattern, doc) <= e)
+def least_edits(pattern, text):
+    """Least edits of the pattern against any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_edit_distance():
+    """A text leaks an item just when some window of it occurs with few enough edits, short items included."""
+    rng, found = random.Random(33), set()
+    for _ in range(70):
+        item = prose(rng, 20).lower()[: rng.choice([20, 25, 33, 34, 49, 50, 51, 60])].strip()
+        a = rng.randint(0, max(0, len(item) - 50))
+        part = edited(rng, item[a : a + rng.choice([50, 55, 60])], rng.randint(0, 5))
+        doc = " ".join(f"{prose(rng, 8)} {part} {prose(rng, 8)}".lower().split())
+        m = min(50, len(item))
+        want = any(least_edits(item[k : k + m], doc) <= decontaminate.budget(m) for k in range(len(item) - m + 1))
+        assert bool(decontaminate.Index([(0, item)]).search([decontaminate.normal(doc)])) == want
+        found.add(want)
+    assert found == {True, False}
+
+
+def test_verbatim_passages_at_any_offset():
+    rng = random.Random(34)
+    items = [(k, prose(rng, 70)) for k in range(25)]
+    index = decontaminate.Index(items)
+    for size in (50, 60, 80, 100):
+        caught = 0
+        for _ in range(100):
+            key, text = rng.choice(items)
+            text = " ".join(text.split())
+            a = rng.randint(0, len(text) - size)
+            doc = f"{prose(rng, 20)}{text[a : a + size]}{prose(rng, 20)}"
+            caught += [r[1] for r in index.search([decontaminate.normal(doc)])] == [key]
+        assert caught == 100
+    assert index.search([decontaminate.normal(prose(rng, 20_000))]) == []
+
+
+def test_items_in_wide_characters():
+    rng = random.Random(35)
+    text = "".join(rng.choice("東西南北中發白😀а") for _ in range(80))
+    index = decontaminate.Index([(0, prose(rng, 30)), (1, text), (2, "é" * 30)])
+    found = index.search([decontaminate.normal(f"x{text[5:60]}y"), decontaminate.normal(text[:40]), decontaminate.normal("É" * 31)])
+    assert sorted((r[0], r[1]) for r in found) == [(0, 1), (2, 2)]
 
 
 def test_hits_in_parts(monkeypatch):
-    text = "ab" * 2000
-    index = decontaminate.Index([(0, "ab" * 50)])
-    want = index.search([decontaminate.normal(text)])
-    monkeypatch.setattr(decontaminate, "HITS", 100)
-    assert index.search([decontaminate.normal(text)]) == want and want
+    rng = random.Random(36)
+    item, other = prose(rng, 60), "ab" * 60
+    texts = [f"{prose(rng, 30)} {item} {prose(rng, 30)} {item[40:140]}", "ab" * 2000, prose(rng, 100)]
+    index = decontaminate.Index([(0, item), (1, other)])
+    want = {r[:2] for r in index.search([decontaminate.normal(t) for t in texts])}
+    assert want == {(0, 0), (1, 1)}
+    for hits in (1, 37, 1000):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert {r[:2] for r in index.search([decontaminate.normal(t) for t in texts])} == want
 
 
 # --- 8: language-model scores
@@ -290,68 +468,115 @@ def test_scores(spark, rows):
     assert all(r["score"] < 0 for r in found)
 
 
-def plain_score(tree, words):
+def kept_contexts(kept):
+    """depth -> {context: {symbol: n}}"""
+    out = [{} for _ in range(pst.DEPTH + 1)]
+    for r in kept.collect():
+        out[r["depth"]][r["context"]] = dict(zip(r["symbols"], r["counts"], strict=True))
+        assert sum(r["counts"]) == r["total"]
+    return out
+
+
+def plain_contexts(rows, least, divergence):
+    """The same by counting every context of the training texts."""
+    seen = [{} for _ in range(pst.DEPTH + 1)]
+    for i, t in rows:
+        if held_out(i):
+            continue
+        context = int.from_bytes(bytes([pst.PAD]) * pst.DEPTH, "big")
+        for symbol in b" ".join(pst.words((t or "").encode())) + bytes([pst.END]):
+            for d in range(pst.DEPTH + 1):
+                here = seen[d].setdefault(context & ((1 << 8 * d) - 1), {})
+                here[symbol] = here.get(symbol, 0) + 1
+            context = ((context << 8) | symbol) & ((1 << 8 * pst.DEPTH) - 1)
+    out = [seen[0]]
+    for d in range(1, pst.DEPTH + 1):
+        out.append({})
+        for context, follows in seen[d].items():
+            above, total = seen[d - 1][context & ((1 << 8 * (d - 1)) - 1)], sum(follows.values())
+            gap = sum(n / total * np.log(n / total / (above[s] / sum(above.values()))) for s, n in follows.items())
+            if total >= least and gap >= divergence:
+                out[d][context] = follows
+    return out
+
+
+def plain_score(kept, words):
     """The model by its definition: longest kept suffix, distributions smoothed from the root down."""
-    kept = [{int(c): k for k, c in enumerate(nodes)} for nodes, *_ in tree.nodes]
-    counts = [{(int(r), int(s)): float(n) for r, s, n in zip(row, symbol, number, strict=True)} for _, _, row, symbol, number in tree.nodes]
-
-    def longest(context, d):
-        while d and (context & ((1 << 8 * d) - 1)) not in kept[d]:
-            d -= 1
-        return d
 
     def p(context, d, symbol):
         if d == 0:
-            total = tree.nodes[0][1][0] if len(tree.nodes[0][1]) else 0
-            return (counts[0].get((0, symbol), 0) + 1) / (total + 257)
-        code = context & ((1 << 8 * d) - 1)
-        k = kept[d][code]
-        weight = pst.SMOOTHING * sum(r == k for r, _ in counts[d])
-        return (counts[d].get((k, symbol), 0) + weight * p(context, longest(context, d - 1), symbol)) / (tree.nodes[d][1][k] + weight)
+            return (kept[0].get(0, {}).get(symbol, 0) + 1) / (sum(kept[0].get(0, {}).values()) + 257)
+        follows = kept[d].get(context & ((1 << 8 * d) - 1))
+        shorter = p(context, d - 1, symbol)
+        if follows is None:
+            return shorter
+        weight = pst.SMOOTHING * len(follows)
+        return (follows.get(symbol, 0) + weight * shorter) / (sum(follows.values()) + weight)
 
     context, total = int.from_bytes(bytes([pst.PAD]) * pst.DEPTH, "big"), 0.0
     for symbol in b" ".join(words) + bytes([pst.END]):
-        total += np.log10(p(context, longest(context, pst.DEPTH), symbol))
+        total += np.log10(p(context, pst.DEPTH, symbol))
         context = ((context << 8) | symbol) & ((1 << 8 * pst.DEPTH) - 1)
     return total
 
 
-def test_automaton_against_the_definition(spark, rows, monkeypatch):
-    monkeypatch.setattr(pst, "LANES", 7)
-    monkeypatch.setattr(pst, "LEAST_SHARE", 1e-4)
+def test_kept_contexts_against_counting(spark, rows):
     docs = documents(spark, rows).select("doc_id", "text")
-    tree = pst.learn(docs.where(pst.is_training()))
-    assert sum(len(n[0]) for n in tree.nodes[2:]) > 100
-    texts = [pst.words((t or "").encode()) for _, t in rows if len(t or "") < 2000] + [pst.words(b"\x7f\x01 unseen \xf0\x9f\x98\x80 bytes")]
-    got = tree.automaton().score(*pst.symbols(texts))
-    for x, score in zip(texts, got, strict=True):
-        assert abs(plain_score(tree, x) - score) < 1e-4 * max(1, abs(score))
+    for least, divergence in ((5, 0.05), (1, 0.0), (40, 0.5)):
+        found = kept_contexts(pst.learn(docs.where(pst.is_training()), least, divergence))
+        want = plain_contexts(rows, least, divergence)
+        for d in range(pst.DEPTH + 1):
+            odd = found[d].keys() ^ want[d].keys()  # but for those at the bound itself, where roundings differ
+            assert len(odd) <= 0.001 * len(want[d]) + (divergence == 0) * len(want[d])
+            assert all(found[d][c] == want[d][c] for c in found[d].keys() & want[d].keys())
+
+
+def test_scores_against_the_definition(spark, rows):
+    docs = documents(spark, rows).select("doc_id", "text")
+    model = materialize(pst.learn(docs.where(pst.is_training()), 20, 0.01), "kept")
+    kept = kept_contexts(model)
+    assert sum(map(len, kept[2:])) > 300
+    extra = [*rows, *[(5000 + k, t) for k, t in enumerate(["\x7f\x01 unseen \U0001f600 bytes", "the", ""])]]
+    found = pst.score(documents(spark, extra), model, block_bytes=3000).collect()
+    want = {(i, len(pst.words((t or "").encode())) + 1, round(plain_score(kept, pst.words((t or "").encode())), 5)) for i, t in extra if len(t or "") < 3000}
+    assert want <= {(r["doc_id"], r["n_tokens"], round(r["score"], 5)) for r in found}
 
 
 def test_distributions_sum_to_one(spark, rows):
     docs = documents(spark, rows).select("doc_id", "text")
-    machine = pst.learn(docs).automaton()
-    unseen = 257 - (len(np.unique(machine.classes)) - 2)  # values of the last class, the pad aside
-    total = (10.0 ** machine.log.astype(float))
-    pad = machine.classes[pst.PAD]
-    mass = total.sum(axis=1) - total[:, pad] + total[:, -1] * (unseen - 1)
-    assert (mass < 1.0 + 1e-3).all() and (mass > 0.9).all()
+    kept = pst.learn(docs, 20, 0.01)
+    tree = pst.tree_of(kept.where("depth > 0").toArrow(), pst.root_counts(kept))
+    rng = random.Random(2)
+    for _ in range(200):
+        t = pst.words((rng.choice(rows)[1] or "a").encode())
+        context = (bytes([pst.PAD]) * pst.DEPTH + b" ".join(t))[-rng.randint(5, 400) :][: pst.DEPTH]
+        codes = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        total = (10.0 ** tree.log10(codes)).sum()
+        assert 0.99 < total < 1 + 1e-9  # one value stands for what no byte is
 
 
 def test_longer_contexts_score_held_out_texts_better(spark):
     rng = random.Random(4)
     some = [(i, prose(rng, 150)) for i in range(200)]
-    docs = documents(spark, some).select("doc_id", "text")
-    tree = pst.learn(docs.where(pst.is_training()))
-    held = pst.symbols([pst.words(t.encode()) for i, t in some if held_out(i)])
-    scores = []
-    for depth in (0, 2, 5):
-        cut = copy.copy(tree)
-        cut.nodes = [n if d <= depth else tuple(x[:0] for x in n) for d, n in enumerate(tree.nodes)]
-        scores.append(cut.automaton().score(*held).sum())
+    kept = materialize(pst.learn(documents(spark, some).where(pst.is_training())), "kept")
+    held = documents(spark, [(i, t) for i, t in some if held_out(i)])
+    scores = [pst.score(held, kept.where(f"depth <= {depth}")).agg({"score": "sum"}).first()[0] for depth in (0, 2, 5)]
     assert scores[0] < scores[1] < scores[2]  # log probabilities: nearer to 0 is better
 
 
+def test_kept_contexts_grow_with_the_corpus(spark):
+    """A context that is frequent enough in a part stays in the whole, however large that is, and new ones come."""
+    rng = random.Random(9)
+    some = [(i, prose(rng, 100)) for i in range(400)]
+    docs = documents(spark, some)
+    sizes, sets = [], []
+    for n in (100, 200, 400):
+        kept = pst.learn(docs.where(f"doc_id < {n}").where(pst.is_training()), 20, 0.0).select("depth", "context").collect()
+        sizes.append(len(kept))
+        sets.append(set(map(tuple, kept)))
+    assert sizes[0] < sizes[1] < sizes[2] and len(sets[0] - sets[2]) < 0.01 * sizes[0]
+
+
 def test_scores_without_training_texts(spark):
     held = next(i for i in range(100) if held_out(i))
     found = pst.score(documents(spark, [(held, "a b")])).first()
@@ -396,6 +621,33 @@ def test_shards_of_few_rows(spark):
     assert sorted(r["size"] for r in found) == [8, 9, 9] and all(0 <= r["shard"] < 24 for r in found)
 
 
+def test_shards_keep_the_callers_columns(spark, rows):
+    docs = documents(spark, rows).withColumnRenamed("digest", "__tie").withColumnRenamed("lang", "__Slot").withColumnRenamed("source", "n")
+    found = sharding.shard(docs, shards=5)
+    kept = [c for c in docs.columns if c != "shard"]
+    assert sorted(map(str, found.select(*kept).collect())) == sorted(map(str, docs.select(*kept).collect()))
+
+
+def test_shards_against_a_plain_sort(spark):
+    """The borders are the places that a sort of all rows gives, within the tolerance."""
+    rng = random.Random(18)
+    rows = [(k, prose(rng, rng.randint(1, 60)) if k % 3 else "the hot text") for k in range(3000)]
+    docs = documents(spark, rows)
+    shards, tolerance = 7, 0.001
+    places = sharding.sized(docs).select("doc_id", "size", sharding.KEY, sharding.TIE).collect()
+    order = sorted(places, key=lambda r: (r[sharding.KEY], r[sharding.TIE], r["doc_id"]))
+    found = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(docs, shards, tolerance).collect()}
+    assert [found[r["doc_id"]] for r in order] == sorted(found.values())
+    total = sum(r["size"] for r in order)
+    before, last = 0, 0
+    for r in order:
+        shard = found[r["doc_id"]][0]
+        for k in range(last + 1, shard + 1):  # the row at a border is the one that a sort would cut at, or its neighbour
+            assert abs(before - total * k / shards) <= r["size"] + max(x["size"] for x in order) + tolerance * total / shards
+        before, last = before + r["size"], shard
+    assert last == shards - 1
+
+
 def test_sharding_runs_no_python(spark, rows):
     plan = sharding.shard(documents(spark, rows))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
@@ -404,11 +656,17 @@ def test_sharding_runs_no_python(spark, rows):
 # --- the pipeline
 
 
+def leaks_plainly(text, items):
+    """Whether the text holds a stretch of an item that the operator must find: a whole item, or half of one."""
+    plain = " ".join(text.lower().split())
+    return any(part in plain for item in items for half in [" ".join(item.lower().split())] for part in (half[:90], half[-90:]))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from brute import quality_base
 
-    rng = random.Random(31)
+    rng = random.Random(1031)
     rows = corpus(seed=31, n=50)
     rows = [(i, t) for i, t in rows if i is not None]
     rows = list(dict(rows).items())
@@ -421,14 +679,15 @@ def test_pipeline(spark, tmp_path):
     left = [(i, t) for i, t in rows if not quality_base(t)[5]]
     groups = near_components(left)
     left = [(i, t) for i, t in left if groups[i, t][2]]
-    cut = repeats(left)
-    sizes = {i: cut[i, t][0] - cut[i, t][1] for i, t in left if cut[i, t][0] > cut[i, t][1]}
+    cut = cut_plainly(left)
+    want = {i: len(t.encode()) for i, t in cut if not leaks_plainly(t, [item])}
+    assert 700 not in want and len(want) > 40
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     kept = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
-    assert kept == {i: n for i, n in sizes.items() if i != 700}
+    assert kept == want
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(kept)
     assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 2048)

@@ -25,6 +25,19 @@ def test_encoder_matches_the_library_on_whole_texts():
         assert own.encode(texts) == want
 
 
+def test_encoder_after_any_letter():
+    """Letters that normalisation splits into a letter and a mark are no place to cut."""
+    from tokenizers import Tokenizer
+
+    letters = [c for c in map(chr, range(0x30000)) if c.isalnum()]
+    texts = [f"a{c}, x{c}. b" for c in letters] + [f"{c}, {c}, " for c in letters[::7]]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokenizing.tokenizer_path(name)
+        want = [array("I", x.ids).tobytes() for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+        got = tokenizing.Encoder(path, keeps).encode(texts)
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_encoder_forgets_without_changing_results(monkeypatch):
     texts = [t or "" for _, t in corpus()]
     path = tokenizing.tokenizer_path("byte_bpe_50k.json")
@@ -243,6 +256,20 @@ def test_quality_verdict_follows_the_labels(spark):
     assert stage.columns == docs.columns and {r["doc_id"] for r in stage.collect()} == kept
 
 
+def test_training_rows_are_bounded(spark):
+    """A labelled document that is a third of all rows, labels repeated, and one id with many texts."""
+    rng = random.Random(12)
+    rows = [(1, "the same text " * 30)] * 300 + [(2, prose(rng, 40)) for _ in range(200)] + [(10 + k, prose(rng, 40)) for k in range(100)]
+    known = [(1, 1, 0, "a")] * 50 + [(2, 0, 0, "a"), (2, 0, 0, "b")] + [(10 + k, k % 2, 0, "a") for k in range(50)]
+    stats = quality_gbt.document_statistics(documents(spark, rows))
+    sample = quality_gbt.label_sample(labels(spark, known))
+    assert sample.count() == 52
+    found = quality_gbt.training_rows(stats, sample)
+    assert 150 < found.count() <= 1 + 200 + 50
+    assert quality_gbt.training_rows(stats, sample, 60).count() == 60
+    assert quality_gbt.train(stats, sample, 60) is not None
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality_gbt.quality(documents(spark, []), labels(spark, [])).collect() == []
     assert quality_gbt.keep_good(documents(spark, []), labels(spark, [])).collect() == []
@@ -281,6 +308,114 @@ def test_html_articles_in_parts():
     assert html_ctd.main_text(page) == " ".join(a + b)
 
 
+def article_html(n=6):
+    texts = [f"Paragraph {k} of the article with some words in it, and more of them. " * 3 for k in range(n)]
+    return "<h1>The title</h1>" + "".join(f"<p>{t}</p>" for t in texts), " ".join(["The title", *(t.strip() for t in texts)])
+
+
+def test_html_names_alone_do_not_silence_an_article():
+    art, want = article_html()
+    nav = '<nav><a href="/">menu</a></nav>'
+    for page in (
+        f'<body><div class="layout has-sidebar">{nav}<div>{art}</div><div class="sidebar"><p>Side text here.</p></div></div></body>',
+        f'<body><div class="no-sidebar"><main>{art}</main></div></body>',
+        f'<body><article class="post with-comments">{art}</article></body>',
+        f'<body><div class="single ad-free">{art}</div></body>',
+        f'<body><div class="social-science">{art}</div></body>',
+        f'<body><article class="alert-fatigue-study">{art}</article></body>',
+        f'<body><form method="post"><input type="hidden" name="v"><div>{art}</div><select><option>x</select></form></body>',
+        f'<body><div class="widget">{nav}{art}</div><footer>footer</footer></body>',
+        f'<body><div class="search"><article>{art}</article></div></body>',
+    ):
+        assert html_ctd.main_text(page) == want, page[:80]
+
+
+def test_html_parts_beside_an_article():
+    art, want = article_html()
+    much = "".join(f"<p>Reader {k} says that this was a long and good read, thank you very much for it.</p>" for k in range(60))
+    for page in (
+        f'<body><div class="content">{art}<section id="comments"><h3>Comments</h3>{much}</section></div></body>',
+        f'<body><article>{art}</article><div class="comments-area">{much}</div></body>',
+        f'<body><article>{art}</article><section class="comment-list"><article class="comment">{much}</article></section></body>',
+        f'<body><div class="cookie-banner"><p>We use cookies. Accept them.</p><button>ok</button></div><div class="post-content">{art}</div><aside class="related">{much}</aside></body>',
+        f'<body><div id="sidebar-left"><p>Side</p></div><div class="wrapper"><div class="site-header"><h2>Site</h2></div>{art}</div></body>',
+        f'<body><article>{art}<div class="newsletter-signup"><p>Sign up for our letter, it is free.</p><form><input></form></div></article></body>',
+        f'<body>{art}<div class="more-related"><a href="/1">One more story</a> <a href="/2">and another one</a></div></body>',
+        f'<body><form><label>Name</label><input><p>Give us your name here, please, and your mail.</p></form>{art}</body>',
+    ):
+        assert html_ctd.main_text(page) == want, page[:80]
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.35 or depth > 4:
+            out.append(prose(rng, rng.randint(1, 12)))
+        else:
+            tag = rng.choice(["div", "div", "p", "section", "a", "b", "span", "ul", "li", "h2", "article", "nav", "script"])
+            names = rng.choice(["", "", "", ' class="sidebar"', ' class="x ad-slot"', ' id="has-comment"'])
+            out.append(f"<{tag}{names}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_html_densities_against_their_definition():
+    """Every node's density sum and its plain characters per tag, each counted anew over its whole subtree."""
+    import math
+
+    rng = random.Random(21)
+    for _ in range(150):
+        page = html_ctd.Page(f"<body>{random_page(rng)}</body>")
+        n = len(page.tag)
+        sums, plain, body = page.densities()
+        live = [k for k in range(n) if not page.noise[k]]
+
+        def up(k, page=page):
+            while k >= 0:
+                yield k
+                k = page.parent[k]
+
+        chains = {k: list(up(k)) for k in live}
+        inside = {k: [j for j in live if k in chains[j]] for k in live}
+
+        def counts(k, page=page, inside=inside, chains=chains):
+            below = chains[k]
+            linked = [j for j in inside[k] if any(page.tag[x] == "a" and x not in below[1:] for x in chains[j])]
+            return (sum(page.chars[j] for j in inside[k]), len(inside[k]) - 1, sum(page.chars[j] for j in linked), sum(page.tag[j] == "a" for j in inside[k]))
+
+        whole = counts(body)
+
+        def density(c, t, lc, lt, whole=whole):
+            if not c:
+                return 0.0
+            base = math.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + math.e)
+            return c / max(1, t) * max(0.0, math.log(c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, math.log(base) if base > 1 else 0.0)
+
+        want = [0.0] * n
+        for k in live:
+            c, t, lc, _ = counts(k)
+            assert abs(plain[k] - (c - lc) / max(1, t)) < 1e-9
+            if k and page.tag[k] not in html_ctd.INLINE:
+                holder = next(x for x in chains[k][1:] if page.tag[x] not in html_ctd.INLINE)
+                want[holder] += density(*counts(k))
+        for holder, text in page.blocks:
+            if page.tag[holder] not in html_ctd.PARAGRAPHS:
+                want[holder] += density(sum(map(len, text.split())), 1, 0, 0)
+        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip(sums, want, strict=True))
+
+
+def test_html_reading_is_linear():
+    import time
+
+    for page in ("<div>word" * 16000 + "</x>" * 16000, "<center>" * 16000 + "x", "<b>" * 100_000 + "deep", "<div>" * 100_000 + "<p>deep</p>", "<a \"'>" * 60_000, "<p>word" * 50_000, "<i>" + "<table><b>" * 20_000 + "</i>" * 20_000, "<b><div>y" * 30_000, "< " * 100_000, "<html>" * 50_000, "<!--" * 50_000, '<a b="c' * 50_000):
+        times = []
+        for text in (page[: len(page) // 4], page):
+            begin = time.process_time()
+            html_ctd.main_text(text)
+            times.append(time.process_time() - begin)
+        assert times[1] < 16 * times[0] + 0.5 and times[1] < 8, page[:20]
+
+
 def test_html_odd_pages():
     assert html_ctd.main_text(None) == "" == html_ctd.main_text("") == html_ctd.main_text("<html><body></body>")
     assert html_ctd.main_text("just text &am") == "just text &am"
