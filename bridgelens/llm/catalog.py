@@ -73,4 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_importance_resampling": importance.ORACLE_SQL, "op12_fill_in_middle": fill_middle.ORACLE_SQL, "op13_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_minhash_near_dedup": minhash_forest.ORACLE_SQL,
+        "op9_suffix_dedup": suffix_bwt.ORACLE_SQL,
+        "op11_importance_resampling": importance.ORACLE_SQL,
+        "op12_fill_in_middle": fill_middle.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+    }

@@ -519,3 +519,36 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return kept.select(*columns)
     once = kept.join(named(again), [key, mark], "left_semi").dropDuplicates([key, mark])
     return kept.join(named(again), [key, mark], "left_anti").unionByName(once).select(*columns)
+
+
+#: The result of ``near_duplicates`` with its fixed parameters, in DuckDB's SQL over the table documents.
+ORACLE_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split WHERE len(w) >= 5
+), runs AS (
+  SELECT doc_id, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d AS shingle
+  FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), own AS (
+  SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND 4
+), shingles AS (
+  SELECT doc_id, shingle, count(*) OVER (PARTITION BY doc_id) AS n FROM own
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, (SELECT count(*) FROM own WHERE own.doc_id = split.doc_id) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM split JOIN least ON doc_id = a
+"""

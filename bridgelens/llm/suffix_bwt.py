@@ -542,3 +542,35 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in others:
         kept = kept.withColumn("__n_chars", F.char_length("kept").cast(docs.schema["n_chars"].dataType))
     return kept.select(*[F.col(f"__{c}").alias(c) for c in docs.columns]).union(docs.where(~has))
+
+
+#: The result of ``repeated_passages`` with its fixed parameters, in DuckDB's SQL over the table documents.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), parts AS (
+  SELECT doc_id, n, h, unnest(range(0, n - 49, 200)) AS low FROM texts WHERE n >= 50
+), short AS (
+  SELECT doc_id, low, least(200, n - 49 - low) AS size, h[2 * low + 1:2 * low + 498] AS part FROM parts
+), places AS (
+  SELECT doc_id, low, part, unnest(range(size)) AS j FROM short
+), windows AS (
+  SELECT doc_id, low + j AS k, md5(part[2 * j + 1:2 * j + 100]) AS w FROM places
+), firsts AS (
+  SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, k, k - lag(k, 1, -100) OVER (PARTITION BY doc_id ORDER BY k) > 50 AS new FROM windows JOIN firsts USING (w) WHERE least < doc_id
+), numbered AS (
+  SELECT doc_id, k, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM gone
+), spans AS (
+  SELECT doc_id, span, min(k) AS a, max(k) + 50 AS b FROM numbered GROUP BY doc_id, span
+), cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         CASE WHEN n_spans IS NULL THEN h ELSE
+           array_to_string(list_transform(range(n_spans + 1), lambda i: h[2 * (CASE WHEN i = 0 THEN 0 ELSE ends[i] END) + 1:2 * (CASE WHEN i = n_spans THEN n ELSE starts[i + 1] END)]), '') END AS rest
+  FROM texts LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
