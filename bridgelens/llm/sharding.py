@@ -124,33 +124,40 @@ def below(places: list[int], key: str = KEY, tie: str = TIE) -> Column:
     return tree(0, len(places))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with size, text_crc32, shard and slot.
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all, unless given) with size, text_crc32, shard and slot.
 
-    Splitters and counts come from a stored narrow table.  The rows then move once, to the tasks
-    that number their slice; a slice's first slot follows from the counts of the slices before it
-    (at most 2^12 slices and 2^6 more for each of at most 2^12 / HOT hot ones, whatever the input).
+    Splitters come from a stored narrow table.  The rows then move once, to the tasks that number their
+    slice, and are stored with those numbers; a slice's first slot follows from the stored counts of the slices before it:
+    at most 2^12 slices, 2^6 parts of each of at most 2^12 / HOT hot ones, and 2^6 deals of each part that is
+    still as hot (rows equal in id and text), whatever the input.
     """
-    names = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    columns = [F.col(f"`{c}`") for c in names]
+    names = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "text_crc32", "shard", "slot")]
+    kept = [F.col(f"`{c}`") for c in names]
     # the caller's columns move along, so the helpers take names that are free
-    key, tie, slice_, fine, slot, first = (free_name(docs, x) for x in (KEY, TIE, "__slice", "__fine", "__slot", "__first"))
-    rows = sized(docs.select(*columns), key, tie)
+    key, tie, slice_, fine, deal, slot, first = (free_name(docs, x) for x in (KEY, TIE, "__slice", "__fine", "__deal", "__slot", "__first"))
+    rows = sized(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]), key, tie)
     narrow = materialize(rows.select("size", F.col(key).alias(KEY), F.col(tie).alias(TIE)), "shard-sizes")
     cuts = splitters(narrow, shards, tolerance)
-    per_slice = {r["s"]: r["n"] for r in narrow.groupBy(F.shiftright(F.col(KEY), BITS - SLICE_BITS).alias("s")).agg(F.count("*").alias("n")).collect()}
-    hot = [s for s, n in per_slice.items() if n > HOT * max(64, sum(per_slice.values()) / 2**SLICE_BITS)]
-
-    def where(key: str, tie: str) -> dict[str, Column]:
-        slice_of = F.shiftright(F.col(key), BITS - SLICE_BITS)
-        part = F.when(slice_of.isin(hot), F.shiftright(F.col(tie), BITS - HOT_BITS)).otherwise(F.lit(0)) if hot else F.lit(0)
-        return {"shard": below(cuts, key, tie).cast("int"), slice_: slice_of.cast("int"), fine: part.cast("int")}
-
-    place = ["shard", slice_, fine]
-    counts = narrow.withColumns(where(KEY, TIE)).groupBy(*place).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy(slice_, fine).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn(first, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).drop("n")
+    slice_of = lambda k: F.shiftright(F.col(k), BITS - SLICE_BITS)
+    part_of = lambda t: F.shiftright(F.col(t), BITS - HOT_BITS)
+    per_slice = {r["s"]: r["n"] for r in narrow.groupBy(slice_of(KEY).alias("s")).agg(F.count("*").alias("n")).collect()}
+    many = HOT * max(64, sum(per_slice.values()) / 2**SLICE_BITS)
+    hot = [s for s, n in per_slice.items() if n > many]
+    hotter: list[int] = []
+    if hot:
+        cell = F.shiftleft(slice_of(KEY), HOT_BITS) + part_of(TIE)
+        per_part = narrow.where(slice_of(KEY).isin(hot)).groupBy(cell.alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > many)
+        hotter = [r["c"] for r in per_part.collect()]
+    part = F.when(slice_of(key).isin(hot), part_of(tie)).otherwise(F.lit(0)) if hot else F.lit(0)
+    dealt = F.when((F.shiftleft(slice_of(key), HOT_BITS) + part_of(tie)).isin(hotter), F.floor(F.rand(10) * 2**HOT_BITS)).otherwise(F.lit(0)) if hotter else F.lit(0)
+    where = {"shard": below(cuts, key, tie).cast("int"), slice_: slice_of(key).cast("int"), fine: part.cast("int"), deal: dealt.cast("int")}
+    place = list(where)
     inside = Window.partitionBy(*place).orderBy(key, tie, "doc_id")
-    numbered = rows.withColumns(where(key, tie)).withColumn(slot, F.row_number().over(inside) - 1)
+    numbered = rows.withColumns(where).withColumn(slot, F.row_number().over(inside) - 1)
+    numbered = materialize(numbered.select(*kept, "size", "text_crc32", *place, slot), "shard-rows")
+    before = Window.partitionBy("shard").orderBy(slice_, fine, deal).rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy(*place).agg(F.count("*").alias("n"))
+    firsts = counts.withColumn(first, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).drop("n")
     out = numbered.join(F.broadcast(firsts), place)
-    return out.select(*columns, "size", "text_crc32", "shard", (F.col(slot) + F.col(first)).alias("slot"))
+    return out.select(*kept, "size", "text_crc32", "shard", (F.col(slot) + F.col(first)).alias("slot"))

@@ -615,6 +615,20 @@ def test_one_hot_text_is_divided(spark):
     assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found))) for s in sums)
 
 
+def test_rows_equal_in_id_and_text_are_dealt_out(spark):
+    """A third of all rows is one row; its window is divided and the slots stay without gaps."""
+    some = [(7, "the same row")] * 3000 + [(100 + i, f"other text {i}") for i in range(6000)]
+    out = sharding.shard(documents(spark, some), shards=5, columns=["doc_id"])
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    found = out.collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in some)
+    for s in range(5):
+        part = sorted(r["slot"] for r in found if r["shard"] == s)
+        assert part == list(range(len(part)))
+    stored = spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0])
+    assert stored.groupBy([c for c in stored.columns if c.startswith("__") and c != "__slot"] + ["shard"]).count().agg({"count": "max"}).first()[0] < 400
+
+
 def test_shards_of_few_rows(spark):
     assert sharding.shard(documents(spark, [])).collect() == []
     found = sharding.shard(documents(spark, [(1, "a"), (1, "a"), (None, None)])).collect()
