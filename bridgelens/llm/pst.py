@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import map_arrow, materialize, text_slices, texts, worker_state
+from bridgelens.llm.common import map_arrow, materialize, pack, text_slices, texts, unpack, worker_state
 
 DEPTH = 5
 #: Occurrences from which a context is tested.
@@ -39,7 +39,7 @@ DIVERGENCE = 0.002
 #: Weight of the suffix's distribution in a context's, as a count for each symbol seen after the context.
 SMOOTHING = 3.0
 #: Bytes of text (about) in a block of documents that is scored together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 PAD, END = 0xFF, 0xFE  # never bytes of UTF-8
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -69,38 +69,57 @@ def is_training():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
 
-def stretch_counts(training: DataFrame) -> DataFrame:
-    """(code, n): how often each stretch occurs in the training texts; counted in each task before it moves."""
+def counts_of(training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(code, n) of every stretch and (word, c) of every word in the training texts, stored; both are counted in one pass,
+    and in each task before they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: Counter[bytes] = Counter()
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             at, distinct = pd.factorize(np.concatenate([c for c, _ in held]))
             return distinct, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
+        def out(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.nulls(len(code), pa.binary()), pa.array(n)], names=["code", "word", "n"])
+
+        def out_words() -> pa.RecordBatch:
+            row = pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.int64()), pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["code", "word", "n"])
+            seen.clear()
+            return row
+
         for part in text_slices(batches, "text"):
-            buffer = symbols([words(x) for x in texts(part.column("text"))])[0]
+            rows = [words(x) for x in texts(part.column("text"))]
+            for row in rows:
+                seen.update(row)
+            buffer = symbols(rows)[0]
             at, distinct = pd.factorize(stretches(buffer)[buffer[DEPTH:] != PAD])
             held.append((distinct, np.bincount(at)))
             if sum(len(c) for c, _ in held) > 4_000_000:
                 held = [merged()]
                 if len(held[0][0]) > 2_000_000:  # counts may be handed on in parts
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["code", "n"])
+                    yield out(*held.pop())
+            if len(seen) > 1_000_000:
+                yield out_words()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["code", "n"])
+            yield out(*merged())
+        yield out_words()
 
-    return map_arrow(training.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = map_arrow(training.select("text"), run, "code long, word binary, n long")
+    found = materialize(found.groupBy("code", "word").agg(F.sum("n").alias("n")), "pst-counts")
+    return found.where("code IS NOT NULL").select("code", "n"), found.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
 
 
-#: (depth, context, total, symbols, counts): a context with what follows it, by symbol.
-CONTEXTS = "depth int, context long, total long, symbols array<smallint>, counts array<bigint>"
+#: A context with what follows it: for each symbol, by symbol, eight bytes, of which the first is the symbol and the rest its count.
+CONTEXTS = "depth int, context long, total long, follows binary"
 
 
 def contexts(counts: DataFrame, depth: int, least: int) -> DataFrame:
-    """The contexts of ``depth`` bytes that occur ``least`` times or more, from (code, n) of depth + 1 bytes."""
+    """(depth, context, total, symbols, counts) of the contexts of ``depth`` bytes that occur ``least`` times or more, from
+    (code, n) of depth + 1 bytes."""
     code = F.col("code")
-    follows = F.array_sort(F.collect_list(F.struct(code.bitwiseAND(255).cast("smallint").alias("symbol"), "n")))
+    follows = F.array_sort(F.collect_list(F.struct(code.bitwiseAND(255).cast("int").alias("symbol"), "n")))
     found = counts.groupBy(F.shiftright(code, 8).alias("context")).agg(F.sum("n").alias("total"), follows.alias("follows")).where(F.col("total") >= least)
     return found.select(F.lit(depth).alias("depth"), "context", "total", F.col("follows.symbol").alias("symbols"), F.col("follows.n").alias("counts"))
 
@@ -118,9 +137,15 @@ def diverging(longer: DataFrame, shorter: DataFrame, depth: int, divergence: flo
     return joined.where(diverges >= divergence).select(*longer.columns)
 
 
-def learn(training: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+def packed(found: DataFrame) -> DataFrame:
+    """Contexts as CONTEXTS."""
+    each = F.zip_with("symbols", "counts", lambda s, n: F.concat(F.lpad(F.hex(s), 2, "0"), F.lpad(F.hex(n), 14, "0")))
+    return found.select("depth", "context", "total", F.unhex(F.array_join(each, "")).alias("follows"))
+
+
+def learn(training: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE, counts: DataFrame | None = None) -> DataFrame:
     """The kept contexts of the training texts, the root among them, as CONTEXTS, stored."""
-    counts = materialize(stretch_counts(training), "pst-stretches")
+    counts = counts_of(training)[0] if counts is None else counts
     levels = []
     for d in range(DEPTH, -1, -1):
         if d < DEPTH:
@@ -131,7 +156,7 @@ def learn(training: DataFrame, least: int = LEAST, divergence: float = DIVERGENC
     kept = levels[0]
     for d in range(1, DEPTH + 1):
         kept = kept.union(diverging(levels[d], levels[d - 1], d, divergence))
-    return materialize(kept, "pst-kept")
+    return materialize(packed(kept), "pst-kept")
 
 
 class Tree:
@@ -178,42 +203,31 @@ class Tree:
         return np.add.reduceat(out, begins)
 
 
-def tree_of(rows: pa.Table, root: np.ndarray) -> Tree:
-    """The tree of some rows of CONTEXTS (all but the root's) and the root's counts."""
+def unpacked(follows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many symbols follow each context, and all the symbols with their counts."""
+    both = np.frombuffer(b"".join(follows), dtype=">u8").astype(np.uint64)
+    low = np.uint64((1 << 56) - 1)
+    return np.array([len(x) // 8 for x in follows], dtype=np.int64), (both >> np.uint64(56)).astype(np.int64), (both & low).astype(np.int64)
+
+
+def tree_of(depth: np.ndarray, context: np.ndarray, total: np.ndarray, follows: list[bytes], root: np.ndarray) -> Tree:
+    """The tree of some kept contexts (all but the root) and the root's counts."""
     tree = Tree(root)
-    depth = rows.column("depth").to_numpy()
     for d in range(1, DEPTH + 1):
-        mine = rows.filter(pa.array(depth == d)).combine_chunks()
-        follows = [mine.column(c).combine_chunks() for c in ("symbols", "counts")]
-        sizes = np.diff(follows[0].offsets.to_numpy()) if len(mine) else np.zeros(0, dtype=np.int64)
-        tree.add(mine.column("context").to_numpy(), mine.column("total").to_numpy(), sizes, *(x.flatten().to_numpy().astype(np.int64) for x in follows))
+        mine = np.flatnonzero(depth == d)
+        tree.add(context[mine], total[mine], *unpacked([follows[k] for k in mine.tolist()]))
     return tree
 
 
 def root_counts(kept: DataFrame) -> np.ndarray:
     """How often each byte value occurs (256 numbers)."""
     out = np.zeros(256)
-    for r in kept.where("depth = 0").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).select("x.*").collect():
-        out[r["symbols"]] = r["counts"]
+    for r in kept.where("depth = 0").select("follows").collect():
+        _, symbol, n = unpacked([r["follows"]])
+        out[symbol] = n
     return out
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c): how often each word occurs in the training texts, counted in each task before it moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        for part in text_slices(batches, "text"):
-            for raw in texts(part.column("text")):
-                held.update(words(raw))
-            if len(held) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-                held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-
-    return map_arrow(training.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def wanted(blocks: DataFrame) -> DataFrame:
     """(block, depth, key) of what a block needs to be told of: its distinct words (depth 0) and its distinct contexts of
     each depth, as eight bytes; each once for a block and slice of a task."""
@@ -251,13 +265,57 @@ def wanted(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks.select("block", "text"), run, "block long, depth int, key binary")
 
 
+def loads(known: DataFrame) -> DataFrame:
+    """(block, load): the rows of ``known`` (block, depth, key, total, follows), many of a block in one value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            block, depth, total = (rows.column(c).to_numpy() for c in ("block", "depth", "total"))
+            key, follows = rows.column("key").to_pylist(), rows.column("follows").to_pylist()
+            heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            blocks, found = [], []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(block)], strict=True):
+                told = np.flatnonzero(depth[a:b] == 0) + a
+                more = np.flatnonzero(depth[a:b] > 0) + a
+                after = [follows[k] for k in more.tolist()]
+                sizes = np.array([len(x) for x in after], dtype="<i4")
+                blocks.append(int(block[a]))
+                found.append(pack(b" ".join(key[k] for k in told.tolist()), total[told].astype("<i8"), depth[more].astype(np.uint8), b"".join(key[k] for k in more.tolist()), total[more].astype("<i8"), sizes, b"".join(after)))
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(found, pa.binary())], names=["block", "load"])
+
+        for part in batches:
+            held.append(part)
+            if sum(x.num_rows for x in held) > 500_000:
+                yield from out()
+        if sum(x.num_rows for x in held):
+            yield from out()
+
+    return map_arrow(known, run, "block long, load binary")
+
+
+def told(values: list[bytes], root: np.ndarray) -> tuple[list[bytes], np.ndarray, Tree]:
+    """The words with their counts, and the tree, that a block's loads hold."""
+    parts = [unpack(x, "raw", "<i8", "u1", ">i8", "<i8", "<i4", "raw") for x in values]
+    found = [w for x in parts if len(x[1]) for w in x[0].split(b" ")]
+    join = lambda k, kind: np.concatenate([x[k] for x in parts] or [np.zeros(0, dtype=kind)]).astype(kind)
+    follows = []
+    for x in parts:
+        ends = np.cumsum(x[5], dtype=np.int64)
+        follows += [x[6][e - n : e] for e, n in zip(ends.tolist(), x[5].tolist(), strict=True)]
+    return found, join(1, np.int64), tree_of(join(2, np.int64), join(3, np.int64), join(4, np.int64), follows, root)
+
+
 def score(docs: DataFrame, kept: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     training = narrow.where(is_training())
-    kept = learn(training) if kept is None else kept
+    counts, vocabulary = counts_of(training)
+    kept = learn(training, counts=counts) if kept is None else kept
     root = root_counts(kept)
-    vocabulary = materialize(word_counts(training), "pst-words")
     n_words, n_kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train = training.count()
     train_tokens, kinds = n_words + n_train, n_kinds + (n_train > 0)
@@ -267,19 +325,19 @@ def score(docs: DataFrame, kept: DataFrame | None = None, block_bytes: int = BLO
     n_blocks = max(16, -(-int(total) // block_bytes))
     blocks = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).withColumn("held_out", ~is_training())
     blocks = blocks.repartition(n_blocks, "block")
-    as_words = vocabulary.select(F.lit(0).alias("depth"), F.col("word").alias("key"), F.col("c").alias("total"), F.lit(None).cast("array<smallint>").alias("symbols"), F.lit(None).cast("array<bigint>").alias("counts"))
-    as_contexts = kept.where("depth > 0").select("depth", F.unhex(F.lpad(F.hex("context"), 16, "0")).alias("key"), "total", "symbols", "counts")
-    known = wanted(blocks).join(as_words.union(as_contexts), ["depth", "key"]).select("block", "depth", "key", "total", "symbols", "counts")
+    # words and contexts are joined in one go, by a hash first
+    as_words = vocabulary.select(F.lit(0).alias("depth"), F.col("word").alias("key"), F.col("c").alias("total"), F.lit(b"").alias("follows"))
+    as_contexts = kept.where("depth > 0").select("depth", F.unhex(F.lpad(F.hex("context"), 16, "0")).alias("key"), "total", "follows")
+    asked = wanted(blocks).withColumn("hash", F.xxhash64("depth", "key")).alias("asked")
+    answer = as_words.union(as_contexts).withColumn("hash", F.xxhash64("depth", "key")).alias("answer")
+    same = (F.col("asked.hash") == F.col("answer.hash")) & (F.struct("asked.depth", "asked.key") == F.struct("answer.depth", "answer.key"))
+    known = loads(asked.join(answer, same).select("block", "asked.depth", "asked.key", "total", "follows"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         worker_state("blocks", dict)  # drops what another operator has kept
-        depth = right.column("depth").to_numpy()
-        told = right.filter(pa.array(depth == 0))
-        count = dict(zip(told.column("key").to_pylist(), (np.log10(told.column("total").to_numpy() + 1.0) - base).tolist(), strict=True))
-        told = right.filter(pa.array(depth > 0))
-        context = np.frombuffer(b"".join(told.column("key").to_pylist()), dtype=">i8").astype(np.int64)
-        tree = tree_of(told.drop_columns(["block", "key"]).append_column("context", pa.array(context)), root)
+        found, often, tree = told(right.column("load").to_pylist(), root)
+        count = dict(zip(found, (np.log10(often + 1.0) - base).tolist(), strict=True))
         missing = -base
         out = []
         for part in text_slices(left.to_batches(), "text"):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import map_arrow, materialize, mix64, text_slices, worker_state
+from bridgelens.llm.common import map_arrow, materialize, mix64, pack, text_slices, unpack, worker_state
 
 SPAN, GRAM = 50, 20
 #: Bytes of text (about) in a block of documents, which is also what a cell handles.
@@ -148,25 +148,6 @@ def unpack_short(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<i8")
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
-    """A few arrays as one compressed value."""
-    import zstandard
-
-    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    head = np.array([len(parts), *(len(x) for x in parts)], dtype="<i8").tobytes()
-    return zstandard.compress(head + b"".join(parts), 1)
-
-
-def unpack(raw: bytes, *kinds: str) -> list:
-    import zstandard
-
-    raw = zstandard.decompress(raw)
-    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    sizes = np.frombuffer(raw, dtype="<i8", count=n + 1)[1:]
-    ends = 8 * (n + 1) + np.cumsum(sizes)
-    return [raw[e - s : e] if kind == "raw" else np.frombuffer(raw[e - s : e], dtype=kind) for e, s, kind in zip(ends.tolist(), sizes.tolist(), kinds, strict=True)]
-
-
 def ranks_of(keys: np.ndarray) -> np.ndarray:
     """The number of the run of equal ones for each of the ordered ``keys``."""
     return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
