@@ -250,10 +250,19 @@ def forest_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, crowds.select("tree", "key", F.col("a").alias("node"))
 
 
-#: A crowd with 1 / SHARE of all crowds' rows or more has its hub broadcast (at most SHARE hubs, whatever the input).
+#: A crowd with 1 / SHARE of all crowds' rows or more is met by broadcast (at most SHARE crowds, whatever the input).
 SHARE = 1000
 
 
+def join_crowds(rows: DataFrame, crowds: DataFrame, total: int) -> DataFrame:
+    """The stored ``rows`` (tree, key, ...) joined with the stored ``crowds`` (tree, key, n: its rows, ...): the largest
+    crowds where their rows lie, the others by an ordinary join.  ``total`` is the number of rows."""
+    large = F.col("n") * SHARE >= total
+    great = F.broadcast(crowds.where(large))
+    rest = rows.join(great.select("tree", "key"), ["tree", "key"], "left_anti")
+    return rows.join(great, ["tree", "key"]).unionByName(rest.join(crowds.where(~large), ["tree", "key"]))
+
+
 def hub_pairs(crowds: DataFrame) -> DataFrame:
     """(a, b, round) of each row of ``crowds`` (a, round: its agreement, tree, key, n_shingles) with its crowd's hub."""
     votes = crowds.groupBy("a").agg(F.sum(F.col("round") + 1).alias("votes"))
@@ -261,10 +270,7 @@ def hub_pairs(crowds: DataFrame) -> DataFrame:
     best = F.max(F.struct("votes", (-F.col("a")).alias("least"), F.col("n_shingles").alias("size")))
     hubs = rows.groupBy("tree", "key").agg(best.alias("hub"), F.count("*").alias("n"))
     hubs = materialize(hubs.select("tree", "key", (-F.col("hub.least")).alias("hub"), F.col("hub.size").alias("size"), "n"), "hubs")
-    large = F.col("n") * SHARE >= rows.count()
-    great = F.broadcast(hubs.where(large).drop("n"))
-    # the largest crowds meet their hubs where their rows lie, the others by an ordinary join
-    met = rows.join(great, ["tree", "key"]).unionByName(rows.join(great, ["tree", "key"], "left_anti").join(hubs.where(~large).drop("n"), ["tree", "key"]))
+    met = join_crowds(rows, hubs, rows.count())
     close = 100 * F.least("n_shingles", "size") >= SIMILARITY * F.greatest("n_shingles", "size")
     pairs = met.where((F.col("a") != F.col("hub")) & close)
     return pairs.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(1).alias("round")).distinct()
@@ -399,8 +405,9 @@ def crowd_pairs(crowds: DataFrame, docs: DataFrame, rows_of: DataFrame, first: D
     known = first.join(weights, "component").select("node", "component", "weight")
     placed = crowds.join(known, "node", "left").select("tree", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
     placed = materialize(placed, "crowds")
-    parted = placed.groupBy("tree", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tree", "key")
-    nodes = materialize(placed.join(parted, ["tree", "key"]).select("node", "component", "weight").distinct(), "crowd-nodes")
+    parted = placed.groupBy("tree", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    parted = materialize(parted.select("tree", "key", "n"), "parted-crowds")
+    nodes = materialize(join_crowds(placed, parted, placed.count()).select("node", "component", "weight").distinct(), "crowd-nodes")
     if nodes.isEmpty():
         return None
     nodes = nodes.join(rows_of, "node")
