@@ -10,7 +10,8 @@ GRAM / STEP of them, and a window of m characters with at most e edits shares at
 (m - GRAM + 1) / STEP - e * GRAM / STEP seeds with the document, whose diagonals (place in the document
 less place in the item) lie within e of each other.  So the seeds that a text shares with the benchmark are counted in
 overlapping bands of diagonals, BAND + e wide with a new band every BAND; stretches of a band that meet the
-bound within a window's length are regions, and each region's windows are verified by an alignment inside the band.
+bound within a window's length are regions.  In a region all q-grams are compared, not the seeds alone: a window shares
+m - GRAM + 1 - e * GRAM of them or more, and those that do are verified by an alignment inside the band.
 
 The benchmark is sent to the tasks in parts of at most PART_BYTES, one after another, however large it
 is; a part's index takes 3 to 6 bytes for each of its characters, by the widest of them, and twice as much while it is made.
@@ -161,6 +162,36 @@ class Index:
             return (np.zeros(0, dtype=np.int64),) * 4
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def windows(self, chars: np.ndarray, band: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(region, window's place in the items, q-grams) of the windows that begin in low..high of each region and share
+        enough q-grams with the text inside its band."""
+        out = []
+        for m in np.unique(self.window[item]).tolist():
+            group = np.flatnonzero(self.window[item] == m)
+            grams_, need = m - GRAM + 1, m - GRAM + 1 - budget(m) * GRAM
+            for some in np.array_split(group, -(-len(group) // 512)):
+                first, count = low[some], high[some] - low[some] + 1
+                length = int(count.max()) + m - 1
+                place = first[:, None] + np.arange(length)
+                inside = place < (high[some] + m)[:, None]
+                pattern = self.chars[np.minimum(place, len(self.chars) - 1)]
+                begin = first + band[some] * BAND - len(self.chars)
+                at = begin[:, None] + np.arange(length + BAND + EDITS)
+                text = np.where((at >= 0) & (at < len(chars)), chars[np.clip(at, 0, len(chars) - 1)], np.uint32(_WALL))
+                shared = np.zeros((len(some), length - GRAM + 1), dtype=bool)
+                for k in range(BAND + EDITS):  # one diagonal of the band after another
+                    same = (text[:, k : k + length] == pattern) & inside
+                    step = 1
+                    while step < GRAM:  # runs of 1, 2, 4, ... equal characters
+                        same = same[:, :-step] & same[:, step:]
+                        step *= 2
+                    shared |= same
+                sums = np.concatenate([np.zeros((len(some), 1), dtype=np.int64), np.cumsum(shared, axis=1)], axis=1)
+                found = sums[:, grams_:] - sums[:, :-grams_]
+                row, start = np.nonzero((found >= need) & (np.arange(found.shape[1]) < count[:, None]))
+                out.append((some[row], first[row] + start, found[row, start]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def verify(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of the ``size`` characters of the items from ``start`` on against the text inside a band, and
         where that alignment ends in the text.
@@ -191,8 +222,8 @@ class Index:
     def search(self, rows: list[np.ndarray]) -> list[tuple[int, int | None, int, int, int, int]]:
         """(text, item's id, confirmed windows, start, end, edits of the best) for every leaked item of every text.
 
-        First the windows at either end of the regions are verified, one region for each window's length of a band; then,
-        for a text and an item of which none was confirmed, every window that may hold seeds of any of their regions.
+        Of each region the window that shares most is verified first; then, for a text and an item of which none was
+        confirmed, all that share enough.
         """
         out = [(k, key, 1, 0, len(r), 0) for k, r in enumerate(rows) if 0 < len(r) < SHORTEST for key in self.whole.get(r.tobytes(), ())]
         if not len(self.hash):
@@ -201,33 +232,38 @@ class Index:
         chars = np.concatenate([x for r in rows for x in (r, wall)]) if rows else np.zeros(0, dtype=np.uint32)
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in rows])])
         band, at, low, high = self.regions(chars)
+        if not len(band):
+            return out
         item, text = self.item_at(low), np.searchsorted(begins, at, side="right") - 1
         size = self.window[item]
-        # the windows of an item that hold a region's seeds begin from here to there
-        first, last = self.begin[item], self.begin[item] + self.size[item] - size
+        # the windows of an item that hold a region's seeds; other seeds of the band may stand between them
+        first, last, wide = self.begin[item], self.begin[item] + self.size[item] - size, BAND + EDITS
         earliest, latest = np.clip(high + GRAM - size, first, last), np.clip(low, first, last)
+        lowest, highest = np.maximum(first, np.minimum(earliest, latest) - wide), np.minimum(last, np.maximum(earliest, latest) + wide)
+        # regions of a band that begin within one window's length are one
+        order = np.lexsort((lowest, at // WINDOW, band, item, text))
+        key = np.stack([text, item, band, at // WINDOW])[:, order]
+        heads = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+        text, item, band = (x[order][heads] for x in (text, item, band))
+        lowest, highest = np.minimum.reduceat(lowest[order], heads), np.maximum.reduceat(highest[order], heads)
         found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
 
         def confirm(region: np.ndarray, start: np.ndarray) -> None:
             _, one = np.unique(np.stack([start, band[region], text[region]]), axis=1, return_index=True)
             start, region = start[one], region[one]
-            edits, ends = self.verify(chars, start, size[region], band[region])
+            edits, ends = self.verify(chars, start, self.window[item[region]], band[region])
             good = edits <= self.edits[item[region]]
             for t, i, s, end, cost in zip(text[region[good]].tolist(), item[region[good]].tolist(), start[good].tolist(), ends[good].tolist(), edits[good].tolist(), strict=True):
                 mine = found.setdefault((t, i), {})
                 mine[s] = min(mine.get(s, (cost, end)), (cost, end))
 
-        if len(band):
-            _, one = np.unique(np.stack([text, item, band, at // WINDOW]), axis=1, return_index=True)
-            confirm(np.concatenate([one, one]), np.concatenate([latest[one], earliest[one]]))
-            known = {t * len(self.items) + i for t, i in found}
-            rest = np.flatnonzero(~np.isin(text * len(self.items) + item, np.array(sorted(known), dtype=np.int64)))
-            # other seeds of the band may stand between a window's own
-            wide = BAND + EDITS
-            lowest, highest = np.maximum(first, np.minimum(earliest, latest) - wide), np.minimum(last, np.maximum(earliest, latest) + wide)
-            count = highest[rest] - lowest[rest] + 1
-            region = np.repeat(rest, count)
-            confirm(region, lowest[region] + np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count))
+        region, start, shared = self.windows(chars, band, lowest, highest, item)
+        if len(region):
+            most = np.lexsort((start, -shared, region))
+            confirm(region[most][one := np.unique(region[most], return_index=True)[1]], start[most][one])
+            known = np.array(sorted(t * len(self.items) + i for t, i in found), dtype=np.int64)
+            rest = ~np.isin(text[region] * len(self.items) + item[region], known)
+            confirm(region[rest], start[rest])
         for (t, i), mine in found.items():
             begin, m = int(begins[t]), int(self.window[i])
             low_, high_ = (f(end for _, end in mine.values()) - begin for f in (min, max))
