@@ -58,10 +58,11 @@ def symbols(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches(buffer: np.ndarray) -> np.ndarray:
     """At every symbol, the DEPTH symbols before it and itself as one number (of no use at pads)."""
-    n = len(buffer)
-    code = np.zeros(n - DEPTH, dtype=np.int64)
-    for k in range(DEPTH + 1):
-        code |= buffer[DEPTH - k : n - k].astype(np.int64) << (8 * k)
+    code, have = buffer.astype(np.int64), 1
+    while have < DEPTH + 1:  # twice as many symbols at a time, or as many as are missing
+        step = min(have, DEPTH + 1 - have)
+        code = code[:-step] << (8 * step) | code[step:] & ((1 << (8 * step)) - 1)
+        have += step
     return code
 
 
@@ -166,6 +167,8 @@ class Tree:
         """``root``: how often each byte value occurs."""
         self.root = (root + 1.0) / (root.sum() + 257)
         self.levels: list[tuple[np.ndarray, ...]] = []
+        #: stretches that were looked up, in order, and their results
+        self.seen, self.found = np.zeros(0, dtype=np.int64), np.zeros(0)
 
     def add(self, context: np.ndarray, total: np.ndarray, size: np.ndarray, symbols_: np.ndarray, counts: np.ndarray) -> None:
         """The next depth: each context, its count, how many symbols follow it, and all those with their counts."""
@@ -198,24 +201,40 @@ class Tree:
             return np.zeros(0)
         at, distinct = pd.factorize(stretches(buffer))
         out = np.zeros(len(buffer))
-        out[DEPTH:] = self.log10(distinct)[at]
+        out[DEPTH:] = self.looked_up(distinct)[at]
         out[buffer == PAD] = 0
         return np.add.reduceat(out, begins)
 
-
-def unpacked(follows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many symbols follow each context, and all the symbols with their counts."""
-    both = np.frombuffer(b"".join(follows), dtype=">u8").astype(np.uint64)
-    low = np.uint64((1 << 56) - 1)
-    return np.array([len(x) // 8 for x in follows], dtype=np.int64), (both >> np.uint64(56)).astype(np.int64), (both & low).astype(np.int64)
-
-
-def tree_of(depth: np.ndarray, context: np.ndarray, total: np.ndarray, follows: list[bytes], root: np.ndarray) -> Tree:
-    """The tree of some kept contexts (all but the root) and the root's counts."""
-    tree = Tree(root)
+    def looked_up(self, code: np.ndarray) -> np.ndarray:
+        """``log10`` of distinct stretches; what a block's earlier texts had is remembered."""
+        order = np.argsort(code)
+        code = code[order]
+        place = np.searchsorted(self.seen, code)
+        known = np.zeros(len(code), dtype=bool)
+        if len(self.seen):
+            known = self.seen[np.minimum(place, len(self.seen) - 1)] == code
+        value = np.empty(len(code))
+        value[known] = self.found[place[known]]
+        new = code[~known]
+        value[~known] = self.log10(new)
+        self.seen, self.found = np.insert(self.seen, place[~known], new), np.insert(self.found, place[~known], value[~known])
+        out = np.empty(len(code))
+        out[order] = value
+        return out
+
+
+def unpacked(follows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that follow some contexts, with their counts."""
+    both = np.frombuffer(follows, dtype=">u8").astype(np.uint64)
+    return (both >> np.uint64(56)).astype(np.int64), (both & np.uint64((1 << 56) - 1)).astype(np.int64)
+
+
+def tree_of(depth: np.ndarray, context: np.ndarray, total: np.ndarray, size: np.ndarray, follows: bytes, root: np.ndarray) -> Tree:
+    """The tree of some kept contexts (all but the root; ``size``: how many symbols follow each) and the root's counts."""
+    tree, (symbol, count), of = Tree(root), unpacked(follows), np.repeat(depth, size)
     for d in range(1, DEPTH + 1):
-        mine = np.flatnonzero(depth == d)
-        tree.add(context[mine], total[mine], *unpacked([follows[k] for k in mine.tolist()]))
+        mine, each = depth == d, of == d
+        tree.add(context[mine], total[mine], size[mine], symbol[each], count[each])
     return tree
 
 
@@ -223,7 +242,7 @@ def root_counts(kept: DataFrame) -> np.ndarray:
     """How often each byte value occurs (256 numbers)."""
     out = np.zeros(256)
     for r in kept.where("depth = 0").select("follows").collect():
-        _, symbol, n = unpacked([r["follows"]])
+        symbol, n = unpacked(r["follows"])
         out[symbol] = n
     return out
 
@@ -262,7 +281,8 @@ def wanted(blocks: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return map_arrow(blocks.select("block", "text"), run, "block long, depth int, key binary")
+    # with all columns: the rows are those that are scored, and Spark moves the texts once for both
+    return map_arrow(blocks, run, "block long, depth int, key binary")
 
 
 def loads(known: DataFrame) -> DataFrame:
@@ -271,21 +291,25 @@ def loads(known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Buffer]:
+            values = column.combine_chunks()
+            ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+            return ends, values.buffers()[2]
+
         def out() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            rows = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("depth", "ascending")])
             block, depth, total = (rows.column(c).to_numpy() for c in ("block", "depth", "total"))
-            key, follows = rows.column("key").to_pylist(), rows.column("follows").to_pylist()
+            (key_at, keys), (follows_at, follows) = bytes_of(rows.column("key")), bytes_of(rows.column("follows"))
+            part = lambda at, raw, a, b: raw[int(at[a]) : int(at[b])].to_pybytes() if at[b] > at[a] else b""
             heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            blocks, found = [], []
+            found = []
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(block)], strict=True):
-                told = np.flatnonzero(depth[a:b] == 0) + a
-                more = np.flatnonzero(depth[a:b] > 0) + a
-                after = [follows[k] for k in more.tolist()]
-                sizes = np.array([len(x) for x in after], dtype="<i4")
-                blocks.append(int(block[a]))
-                found.append(pack(b" ".join(key[k] for k in told.tolist()), total[told].astype("<i8"), depth[more].astype(np.uint8), b"".join(key[k] for k in more.tolist()), total[more].astype("<i8"), sizes, b"".join(after)))
+                w = a + int(np.searchsorted(depth[a:b], 1))  # words, then contexts
+                told = part(key_at, keys, a, w), np.diff(key_at[a : w + 1]).astype("<i4"), total[a:w].astype("<i8")
+                more = depth[w:b].astype(np.uint8), part(key_at, keys, w, b), total[w:b].astype("<i8"), (np.diff(follows_at[w : b + 1]) // 8).astype("<i4"), part(follows_at, follows, w, b)
+                found.append(pack(*told, *more))
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(found, pa.binary())], names=["block", "load"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[heads]), pa.array(found, pa.binary())], names=["block", "load"])
 
         for part in batches:
             held.append(part)
@@ -299,14 +323,20 @@ def loads(known: DataFrame) -> DataFrame:
 
 def told(values: list[bytes], root: np.ndarray) -> tuple[list[bytes], np.ndarray, Tree]:
     """The words with their counts, and the tree, that a block's loads hold."""
-    parts = [unpack(x, "raw", "<i8", "u1", ">i8", "<i8", "<i4", "raw") for x in values]
-    found = [w for x in parts if len(x[1]) for w in x[0].split(b" ")]
-    join = lambda k, kind: np.concatenate([x[k] for x in parts] or [np.zeros(0, dtype=kind)]).astype(kind)
-    follows = []
-    for x in parts:
-        ends = np.cumsum(x[5], dtype=np.int64)
-        follows += [x[6][e - n : e] for e, n in zip(ends.tolist(), x[5].tolist(), strict=True)]
-    return found, join(1, np.int64), tree_of(join(2, np.int64), join(3, np.int64), join(4, np.int64), follows, root)
+    parts = list(zip(*(unpack(x, "raw", "<i4", "<i8", "u1", ">i8", "<i8", "<i4", "raw") for x in values), strict=True)) or [()] * 8
+    join = lambda k, kind: np.concatenate([np.zeros(0, dtype=kind), *parts[k]]).astype(kind)
+    raw, ends = b"".join(parts[0]), np.concatenate([[0], np.cumsum(join(1, np.int64))])
+    found = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    return found, join(2, np.int64), tree_of(join(3, np.int64), join(4, np.int64), join(5, np.int64), join(6, np.int64), b"".join(parts[7]), root)
+
+
+class Scores(dict):
+    """Words with their base scores; others have ``missing``."""
+
+    missing = 0.0
+
+    def __missing__(self, word: bytes) -> float:
+        return self.missing
 
 
 def score(docs: DataFrame, kept: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -328,25 +358,24 @@ def score(docs: DataFrame, kept: DataFrame | None = None, block_bytes: int = BLO
     # words and contexts are joined in one go, by a hash first
     as_words = vocabulary.select(F.lit(0).alias("depth"), F.col("word").alias("key"), F.col("c").alias("total"), F.lit(b"").alias("follows"))
     as_contexts = kept.where("depth > 0").select("depth", F.unhex(F.lpad(F.hex("context"), 16, "0")).alias("key"), "total", "follows")
-    asked = wanted(blocks).withColumn("hash", F.xxhash64("depth", "key")).alias("asked")
-    answer = as_words.union(as_contexts).withColumn("hash", F.xxhash64("depth", "key")).alias("answer")
-    same = (F.col("asked.hash") == F.col("answer.hash")) & (F.struct("asked.depth", "asked.key") == F.struct("answer.depth", "answer.key"))
-    known = loads(asked.join(answer, same).select("block", "asked.depth", "asked.key", "total", "follows"))
+    asked = wanted(blocks).withColumn("hash", F.xxhash64("depth", "key"))
+    answer = as_words.union(as_contexts).withColumn("hash", F.xxhash64("depth", "key"))
+    known = loads(asked.join(answer, ["hash", "depth", "key"]).select("block", "depth", "key", "total", "follows"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         worker_state("blocks", dict)  # drops what another operator has kept
         found, often, tree = told(right.column("load").to_pylist(), root)
-        count = dict(zip(found, (np.log10(often + 1.0) - base).tolist(), strict=True))
-        missing = -base
+        count = Scores(zip(found, (np.log10(often + 1.0) - base).tolist(), strict=True))
+        count.missing = -base
         out = []
         for part in text_slices(left.to_batches(), "text"):
             rows = [words(x) for x in texts(part.column("text"))]
             scores, n_known, base_scores = tree.score(*symbols(rows)), [], []
             for row in rows:
-                found = [count[w] for w in row if w in count]
-                n_known.append(len(found) + (n_train > 0))
-                base_scores.append(math.fsum(found) + (len(row) - len(found)) * missing + end_score)
+                each = list(map(count.__getitem__, row))
+                n_known.append(len(each) - each.count(count.missing) + (n_train > 0))  # a known word scores more
+                base_scores.append(math.fsum(each) + end_score)
             out.append(
                 pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array([len(r) + 1 for r in rows], pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(rows), pa.int64()), pa.array(base_scores, pa.float64()), pa.array(scores, pa.float64())],

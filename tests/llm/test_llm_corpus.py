@@ -472,7 +472,7 @@ def kept_contexts(kept):
     """depth -> {context: {symbol: n}}"""
     out = [{} for _ in range(pst.DEPTH + 1)]
     for r in kept.collect():
-        _, symbol, n = pst.unpacked([bytes(r["follows"])])
+        symbol, n = pst.unpacked(bytes(r["follows"]))
         out[r["depth"]][r["context"]] = dict(zip(symbol.tolist(), n.tolist(), strict=True))
         assert n.sum() == r["total"] and (np.diff(symbol) > 0).all()
     return out
@@ -547,7 +547,7 @@ def test_distributions_sum_to_one(spark, rows):
     docs = documents(spark, rows).select("doc_id", "text")
     kept = pst.learn(docs, 20, 0.01)
     longer = kept.where("depth > 0").toPandas()
-    tree = pst.tree_of(longer["depth"].to_numpy(), longer["context"].to_numpy(), longer["total"].to_numpy(), [bytes(x) for x in longer["follows"]], pst.root_counts(kept))
+    tree = pst.tree_of(longer["depth"].to_numpy(), longer["context"].to_numpy(), longer["total"].to_numpy(), np.array([len(x) // 8 for x in longer["follows"]]), b"".join(map(bytes, longer["follows"])), pst.root_counts(kept))
     rng = random.Random(2)
     for _ in range(200):
         t = pst.words((rng.choice(rows)[1] or "a").encode())
