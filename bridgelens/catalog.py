@@ -25,7 +25,7 @@ from bridgelens.plans import (
     save_bridge_events, source_chains, time_series, top_chains, write_report,
 )
 from bridgelens.session import scratch_path
-from bridgelens.sources import read_gmp, read_transfers
+from bridgelens.sources import read_gmp, read_transfers, store_variant
 from bridgelens.sources.fixtures import TEST_ROUTERS, fixture_event_transfers, fixture_gmp, fixture_transfers
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -139,11 +139,8 @@ def reingest_bridge_events(spark, sf):
 
 def bridge_events_variant(spark, sf):
     """The relation over stored facts whose ``data`` is VARIANT, through the fact readers."""
-    paths = []
-    for df, name in zip(_facts(spark, sf), ("transfers", "gmp")):
-        paths.append(scratch_path(spark, f"variant-{name}"))
-        df.withColumn("data", F.try_parse_json("data")).write.parquet(paths[-1])
-    return bridge_events(read_transfers(spark, paths[0]), read_gmp(spark, paths[1]), TEST_ROUTERS)
+    t, g = store_variant(spark, dict(zip(("transfers", "gmp"), _facts(spark, sf))))
+    return bridge_events(read_transfers(spark, t), read_gmp(spark, g), TEST_ROUTERS, paths_in_scan=False)
 
 
 def report_sink(spark, sf):

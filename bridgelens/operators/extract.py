@@ -27,20 +27,34 @@ def _texts(df: DataFrame, keep: list[str], paths: dict[str, str]) -> DataFrame:
     return df.select(*keep, *[json_text("data", p).alias(n) for n, p in paths.items()])
 
 
+def _matched_texts(df: DataFrame, keep: list[str], paths: dict[str, str], matched: Column) -> DataFrame:
+    """``_texts`` of the rows that match, read above the scan: test and extraction share one generator, which no
+    filter passes and no scan takes over, so a row that does not match costs the test alone."""
+    fields = F.array(F.struct(*[json_text("data", p).alias(n) for n, p in paths.items()]))
+    return df.select(*keep, F.inline(F.when(matched, fields)))
+
+
 def transfer_events(
     transfers: DataFrame,
     routers: Iterable[str] = C.DEFAULT_ROUTERS,
     start: DateLike = None,
     end: DateLike = None,
+    *,
+    paths_in_scan: bool = True,
 ) -> DataFrame:
-    """Token-transfer branch: chains lower-cased, user = recipient, fee in token units."""
+    """Token-transfer branch: chains lower-cased, user = recipient, fee in token units.
+
+    ``paths_in_scan``: a scan of stored VARIANT reads the wanted paths, of every row; otherwise it reads the
+    documents and the paths are taken from the rows that pass, which is cheaper for small unshredded documents.
+    """
     t = in_date_range(transfers, start, end)
     t = t.where(completed() & router_match(F.col("sender_address"), routers))
     t = with_variant(t.select("created_at", "recipient_address", "id", "data"))
-    t = _texts(t, ["created_at", "recipient_address", "id"], {
+    keep, paths = ["created_at", "recipient_address", "id"], {
         "_src": C.T_SOURCE_CHAIN, "_dst": C.T_DESTINATION_CHAIN, "_amount": C.T_AMOUNT,
         "_price": C.T_PRICE, "_fee": C.T_FEE, "_asset": C.T_ASSET,
-    })
+    }
+    t = _texts(t, keep, paths) if paths_in_scan else _matched_texts(t, keep, paths, F.lit(True))
     amount = safe_number(F.col("_amount"))
     return t.select(
         F.col("created_at"),
@@ -66,11 +80,13 @@ def gmp_events(
     start: DateLike = None,
     end: DateLike = None,
     normalize_chains: bool = False,
+    *,
+    paths_in_scan: bool = True,
 ) -> DataFrame:
     """Message-passing branch: chains as stored, user = sender, fee in USD.
 
     ``normalize_chains=True`` lower-cases the chains like the transfers branch
-    (off by default: the dashboard keeps their case).
+    (off by default: the dashboard keeps their case).  ``paths_in_scan`` as in ``transfer_events``.
     """
     g = in_date_range(gmp, start, end).where(completed())
     paths = {
@@ -79,7 +95,8 @@ def gmp_events(
         "_express": C.G_EXPRESS_FEE, "_symbol": C.G_SYMBOL,
     }
     g = g.select("created_at", "id", "data")
-    if isinstance(g.schema["data"].dataType, VariantType):
+    stored = isinstance(g.schema["data"].dataType, VariantType)
+    if stored and paths_in_scan:
         # stored VARIANT: the scan reads the contract and the wanted paths only
         g = _texts(g.where(router_match(gmp_contract(F.col("data")), routers)), ["created_at", "id"], paths)
     else:
@@ -87,11 +104,10 @@ def gmp_events(
         # cannot match, so it is not parsed.  For the others a Filter on the
         # parsed document would be pushed below the parse and parse it twice;
         # testing and extracting in one generator keeps a single parse.
-        text = F.col("data")
-        g = with_variant(g.where(router_match(text, routers) | F.contains(text, F.lit("\\"))))
-        fields = F.array(F.struct(*[json_text("data", p).alias(n) for n, p in paths.items()]))
-        matched = router_match(gmp_contract(F.col("data")), routers)
-        g = g.select("created_at", "id", F.inline(F.when(matched, fields)))
+        if not stored:
+            text = F.col("data")
+            g = with_variant(g.where(router_match(text, routers) | F.contains(text, F.lit("\\"))))
+        g = _matched_texts(g, ["created_at", "id"], paths, router_match(gmp_contract(F.col("data")), routers))
     src, dst = F.col("_src"), F.col("_dst")
     if normalize_chains:
         src, dst = F.lower(src), F.lower(dst)

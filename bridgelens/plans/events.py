@@ -20,6 +20,7 @@ def bridge_events(
     *,
     filter_in_branches: bool = True,
     normalize_gmp_chains: bool = False,
+    paths_in_scan: bool = True,
 ) -> DataFrame:
     """Completed router traffic of both services, one row per fact row.
 
@@ -27,13 +28,15 @@ def bridge_events(
     amount_usd, fee, id, service, raw_asset.  The optional inclusive date
     range is applied inside each branch (``filter_in_branches``) or on the
     union; Catalyst pushes either form into both Parquet scans.
+    ``paths_in_scan=False`` is for stored VARIANT of small, unshredded documents
+    (see ``transfer_events``); the rows are the same.
     """
     routers = tuple(routers)
     check_range(start, end)
     if filter_in_branches:
-        t = transfer_events(transfers, routers, start, end)
-        g = gmp_events(gmp, routers, start, end, normalize_chains=normalize_gmp_chains)
+        t = transfer_events(transfers, routers, start, end, paths_in_scan=paths_in_scan)
+        g = gmp_events(gmp, routers, start, end, normalize_chains=normalize_gmp_chains, paths_in_scan=paths_in_scan)
         return union_services(t, g)
-    t = transfer_events(transfers, routers)
-    g = gmp_events(gmp, routers, normalize_chains=normalize_gmp_chains)
+    t = transfer_events(transfers, routers, paths_in_scan=paths_in_scan)
+    g = gmp_events(gmp, routers, normalize_chains=normalize_gmp_chains, paths_in_scan=paths_in_scan)
     return in_date_range(union_services(t, g), start, end)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bridgelens.session import scratch_path
+
 # Columns the reports read from each fact table (anything else is pruned).
 TRANSFER_COLUMNS = ("id", "created_at", "recipient_address", "sender_address", "status",
                     "simplified_status", "data")
@@ -36,3 +41,30 @@ def read_transfers(spark: SparkSession, source: str, fmt: str = "parquet", schem
 
 def read_gmp(spark: SparkSession, source: str, fmt: str = "parquet", schema=None) -> DataFrame:
     return read_facts(spark, source, GMP_COLUMNS, fmt, schema)
+
+
+#: Whether Spark infers a shredding schema for each Parquet file with VARIANT.
+SHREDDING = "spark.sql.variant.inferShreddingSchema"
+
+
+def store_variant(spark: SparkSession, facts: dict[str, DataFrame]) -> list[str]:
+    """Write fact tables with ``data`` as VARIANT to the shared scratch folder; returns their paths in order.
+
+    The documents are small and read once, so they are written whole: shredding them costs more than the parse.
+    Both writes run at a time, so that the tasks of one fill the cores that the other leaves.
+    """
+    def write(item: tuple[str, DataFrame]) -> str:
+        path = scratch_path(spark, f"variant-{item[0]}")
+        item[1].withColumn("data", F.try_parse_json("data")).write.parquet(path)
+        return path
+
+    old = spark.conf.get(SHREDDING, None)
+    spark.conf.set(SHREDDING, "false")
+    try:
+        with ThreadPoolExecutor(len(facts)) as pool:
+            return list(pool.map(write, facts.items()))
+    finally:
+        if old is None:
+            spark.conf.unset(SHREDDING)
+        else:
+            spark.conf.set(SHREDDING, old)

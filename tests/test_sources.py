@@ -66,3 +66,46 @@ def test_text_prefilter_keeps_escaped_addresses(spark):
     row[-1] = row[-1].replace("0xa1", "0x\\u0061\u0031".replace("\u0031", "1"))
     _, g = facts(spark, [], [tuple(row), gmp(2, "2024-01-01 00:00:00", contract="0xdead")])
     assert [r.id for r in gmp_events(g, TEST_ROUTERS).collect()] == [1]
+
+
+def test_variant_store_is_unshredded_and_paths_are_read_above_the_scan(spark, monkeypatch):
+    """The query's stored facts are whole documents (shredding cost more than the parse), and only rows that pass pay for
+    their paths; the session's setting stays as it was."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from bridgelens import catalog
+    from bridgelens.sources.tables import SHREDDING
+
+    kept, old = [], spark.conf.get(SHREDDING, None)
+    store = catalog.store_variant
+    monkeypatch.setattr(catalog, "store_variant", lambda *a: kept.extend(store(*a)) or kept)
+    out = catalog.bridge_events_variant(spark, SF)
+    assert spark.conf.get(SHREDDING, None) == old
+    for path in kept:
+        for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+            assert "typed_value" not in str(pq.ParquetFile(f).schema)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "data:struct<0:va" in plan and "data:struct<0:string" not in plan and "parseJson" not in plan
+    rows = _rows(out)
+    assert rows and rows == _rows(bridge_events(fixture_transfers(spark, SF), fixture_gmp(spark, SF), TEST_ROUTERS))
+
+
+def test_paths_above_the_scan_give_the_same_rows_on_odd_documents(spark):
+    from helpers import G_SCHEMA, T_SCHEMA, gmp, transfer
+
+    ts = [transfer(1, "2024-01-01 00:00:00"), transfer(2, "2024-01-02 00:00:00", amount=[1], price="x", fee=None),
+          transfer(3, "2024-01-03 00:00:00", sender=None), transfer(4, "2024-01-04 00:00:00", status="pending"),
+          (*transfer(5, "2024-01-05 00:00:00")[:-1], "{broken"), (*transfer(6, "2024-01-06 00:00:00")[:-1], None), transfer(6, "2024-01-06 00:00:00")]
+    gs = [gmp(1, "2024-01-01 00:00:00"), gmp(2, "2024-01-02 00:00:00", contract="0xdead"), gmp(3, "2024-01-03 00:00:00", contract=None),
+          (*gmp(4, "2024-01-04 00:00:00")[:-1], "{broken"), (*gmp(5, "2024-01-05 00:00:00")[:-1], None), gmp(6, "2024-01-06 00:00:00", gas="x", express=7)]
+    from bridgelens.sources import store_variant
+
+    t, g = spark.createDataFrame(ts, T_SCHEMA), spark.createDataFrame(gs, G_SCHEMA)
+    tp, gp = store_variant(spark, {"transfers": t, "gmp": g})
+    tv, gv = read_transfers(spark, tp), read_gmp(spark, gp)
+    for kw in ({}, {"start": "2024-01-02", "end": "2024-01-05"}, {"start": "2024-01-02", "filter_in_branches": False}):
+        above = bridge_events(tv, gv, TEST_ROUTERS, paths_in_scan=False, **kw)
+        want = _rows(bridge_events(t, g, TEST_ROUTERS, **kw))
+        assert want and _rows(above) == want == _rows(bridge_events(tv, gv, TEST_ROUTERS, **kw))
