@@ -17,7 +17,8 @@ from array import array
 
 from bridgelens.llm.common import worker_state
 
-#: Distinct stretches that a worker remembers; beyond it, it forgets all and goes on (results do not change).
+#: Distinct stretches that a worker remembers; beyond half of it, those not met since the last time are forgotten
+#: (results do not change).
 CACHE = 1_000_000
 #: Longer stretches are encoded, but not remembered.
 LONG = 64
@@ -54,6 +55,8 @@ class Encoder:
         self.keeps_space = keeps_space
         #: the ids of stretches by their mark or, without one, as they stand after a space
         self.known: dict[str, bytes] = {}
+        #: what was known the last time; a stretch that is met again moves back
+        self.before: dict[str, bytes] = {}
 
     def _cuts(self, text: str) -> list[str]:
         """The stretches of a text, marked where they do not follow a space."""
@@ -74,10 +77,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cuts(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
+        if len(self.known) > CACHE // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         new = list(set().union(*(set(parts).difference(known) for parts in cut)))
+        if before:
+            known.update((x, before[x]) for x in new if x in before)
+            new = [x for x in new if x not in known]
         found = self.library.encode_batch_fast([self._surface(x) for x in new], add_special_tokens=False)
         known.update(zip(new, (array("I", x.ids).tobytes() for x in found), strict=True))
         ids = known.__getitem__

@@ -47,6 +47,27 @@ def test_encoder_forgets_without_changing_results(monkeypatch):
     assert [small.encode([t])[0] for t in texts] == want
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_keeps_what_it_meets_again(monkeypatch, name, keeps):
+    """A full memory forgets what was not met lately, not every stretch: a frequent word goes to the library once."""
+    monkeypatch.setattr(tokenizing, "CACHE", 50)
+    own, sent = tokenizing.Encoder(tokenizing.tokenizer_path(name), keeps), []
+
+    class Spy:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return self.library.encode_batch_fast(texts, **kw)
+
+    own.library = Spy(own.library)
+    for k in range(100):
+        own.encode([f"the often x{k}"])
+        assert len(own.known) + len(own.before) <= 60
+    assert len(sent) > 100 and [x.strip() for x in sent].count("often") == 1
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
