@@ -28,14 +28,14 @@ from others; rows repeated with one id are one document if their texts are equal
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import map_arrow, materialize, mix64, pack, text_slices, unpack, worker_state
+from bridgelens.llm.common import give_back, map_arrow, materialize, mix64, pack, text_slices, unpack, worker_state
 
 SPAN, GRAM = 50, 20
 #: Bytes of text (about) in a block of documents, which is also what a cell handles.
@@ -59,23 +59,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         for step in (1, 2, 4, 8):
             if step == 4:
                 four = h
-            h = h[:-step] * factor + h[step:]
-            factor = factor * factor
+            longer = h[:-step] * factor
+            longer += h[step:]
+            h, factor = longer, factor * factor
         n = len(data) - GRAM + 1
-        h = h[:n] * np.uint64(pow(int(_ODD), 4, 1 << 64)) + four[16 : 16 + n]
+        h = h[:n] * np.uint64(pow(int(_ODD), 4, 1 << 64))
+        h += four[16 : 16 + n]
         return mix64(h)
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values the place of the first of the smallest, by doubling."""
-    at, have = np.arange(len(values), dtype=np.int32), 1
+    """For each window of ``width`` 32-bit values the place of the first of the smallest, by doubling: the places
+    (below 1 << 32) follow the values in one number, so that one minimum finds both and the first of equal ones wins."""
+    least, have = (values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64), 1
     while have < width:
         step = min(have, width - have)
-        right = values[step:] < values[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        values = np.where(right, values[step:], values[:-step])
+        least = np.minimum(least[step:], least[:-step])
         have += step
-    return at
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
 def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +93,9 @@ def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         at = first_least((h >> np.uint64(32)).astype(np.uint32), width)
         n = len(at)
         starts = low + np.arange(n)
-        owner = np.searchsorted(begins, starts, side="right") - 1
+        a, b = np.searchsorted(begins, [low, low + n - 1], side="right") - 1
+        edges = np.clip(begins[a : b + 2], low, low + n)
+        owner = np.repeat(np.arange(a, b + 1), np.diff(edges))
         whole = starts + SPAN <= begins[owner + 1]
         starts, owner, at = starts[whole], owner[whole], at[whole]
         if not len(starts):
@@ -334,6 +337,22 @@ def _splits(sorted_cells: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(sorted_cells[a]), slice(int(a), int(b))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for groups of one or (cogroups) two tables; the worker gives back what each call has freed."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    def two(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = run(table, answers)
+        give_back()
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """Per distinct text with an id: digest, node (its smallest id), n_removed, n_spans, kept_sha256 (and the kept text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -423,7 +442,10 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
         texts = list(number)
         found = merged_least_ids(texts, np.array(home, dtype=np.uint64), np.array(least, dtype=np.int64))
         # a run of one id is sent as one number
-        found = [x[:1] if (x == x[0]).all() else x for x in found]
+        flat = np.concatenate(found)
+        heads = np.cumsum([0, *map(len, found[:-1])])
+        single = np.minimum.reduceat(flat, heads) == np.maximum.reduceat(flat, heads)
+        found = [x[:1] if one else x for x, one in zip(found, single.tolist(), strict=True)]
         print_ = np.array([fingerprint(x) for x in texts], dtype="<u8")
         loads = []
         for anchor, level, mine in sent:
@@ -478,10 +500,10 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
             columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
         return pa.table(columns, names=names)
 
-    shared = blocks.groupBy("block").applyInArrow(send_anchors, _ROW).groupBy("cell").applyInArrow(share, _ROW)
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_pieces, _ROW)
-    answers = sent.groupBy("cell").applyInArrow(merge_cell, _ROW)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, "digest binary, node long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    shared = blocks.groupBy("block").applyInArrow(lean(send_anchors), _ROW).groupBy("cell").applyInArrow(lean(share), _ROW)
+    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lean(send_pieces), _ROW)
+    answers = sent.groupBy("cell").applyInArrow(lean(merge_cell), _ROW)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(cut), "digest binary, node long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def fingerprint(text: bytes) -> int:

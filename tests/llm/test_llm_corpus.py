@@ -707,3 +707,23 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(kept)
     assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 2048)
+
+
+def test_first_least_and_owners_by_brute_force():
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(0, 4, 300), rng.integers(0, 1 << 32, 300), np.full(300, (1 << 32) - 1)):
+        values = values.astype(np.uint32)
+        for width in (1, 2, 31):
+            want = [k + int(np.argmin(values[k : k + width])) for k in range(len(values) - width + 1)]
+            assert suffix_bwt.first_least(values, width).tolist() == want
+    rows = [b"", *(bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (49, 50, 0, 200, 51, 90)), b""]
+    owner, first, last, _, _, begins = suffix_bwt.pieces(rows)
+    covered = [(o, k - begins[o]) for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)]
+    assert sorted(covered) == [(o, k) for o, x in enumerate(rows) for k in range(len(x) - suffix_bwt.SPAN + 1)]
+
+
+def test_workers_give_back_what_a_group_has_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(suffix_bwt, "give_back", lambda: calls.append(1), raising=False)
+    assert suffix_bwt.lean(lambda a: a)(1) == 1 and suffix_bwt.lean(lambda a, b: a + b)(1, 2) == 3
+    assert len(calls) == 2
