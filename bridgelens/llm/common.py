@@ -34,10 +34,16 @@ BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "6710
 
 def map_arrow(df: DataFrame, run: Callable, ddl) -> DataFrame:
     """``df.mapInArrow`` with batches of about SLICE_BYTES: what a worker and the JVM's buffers hold at a time does not
-    follow the texts' length.  The session's own limit stays if it was set; otherwise it is set for the session."""
+    follow the texts' length.  The session's own limit stays if it was set; otherwise it is set for the session.
+    A worker that waits for its next task does not hold what this one has freed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     if df.sparkSession.conf.get(BATCH_BYTES, BATCH_DEFAULT) == BATCH_DEFAULT:
         df.sparkSession.conf.set(BATCH_BYTES, f"{SLICE_BYTES}b")
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(task, ddl)
 
 
 _STATE: dict = {}

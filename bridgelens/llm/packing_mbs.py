@@ -28,13 +28,16 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one task numbers together.
 NUMBERED = 500
+#: Distinct stretches that a worker's encoder remembers here: the packing ends a pipeline, when an executor's JVM has
+#: grown and Spark hands tasks to its idle workers in turn, so that each of them comes to hold an encoder.
+REMEMBERED = 300_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Whole texts as id pieces: doc_id, piece, start, length, ids_crc32 (and the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False).encode
+        encode = encoder(tokenizer, False, REMEMBERED).encode
         end = np.array([END], dtype="<u4").tobytes()
         for part in text_slices(batches, "text"):
             rows, number, start, length, crc, ids = [], [], [], [], [], []

@@ -22,6 +22,8 @@ from bridgelens.llm.common import worker_state
 CACHE = 1_000_000
 #: Longer stretches are encoded, but not remembered.
 LONG = 64
+#: Code points of texts (about) that are cut and encoded at a time; a single longer text is a step of its own.
+STEP = 1 << 20
 
 _ODD = re.compile("[\x01-\x04\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE = re.compile(r"\s\s")
@@ -45,14 +47,19 @@ class Encoder:
     """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers.
 
     ``keeps_space``: white space is part of the ids (byte-level), else it only separates.
+    ``remember``: how many distinct stretches are remembered (CACHE if None).
     """
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    def __init__(self, path: str, keeps_space: bool, remember: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        resize = getattr(self.library.model, "_resize_cache", None)
+        if resize is not None:
+            resize(0)  # it is asked for each stretch once, so its own memory would only cost time
         self.keeps_space = keeps_space
+        self.remember = remember
         #: the ids of stretches by their mark or, without one, as they stand after a space
         self.known: dict[str, bytes] = {}
         #: what was known the last time; a stretch that is met again moves back
@@ -76,8 +83,18 @@ class Encoder:
         return (_MARKS.get(part) or " " + part) if self.keeps_space else part
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        start, held = 0, 0
+        for k, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= STEP or k == len(texts):
+                out += self._encode(texts[start:k])
+                start, held = k, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cuts(t) for t in texts]
-        if len(self.known) > CACHE // 2:
+        if len(self.known) > (self.remember or CACHE) // 2:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         new = list(set().union(*(set(parts).difference(known) for parts in cut)))
@@ -94,6 +111,6 @@ class Encoder:
         return out
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, remember: int | None = None) -> Encoder:
     """One encoder per Python worker, so that what it remembers serves all its tasks."""
-    return worker_state(("encoder", path, keeps_space), lambda: Encoder(path, keeps_space))
+    return worker_state(("encoder", path, keeps_space, remember), lambda: Encoder(path, keeps_space, remember))

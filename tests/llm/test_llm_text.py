@@ -68,6 +68,28 @@ def test_encoder_keeps_what_it_meets_again(monkeypatch, name, keeps):
     assert len(sent) > 100 and [x.strip() for x in sent].count("often") == 1
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_works_in_bounded_steps_and_memory(monkeypatch, name, keeps):
+    """What a call holds follows the step, not the slice; a given memory takes the place of the default."""
+    texts = [f"w{k} w{k + 1}, y{k}." for k in range(400)] + ["", "x"]
+    want = tokenizing.Encoder(tokenizing.tokenizer_path(name), keeps).encode(texts)
+    monkeypatch.setattr(tokenizing, "STEP", 200)
+    own, sent = tokenizing.Encoder(tokenizing.tokenizer_path(name), keeps, 50), []
+
+    class Spy:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.append(sum(map(len, texts)))
+            return self.library.encode_batch_fast(texts, **kw)
+
+    own.library = Spy(own.library)
+    assert own.encode(texts) == want and own.encode([]) == []
+    assert max(sent) < 400 and len(sent) > 10
+    assert len(own.known) + len(own.before) < 250
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
