@@ -28,16 +28,16 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one task numbers together.
 NUMBERED = 500
-#: Distinct stretches that a worker's encoder remembers here: the packing ends a pipeline, when an executor's JVM has
+#: Distinct stretches that a worker's encoder remembers at a pipeline's end, when an executor's JVM has
 #: grown and Spark hands tasks to its idle workers in turn, so that each of them comes to hold an encoder.
 REMEMBERED = 300_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """Whole texts as id pieces: doc_id, piece, start, length, ids_crc32 (and the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False, REMEMBERED).encode
+        encode = encoder(tokenizer, False, remember).encode
         end = np.array([END], dtype="<u4").tobytes()
         for part in text_slices(batches, "text"):
             rows, number, start, length, crc, ids = [], [], [], [], [], []
@@ -156,7 +156,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, numbered: int = NUMBERED) -
     return map_arrow(ranked.select(*names, "__rank"), run, f"{ddl}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """Every document of ``docs`` (doc_id, text) as packed pieces."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    return pack(materialize(pieces(docs, path, capacity, with_ids), "pieces"), capacity)
+    return pack(materialize(pieces(docs, path, capacity, with_ids, remember), "pieces"), capacity)

@@ -34,7 +34,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as packed pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing_mbs.pack_documents(docs)
+    return packing_mbs.pack_documents(docs, remember=packing_mbs.REMEMBERED)
 
 
 STAGES = [
