@@ -5,7 +5,8 @@ non-space over a following white space, nor from a letter or digit over a follow
 stop, as long as the letter is still one after normalisation (some become a letter and a mark, and the
 mark joins the comma).  So a text may be cut at those places, and the ids of the whole are those of its cuts, joined.
 Texts with white space outside ASCII, where libraries differ on what white space is, are encoded
-whole.  Tests compare the result with the library's own on whole texts.
+whole.  Arrow cuts, numbers and gathers the stretches; Python and the library meet the distinct ones of a step
+only.  Tests compare the result with the library's own on whole texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from bridgelens.llm.common import worker_state
 
 #: Distinct stretches that a worker remembers; beyond half of it, those not met since the last time are forgotten
@@ -25,8 +30,9 @@ LONG = 64
 #: Code points of texts (about) that are cut and encoded at a time; a single longer text is a step of its own.
 STEP = 1 << 20
 
-_ODD = re.compile("[\x01-\x04\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DOUBLE = re.compile(r"\s\s")
+_ODD = "[\x01-\x04\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space (where there is no odd one) at an end or next to another.
+_LOOSE = r"[ \t\n\r][ \t\n\r]|\A[ \t\n\r]|[ \t\n\r]\z"
 _STRETCH = re.compile(r"\s*\S+|\s+")
 #: Letters that end in a mark once they are normalised (NFC, then lower case).
 _MARKED = "".join(c for c in map(chr, range(0x80, 0x30000)) if unicodedata.decomposition(c) and c.isalnum() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
@@ -65,16 +71,27 @@ class Encoder:
         #: what was known the last time; a stretch that is met again moves back
         self.before: dict[str, bytes] = {}
 
-    def _cuts(self, text: str) -> list[str]:
-        """The stretches of a text, marked where they do not follow a space."""
-        if _ODD.search(text):
-            return [_AFTER_LINE + text]
+    def _marked(self, text: str) -> str:
+        """The text with its stretches apart by spaces, marked where they did not follow one."""
         if not self.keeps_space:
-            return _STOP.sub(" . ", _COMMA.sub(" , ", text)).split()
-        if text[:1].isspace() or text[-1:].isspace() or _DOUBLE.search(text):
-            return [_AFTER_LINE + x for x in _STRETCH.findall(text)]
+            return _STOP.sub(" . ", _COMMA.sub(" , ", text))
         text = _AFTER_LINE + text.replace("\n", " \x03 " + _AFTER_LINE)
-        return _STOP.sub(" \x02 ", _COMMA.sub(" \x01 ", text)).split(" ")
+        return _STOP.sub(" \x02 ", _COMMA.sub(" \x01 ", text))
+
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, list[int], np.ndarray]:
+        """The stretches of all texts one after another, the texts' order in them, and where each text's begin and the last's end."""
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD)
+        other = pc.or_(odd, pc.match_substring_regex(column, _LOOSE)) if self.keeps_space else odd
+        plain, others = pc.indices_nonzero(pc.invert(other)).to_pylist(), pc.indices_nonzero(other).to_pylist()
+        apart = pa.array([self._marked(texts[k]) for k in plain], pa.large_string())
+        apart = pc.split_pattern(apart, " ") if self.keeps_space else pc.ascii_split_whitespace(apart)
+        stretches, counts = [apart.flatten()], [pc.list_value_length(apart).to_numpy()]
+        if others:
+            listed = [[_AFTER_LINE + x for x in ([texts[k]] if odd[k].as_py() else _STRETCH.findall(texts[k]))] for k in others]
+            stretches.append(pa.array([x for parts in listed for x in parts], pa.large_string()))
+            counts.append(np.array([len(parts) for parts in listed]))
+        return pa.concat_arrays(stretches), plain + others, np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
 
     def _surface(self, part: str) -> str:
         """What the library is asked to encode for a stretch."""
@@ -93,21 +110,35 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cuts(t) for t in texts]
+        stretches, order, ends = self._cut(texts)
+        coded = stretches.dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, places, raw = ids.buffers()
+        raw = memoryview(raw or b"")
+        at = np.frombuffer(places, dtype=np.int64, count=len(ids) + 1)[ends].tolist()
+        out = [b""] * len(texts)
+        for k, start, stop in zip(order, at, at[1:], strict=False):
+            out[k] = bytes(raw[start:stop])
+        return out
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches."""
         if len(self.known) > (self.remember or CACHE) // 2:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = list(set().union(*(set(parts).difference(known) for parts in cut)))
+        out = list(map(known.get, stretches))
+        new = [k for k, raw in enumerate(out) if raw is None]
         if before:
-            known.update((x, before[x]) for x in new if x in before)
-            new = [x for x in new if x not in known]
-        found = self.library.encode_batch_fast([self._surface(x) for x in new], add_special_tokens=False)
-        known.update(zip(new, (array("I", x.ids).tobytes() for x in found), strict=True))
-        ids = known.__getitem__
-        out = [b"".join(map(ids, parts)) for parts in cut]
-        for x in new:
-            if len(x) > LONG:
-                del known[x]
+            for k in new:
+                raw = out[k] = before.get(stretches[k])
+                if raw is not None:
+                    known[stretches[k]] = raw
+            new = [k for k in new if out[k] is None]
+        found = self.library.encode_batch_fast([self._surface(stretches[k]) for k in new], add_special_tokens=False)
+        for k, x in zip(new, found, strict=True):
+            raw = out[k] = array("I", x.ids).tobytes()
+            if len(stretches[k]) <= LONG:
+                known[stretches[k]] = raw
         return out
 
 

@@ -90,6 +90,29 @@ def test_encoder_works_in_bounded_steps_and_memory(monkeypatch, name, keeps):
     assert len(own.known) + len(own.before) < 250
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_meets_each_stretch_of_a_step_once(name, keeps):
+    """What Python does for a step follows its distinct stretches, not its words; texts of all kinds keep their order."""
+    from tokenizers import Tokenizer
+
+    texts = ["the often word, the\nend. Often", "", "  the  often", "a\x00b the", "the\xa0often", "\n", "the\tword\r\nend "] * 300
+    own, asked = tokenizing.Encoder(tokenizing.tokenizer_path(name), keeps), []
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    own.known = Asked()
+    want = [array("I", x.ids).tobytes() for x in Tokenizer.from_file(tokenizing.tokenizer_path(name)).encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want and own.encode(["", ""]) == [b"", b""]
+    assert len(asked) < 100
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
