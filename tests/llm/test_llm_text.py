@@ -113,6 +113,31 @@ def test_encoder_meets_each_stretch_of_a_step_once(name, keeps):
     assert len(asked) < 100
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_sends_new_stretches_in_runs(name, keeps):
+    """Words that were not met yet go to the library many at a time; what may not be joined keeps its ids."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    odd = ["a\tb", "<|endoftext|>", "x<|endoftext|>y", "don't", "'s", "é", "İx", "x1", "...", "a.%%", "\x00a", "ſ", "a" * 300, "</w>", "Ġa", "\u0301b", "\u200b", "_", "x'S", "\U0001f600"]
+    words = ["".join(rng.choice("abcdefghiABE") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    texts = [" ".join(w for x in words[a : a + 50] for w in ([x, rng.choice(odd) + rng.choice(["", x])] if rng.random() < 0.3 else [x])) for a in range(0, 5000, 50)]
+    own, calls = tokenizing.Encoder(tokenizing.tokenizer_path(name), keeps), []
+
+    class Spy:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return self.library.encode_batch_fast(texts, **kw)
+
+    own.library = Spy(own.library)
+    want = [array("I", x.ids).tobytes() for x in Tokenizer.from_file(tokenizing.tokenizer_path(name)).encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+    assert sum(calls) < len(own.known) / 2
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
