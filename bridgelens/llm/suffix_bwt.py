@@ -32,10 +32,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bridgelens.llm.common import give_back, map_arrow, materialize, mix64, pack, text_slices, unpack, worker_state
+from bridgelens.llm.common import give_back, map_arrow, materialize, mix64, text_slices, worker_state
 
 SPAN, GRAM = 50, 20
 #: Bytes of text (about) in a block of documents, which is also what a cell handles.
@@ -49,11 +50,13 @@ SHARD_ROWS, MERGE_BYTES = 1 << 16, 1 << 18
 LEVELS = ((64, 2), (4096, 8), (262_144, SPAN - GRAM + 1))
 CUT = 0xFF  # never a byte of UTF-8
 _CHUNK = 1 << 17
+#: Values that answers are gathered by, and that a block's marks are counted by, at a time.
+_VALUES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on (by doubling: 1, 2, 4, 8, 16, then 4 more)."""
+    """A 64-bit sum of the GRAM bytes from each place on, each with a power of its own (by doubling: 1, 2, 4, 8, 16, then 4 more)."""
     with np.errstate(over="ignore"):
         h, factor, four = data.astype(np.uint64) + np.uint64(1), _ODD, None
         for step in (1, 2, 4, 8):
@@ -65,7 +68,17 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         n = len(data) - GRAM + 1
         h = h[:n] * np.uint64(pow(int(_ODD), 4, 1 << 64))
         h += four[16 : 16 + n]
-        return mix64(h)
+        return h
+
+
+def priorities(sums: np.ndarray) -> np.ndarray:
+    """32 mixed bits of each sum, which windows choose their anchor by."""
+    with np.errstate(over="ignore"):
+        x = sums >> np.uint64(32)
+        x ^= sums
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x >>= np.uint64(32)
+        return x.astype(np.uint32)
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -90,21 +103,24 @@ def pieces(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for low in range(0, len(data) - SPAN + 1, _CHUNK):
         part = data[low : low + _CHUNK + SPAN - 1]
         h = gram_hashes(part)
-        at = first_least((h >> np.uint64(32)).astype(np.uint32), width)
+        at = first_least(priorities(h), width)
         n = len(at)
-        starts = low + np.arange(n)
+        # pieces begin where the anchor changes and where texts do; what begins behind a text's last window is none
         a, b = np.searchsorted(begins, [low, low + n - 1], side="right") - 1
-        edges = np.clip(begins[a : b + 2], low, low + n)
-        owner = np.repeat(np.arange(a, b + 1), np.diff(edges))
-        whole = starts + SPAN <= begins[owner + 1]
-        starts, owner, at = starts[whole], owner[whole], at[whole]
-        if not len(starts):
-            continue
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)])
+        texts = np.concatenate([begins[a : b + 1], begins[a + 1 : b + 2] - SPAN + 1]) - low
+        new = np.zeros(n, dtype=bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        new[0] = True
+        new[texts[(texts >= 0) & (texts < n)]] = True
         first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(starts)]]) - 1
-        # an anchor is the smallest of many, so its hash is mixed once more before cells are dealt by it
-        found.append((owner[first], starts[first], starts[last], mix64(h[at[first]] ^ _ODD), low + at[first].astype(np.int64)))
+        last = np.append(first[1:], n) - 1
+        owner = np.searchsorted(begins, low + first, side="right") - 1
+        whole = low + first + SPAN <= begins[owner + 1]
+        first, last, owner = first[whole], last[whole], owner[whole]
+        if not len(first):
+            continue
+        # the sums are mixed once more, as the anchor is the smallest of many, before cells are dealt by them
+        found.append((owner, low + first, low + last, mix64(h[at[first]] ^ _ODD), low + at[first].astype(np.int64)))
     if not found:
         return *(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), begins
     owner, first, last, anchor, place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -119,18 +135,28 @@ def level_of(blocks: np.ndarray) -> np.ndarray:
     return np.searchsorted([least for least, _ in LEVELS], blocks, side="right").astype(np.uint8)
 
 
+def divide(first: np.ndarray, last: np.ndarray, place: np.ndarray, anchor: np.ndarray, level: np.ndarray, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window, last window, mark) of the pieces' parts, by piece; the mark tells where a part meets those it may share windows with."""
+    whole = np.flatnonzero(level == 0)
+    found = [(whole, first[whole], last[whole], anchor[whole])]
+    for v, (_, parts) in enumerate(LEVELS, 1):
+        here = np.flatnonzero(level == v)
+        edges = [(SPAN - GRAM + 1) * k // parts for k in range(parts + 1)]
+        for near, far in zip(edges, edges[1:], strict=False) if len(here) else ():  # windows that begin near .. far - 1 bytes before the anchor
+            a, b = np.maximum(first[here], place[here] - far + 1), np.minimum(last[here], place[here] - near)
+            some = a <= b
+            piece = here[some]
+            found.append((piece, a[some], b[some], anchor[piece] ^ fingerprints(joined, place[piece] - near, place[piece] - far + 1 + SPAN)))
+    piece, a, b, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(piece, kind="stable")
+    return piece[order], a[order], b[order], mark[order]
+
+
 def divided(first: int, last: int, place: int, anchor: int, level: int, joined: bytes) -> list[tuple[int, int, int]]:
-    """(first window, last window, mark) of a piece's parts; the mark tells where a part meets those it may share windows with."""
-    if not level:
-        return [(first, last, anchor)]
-    parts = LEVELS[level - 1][1]
-    edges = [(SPAN - GRAM + 1) * k // parts for k in range(parts + 1)]
-    out = []
-    for near, far in zip(edges, edges[1:], strict=False):  # windows that begin near .. far - 1 bytes before the anchor
-        a, b = max(first, place - far + 1), min(last, place - near)
-        if a <= b:
-            out.append((a, b, anchor ^ fingerprint(joined[place - near : place - far + 1 + SPAN])))
-    return out
+    """``divide`` for one piece: (first window, last window, mark) of its parts."""
+    one = [np.array([x], dtype=np.int64) for x in (first, last, place)]
+    _, a, b, mark = divide(*one, np.array([anchor], dtype=np.uint64), np.array([level], dtype=np.uint8), joined)
+    return list(zip(a.tolist(), b.tolist(), mark.tolist(), strict=True))
 
 
 def cells_of(anchor: np.ndarray, n_cells: int) -> np.ndarray:
@@ -141,19 +167,30 @@ def short_of(anchor: np.ndarray) -> np.ndarray:
     return (anchor & np.uint64((1 << (8 * SHORT)) - 1)).astype(np.int64)
 
 
-def pack_short(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+def short_bytes(values: np.ndarray) -> np.ndarray:
+    """A row of SHORT bytes for each value."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
 
 
-def unpack_short(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SHORT, 8), dtype=np.uint8)
-    wide[:, :SHORT] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SHORT)
+def short_values(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), 8), dtype=np.uint8)
+    wide[:, :SHORT] = rows[:, :SHORT]
     return wide.reshape(-1).view("<i8")
 
 
-def ranks_of(keys: np.ndarray) -> np.ndarray:
-    """The number of the run of equal ones for each of the ordered ``keys``."""
-    return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+def shared_anchors(values: np.ndarray, sender: np.ndarray, senders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the values that ``senders`` (numbered, ascending) have sent, those that were sent twice or more: for each of its
+    senders once, by sender and value, with their level; and where each sender's begin.  One sort, whatever the number of senders."""
+    order = np.argsort(values, kind="stable")
+    value, who = values[order], sender[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(value)))
+    keep = np.repeat(count > 1, count)
+    keep[1:] &= new[1:] | (who[1:] != who[:-1])
+    value, who, level = value[keep], who[keep], np.repeat(level_of(count), count)[keep]
+    order = np.argsort(who, kind="stable")
+    return value[order], level[order], np.searchsorted(who[order], np.arange(senders + 1))
 
 
 class Shard:
@@ -184,11 +221,14 @@ class Shard:
         piece tells any two rotations of different pieces apart."""
         key = (self.data.astype(np.uint16) << 8) | self.data[follow]
         order = np.argsort(key, kind="stable").astype(np.int32)
+        first = key[order]
+        new = np.zeros(len(key), dtype=bool)
+        np.not_equal(first[1:], first[:-1], out=new[1:])
         ahead, back, have = follow[follow], before[before], 2
         small = np.uint16 if len(key) <= 1 << 16 else np.int64
         same = None  # whether a row's first SPAN symbols are those of the row before it, as far as it is known
         while True:
-            ranked = ranks_of(key[order])
+            ranked = np.cumsum(new, dtype=small)
             rank = np.empty(len(key), dtype=small)
             rank[order] = ranked
             single = int(ranked[-1]) == len(key) - 1
@@ -200,8 +240,12 @@ class Shard:
             if single or have >= 2 * longest:
                 break
             order = back[order]
-            order = order[np.argsort(rank[order], kind="stable")]
-            key = rank.astype(np.int64) * len(key) + rank[ahead]
+            first = rank[order]
+            place = np.argsort(first, kind="stable")
+            order, first = order[place], first[place]
+            second = rank[ahead[order]]
+            np.not_equal(first[1:], first[:-1], out=new[1:])
+            new[1:] |= second[1:] != second[:-1]
             ahead, back, have = ahead[ahead], back[back], 2 * have
         if same is None:  # all differ within fewer symbols
             return order, np.arange(len(key))
@@ -273,8 +317,10 @@ def merged_least_ids(texts: list[bytes], marks: np.ndarray, ids: np.ndarray, mer
     size = np.diff(np.append(first, len(order)))
     alone = order[first[size == 1]]
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
-    for k, key in zip(alone.tolist(), ids[alone].tolist(), strict=True):
-        out[k] = np.full(len(texts[k]) - SPAN + 1, key, dtype=np.int64)
+    windows = np.array([len(texts[k]) - SPAN + 1 for k in alone.tolist()], dtype=np.int64)
+    flat, ends = np.repeat(ids[alone], windows), np.cumsum(windows)
+    for k, a, b in zip(alone.tolist(), (ends - windows).tolist(), ends.tolist(), strict=True):
+        out[k] = flat[a:b]
     order, size = order[np.repeat(size > 1, size)], size[size > 1]
     fill = np.cumsum([len(texts[k]) for k in order.tolist()]) // merge_bytes
     cuts, last = [0], 0
@@ -326,15 +372,60 @@ def nodes_of(block: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
 _ROW = "cell long, block long, load binary"
 
 
-def _rows(block: int, cells: list[int], loads: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(cells, pa.int64()), pa.array([block] * len(cells), pa.int64()), pa.array(loads, pa.binary())], names=["cell", "block", "load"])
+def _rows(cells: list[int] | pa.Array, blocks: list[int] | pa.Array, loads: list[bytes] | pa.Array) -> pa.Table:
+    return pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in ((cells, pa.int64()), (blocks, pa.int64()), (loads, pa.binary()))], names=["cell", "block", "load"])
+
+
+def heads_of(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ones begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]), len(ordered))
+
+
+def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (sizes[0] numbers), begins[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
 
+def cut_up(rows: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary value for each of the stretches that begin at ``heads`` (the last is the end)."""
+    data = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), len(heads) - 1, [None, pa.py_buffer((heads * rows.shape[1]).astype(np.int32)), pa.py_buffer(data)])
 
-def _splits(sorted_cells: np.ndarray) -> Iterator[tuple[int, slice]]:
-    if len(sorted_cells):
-        heads = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]]))
-        for a, b in zip(heads, [*heads[1:], len(sorted_cells)], strict=True):
-            yield int(sorted_cells[a]), slice(int(a), int(b))
+
+def laid_out(loads: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``cut_up`` made: all rows, and how many each value had."""
+    return np.frombuffer(b"".join(loads.to_pylist()), dtype=np.uint8).reshape(-1, width), pc.binary_length(loads).to_numpy().astype(np.int64) // width
+
+
+def pack_all(heads: np.ndarray, arrays: list[np.ndarray], rest: bytes, rest_heads: np.ndarray) -> list[bytes]:
+    """A compressed value for each stretch of the ``arrays``, with its part of ``rest``; the values share one compressor."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    fields = [(x.tobytes(), x.itemsize) for x in arrays]
+    out = []
+    for a, b, c, d in zip(heads[:-1].tolist(), heads[1:].tolist(), rest_heads[:-1].tolist(), rest_heads[1:].tolist(), strict=True):
+        out.append(squeeze(b"".join([(b - a).to_bytes(4, "little"), *[x[a * w : b * w] for x, w in fields], rest[c:d]])))
+    return out
+
+
+def unpack_all(loads: list[bytes], *kinds: str) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
+    """What ``pack_all`` made: the sizes of the stretches, the arrays laid end to end, and the parts of the rest."""
+    import zstandard
+
+    spread = zstandard.ZstdDecompressor().decompress
+    widths = [np.dtype(x).itemsize for x in kinds]
+    sizes, fields, rest = [], [[] for _ in kinds], []
+    for load in loads:
+        raw = spread(load)
+        n, at = int.from_bytes(raw[:4], "little"), 4
+        sizes.append(n)
+        for field, width in zip(fields, widths, strict=True):
+            field.append(raw[at : at + n * width])
+            at += n * width
+        rest.append(raw[at:])
+    return np.array(sizes, dtype=np.int64), [np.frombuffer(b"".join(x), dtype=kind) for x, kind in zip(fields, kinds, strict=True)], rest
 
 
 def lean(run: Callable) -> Callable:
@@ -362,135 +453,128 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_text: bool =
     def send_anchors(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         owner, _, _, anchor, _, _ = pieces(nodes_of(table)[2])
-        order = np.lexsort((owner, anchor))
+        order = np.argsort(anchor, kind="stable")  # an anchor's owners stay in their order
         owner, anchor = owner[order], anchor[order]
         # once for a block, twice if several of its texts have it: whoever counts two knows it is shared
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, dtype=bool)
-        other = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (owner[1:] != owner[:-1])]) if len(anchor) else new
-        second = np.zeros(len(anchor), dtype=bool)
-        group = np.cumsum(new) - 1
-        if other.any():
-            second[np.flatnonzero(other)[np.unique(group[other], return_index=True)[1]]] = True
-        anchor = anchor[new | second]
-        cell, short = cells_of(anchor, n_cells), short_of(anchor)
-        found = [(c, pack_short(short[s])) for c, s in _splits(cell)]
-        return _rows(block, [c for c, _ in found], [x for _, x in found])
+        once = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(anchor)]
+        other = np.flatnonzero(~once & np.concatenate([[False], owner[1:] != owner[:-1]])[: len(anchor)])
+        once[other[heads_of(anchor[other])[:-1]]] = True
+        anchor = anchor[once]
+        cell = cells_of(anchor, n_cells)
+        heads = heads_of(cell)
+        return _rows(pa.array(cell[heads[:-1]]), [block] * (len(heads) - 1), cut_up(short_bytes(short_of(anchor)), heads))
 
     def share(table: pa.Table) -> pa.Table:
-        sent = [unpack_short(x) for x in table.column("load").to_pylist()]
-        value, count = np.unique(np.concatenate(sent), return_counts=True)
-        shared, level = value[count > 1], level_of(count[count > 1])
-        out = [np.unique(x[np.isin(x, shared, kind="sort")]) for x in sent]
-        keep = [k for k, x in enumerate(out) if len(x)]
-        loads = [pack_short(out[k]) + level[np.searchsorted(shared, out[k])].tobytes() for k in keep]
-        return pa.table([table.column("cell").take(pa.array(keep, pa.int64())), table.column("block").take(pa.array(keep, pa.int64())), pa.array(loads, pa.binary())], names=["cell", "block", "load"])
+        sent, sizes = laid_out(table.column("load"), SHORT)
+        value, level, heads = shared_anchors(short_values(sent), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes))
+        keep = np.flatnonzero(np.diff(heads))
+        loads = cut_up(np.concatenate([short_bytes(value), level[:, None]], axis=1), np.append(heads[keep], heads[-1]))
+        return _rows(table.column("cell").take(pa.array(keep)), table.column("block").take(pa.array(keep)), loads)
 
     def send_pieces(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not table.num_rows:
-            return _rows(0, [], [])
+            return _rows([], [], [])
         block = table.column("block")[0].as_py()
         _, ids, rows = nodes_of(table)
         owner, first, last, anchor, place, _ = pieces(rows)
-        loads = answers.column("load").to_pylist()
-        each = [len(x) // (SHORT + 1) for x in loads]
-        shared = np.concatenate([(c << (8 * SHORT)) | unpack_short(x[: n * SHORT]) for c, x, n in zip(answers.column("cell").to_pylist(), loads, each, strict=True)])
-        level = np.frombuffer(b"".join(x[n * SHORT :] for x, n in zip(loads, each, strict=True)), dtype=np.uint8)
+        got, sizes = laid_out(answers.column("load"), SHORT + 1)
+        shared = (np.repeat(answers.column("cell").to_numpy(), sizes) << (8 * SHORT)) | short_values(got)
         order = np.argsort(shared, kind="stable")
-        shared, level = shared[order], level[order]
+        shared, level = shared[order], got[order, SHORT]
         code = (cells_of(anchor, n_cells) << (8 * SHORT)) | short_of(anchor)
         at = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
         mine = np.flatnonzero(shared[at] == code)
         joined = b"".join(rows)
-        distinct: dict[bytes, tuple[int, int, int]] = {}  # the texts come by ascending id, so the first has the smallest
-        for k, a, b, p, h, v in zip(mine.tolist(), first[mine].tolist(), last[mine].tolist(), place[mine].tolist(), anchor[mine].tolist(), level[at[mine]].tolist(), strict=True):
-            for x, y, mark in divided(a, b, p, h, v, joined):
-                distinct.setdefault(joined[x : y + SPAN], (k, mark, v))
-        text = list(distinct)
-        found = list(distinct.values())
-        piece, levels = np.array([x[0] for x in found], dtype=np.int64), np.array([x[2] for x in found], dtype=np.uint8)
-        marks = np.array([x[1] for x in found], dtype=np.uint64)
+        level = level[at[mine]]
+        piece, x, y, marks = divide(first[mine], last[mine], place[mine], anchor[mine], level, joined)
+        texts = [joined[a:b] for a, b in zip(x.tolist(), (y + SPAN).tolist(), strict=True)]
+        # the texts come by ascending id, so the first of equal pieces has the smallest: it is the one that is put in last
+        some = np.fromiter(dict(zip(reversed(texts), range(len(texts) - 1, -1, -1), strict=True)).values(), dtype=np.int64)
+        piece, marks = piece[some], marks[some]
+        levels = level[piece]
         # a divided piece's mark is dealt by another mix of it
         cell = cells_of(np.where(levels > 0, mix64(marks), marks), n_cells)
         order = np.argsort(cell, kind="stable")
-        cells, loads = [], []
-        for c, s in _splits(cell[order]):
-            some = order[s]
-            parts = [text[k] for k in some.tolist()]
-            cells.append(c)
-            loads.append(pack(marks[some], anchor[piece[some]], levels[some], ids[owner[piece[some]]], np.array([len(x) for x in parts], dtype="<u2"), b"".join(parts)))
-        return _rows(block, cells, loads)
+        piece, some, heads = piece[order], some[order], heads_of(cell[order])
+        parts = [texts[k] for k in some.tolist()]
+        size = np.array([len(t) for t in parts], dtype="<u2")
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        loads = pack_all(heads, [marks[order], anchor[mine[piece]], levels[order], ids[owner[mine[piece]]], size], b"".join(parts), ends[heads])
+        return _rows(pa.array(cell[order][heads[:-1]]), [block] * len(loads), loads)
 
     def merge_cell(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        least: list[int] = []
-        home: list[int] = []
-        sent = []
-        for load in table.column("load").to_pylist():
-            marks, anchor, level, ids, sizes, raw = unpack(load, "<u8", "<u8", "u1", "<i8", "<u2", "raw")
-            mine, at = [], 0
-            for mark, key, size in zip(marks.tolist(), ids.tolist(), sizes.tolist(), strict=True):
-                text = raw[at : at + size]
-                at += size
-                k = number.setdefault(text, len(least))
-                if k == len(least):
-                    least.append(key)
-                    home.append(mark)
-                elif key < least[k]:
-                    least[k] = key
-                mine.append(k)
-            sent.append((anchor, level, mine))
+        sizes, (marks, anchor, level, ids, lengths), rest = unpack_all(table.column("load").to_pylist(), "<u8", "<u8", "u1", "<i8", "<u2")
+        raw, ends = b"".join(rest), np.cumsum(lengths, dtype=np.int64)
+        sent = [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        del raw, rest
+        number = {text: k for k, text in enumerate(dict.fromkeys(sent))}
         texts = list(number)
-        found = merged_least_ids(texts, np.array(home, dtype=np.uint64), np.array(least, dtype=np.int64))
+        mine = np.fromiter(map(number.__getitem__, sent), dtype=np.int64, count=len(sent))
+        del number, sent
+        home, least = np.empty(len(texts), dtype=np.uint64), np.full(len(texts), np.iinfo(np.int64).max)
+        home[mine] = marks
+        np.minimum.at(least, mine, ids)
+        found = merged_least_ids(texts, home, least)
         # a run of one id is sent as one number
         flat = np.concatenate(found)
-        heads = np.cumsum([0, *map(len, found[:-1])])
-        single = np.minimum.reduceat(flat, heads) == np.maximum.reduceat(flat, heads)
-        found = [x[:1] if one else x for x, one in zip(found, single.tolist(), strict=True)]
-        print_ = np.array([fingerprint(x) for x in texts], dtype="<u8")
-        loads = []
-        for anchor, level, mine in sent:
-            lists = [found[k] for k in mine]
-            loads.append(pack(anchor, level, print_[mine], np.array([len(x) for x in lists], dtype="<u2"), np.concatenate(lists).astype("<i8")))
-        return pa.table([table.column("cell"), table.column("block"), pa.array(loads, pa.binary())], names=["cell", "block", "load"])
+        begins = np.cumsum([0, *map(len, found[:-1])])
+        single = np.minimum.reduceat(flat, begins) == np.maximum.reduceat(flat, begins)
+        counts = np.where(single, 1, np.diff(np.append(begins, len(flat))))
+        prints = np.array([fingerprint(x) for x in texts], dtype="<u8")
+        heads = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(counts[mine])])
+        loads, low = [], 0
+        while low < len(sizes):  # a few blocks' answers at a time
+            high = max(low + 1, int(np.searchsorted(ends[heads], ends[heads[low]] + _VALUES, side="right")) - 1)
+            a, b = heads[low], heads[high]
+            some = mine[a:b]
+            values = flat[ranges(begins[some], counts[some])].astype("<i8").tobytes()
+            loads += pack_all(heads[low : high + 1] - a, [anchor[a:b], level[a:b], prints[some], counts[some].astype("<u2")], values, 8 * (ends[heads[low : high + 1]] - ends[a]))
+            low = high
+        return _rows(table.column("cell"), table.column("block"), loads)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         digests, ids, rows = nodes_of(table) if table.num_rows else ([], np.zeros(0, dtype=np.int64), [])
         joined = b"".join(rows)
-        covered = np.zeros(len(joined) + 1, dtype=np.int32)
+        covered = np.zeros(len(joined) + 1, dtype=np.int8)  # at most SPAN windows are over a byte
         begins = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
         if answers.num_rows and rows:
-            loads = [unpack(x, "<u8", "u1", "<u8", "<u2", "<i8") for x in answers.column("load").to_pylist()]
-            known, at = np.unique(np.concatenate([x[0] for x in loads]), return_index=True)
-            level = np.concatenate([x[1] for x in loads])[at]
-            lists: dict[int, np.ndarray] = {}
-            for _, _, prints, counts, values in loads:
-                ends = np.cumsum(counts, dtype=np.int64)
-                for p, e, n in zip(prints.tolist(), ends.tolist(), counts.tolist(), strict=True):
-                    lists[p] = values[e - n : e]
+            _, (known, level, prints, counts), rest = unpack_all(answers.column("load").to_pylist(), "<u8", "u1", "<u8", "<u2")
+            values = np.frombuffer(b"".join(rest), dtype="<i8")
+            del rest
+            known, at = np.unique(known, return_index=True)
+            level = level[at]
+            order = np.argsort(prints, kind="stable")
+            prints, counts, starts = prints[order], counts[order].astype(np.int64), (np.cumsum(counts, dtype=np.int64) - counts)[order]
             owner, first, last, anchor, place, _ = pieces(rows)
             at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
             mine = np.flatnonzero(known[at] == anchor)
-            for me, a, b, p, h, v in zip(ids[owner[mine]].tolist(), first[mine].tolist(), last[mine].tolist(), place[mine].tolist(), anchor[mine].tolist(), level[at[mine]].tolist(), strict=True):
-                for x, y, _ in divided(a, b, p, h, v, joined) if v else ((a, b, h),):
-                    least = lists.get(fingerprint(joined[x : y + SPAN]))
-                    if least is None:
-                        continue
-                    if len(least) == 1:
-                        if least[0] < me:
-                            covered[x] += 1
-                            covered[y + SPAN] -= 1
-                    else:
-                        for k in np.flatnonzero(least < me).tolist():
-                            covered[x + k] += 1
-                            covered[x + k + SPAN] -= 1
-        gone = np.cumsum(covered[:-1]) > 0
+            piece, x, y, _ = divide(first[mine], last[mine], place[mine], anchor[mine], level[at[mine]], joined)
+            own = fingerprints(joined, x, y + SPAN)
+            at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
+            there = np.flatnonzero(prints[at] == own)
+            x, y, me, count, start = x[there], y[there], ids[owner[mine[piece[there]]]], counts[at[there]], starts[at[there]]
+            whole = np.flatnonzero(count == 1)
+            whole = whole[values[start[whole]] < me[whole]]
+            np.add.at(covered, x[whole], 1)
+            np.add.at(covered, y[whole] + SPAN, -1)
+            other = np.flatnonzero(count > 1)
+            steps = np.cumsum(count[other]) // _VALUES
+            for some in np.split(other, heads_of(steps)[1:-1]):
+                n = count[some]
+                window = ranges(x[some], n)[values[ranges(start[some], n)] < np.repeat(me[some], n)]
+                np.add.at(covered, window, 1)
+                np.add.at(covered, window + SPAN, -1)
+        gone = np.cumsum(covered[:-1], dtype=np.int8, out=covered[:-1]) > 0
         data = np.frombuffer(joined, dtype=np.uint8)
-        removed, spans, sums, kept = [], [], [], []
-        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            mask = gone[a:b]
-            raw = data[a:b][~mask].tobytes()
-            removed.append(int(mask.sum()))
-            spans.append(int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()))
+        heads = gone.copy()  # of the stretches that go
+        heads[1:] &= ~gone[:-1]
+        heads[begins[:-1]] = gone[begins[:-1]]
+        removed, spans = (np.add.reduceat(x, begins[:-1], dtype=np.int64) if rows else [] for x in (gone, heads))
+        sums, kept = [], []
+        for raw, n, a, b in zip(rows, list(removed), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            if n:
+                raw = data[a:b][~gone[a:b]].tobytes()
             sums.append(hashlib.sha256(raw).hexdigest())
             if with_text:
                 kept.append(raw.decode("utf-8", "ignore"))  # a cut may leave a part of a character
@@ -512,6 +596,14 @@ def fingerprint(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+def fingerprints(joined: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``fingerprint`` of many stretches of ``joined``."""
+    import xxhash
+
+    of = xxhash.xxh3_64_intdigest
+    return np.array([of(joined[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256."""
     found = materialize(removals(docs), "removals")

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import base_scores, corpus, cut_plainly, documents, held_out, near_components, prose, repeats
 
@@ -727,3 +730,81 @@ def test_workers_give_back_what_a_group_has_freed(monkeypatch):
     monkeypatch.setattr(suffix_bwt, "give_back", lambda: calls.append(1), raising=False)
     assert suffix_bwt.lean(lambda a: a)(1) == 1 and suffix_bwt.lean(lambda a, b: a + b)(1, 2) == 3
     assert len(calls) == 2
+
+
+class Local:
+    """Groups and cogroups of an Arrow table, run in this process."""
+
+    def __init__(self, table, key=None, other=None):
+        self.table, self.key, self.other = table, key, other
+
+    def groupBy(self, key):
+        return Local(self.table, key)
+
+    def cogroup(self, other):
+        return Local(self.table, self.key, other)
+
+    def applyInArrow(self, run, ddl):
+        sides = [x for x in (self, self.other) if x is not None]
+        keys = sorted({k for x in sides for k in x.table.column(x.key).to_pylist()})
+        return Local(pa.concat_tables(run(*[x.table.filter(pc.equal(x.table.column(x.key), k)) for x in sides]) for k in keys))
+
+
+def test_steps_in_one_process_with_all_levels_and_small_parts(spark, rows, monkeypatch):
+    """Many blocks, anchors of all levels, and answers gathered a few values at a time."""
+    rng = random.Random(18)
+    phrase, line = prose(rng, 6), prose(rng, 30)
+    some = [*rows, *[(7000 + k, f"{prose(rng, 12)} {phrase} {prose(rng, 12)} {line}") for k in range(60)]]
+    real, levels = suffix_bwt.collapse, set()
+    monkeypatch.setattr(suffix_bwt, "collapse", lambda docs, n: Local(real(docs, n).toArrow()))
+    monkeypatch.setattr(suffix_bwt, "LEVELS", ((3, 2), (5, 8), (8, 31)))
+    monkeypatch.setattr(suffix_bwt, "_VALUES", 7)
+    level_of = suffix_bwt.level_of
+    monkeypatch.setattr(suffix_bwt, "level_of", lambda count: (found := level_of(count), levels.update(found.tolist()))[0])
+    found = suffix_bwt.removals(documents(spark, some), block_bytes=2000).table.to_pylist()
+    assert levels == {0, 1, 2, 3}
+    firsts = {}
+    for i, t in some:
+        if i is not None and t:
+            firsts[hashlib.md5(t.encode()).digest()] = min(i, firsts.get(hashlib.md5(t.encode()).digest(), i))
+    plain = repeats([(i, t) for i, t in some])
+    want = {d: plain[i, t][1:] for i, t in some if i is not None and t and firsts[d := hashlib.md5(t.encode()).digest()] == i}
+    assert {r["digest"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == want
+
+
+def test_shared_anchors_by_brute_force():
+    rng = np.random.default_rng(7)
+    for senders in (1, 2, 9):
+        sent = [np.sort(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(senders)]
+        value, level, heads = suffix_bwt.shared_anchors(np.concatenate(sent), np.repeat(np.arange(senders), [len(x) for x in sent]), senders)
+        count = np.bincount(np.concatenate(sent).astype(np.int64), minlength=60)
+        got = [value[a:b].tolist() for a, b in zip(heads, heads[1:], strict=False)]
+        assert got == [sorted({int(x) for x in one if count[x] > 1}) for one in sent]
+        assert level.tolist() == suffix_bwt.level_of(count[value]).tolist()
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in suffix_bwt.shared_anchors(none, none, 3)] == [0, 0, 4]
+
+
+def test_a_cells_work_does_not_grow_with_blocks_times_anchors():
+    """As many blocks as 70 GB of text have send one cell 20 values each (a sort of all shared values for each block took minutes)."""
+    rng = np.random.default_rng(8)
+    values, began = rng.integers(0, 150_000, 240_000), time.process_time()
+    value, _, heads = suffix_bwt.shared_anchors(values, np.repeat(np.arange(12_000), 20), 12_000)
+    assert time.process_time() - began < 5
+    assert 180_000 < len(value) == heads[-1]
+
+
+def test_values_are_packed_and_unpacked():
+    rng = np.random.default_rng(9)
+    heads = np.array([0, 3, 3, 10])
+    arrays = [rng.integers(0, 1 << 40, 10).astype("<u8"), rng.integers(0, 9, 10).astype("u1")]
+    loads = suffix_bwt.pack_all(heads, arrays, b"abcdefgh", np.array([0, 0, 5, 8]))
+    sizes, (a, b), rest = suffix_bwt.unpack_all(loads, "<u8", "u1")
+    assert sizes.tolist() == [3, 0, 7] and rest == [b"", b"abcde", b"fgh"]
+    assert a.tolist() == arrays[0].tolist() and b.tolist() == arrays[1].tolist()
+    assert suffix_bwt.unpack_all([], "<u8")[0].tolist() == []
+    short = rng.integers(0, 1 << 40, 10)
+    got, sizes = suffix_bwt.laid_out(pa.chunked_array([suffix_bwt.cut_up(suffix_bwt.short_bytes(short), heads)]), suffix_bwt.SHORT)
+    assert suffix_bwt.short_values(got).tolist() == short.tolist() and sizes.tolist() == [3, 0, 7]
+    assert suffix_bwt.ranges(np.array([5, 9, 2]), np.array([2, 0, 3])).tolist() == [5, 6, 2, 3, 4]
+    assert suffix_bwt.heads_of(np.array([4, 4, 7])).tolist() == [0, 2, 3] and suffix_bwt.heads_of(np.zeros(0)).tolist() == [0]
